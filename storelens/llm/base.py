@@ -87,20 +87,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_powers: list[np.ndarray] = [np.empty(0, np.uint64)] * 2
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the multiplier and of its inverse modulo 2**64, kept between calls."""
+    if len(_powers[0]) < n:
+        for k, x in enumerate((int(MULTIPLIER), pow(int(MULTIPLIER), -1, 1 << 64))):
+            out = np.full(n, x, np.uint64)
+            out[0] = 1
+            _powers[k] = np.multiply.accumulate(out)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def prefix_sums(symbols: np.ndarray) -> np.ndarray:
+    """Running polynomial of 64-bit symbols, from which ``span_names`` names any stretch of them."""
+    out = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum(symbols * powers(len(symbols))[0], out=out[1:])
+    return out
+
+
 def window_names(symbols: np.ndarray, length: int) -> np.ndarray:
-    """64-bit names of every window of ``length`` symbols (uint64), by doubling: O(n log length)."""
+    """64-bit names of every window of ``length`` symbols; symbols are scrambled 64-bit values."""
     if len(symbols) < length:
         return np.empty(0, np.uint64)
-    part, width = mix(symbols * MULTIPLIER + np.uint64(1)), 1
-    name, done = None, 0
-    while True:
-        if length & width:
-            if name is None:
-                name, done = part, width
-            else:
-                n = len(part) - done
-                name, done = mix(name[:n] * MULTIPLIER + part[done:]), done + width
-        if done == length:
-            return name
-        n = len(part) - width
-        part, width = mix(part[:n] * MULTIPLIER + part[width:]), 2 * width
+    total = prefix_sums(symbols)
+    n = len(symbols) - length + 1
+    return mix((total[length:] - total[:n]) * powers(len(symbols))[1][:n])

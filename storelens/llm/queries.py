@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, sentence_pieces, token_counts
+from . import language_id, sentence_pieces, suffix_array, suffix_automata, token_counts
 from .base import table
 
 
@@ -18,12 +18,20 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_checked(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.digest(suffix_array.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_automata.digest(suffix_automata.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op5_sentencepiece, op10_language_id)}
+    return {f.__name__: f for f in (op3_token_counts, op5_sentencepiece, op8_suffix_dedup, op9_substring_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
