@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, sentence_pieces, suffix_array, suffix_automata, token_counts
+from . import language_id, ngram_join, sentence_pieces, suffix_array, suffix_automata, token_counts
 from .base import table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op5_sentencepiece, op8_suffix_dedup, op9_substring_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_token_counts, op5_sentencepiece, op8_suffix_dedup, op9_substring_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
