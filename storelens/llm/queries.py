@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, ngram_join, sentence_pieces, suffix_array, suffix_automata, token_counts
+from . import decontamination, language_id, licenses, ngram_join, sentence_pieces, suffix_array, suffix_automata, token_counts, training_order, vector_search
 from .base import table
 
 
@@ -14,14 +14,30 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_checked(table(spark, sf_dir, "documents"))
 
 
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.training_shards(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.digest(suffix_array.remove_repeats(table(spark, sf_dir, "documents")))
 
@@ -34,9 +50,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+REGISTERED = (
+    op1_ngram_jaccard_join,
+    op2_license_scan,
+    op3_token_counts,
+    op4_exact_top_k,
+    op5_sentencepiece,
+    op6_training_order,
+    op7_decontamination,
+    op8_suffix_dedup,
+    op9_substring_dedup,
+    op10_language_id,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_token_counts, op5_sentencepiece, op8_suffix_dedup, op9_substring_dedup, op10_language_id)}
+    return {f.__name__: f for f in REGISTERED}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": licenses.oracle(), "op4_exact_top_k": vector_search.ORACLE_SQL}
