@@ -92,6 +92,44 @@ def candidates(docs: DataFrame, read: Callable[[list], tuple[np.ndarray, np.ndar
     return by_block(packed, FIELDS, solve, RUNS)
 
 
+WINDOWS = {"name": "<u8", "doc": "<i8", "start": "<i4", "open": "<u1"}
+PLACED = {"doc": "<i8", "start": "<i4"}
+PLACES = "doc_id long, start int, count int"
+
+
+def named_windows(found: DataFrame, read: Callable[[bytes], np.ndarray], length: int, blocks: int, keep: Callable[[dict], np.ndarray]) -> DataFrame:
+    """Decide on each window of passages (doc_id, start, role, zone) by its own name: ``doc_id, start, count``.
+
+    Names are exchanged in blocks; ``keep`` flags the entries of a block, sorted by name and document. What it
+    keeps is exchanged by document, where neighbouring windows become one run again.
+    """
+
+    def cut(source):
+        for batch in batches(source, 1 << 20):
+            parts = []
+            for doc, start, role, raw in zip(*(column(batch, x).to_pylist() for x in ("doc_id", "start", "role", "zone")), strict=True):
+                names = window_names(read(raw), length)
+                parts.append((names, np.full(len(names), doc), np.arange(start, start + len(names)), np.full(len(names), role == OPEN + 2)))
+            fields = {x: np.concatenate(v).astype(kind) for (x, kind), v in zip(WINDOWS.items(), zip(*parts, strict=True), strict=True)}
+            yield pack(block_of(fields["name"], blocks), fields)
+
+    def decide(entries):
+        order = np.lexsort((entries["doc"], entries["name"]))
+        entries = {x: v[order] for x, v in entries.items()}
+        at = np.flatnonzero(keep(entries) & (entries["open"] > 0))
+        return pa.Table.from_batches([pack(block_of(mix(entries["doc"][at].view(np.uint64)), blocks), {x: entries[x][at] for x in PLACED})])
+
+    def join(entries):
+        order = np.lexsort((entries["start"], entries["doc"]))
+        doc, start = entries["doc"][order], entries["start"][order]
+        first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)])
+        last = np.r_[first[1:], len(doc)] - 1
+        return pa.table([pa.array(doc[first]), pa.array(start[first]), pa.array((start[last] - start[first] + 1).astype(np.int32))], ["doc_id", "start", "count"])
+
+    named = by_block(found.where("role > 2").mapInArrow(cut, schema(WINDOWS)), WINDOWS, decide, schema(PLACED))
+    return by_block(named, PLACED, join, PLACES)
+
+
 def groups(*keys: np.ndarray) -> np.ndarray:
     """Group number of each entry of sorted keys."""
     if not len(keys[0]):

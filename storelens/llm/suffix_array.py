@@ -8,9 +8,9 @@ sorted by a symbol and the rank behind it, and the two orders are merged. Neighb
 together are those of one suffix array over the corpus.
 
 A class of very many distinct passages (a common line that ends in different ways) would make one shard hot.
-Its windows are named one by one instead and counted by a partial aggregation, which is exact as well.
+Its windows are named one by one instead and exchanged in even blocks of names, which is exact as well.
 
-Defined cases: null and empty texts have nothing to remove (the digest of no bytes); texts shorter than
+Defined cases: rows without a doc_id are kept whole and compared with nothing; null and empty texts have nothing to remove (the digest of no bytes); texts shorter than
 ``length`` are kept whole; repeated rows of one doc_id are documents like any others in the search, and the
 removals found under one doc_id apply to each of its rows; extra columns are ignored.
 """
@@ -140,9 +140,6 @@ def zones(docs: DataFrame, found: DataFrame, length: int, shards: int) -> DataFr
     return P.with_documents(docs, P.per_document(found.where("role > 0"), ["start", "count", "value", "role"]).hint("shuffle_hash"), "inner").mapInArrow(cut, SHARED)
 
 
-PLACES = "doc_id long, start int, count int"
-
-
 def shard_repeats(found: DataFrame, length: int) -> DataFrame:
     """Repeated windows of the open runs, by a suffix array for each shard."""
 
@@ -159,31 +156,25 @@ def shard_repeats(found: DataFrame, length: int) -> DataFrame:
         flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
         return pa.table([pa.array(flat[0], pa.int64()), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.int32))], ["doc_id", "start", "count"])
 
-    return found.where("role <= 2").groupBy("shard").applyInArrow(solve, PLACES)
-
+    return found.where("role <= 2").groupBy("shard").applyInArrow(solve, P.PLACES)
 
-def named_repeats(found: DataFrame, length: int) -> DataFrame:
-    """The same for classes with very many passages: each window is named and counted."""
-
-    def name(source):
-        for batch in batches(source):
-            for doc, start, role, raw in zip(*(column(batch, x).to_pylist() for x in ("doc_id", "start", "role", "zone")), strict=True):
-                names = window_names(scrambled(raw), length)
-                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.full(len(names), doc), pa.int64()), pa.array(np.arange(len(names), dtype=np.int32) + np.int32(start)), pa.array(np.full(len(names), role == P.OPEN + 2))], ["name", "doc_id", "start", "open"])
 
-    windows = found.where("role > 2").mapInArrow(name, "name long, doc_id long, start int, open boolean")
-    twice = windows.groupBy("name").count().where("count > 1").select("name")
-    return windows.where("open").join(twice, "name").select("doc_id", "start", F.lit(1).alias("count"))
+def named_twice(e: dict) -> np.ndarray:
+    """Windows of a block whose name occurs more than once."""
+    name = P.groups(e["name"])
+    return np.bincount(name)[name] > 1 if len(name) else np.empty(0, bool)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256) -> DataFrame:
     """``doc_id, start, count``: runs of windows of ``length`` bytes that also start elsewhere."""
     size = text_bytes(docs)
+    docs = docs.where(docs["doc_id"].isNotNull())
     # the bytes of a batch become arrays of eight bytes each, hence the smaller batches
     found = stash(P.candidates(docs, read_bytes, length, part, block_count(size, 32 << 20), roles(most), 2 << 20))
-    texts = stash(zones(docs, found, length, block_count(size, 16 << 20)))
+    shards = block_count(size, 16 << 20)
+    texts = stash(zones(docs, found, length, shards))
     sure = found.where(f"role in ({P.SURE}, {P.POOL}, {P.POOL + 2})").select("doc_id", "start", "count")
-    return sure.unionByName(shard_repeats(texts, length)).unionByName(named_repeats(texts, length))
+    return sure.unionByName(shard_repeats(texts, length)).unionByName(P.named_windows(texts, scrambled, length, shards, named_twice))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256) -> DataFrame:

@@ -8,15 +8,17 @@ whose matching statistics (the longest suffix at each word that occurs there) gi
 joins the reference itself afterwards.
 
 A class of very many distinct passages would make one shard hot; its windows are named one by one instead and
-the least doc_id of each name is a partial aggregation, exact as well.
+exchanged in even blocks of names, where each name's least doc_id decides, exact as well.
 
-Defined cases: null and blank texts have no words (the digest of the empty text); shorter texts are kept;
+Defined cases: rows without a doc_id are kept whole and compared with nothing; null and blank texts have no words (the digest of the empty text); shorter texts are kept;
 several rows of one doc_id are one document in the search, and the removals found apply to each of its rows;
 extra columns are ignored. Words are unchanged; kept words are joined by one space.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import passages as P
-from .base import WordMemo, as_longs, batches, column, mix, stash, text_bytes, window_names
+from .base import WordMemo, as_longs, batches, column, mix, stash, text_bytes
 from .blocks import block_count
 
 LENGTH, PART = 50, 8
@@ -132,9 +134,6 @@ def zones(docs: DataFrame, found: DataFrame, length: int, shards: int) -> DataFr
     return P.with_documents(docs, P.per_document(found.where("role > 0"), ["start", "count", "value", "role"]).hint("shuffle_hash"), "inner").mapInArrow(cut, SHARED)
 
 
-PLACES = "doc_id long, start int, count int"
-
-
 def shard_matches(found: DataFrame, length: int) -> DataFrame:
     """Windows of the open runs that occur in smaller documents, by the automata of each shard."""
 
@@ -159,31 +158,33 @@ def shard_matches(found: DataFrame, length: int) -> DataFrame:
         doc, start, count = zip(*out, strict=True) if out else ((), (), ())
         return pa.table([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(count, pa.int32())], ["doc_id", "start", "count"])
 
-    return found.where("role <= 2").groupBy("shard").applyInArrow(solve, PLACES)
+    return found.where("role <= 2").groupBy("shard").applyInArrow(solve, P.PLACES)
 
 
-def named_matches(found: DataFrame, length: int) -> DataFrame:
-    """The same for classes with very many passages: the least document of each named window."""
-
-    def name(source):
-        for batch in batches(source):
-            for doc, start, role, raw in zip(*(column(batch, x).to_pylist() for x in ("doc_id", "start", "role", "zone")), strict=True):
-                names = window_names(np.frombuffer(raw, np.uint64), length)
-                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.full(len(names), doc), pa.int64()), pa.array(np.arange(len(names), dtype=np.int32) + np.int32(start)), pa.array(np.full(len(names), role == P.OPEN + 2))], ["name", "doc_id", "start", "open"])
-
-    windows = found.where("role > 2").mapInArrow(name, "name long, doc_id long, start int, open boolean")
-    low = windows.groupBy("name").agg(F.min("doc_id").alias("low"))
-    return windows.where("open").join(low, "name").where("doc_id > low").select("doc_id", "start", F.lit(1).alias("count"))
+def named_later(e: dict) -> np.ndarray:
+    """Windows of a block whose name has a smaller document."""
+    name = P.groups(e["name"])
+    return e["doc"] > e["doc"][np.r_[True, name[1:] != name[:-1]]][name] if len(name) else np.empty(0, bool)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256) -> DataFrame:
     """``doc_id, start, count``: runs of windows that also start in a document with a smaller doc_id."""
     size = text_bytes(docs)
-    docs = docs.where("doc_id is not null")
+    docs = docs.where(docs["doc_id"].isNotNull())
     found = stash(P.candidates(docs, read_words, length, part, block_count(size, 32 << 20), roles(most), 4 << 20))
-    texts = stash(zones(docs, found, length, block_count(size, 16 << 20)))
+    shards = block_count(size, 16 << 20)
+    texts = stash(zones(docs, found, length, shards))
     sure = found.where(f"role = {P.SURE}").select("doc_id", "start", "count")
-    return sure.unionByName(shard_matches(texts, length)).unionByName(named_matches(texts, length))
+    return sure.unionByName(shard_matches(texts, length)).unionByName(P.named_windows(texts, lambda raw: np.frombuffer(raw, np.uint64), length, shards, named_later))
+
+
+def _kept(text: str | None, found: dict | None, length: int) -> tuple[int, int, bytes]:
+    """Words, removed words, and the kept ones joined."""
+    words = split(text)
+    if found is None or not words:
+        return len(words), 0, b" ".join(words)
+    gone = P.covered(len(words), found["start"], found["count"], length)
+    return len(words), int(gone.sum()), b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x])
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256) -> DataFrame:
@@ -191,21 +192,42 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most
 
     def run(source):
         for batch in batches(source):
-            out = []
-            for text, f in zip(column(batch, "text").to_pylist(), P.struct_arrays(batch, "found", ["start", "count"]), strict=True):
-                words, n = split(text), 0
-                if f is not None and words:
-                    gone = P.covered(len(words), f["start"], f["count"], length)
-                    n = int(gone.sum())
-                    kept = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
-                else:
-                    kept = words
-                out.append((len(words), n, b" ".join(kept).decode()))
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_words", "n_removed", "kept"])
+            out = [_kept(t, f, length) for t, f in zip(column(batch, "text").to_pylist(), P.struct_arrays(batch, "found", ["start", "count"]), strict=True)]
+            n, gone, kept = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([x.decode() for x in kept], pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     found = P.per_document(repeats(docs, length, part, most), ["start", "count"])
     return P.with_documents(docs, found.hint("shuffle_hash"), "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
+def cut_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256) -> DataFrame:
+    """The rows of ``docs``, all columns, without the repeated passages in ``text``.
+
+    A text that loses words becomes its kept words joined by one space, and ``n_chars`` follows; the others
+    stay as they are. Documents that lose every word leave.
+    """
+    names, hidden = docs.columns, "found by " + uuid.uuid4().hex
+
+    def run(source):
+        for batch in batches(source):
+            texts, rows = column(batch, "text").to_pylist(), []
+            for k, (t, f) in enumerate(zip(texts, P.struct_arrays(batch, hidden, ["start", "count"]), strict=True)):
+                n, gone, kept = _kept(t, f, length) if f is not None else (0, 0, b"")
+                if gone:
+                    texts[k] = kept.decode()
+                if not gone or gone < n:
+                    rows.append(k)
+            columns = {x: column(batch, x) for x in names}
+            changed = pa.array(texts, pa.string())
+            if "n_chars" in columns:
+                size = [len(t) if t is not None and t != old else None for t, old in zip(texts, columns["text"].to_pylist(), strict=True)]
+                columns["n_chars"] = pa.array([m if m is not None else old for m, old in zip(size, columns["n_chars"].to_pylist(), strict=True)], columns["n_chars"].type)
+            columns["text"] = changed
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names).take(pa.array(rows, pa.int64()))
+
+    found = P.per_document(repeats(docs, length, part, most), ["start", "count"]).withColumnRenamed("found", hidden)
+    return docs.join(found.hint("shuffle_hash"), "doc_id", "left").mapInArrow(run, docs.schema)
+
+
 def digest(kept: DataFrame) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
