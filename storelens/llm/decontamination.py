@@ -152,3 +152,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: int = CHARACTERS_A
 
     found = [search(items) for items in chunks(benchmark) if items]
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], FOUND)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: int = CHARACTERS_AN_EDIT) -> DataFrame:
+    """The rows of ``docs``, all columns, without the documents that match a test item."""
+    bad = contaminated(docs, benchmark, rate).select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)

@@ -17,6 +17,7 @@ is ``und``; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from functools import cache
 
@@ -140,30 +141,40 @@ class Scorer:
         return out
 
 
-_scorers: dict[bytes, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
+
+
+def _scores(docs: DataFrame, names: list[str], model: np.ndarray, path: str | None, longest: int):
+    """A function for tasks: labels and scores of a list of texts. The model is languages x vocabulary in size."""
+    path = path or model_path()
+    shared = docs.sparkSession.sparkContext.broadcast((names, model.astype(np.float32)))
+    key = uuid.uuid4().hex
+
+    def score(texts):
+        names, model = shared.value
+        found = [words(t) for t in texts]
+        labels, scores = [UNDETERMINED] * len(found), [0.0] * len(found)
+        if names:
+            if key not in _scorers:
+                _scorers.clear()
+                _scorers[key] = Scorer(model, path, longest)
+            total = _scorers[key].score(found)
+            best = total.argmax(1)
+            for k, w in enumerate(found):
+                if w:
+                    labels[k], scores[k] = names[best[k]], min(1.0, float(total[k, best[k]]))
+        return labels, scores
+
+    return score
 
 
 def predict(docs: DataFrame, names: list[str], model: np.ndarray, path: str | None = None, longest: int = 8) -> DataFrame:
     """``doc_id, lang_pred, score`` of every row of ``docs`` (doc_id, text)."""
-    path = path or model_path()
-    shared = docs.sparkSession.sparkContext.broadcast((names, model.astype(np.float32)))  # languages x vocabulary
+    score = _scores(docs, names, model, path, longest)
 
     def run(source):
-        names, model = shared.value
-        key = model.tobytes()[:4096] + repr((names, model.shape, float(model.sum()))).encode()
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(model, path, longest) if names else None
-        scorer = _scorers[key]
         for batch in batches(source, 4 << 20):
-            found = [words(t) for t in column(batch, "text").to_pylist()]
-            labels, scores = [UNDETERMINED] * len(found), [0.0] * len(found)
-            if names:
-                total = scorer.score(found)
-                best = total.argmax(1)
-                for k, w in enumerate(found):
-                    if w:
-                        labels[k], scores[k] = names[best[k]], min(1.0, float(total[k, best[k]]))
+            labels, scores = score(column(batch, "text").to_pylist())
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return slim(docs, "doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -180,3 +191,20 @@ def identify(docs: DataFrame, per_language: int = 4000, path: str | None = None)
     names, model = train(docs.where(~held), per_language, path)
     out = predict(docs, names, model, path)
     return out.select("doc_id", F.coalesce(held_out(out["doc_id"]), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def reject_unknown(docs: DataFrame, per_language: int = 4000, floor: float = 0.28, path: str | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, without those of undetermined language or a score below ``floor``.
+
+    The labels of the rows that are not held out train the model; without labels every text is undetermined.
+    """
+    held = F.coalesce(held_out(docs["doc_id"]), F.lit(False))
+    names, model = train(docs.where(~held), per_language, path)
+    score = _scores(docs, names, model, path, 8)
+
+    def run(source):
+        for batch in batches(source, 4 << 20):
+            labels, scores = score(column(batch, "text").to_pylist())
+            yield batch.filter(pa.array([k != UNDETERMINED and x >= floor for k, x in zip(labels, scores, strict=True)]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -11,7 +11,7 @@ Documents with equal n-gram sets are one class and one row of the matrix. Large
 meet all in all: each document is first compared with one centre of its columns (the member whose n-grams are
 the most common), and pairs are only formed between documents that are not yet connected.
 
-Defined cases: null and blank texts have no n-grams and are linked with nothing; a text with fewer words than
+Defined cases: rows without a doc_id are no documents and leave; null and blank texts have no n-grams and are linked with nothing; a text with fewer words than
 ``n`` is one n-gram; doc_id is the identity of a document: several rows of one doc_id are returned as they
 come, and the component is the least doc_id; extra columns are ignored. Sets are told apart by 64-bit hashes.
 """
@@ -216,6 +216,7 @@ def open_pairs(posts: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, rounds: int = 2) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (doc_id, text)."""
+    docs = docs.where(docs["doc_id"].isNotNull())
     blocks = block_count(text_bytes(docs))
     shared = stash(by_block(incidence(docs, n, blocks), INCIDENCE, shared_entries(blocks), ROWS))
 
@@ -238,3 +239,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, rounds: int
     joint = least.groupBy("label").agg(F.min("least").alias("component"))
     of_key = least.join(joint, "label").select("key", "component")
     return classes.join(of_key, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs``, all columns, with the least doc_id of each component only, each doc_id once."""
+    first = near_duplicates(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
