@@ -1,9 +1,477 @@
-"""Registered queries of the app-store operators and the SQL that gives the same rows."""
+"""Registered queries of the app-store operators and the SQL that gives the same rows.
 
+The tables hold no store payloads, so each query encodes rows as payloads, reads them back with the operators,
+and its SQL computes the rows from the tables directly. Roles: part = apps, supplier and brand = developers,
+events = reviews, nation and region = permissions, pages = raw HTML.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.variant import path, strict, to_long
+from ..operators import analytics, relational, tables
+from ..schemas import CATEGORIES, Sort
+from ..session import configure
+from . import encoders as E
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+STORE = "https://play.google.com/store/apps/details?id="
+
+
+def query(sql: str):
+    def keep(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(configure(spark), sf_dir)
+
+        _queries[f.__name__], _sql[f.__name__] = run, sql
+        return f
+
+    return keep
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _app_id(key: Column) -> Column:
+    return F.concat(F.lit("com.p"), key.cast("string"))
+
+
+def _micros(price: Column) -> Column:
+    return F.round(price * 100).cast("long") * 10000
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").withColumn("id", _app_id(F.col("p_partkey")))
+
+
+# apps -------------------------------------------------------------------------------------------------------
+
+
+def _details(rows: DataFrame, **more: Column) -> DataFrame:
+    """Details pages of parts: every third part is free, every seventh has no price."""
+    price = F.when(F.col("p_partkey") % 3 == 0, F.lit(0)).otherwise(_micros(F.col("p_retailprice")))
+    offer = F.when(F.col("p_partkey") % 7 == 0, F.parse_json(F.lit("null"))).otherwise(E.array([[price, F.lit("USD"), F.lit("shown")]]))
+    root = {
+        0: [F.col("p_name")], 9: [F.lit("Everyone")], 10: {1: [F.lit("Jan 1, 2024")]}, 13: [F.concat(F.col("p_size").cast("string"), F.lit("+")), F.col("p_size"), F.col("p_size") * 2],
+        51: {0: {0: F.lit("4.5"), 1: F.lit(4.5)}, 1: more.get("histogram", F.lit(None).cast("variant")), 2: {1: F.col("p_partkey")}, 3: {1: F.col("p_size")}},
+        57: [[[[{1: offer}]]]], 68: {0: F.col("p_brand"), 1: {4: {2: F.concat(F.lit("/store/apps/developer?id="), F.col("p_brand"))}}},
+        72: [{1: F.concat(F.lit("<b>"), F.col("p_name"), F.lit("</b><br>second<br />third"))}], 73: [{1: F.col("p_type")}],
+        78: [[{3: {2: F.lit("https://shot/1")}}, F.lit("bad"), {3: {2: F.lit("https://shot/2")}}]], 79: [[[F.col("p_type"), F.lit(None).cast("string"), F.upper("p_type")]]],
+        95: [{3: {2: F.lit("https://icon")}}], 140: {0: [[F.lit("1.2.3")]]}, 145: [{1: [F.col("p_partkey") * 1000]}],
+    }
+    block = E.text(E.array({1: {2: E.array(root)}}))
+    decoy = E.script("ds:5", F.lit("[broken"))
+    return rows.select(F.col("id").alias("app_id"), F.lit("en").alias("lang"), F.lit("us").alias("country"), E.page(E.script("ds:4", F.lit("[1]")), E.script("ds:5", F.lit('["old"]')), E.script("ds:5", block), decoy).alias("body"))
+
+
+def _join(c: str) -> str:
+    return f"'com.p' || CAST({c} AS VARCHAR)"
+
+
+MICROS = "CAST(round(p_retailprice * 100) AS BIGINT) * 10000"
+
+
+@query(f"""SELECT {_join('p_partkey')} AS app_id, '{STORE}com.p' || CAST(p_partkey AS VARCHAR) || '&hl=en&gl=us' AS url, p_name AS title, p_name || chr(10) || 'second' || chr(10) || 'third' AS description,
+  p_type AS summary, CAST(p_size AS VARCHAR) || '+' AS installs, CAST(p_size AS BIGINT) AS min_installs, CAST(p_size * 2 AS BIGINT) AS max_installs, CAST(4.5 AS DOUBLE) AS score, '4.5' AS score_text,
+  CAST(p_partkey AS BIGINT) AS ratings, CAST(p_size AS BIGINT) AS reviews, CASE WHEN p_partkey % 7 = 0 OR p_partkey % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST({MICROS} AS DOUBLE) / 1e6 END AS price,
+  (p_partkey % 7 = 0 OR p_partkey % 3 = 0) AS free, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE 'USD' END AS currency, p_brand AS developer, '/store/apps/developer?id=' || p_brand AS developer_id,
+  p_type AS genre, upper(p_type) AS genre_id, 'https://icon' AS icon, CAST(2 AS INTEGER) AS n_screenshots, '1.2.3' AS version, '' AS android_version, 'Everyone' AS content_rating, 'Jan 1, 2024' AS released,
+  CAST(p_partkey * 1000 AS BIGINT) AS updated, '' AS privacy_policy, true AS available FROM part""")
+def app_details(spark, sf_dir):
+    apps = tables.apps(_details(_parts(spark, sf_dir)))
+    return apps.select("app_id", "url", "title", "description", "summary", "installs", "min_installs", "max_installs", "score", "score_text", "ratings", "reviews", "price", "free", "currency", "developer", "developer_id", "genre", "genre_id", "icon", F.size("screenshots").alias("n_screenshots"), "version", "android_version", "content_rating", "released", "updated", "privacy_policy", "available")
+
+
+_COUNTS = ", ".join(f"count(CASE WHEN l_linenumber = {k} THEN 1 END) AS n{k}" for k in range(1, 6))
+
+
+@query(f"SELECT {_join('l_partkey')} AS app_id, {_COUNTS}, count(CASE WHEN l_linenumber <= 5 THEN 1 END) AS total FROM lineitem GROUP BY l_partkey")
+def app_histogram(spark, sf_dir):
+    n = [F.count(F.when(F.col("l_linenumber") == k, 1)).alias(f"c{k}") for k in range(1, 6)]
+    lines = _table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(*n)
+    rows = E.array([[F.lit(k), F.col(f"c{k}")] for k in (5, 4, 3, 2, 1)])
+    root = E.array({0: [F.lit("t")], 51: {1: rows}})
+    body = E.page(E.script("ds:5", E.text(E.array({1: {2: root}}))))
+    raw = lines.select(_app_id(F.col("l_partkey")).alias("app_id"), F.lit("en").alias("lang"), F.lit("us").alias("country"), body.alias("body"))
+    apps = tables.apps(raw)
+    wide = apps.select("app_id", *[F.get("histogram", F.lit(k - 1)).alias(f"n{k}") for k in range(1, 6)], F.aggregate("histogram", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    return wide
+
+
+@query("SELECT page_id, regexp_replace(replace(replace(replace(html, '<br>', chr(10)), '<br/>', chr(10)), '<br />', chr(10)), '<[^>]*>', '', 'g') AS text FROM pages")
+def strip_html(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
+
+
+@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<script')) AS BIGINT) AS n_scripts, CAST(3 AS BIGINT) AS n_blocks, page_id AS last_valid FROM pages")
+def script_blocks(spark, sf_dir):
+    """Blocks behind real page text: the last well-formed one of a key counts."""
+    from ..functions.payload import block, block_keys
+
+    pages = _table(spark, sf_dir, "pages").where("html is not null")
+    blocks = F.concat(E.script("ds:1", F.lit('["first"]')), E.script("ds:1", E.text(E.array([F.col("page_id")]))), E.script("ds:1", F.lit("[1] x")))
+    body = F.concat(F.col("html"), F.lit("\n"), blocks)
+    scripts = F.size(F.regexp_extract_all("html", F.lit("<script"), F.lit(0))).cast("long")
+    return pages.withColumn("body", body).select("page_id", scripts.alias("n_scripts"), F.size(block_keys(F.col("body"))).cast("long").alias("n_blocks"), to_long(path(block(F.col("body"), "ds:1"), 0)).alias("last_valid"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_path_int(spark, sf_dir):
+    # an object walked by its key: the step's number is the key
+    renamed = F.replace("props", F.lit('"k"'), F.lit('"7"'))
+    return _table(spark, sf_dir, "events").select("event_id", to_long(path(strict(renamed), 7)).alias("k"))
+
+
+# results ----------------------------------------------------------------------------------------------------
+
+
+def _flat_row(offset: bool = False) -> Column:
+    row = {0: [F.col("id")], 1: {3: {2: F.lit("https://icon")}}, 3: F.col("p_name"), 4: [F.lit("4.5"), F.lit(4.5)], 14: F.col("p_brand")}
+    return E.array([E.array(row)] if offset else row)
+
+
+def _chart_row() -> Column:
+    price = F.when(F.col("p_partkey") % 3 == 0, F.lit(0)).otherwise(_micros(F.col("p_retailprice")))
+    offer = F.when(F.col("p_partkey") % 7 == 0, F.parse_json(F.lit("null"))).otherwise(E.array([F.lit(1), [[price, F.lit("USD")]]]))
+    return E.array({0: [F.col("id")], 1: {3: {2: F.lit("https://icon")}}, 3: F.col("p_name"), 4: [F.lit("4.5"), F.lit(4.5)], 8: offer, 14: F.col("p_brand")})
+
+
+def _batch_row() -> Column:
+    price = _micros(F.col("p_retailprice"))
+    return E.array({2: F.col("p_name"), 4: {0: [[F.col("p_brand"), {4: {2: F.concat(F.lit("/x?id="), F.col("p_brand"))}}]], 1: {1: {1: {1: F.col("p_type")}}}}, 6: {0: {2: {1: [F.lit("4.5"), F.lit(4.5)]}}}, 7: {0: {3: {2: {1: [[price, F.lit("USD")]]}}}}, 9: {4: {2: F.concat(F.lit("/d?id="), F.col("id"))}}, 12: [F.col("id")]})
+
+
+def _gather(rows: DataFrame, by: list[str], row: Column) -> DataFrame:
+    """One VARIANT array per group, by part key; a malformed row leads."""
+    packed = rows.withColumn("row", F.to_json(row)).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "row"))).alias("rows"))
+    joined = F.concat(F.lit('["bad",'), F.array_join(F.transform("rows", lambda r: r["row"]), ","), F.lit("]"))
+    return packed.select(*by, F.parse_json(joined).alias("apps"))
+
+
+def _container(place: int, apps: Column) -> Column:
+    return E.text(E.array([{1: [{0: {3: [F.lit("tok")]}, place: [apps]}]}]))
+
+
+def _term(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("term", F.substring_index("p_name", " ", 1))
+
+
+def _search_first(spark, sf_dir) -> DataFrame:
+    rows = _gather(_term(_parts(spark, sf_dir)).where("p_partkey % 2 = 0"), ["term"], E.array([_flat_row()]))
+    body = E.page(E.script("ds:1", F.lit("[]")), E.script("ds:4", _container(22, F.col("apps"))))
+    return rows.select("term", F.lit(0).alias("page_no"), body.alias("body"))
+
+
+def _search_more(spark, sf_dir) -> DataFrame:
+    rows = _gather(_term(_parts(spark, sf_dir)).where("p_partkey % 2 = 1"), ["term"], _batch_row())
+    inner = E.text(E.array([[{0: F.col("apps"), 7: [F.lit(0), F.lit("tok2")]}]]))
+    return rows.select("term", F.lit(1).alias("page_no"), E.response(inner).alias("body"))
+
+
+TERM = "split_part(p_name, ' ', 1)"
+PAGE1 = f"SELECT {TERM} AS term, 0 AS page_no, p_partkey, {_join('p_partkey')} AS app_id, p_name AS title, '{STORE}com.p' || CAST(p_partkey AS VARCHAR) AS url, '' AS developer_id, '' AS summary, CAST(0 AS DOUBLE) AS price, '' AS currency, true AS free FROM part WHERE p_partkey % 2 = 0"
+PAGE2 = f"SELECT {TERM}, 1, p_partkey, {_join('p_partkey')}, p_name, 'https://play.google.com/d?id=com.p' || CAST(p_partkey AS VARCHAR), p_brand, p_type, CAST({MICROS} AS DOUBLE) / 1e6, 'USD', {MICROS} = 0 FROM part WHERE p_partkey % 2 = 1"
+RANKED = f"WITH u AS ({PAGE1} UNION ALL {PAGE2}), r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY page_no, p_partkey) AS n FROM u)"
+SHORT = ["term", "app_id", "title", "url", "developer_id", "summary", "price", "currency", "free"]
+
+
+@query(f"{RANKED} SELECT {', '.join(SHORT)} FROM r WHERE page_no = 0")
+def search_first_page(spark, sf_dir):
+    return tables.search_first(_search_first(spark, sf_dir)).select(*SHORT)
+
+
+@query(f"{RANKED} SELECT {', '.join(SHORT)} FROM r WHERE n <= 250")
+def search_pages(spark, sf_dir):
+    return relational.search(_search_first(spark, sf_dir), _search_more(spark, sf_dir), 250).select(*SHORT)
+
+
+@query(f"{RANKED} SELECT {', '.join(SHORT)} FROM r WHERE n <= 250 AND NOT free")
+def search_paid(spark, sf_dir):
+    return relational.by_price(relational.search(_search_first(spark, sf_dir), _search_more(spark, sf_dir), 250), "PAID").select(*SHORT)
+
+
+@query(f"SELECT {TERM} AS term, {_join('p_partkey')} AS app_id, p_name AS title FROM part")
+def search_deep(spark, sf_dir):
+    """Containers that are not where they should be: found by the depth-first search."""
+    rows = _gather(_term(_parts(spark, sf_dir)), ["term"], E.array([_flat_row()]))
+    body = E.page(E.script("ds:3", E.text(E.array([F.lit("x"), [F.lit(1), {3: F.col("apps")}]]))))
+    raw = rows.select("term", body.alias("body"))
+    return tables.search_first(raw).select("term", "app_id", "title")
+
+
+@query(f"SELECT {TERM} AS term, 'tok' AS first_token, 'tok2' AS more_token FROM part GROUP BY 1 HAVING min(p_partkey % 2) = 0 AND max(p_partkey % 2) = 1")
+def search_tokens(spark, sf_dir):
+    first = tables.search_tokens(_search_first(spark, sf_dir)).select("term", F.col("next_token").alias("first_token"))
+    more = tables.search_more_tokens(_search_more(spark, sf_dir)).select("term", F.col("next_token").alias("more_token"))
+    return first.join(more, "term")
+
+
+def _developer_sql(dev: str) -> str:
+    return f"WITH r AS (SELECT {dev} AS dev_id, {_join('p_partkey')} AS app_id, p_name AS title, p_brand AS developer, CAST(4.5 AS DOUBLE) AS score, row_number() OVER (PARTITION BY {dev} ORDER BY p_partkey) AS n FROM part) SELECT dev_id, app_id, title, developer, score FROM r WHERE n <= 60"
+
+
+def _developer(spark, sf_dir, dev: Column, place: int, wrapped: bool) -> DataFrame:
+    rows = _gather(_parts(spark, sf_dir).withColumn("dev_id", dev), ["dev_id"], _flat_row(wrapped))
+    raw = rows.select("dev_id", E.page(E.script("ds:3", _container(place, F.col("apps")))).alias("body"))
+    return relational.first_n(tables.developer(raw), 60, ["pos"], ["dev_id"]).select("dev_id", "app_id", "title", "developer", "score")
+
+
+@query(_developer_sql("CAST(9000000 + p_size AS VARCHAR)"))
+def developer_numeric(spark, sf_dir):
+    return _developer(spark, sf_dir, (F.lit(9000000) + F.col("p_size")).cast("string"), 21, False)
+
+
+@query(_developer_sql("p_brand"))
+def developer_name(spark, sf_dir):
+    return _developer(spark, sf_dir, F.col("p_brand"), 22, True)
+
+
+def _charts(spark, sf_dir, empty_paid: bool = False) -> DataFrame:
+    """A chart page per brand; sections by size: small, middle, large. The second may be empty."""
+    rows = _parts(spark, sf_dir).withColumn("s", (F.col("p_size") % 3).cast("int"))
+    if empty_paid:
+        rows = rows.where("s <> 1")
+    packed = _gather(rows, ["p_brand", "s"], _chart_row()).groupBy("p_brand").pivot("s", [0, 1, 2]).agg(F.first(F.to_json("apps")))
+    sections = [E.array({21: [F.parse_json(F.coalesce(F.col(f"`{k}`"), F.lit("[]")))]}) for k in range(3)]
+    body = E.page(E.script("ds:4", E.text(E.array([{1: sections}]))))
+    return packed.select(F.col("p_brand").alias("category"), body.alias("body"))
+
+
+CHART = f"""WITH u AS (SELECT p_brand AS category, p_size % 3 AS s, p_partkey, {_join('p_partkey')} AS app_id, p_name AS title, CASE WHEN p_partkey % 7 = 0 OR p_partkey % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST({MICROS} AS DOUBLE) / 1e6 END AS price,
+  (p_partkey % 7 = 0 OR p_partkey % 3 = 0) AS free, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE 'USD' END AS currency FROM part)"""
+CHART_COLUMNS = ["category", "app_id", "title", "price", "free", "currency"]
+
+
+def _chart_sql(section: int, rows: str = "u") -> str:
+    return f"{CHART}, f AS (SELECT *, max(CASE WHEN s = {section} THEN 1 ELSE 0 END) OVER (PARTITION BY category) AS own FROM {rows}), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY s, p_partkey) AS n FROM f WHERE s = {section} OR own = 0) SELECT {', '.join(CHART_COLUMNS)} FROM r WHERE n <= 60"
+
+
+@query(_chart_sql(0))
+def list_top_free(spark, sf_dir):
+    return relational.chart(tables.charts(_charts(spark, sf_dir)), "TOP_FREE", 60, ["category"]).select(*CHART_COLUMNS)
+
+
+@query(_chart_sql(2))
+def list_grossing(spark, sf_dir):
+    return relational.chart(tables.charts(_charts(spark, sf_dir)), "GROSSING", 60, ["category"]).select(*CHART_COLUMNS)
+
+
+@query(_chart_sql(1, "(SELECT * FROM u WHERE s <> 1)"))
+def list_fallback(spark, sf_dir):
+    return relational.chart(tables.charts(_charts(spark, sf_dir, True)), "TOP_PAID", 60, ["category"]).select(*CHART_COLUMNS)
+
+
+@query(f"SELECT 'com.p' || CAST(a.p_partkey AS VARCHAR) AS source_app_id, 'com.p' || CAST(b.p_partkey AS VARCHAR) AS app_id, b.p_name AS title, '' AS score_text FROM part a JOIN part b ON a.p_brand = b.p_brand WHERE a.p_partkey % 20 = 1")
+def similar(spark, sf_dir):
+    """Two hops: details pages of some parts name the cluster page of their brand."""
+    parts = _parts(spark, sf_dir)
+    decoy = [{21: {1: [F.lit("More by"), F.lit(None).cast("string"), {4: {2: F.lit("/wrong")}}]}}]
+    hit = {21: {1: [F.lit("Similar apps"), F.lit(None).cast("string"), {4: {2: F.concat(F.lit("/cluster?b="), F.col("p_brand"))}}]}}
+    body = E.page(E.script("ds:7", E.text(E.array({1: {1: decoy}}))), E.script("ds:8", E.text(E.array({1: {1: [*decoy, hit]}}))))
+    details = parts.where("p_partkey % 20 = 1").select(F.col("id").alias("app_id"), F.lit("en").alias("lang"), F.lit("us").alias("country"), body.alias("body"))
+    pages = _gather(parts, ["p_brand"], _flat_row()).select(F.concat(F.lit("https://play.google.com/cluster?b="), F.col("p_brand"), F.lit("&gl=us&hl=en")).alias("url"), E.page(E.script("ds:3", _container(21, F.col("apps")))).alias("body"))
+    return relational.similar(details, pages).select("source_app_id", "app_id", "title", "score_text")
+
+
+@query(f"""{RANKED} SELECT r.term, r.app_id, CASE WHEN p.p_partkey % 5 = 0 THEN r.url ELSE '{STORE}' || r.app_id || '&hl=en&gl=us' END AS url, CASE WHEN p.p_partkey % 5 = 0 THEN r.price WHEN p.p_partkey % 7 = 0 OR p.p_partkey % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST({MICROS} AS DOUBLE) / 1e6 END AS price,
+  CASE WHEN p.p_partkey % 5 = 0 THEN r.summary ELSE p.p_type END AS summary FROM r JOIN part p ON p.p_partkey = r.p_partkey WHERE n <= 250""")
+def enrich(spark, sf_dir):
+    """Details of four fifths of the results."""
+    results = relational.search(_search_first(spark, sf_dir), _search_more(spark, sf_dir), 250)
+    apps = tables.apps(_details(_parts(spark, sf_dir).where("p_partkey % 5 <> 0")))
+    return relational.enrich(results, apps).select("term", "app_id", "url", "price", "summary")
+
+
+# reviews ----------------------------------------------------------------------------------------------------
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    """Events as reviews: app by event type, score by id, 50 to a page."""
+    rows = _table(spark, sf_dir, "events").withColumn("app_id", F.concat(F.lit("com."), F.col("event_type")))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return rows.withColumn("seconds", F.floor(micros / 1000000)).withColumn("nanos", (micros % 1000000) * 1000).withColumn("score", (1 + F.col("event_id") % 5).cast("int"))
+
+
+def _review_pages(rows: DataFrame, by: list[str], page: Column) -> DataFrame:
+    """Response pages of reviews: ``page`` gives a row's page; the last page of a group has no token."""
+    reply = F.when(F.col("event_id") % 4 == 0, E.array([F.lit(0), F.lit("thanks"), [F.col("seconds") + 60]])).otherwise(F.parse_json(F.lit("null")))
+    review = E.array({0: F.concat(F.lit("r"), F.col("event_id").cast("string")), 1: [F.concat(F.lit("user"), F.col("user_id").cast("string")), {3: {2: F.lit("https://face")}}], 2: F.col("score"), 4: F.col("event_type"), 5: [F.col("seconds"), F.col("nanos")], 6: F.floor("value").cast("long"), 7: reply, 10: F.lit("1.0")})
+    packed = rows.withColumn("page_no", page.cast("int")).withColumn("row", F.to_json(review)).groupBy(*by, "page_no").agg(F.array_sort(F.collect_list(F.struct("event_id", "row"))).alias("rows"))
+    last = packed.groupBy(*by).agg(F.max("page_no").alias("last"))
+    inner = F.concat(F.lit("[["), F.array_join(F.transform("rows", lambda r: r["row"]), ","), F.lit(",7],"), F.when(F.col("page_no") < F.col("last"), F.concat(F.lit('[null,"t'), F.col("page_no").cast("string"), F.lit('"]'))).otherwise(F.lit("null")), F.lit("]"))
+    return packed.join(last, by).select(*by, "page_no", E.response(inner).alias("body"))
+
+
+def _paged(spark, sf_dir) -> DataFrame:
+    return _review_pages(_events(spark, sf_dir), ["app_id"], F.floor(F.col("event_id") / 500))
+
+
+MILLIS = "(epoch_us(ts) // 1000000) * 1000 + CAST(left(CAST((epoch_us(ts) % 1000000) * 1000 AS VARCHAR), 3) AS BIGINT)"
+REVIEW = f"""SELECT 'com.' || event_type AS app_id, 'r' || CAST(event_id AS VARCHAR) AS id, 'user' || CAST(user_id AS VARCHAR) AS user_name, CAST(1 + event_id % 5 AS BIGINT) AS score, CAST(floor(value) AS BIGINT) AS thumbs_up, event_type AS text,
+  {MILLIS} AS date_ms, CASE WHEN event_id % 4 = 0 THEN 'thanks' ELSE '' END AS reply_text, CASE WHEN event_id % 4 = 0 THEN (epoch_us(ts) // 1000000 + 60) * 1000 END AS reply_ms, event_id, event_id // 500 AS page_no FROM events"""
+REVIEW_COLUMNS = ["app_id", "id", "user_name", "score", "thumbs_up", "text", "date_ms", "reply_text", "reply_ms"]
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("date_ms", F.unix_millis("date")).withColumn("reply_ms", F.unix_millis("reply_date")).select(*REVIEW_COLUMNS)
+
+
+@query(f"SELECT {', '.join(REVIEW_COLUMNS)} FROM ({REVIEW})")
+def reviews_parse(spark, sf_dir):
+    return _shown(tables.reviews(_paged(spark, sf_dir)))
+
+
+@query(f"SELECT app_id, page_no, 'ok' AS status, CASE WHEN page_no < max(page_no) OVER (PARTITION BY app_id) THEN 't' || CAST(page_no AS VARCHAR) ELSE '' END AS next_token FROM (SELECT DISTINCT app_id, CAST(page_no AS INTEGER) AS page_no FROM ({REVIEW}))")
+def reviews_tokens(spark, sf_dir):
+    return tables.review_pages(_paged(spark, sf_dir)).select("app_id", "page_no", "status", "next_token")
+
+
+def _top(order: str, n: int = 150, where: str = "true") -> str:
+    return f"SELECT {', '.join(REVIEW_COLUMNS)} FROM ({REVIEW}) WHERE {where} ORDER BY {order}, id LIMIT {n}"
+
+
+@query(_top("date_ms DESC"))
+def reviews_newest(spark, sf_dir):
+    return _shown(relational.sort_reviews(tables.reviews(_paged(spark, sf_dir)), Sort.NEWEST).limit(150))
+
+
+@query(_top("thumbs_up DESC"))
+def reviews_helpful(spark, sf_dir):
+    return _shown(relational.sort_reviews(tables.reviews(_paged(spark, sf_dir)), Sort.HELPFULNESS).limit(150))
+
+
+@query(_top("score DESC"))
+def reviews_by_rating(spark, sf_dir):
+    return _shown(relational.sort_reviews(tables.reviews(_paged(spark, sf_dir)), Sort.RATING).limit(150))
+
+
+@query(f"SELECT {', '.join(REVIEW_COLUMNS)} FROM ({REVIEW}) WHERE score = 4")
+def reviews_filter_score(spark, sf_dir):
+    return _shown(relational.score_filter(tables.reviews(_paged(spark, sf_dir)), 4))
+
+
+@query(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY event_id) AS n FROM ({REVIEW})) SELECT {', '.join(REVIEW_COLUMNS)} FROM r WHERE n <= 500")
+def reviews_all(spark, sf_dir):
+    return _shown(relational.reviews_all(_paged(spark, sf_dir), 500))
+
+
+@query(f"WITH q AS (SELECT *, score AS asked FROM ({REVIEW}) UNION ALL SELECT *, 1 + (score % 5) FROM ({REVIEW}) WHERE event_id % 10 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY app_id, asked ORDER BY page_no, event_id) AS n FROM q), d AS (SELECT *, row_number() OVER (PARTITION BY app_id, id ORDER BY asked, page_no, event_id) AS k FROM r WHERE n <= 200) SELECT {', '.join(REVIEW_COLUMNS)} FROM d WHERE k = 1")
+def reviews_comprehensive(spark, sf_dir):
+    """Five rating queries; some reviews come back under two ratings and count once."""
+    rows = _events(spark, sf_dir)
+    twice = rows.withColumn("score_query", F.col("score")).unionByName(rows.where("event_id % 10 = 0").withColumn("score_query", (1 + F.col("score") % 5).cast("int")))
+    pages = _review_pages(twice, ["app_id", "score_query"], F.floor(F.col("event_id") / 500))
+    return _shown(relational.reviews_comprehensive(pages, 200))
+
+
+# analytics --------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT app_id, count(*) AS n_reviews, round(avg(score), 6) AS avg_score FROM ({REVIEW}) GROUP BY app_id")
+def score_stats(spark, sf_dir):
+    return analytics.score_stats(tables.reviews(_paged(spark, sf_dir)), ["app_id"]).withColumn("avg_score", F.round("avg_score", 6))
+
+
+@query(f"SELECT s.score, count(r.score) AS n, round(100.0 * count(r.score) / sum(count(r.score)) OVER (), 1) AS percent FROM (SELECT CAST(unnest(range(1, 6)) AS BIGINT) AS score) s LEFT JOIN (SELECT * FROM ({REVIEW}) WHERE score <> 2) r ON r.score = s.score GROUP BY s.score")
+def score_distribution(spark, sf_dir):
+    return analytics.score_distribution(tables.reviews(_paged(spark, sf_dir)).where("score <> 2"))
+
+
+@query(f"SELECT app_id, count(*) AS n FROM ({REVIEW}) WHERE date_ms > epoch_ms(TIMESTAMP '2024-01-15 00:00:00') GROUP BY app_id")
+def recent_reviews(spark, sf_dir):
+    as_of = F.lit(datetime(2025, 1, 15)).cast("timestamp_ntz").cast("timestamp")
+    return analytics.recent(tables.reviews(_paged(spark, sf_dir)), as_of).groupBy("app_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY date_ms DESC, id) AS n FROM ({REVIEW})) SELECT app_id, CAST(n AS INTEGER) AS n, id, score, left(text, 200) AS preview FROM r WHERE n <= 5")
+def latest_reviews(spark, sf_dir):
+    return analytics.latest(tables.reviews(_paged(spark, sf_dir)), 5, ["app_id"]).drop("date")
+
+
+@query("SELECT count(DISTINCT p_brand) AS n_developers FROM part")
+def distinct_developers(spark, sf_dir):
+    return analytics.distinct_developers(tables.apps(_details(_parts(spark, sf_dir))))
+
+
+# permissions, data safety, suggestions, categories ------------------------------------------------------------
+
+
+@query("""SELECT 'com.r' || CAST(r_regionkey AS VARCHAR) AS app_id, CASE WHEN n_nationkey % 4 = 3 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'Common' ELSE 'Other' END ELSE 'group' || CAST(n_nationkey % 4 AS VARCHAR) END AS type, n_name AS permission
+  FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def permissions(spark, sf_dir):
+    """Nations as permissions: kind by parity, group by the remainder of four; the last group has no name."""
+    rows = _table(spark, sf_dir, "nation").withColumn("kind", F.col("n_nationkey") % 2).withColumn("g", F.col("n_nationkey") % 4)
+    groups = rows.groupBy("n_regionkey", "kind", "g").agg(F.array_sort(F.collect_list(F.to_json(E.array([F.lit(None).cast("string"), F.col("n_name")])))).alias("p"))
+    name = F.when(F.col("g") == 3, F.lit("null")).otherwise(F.concat(F.lit('"group'), F.col("g").cast("string"), F.lit('"')))
+    row = F.concat(F.lit("["), name, F.lit(',1,["short",["one"],'), F.array_join("p", ","), F.lit("]]"))
+    kinds = groups.groupBy("n_regionkey").pivot("kind", [0, 1]).agg(F.array_join(F.array_sort(F.collect_list(row)), ","))
+    inner = F.concat(F.lit('[[["short",1],'), F.coalesce("0", F.lit("1")), F.lit("],["), F.coalesce("1", F.lit("1")), F.lit("],[]]"))
+    raw = kinds.select(F.concat(F.lit("com.r"), F.col("n_regionkey").cast("string")).alias("app_id"), E.response(inner).alias("body"))
+    return tables.permissions(raw).select("app_id", "type", "permission")
+
+
+def _safety(spark, sf_dir) -> DataFrame:
+    entry = lambda name, optional, why: [name, optional, why]
+    group = lambda *rows: {0: [F.lit("icon"), F.concat(F.lit("type"), F.col("s_nationkey").cast("string"))], 4: list(rows)}
+    shared = [group(entry(F.col("s_name"), F.col("s_suppkey") % 2, F.lit("ads")), entry(F.lit(""), F.lit(1), F.lit("dropped")))]
+    collected = [group(entry(F.concat(F.lit("c "), F.col("s_name")), F.lit(0), F.lit("analytics"))), F.lit("bad"), {0: [F.lit("x")]}]
+    practices = [[F.lit(1), F.lit("Encrypted"), [F.lit(0), F.concat(F.lit("by "), F.col("s_name"))]], [F.lit(1), F.lit("short")]]
+    section = E.array({4: [[shared], [collected]], 9: {2: practices}})
+    named = F.concat(F.lit('{"138":'), E.text(section), F.lit(',"100":[[0,0,0,0,0,[0,0,"https://privacy"]]]}'))
+    body = E.page(E.script("ds:3", E.text(E.array({1: {2: {1: F.parse_json(named)}}}))))
+    none = E.page(E.script("ds:1", F.lit("[]")))
+    app_id = F.concat(F.lit("com.s"), F.col("s_suppkey").cast("string"))
+    return _table(spark, sf_dir, "supplier").select(app_id.alias("app_id"), F.when(F.col("s_suppkey") % 9 == 0, none).otherwise(body).alias("body"))
+
+
+@query("""SELECT 'com.s' || CAST(s_suppkey AS VARCHAR) AS app_id, 'shared' AS scope, s_name AS data, s_suppkey % 2 = 1 AS optional, 'ads' AS purpose, 'type' || CAST(s_nationkey AS VARCHAR) AS type FROM supplier WHERE s_suppkey % 9 <> 0
+  UNION ALL SELECT 'com.s' || CAST(s_suppkey AS VARCHAR), 'collected', 'c ' || s_name, false, 'analytics', 'type' || CAST(s_nationkey AS VARCHAR) FROM supplier WHERE s_suppkey % 9 <> 0""")
+def data_safety(spark, sf_dir):
+    return tables.data_safety_entries(_safety(spark, sf_dir)).drop("pos")
+
+
+@query("SELECT 'com.s' || CAST(s_suppkey AS VARCHAR) AS app_id, 'https://privacy' AS privacy_policy_url, 'Encrypted' AS practice, 'by ' || s_name AS description FROM supplier WHERE s_suppkey % 9 <> 0")
+def security_practices(spark, sf_dir):
+    wide = tables.data_safety(_safety(spark, sf_dir))
+    return wide.select("app_id", "privacy_policy_url", F.explode("security_practices").alias("p")).select("app_id", "privacy_policy_url", "p.*")
+
+
+@query("WITH r AS (SELECT left(c_name, 10) AS term, c_name, row_number() OVER (PARTITION BY left(c_name, 10) ORDER BY c_name) AS n FROM customer) SELECT term, CAST(n AS INTEGER) AS pos, c_name AS suggestion FROM r")
+def suggest(spark, sf_dir):
+    rows = _table(spark, sf_dir, "customer").groupBy(F.left("c_name", F.lit(10)).alias("term")).agg(F.array_sort(F.collect_list("c_name")).alias("names"))
+    listed = F.concat(F.lit("[[[5],"), F.array_join(F.transform("names", lambda n: F.to_json(E.array([n]))), ","), F.lit("]]"))
+    raw = rows.select("term", E.response(F.concat(F.lit("["), listed, F.lit("]"))).alias("body"))
+    return tables.suggestions(raw).select("term", "pos", "suggestion")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{c}')" for k, c in enumerate(CATEGORIES)) + ") t(pos, category)")
+def categories(spark, sf_dir):
+    return tables.categories(spark)
+
+
+@query("""SELECT p_partkey, 'https://play.google.com/store/search?q=' || replace(p_name, ' ', '+') || '&hl=en&gl=us&price=' || CASE WHEN p_partkey % 3 = 0 THEN '1' WHEN p_partkey % 3 = 1 THEN '2' ELSE '0' END || '&c=apps' AS search_url,
+  'https://play.google.com/store/apps/' || CASE WHEN p_partkey % 2 = 0 THEN 'dev?id=' || CAST(p_partkey AS VARCHAR) ELSE 'developer?id=' || replace(replace(p_brand, '#', '%23'), ' ', '+') END || '&hl=en&gl=us' AS developer_url FROM part""")
+def request_urls(spark, sf_dir):
+    from ..sources import requests
+
+    rows, en, us = _parts(spark, sf_dir), F.lit("en"), F.lit("us")
+    price = F.when(F.col("p_partkey") % 3 == 0, F.lit("Free")).when(F.col("p_partkey") % 3 == 1, F.lit("paid")).otherwise(F.lit("all"))
+    dev = F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey").cast("string")).otherwise(F.col("p_brand"))
+    return rows.select("p_partkey", requests.search(F.col("p_name"), en, us, price).alias("search_url"), requests.developer(dev, en, us).alias("developer_url"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
