@@ -146,7 +146,11 @@ def candidates_of(percent: int) -> Callable[[dict], pa.Table]:
 
 
 def postings(documents: DataFrame) -> DataFrame:
-    """``token, key, size, rare``: the prefix entries; rare is the share of a document's n-grams that it shares with none."""
+    """``token, key, size, behind, rare``: the prefix entries.
+
+    ``behind`` is the number of shared n-grams from this one on, ``rare`` the share of a document's n-grams that
+    it shares with none.
+    """
 
     def run(source):
         for batch in batches(source):
@@ -154,9 +158,10 @@ def postings(documents: DataFrame) -> DataFrame:
             size = column(batch, "size").to_numpy()
             rare = np.array([1 - len(x) / s for x, s in zip(names, size, strict=True)])
             flat = np.concatenate([x[:k] for x, k in zip(names, n, strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(column(batch, "key").to_numpy(), n)), pa.array(np.repeat(size, n)), pa.array(np.repeat(rare, n))], ["token", "key", "size", "rare"])
+            behind = np.concatenate([np.arange(len(x), len(x) - k, -1, np.int32) for x, k in zip(names, n, strict=True)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(column(batch, "key").to_numpy(), n)), pa.array(np.repeat(size, n)), pa.array(behind), pa.array(np.repeat(rare, n))], ["token", "key", "size", "behind", "rare"])
 
-    return documents.mapInArrow(run, "token long, key long, size int, rare double")
+    return documents.mapInArrow(run, "token long, key long, size int, behind int, rare double")
 
 
 def similar_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -196,22 +201,20 @@ def centre_pairs(posts: DataFrame, percent: int) -> DataFrame:
     return votes.groupBy("key").agg(F.max(F.struct("count", "centre")).alias("best")).select(F.col("key").alias("a"), F.col("best.centre").alias("b"))
 
 
-def open_pairs(posts: DataFrame, percent: int) -> DataFrame:
-    """All pairs of documents not yet connected whose prefix overlap reaches the bound of their sizes.
+def meetings(posts: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` for each column in which two documents not yet connected meet early enough to be linked.
 
-    Of a pair, the document whose prefix ends first has at most its least overlap minus one n-grams behind it,
-    so the prefix overlap makes up the rest of what a link takes. Within a column only the members outside the
-    largest component are paired with the others.
+    A link takes an overlap that follows from the two sizes. All common n-grams stand from the first common one
+    on, so both documents must have that many shared ones from there on; pairs below the bound are discarded.
+    Within a column only the members outside the largest component are paired with the others.
     """
     sums = posts.groupBy("token", "label").count().groupBy("token").agg(F.max(F.struct("count", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("token", F.col("top.label").alias("top"))
     mixed = posts.join(sums, "token")
-    out = mixed.where("label <> top").select("token", F.col("key").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"))
-    all_ = mixed.select("token", F.col("key").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"), "top")
-    pairs = out.join(all_, "token").where((F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("top")) | (F.col("a") < F.col("b"))) & similar_sizes(F.col("size_a"), F.col("size_b"), percent))
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("size_a", "size_b").alias("small"), F.greatest("size_a", "size_b").alias("large"))
-    counted = ordered.groupBy("a", "b", "small", "large").count()
-    overlap = F.ceil((F.col("small") + F.col("large")) * percent / (100 + percent))
-    return counted.where(F.col("count") > overlap - F.ceil(F.col("large") * percent / 100)).select("a", "b")
+    side = lambda x: [F.col(y).alias(f"{y}_{x}") for y in ("key", "size", "behind", "label")]
+    pairs = mixed.where("label <> top").select("token", *side("a")).join(mixed.select("token", "top", *side("b")), "token")
+    overlap = F.ceil((F.col("size_a") + F.col("size_b")) * percent / (100 + percent))
+    once = (F.col("label_b") == F.col("top")) | (F.col("key_a") < F.col("key_b"))
+    return pairs.where((F.col("label_a") != F.col("label_b")) & once & (F.least("behind_a", "behind_b") >= overlap)).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, rounds: int = 2) -> DataFrame:
@@ -231,7 +234,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, rounds: int
     found, labels = None, None
     for turn in range(rounds + 1):
         known = _labelled(posts, labels)
-        new = links(centre_pairs(known, percent) if turn < rounds else open_pairs(known, percent), documents, percent)
+        new = links(centre_pairs(known, percent) if turn < rounds else meetings(known, percent).distinct(), documents, percent)
         found = stash(new if found is None else found.unionByName(new))
         labels = components(found)
     least = classes.where("key <> 0").groupBy("key").agg(F.min("doc_id").alias("least"))
