@@ -20,7 +20,8 @@ from . import layouts
 
 
 def request_columns(raw: DataFrame) -> list[str]:
-    return [c for c in raw.columns if c != "body"]
+    """What passes through: all but the body and the transport's own status."""
+    return [c for c in raw.columns if c not in ("body", "status", "error")]
 
 
 def _unnest(df: DataFrame, keep: list[str], array: Column, row: Callable[[Column], Column], ordinal: str = "pos") -> DataFrame:
