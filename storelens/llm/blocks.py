@@ -32,7 +32,7 @@ def pack(block: np.ndarray, fields: dict[str, np.ndarray]) -> pa.RecordBatch:
     order = np.argsort(block, kind="stable")
     block = block[order]
     starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.empty(0, int)
-    ends = np.r_[starts[1:], len(block)].astype(int)
+    ends = np.r_[starts[1:], len(block)].astype(int)[: len(starts)]
     cells = {}
     for name, values in fields.items():
         values = values[order]
