@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def batches(source: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches(source: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to about ``most`` bytes each (a single longer row stays whole)."""
     for batch in source:
         if not batch.num_rows:
@@ -61,10 +62,20 @@ def as_longs(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, release: Callable[[], None]) -> None:
+    """Called where a task begins: frees what other operators remember in this Python worker, which Spark reuses."""
+    for other in [k for k in _held if k != owner]:
+        _held.pop(other)()
+    _held[owner] = release
+
+
 class WordMemo(dict):
     """Values by word within one Python worker; emptied when full, so its memory is bounded."""
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 200_000):
         super().__init__()
         self.make, self.most = make, most
 
@@ -75,6 +86,15 @@ class WordMemo(dict):
         return value
 
 
+_names = WordMemo(xxhash.xxh64_intdigest)
+
+
+def word_names(words: list[bytes]) -> np.ndarray:
+    """64-bit names of words."""
+    claim("words", _names.clear)
+    return np.fromiter(map(_names.__getitem__, words), np.uint64, len(words))
+
+
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 

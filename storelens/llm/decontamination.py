@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import batches, column, slim
+from .base import batches, claim, column, slim
 
 #: One edit is allowed for so many characters of an item.
 CHARACTERS_AN_EDIT = 20
@@ -138,6 +138,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: int = CHARACTERS_A
         key = uuid.uuid4().hex
 
         def run(source):
+            claim("test items", _matchers.clear)
             if key not in _matchers:
                 _matchers.clear()
                 _matchers[key] = Matcher(shared.value, rate)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import batches, column, slim
+from .base import batches, claim, column, slim
 from .lattice import PieceTable
 from .sentence_pieces import SPACE, model_path
 
@@ -95,7 +95,7 @@ def train(labelled: DataFrame, per_language: int = 4000, path: str | None = None
 class Scorer:
     """Posteriors of words over the languages, remembered within a Python worker."""
 
-    def __init__(self, model: np.ndarray, path: str, longest: int, most: int = 400_000):
+    def __init__(self, model: np.ndarray, path: str, longest: int, most: int = 200_000):
         self.pieces, size = vocabulary(path, longest)
         self.chance = np.exp(model).T.copy()
         self.stranger = self.chance.min(0) / 10  # a character outside the vocabulary
@@ -155,6 +155,7 @@ def _scores(docs: DataFrame, names: list[str], model: np.ndarray, path: str | No
         found = [words(t) for t in texts]
         labels, scores = [UNDETERMINED] * len(found), [0.0] * len(found)
         if names:
+            claim("languages", _scorers.clear)
             if key not in _scorers:
                 _scorers.clear()
                 _scorers[key] = Scorer(model, path, longest)

@@ -22,23 +22,19 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import WordMemo, as_longs, batches, column, mix, slim, stash, text_bytes, window_names
+from .base import as_longs, batches, column, mix, slim, stash, text_bytes, window_names, word_names
 from .blocks import block_count, block_of, by_block
 from .components import components
 
-_names = WordMemo(xxhash.xxh64_intdigest)
-
-
 def shingles(text: str | None, n: int = 5) -> np.ndarray:
     """Sorted names of the distinct n-grams of a text's words, A-Z in lower case."""
     words = text.encode().lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    names = np.fromiter(map(_names.__getitem__, words), np.uint64, len(words))
+    names = word_names(words)
     if len(words) < n:
         return mix(window_names(names, len(words)) + np.uint64(len(words)))
     return np.unique(window_names(names, n))

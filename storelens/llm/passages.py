@@ -67,7 +67,7 @@ def runs(symbols: np.ndarray, ends: np.ndarray, length: int, part: int) -> dict[
     return {"value": value, "zone": zone, "doc": owner[first], "start": (first - before).astype(np.int32), "count": count.astype(np.int32), "twice": twice.astype(np.uint8)}
 
 
-def candidates(docs: DataFrame, read: Callable[[list], tuple[np.ndarray, np.ndarray]], length: int, part: int, blocks: int, roles: Callable[[dict], np.ndarray], most: int = 8 << 20) -> DataFrame:
+def candidates(docs: DataFrame, read: Callable[[list], tuple[np.ndarray, np.ndarray]], length: int, part: int, blocks: int, roles: Callable[[dict], np.ndarray], most: int = 4 << 20) -> DataFrame:
     """Runs whose class needs attention: ``doc_id, start, count, value, role``.
 
     ``read`` gives symbols and ends of a list of texts; ``roles`` gives each entry of a block, sorted by

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .base import batches, column, slim
+from .base import batches, claim, column, slim
 from .lattice import PieceTable
 
 SPACE = "▁"
@@ -82,7 +82,7 @@ class Joins:
 
     def known(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         pairs, where = np.unique(left.astype(np.int64) * self.n + right, return_inverse=True)
-        if len(self.memo) > 3_000_000:
+        if len(self.memo) > 600_000:
             self.memo.clear()
         out, memo = np.empty(len(pairs), bool), self.memo
         for k, pair in enumerate(pairs.tolist()):
@@ -95,7 +95,7 @@ class Joins:
 class Pieces:
     """Encodes and decodes by one model file."""
 
-    def __init__(self, path: str, kind: str = "bpe", most: int = 400_000):
+    def __init__(self, path: str, kind: str = "bpe", most: int = 200_000):
         import sentencepiece
 
         p = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -211,6 +211,7 @@ def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe") -> DataF
     path = path or model_path()
 
     def run(source):
+        claim("pieces", pieces.cache_clear)
         coder = pieces(path, kind)
         for batch in batches(source, 4 << 20):
             ids = coder.encode([t or "" for t in column(batch, "text").to_pylist()])
@@ -224,6 +225,7 @@ def decode(encoded: DataFrame, path: str | None = None, kind: str = "bpe") -> Da
     path = path or model_path()
 
     def run(source):
+        claim("pieces", pieces.cache_clear)
         coder = pieces(path, kind)
         for batch in batches(source, 4 << 20):
             texts = [coder.decode(np.array(x or [], np.int32)) for x in column(batch, "ids").to_pylist()]
@@ -237,6 +239,7 @@ def encode_checked(docs: DataFrame, path: str | None = None, kind: str = "bpe")
     path = path or model_path()
 
     def run(source):
+        claim("pieces", pieces.cache_clear)
         coder = pieces(path, kind)
         for batch in batches(source, 4 << 20):
             texts = [t or "" for t in column(batch, "text").to_pylist()]

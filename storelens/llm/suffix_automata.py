@@ -21,28 +21,20 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import passages as P
-from .base import WordMemo, as_longs, batches, column, mix, stash, text_bytes
+from .base import as_longs, batches, column, mix, stash, text_bytes, word_names
 from .blocks import block_count
 
 LENGTH, PART = 50, 8
 
-_names = WordMemo(xxhash.xxh64_intdigest)
-
-
 def split(text: str | None) -> list[bytes]:
     """Words between the ASCII white space characters."""
     return text.encode().split() if text else []
 
 
-def word_names(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_names.__getitem__, words), np.uint64, len(words))
-
-
 def read_words(texts: list) -> tuple[np.ndarray, np.ndarray]:
     words = [word_names(split(t)) for t in texts]
     return np.concatenate([*words, np.empty(0, np.uint64)]), np.cumsum([len(w) for w in words])
@@ -171,7 +163,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int =
     """``doc_id, start, count``: runs of windows that also start in a document with a smaller doc_id."""
     size = text_bytes(docs)
     docs = docs.where(docs["doc_id"].isNotNull())
-    found = stash(P.candidates(docs, read_words, length, part, block_count(size, 32 << 20), roles(most), 4 << 20))
+    found = stash(P.candidates(docs, read_words, length, part, block_count(size, 32 << 20), roles(most)))
     shards = block_count(size, 16 << 20)
     texts = stash(zones(docs, found, length, shards))
     sure = found.where(f"role = {P.SURE}").select("doc_id", "start", "count")

@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .base import WordMemo, batches, column, slim
+from .base import WordMemo, batches, claim, column, slim
 
 WORD_END = "</w>"
 
@@ -114,6 +114,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
     path = path or vocabulary_path()
 
     def run(source):
+        claim("token counts", counter.cache_clear)
         count = counter(path).count
         for batch in batches(source):
             texts = column(batch, "text").to_pylist()

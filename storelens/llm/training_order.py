@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WordMemo, batches, column, mix, slim, stash
+from .base import WordMemo, batches, claim, column, mix, slim, stash
 
 END_OF_TEXT = 50256
 
@@ -83,6 +83,7 @@ def sequences(docs: DataFrame, length: int, path: str) -> DataFrame:
     """Sequences numbered within their partition."""
 
     def run(source):
+        claim("token ids", tokenizer.cache_clear)
         encode, part, number = tokenizer(path).encode, TaskContext.get().partitionId(), 0
         pad = np.array([END_OF_TEXT], "<u2").tobytes()
         for batch in batches(source, 4 << 20):
