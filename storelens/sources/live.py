@@ -1,8 +1,9 @@
 """A Python data source that fetches bodies: one partition per request, pages within it one after the other.
 
-Options: ``kind`` (page, form or reviews), ``url`` or ``urls`` (JSON list), ``body``, ``userAgent``, ``timeout``
+Options: ``kind`` (page, form, search or reviews), ``url`` or ``urls`` (JSON list), ``body``, ``userAgent``, ``timeout``
 (seconds), ``throttleMs`` (least time between two requests of a partition; for a global limit use one partition),
 ``lang``. For reviews: ``appId``, ``sort``, ``count`` (the total), ``scores`` (such as ``1,2,3,4,5``).
+``token`` starts behind a page. For a search: ``moreUrl`` (where further pages are asked for) and ``count``.
 A filter ``score_query = k`` is pushed down: only that rating is asked for.
 Any status but 200 is an error; there is no retry. Errors are rows: ``status``, ``error``.
 """
@@ -10,6 +11,7 @@ Any status but 200 is an error; there is no retry. Errors are rows: ``status``,
 from __future__ import annotations
 
 import json
+import re
 import time
 import urllib.error
 import urllib.parse
@@ -20,6 +22,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
 from ..schemas import BASE_URL, PAGE_MOST
+from .requests import SEARCH_FIELDS
 
 USER_AGENT = "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36"
 SCHEMA = "request string, app_id string, score_query int, page_no int, status int, error string, body string"
@@ -62,6 +65,40 @@ def review_form(app_id: str, sort: int, count: int, score: int, token: str) -> s
     return "f.req=" + urllib.parse.quote_plus(json.dumps([[["oCPfdb", inner, None, "generic"]]], separators=(",", ":")))
 
 
+def search_form(token: str) -> str:
+    return "f.req=" + urllib.parse.quote_plus(f'[[["qnKhOb","[[null,[{SEARCH_FIELDS}],[null,\\"{token}\\"]]",null,"generic"]]]')
+
+
+def walk(data, *steps):
+    for i in steps:
+        data = data[i] if isinstance(data, list) and i < len(data) else None
+    return data
+
+
+def search_page_info(body: str) -> tuple[int, str]:
+    """The same for a first page of a search: its token stands in the first of three blocks that is there."""
+    blocks = {}
+    for key, data in re.findall(r"AF_initDataCallback\(\{key:\s*'(ds:\d+)'.*?data:(.*?), sideChannel:", body):
+        try:
+            blocks[key] = json.loads(data.strip())
+        except ValueError:
+            continue
+    data = next((blocks[k] for k in ("ds:4", "ds:3", "ds:1") if k in blocks), None)
+    rows = next((r for p in (22, 21, 0) if isinstance(r := walk(data, 0, 1, 0, p, 0), list) and r), [])
+    token = walk(data, 0, 1, 0, 0, 3, 0)
+    return len(rows), token if isinstance(token, str) else ""
+
+
+def batch_info(body: str) -> tuple[int, str]:
+    """The same for a further page of a search."""
+    try:
+        data = json.loads(json.loads(body[body.find("\n") + 1 :])[0][2])
+    except (ValueError, TypeError, IndexError, KeyError):
+        return 0, ""
+    rows, token = walk(data, 0, 0, 0), walk(data, 0, 0, 7, 1)
+    return len(rows) if isinstance(rows, list) else 0, token if isinstance(token, str) else ""
+
+
 def page_info(body: str) -> tuple[int, str]:
     """Number of rows and continuation token of a review page; a malformed page has neither."""
     try:
@@ -101,12 +138,22 @@ class Reader(DataSourceReader):
         get = self.get
         throttle, agent = Throttle(float(get("throttleMs", 0)) / 1000), get("userAgent", USER_AGENT)
         timeout, lang = float(get("timeout", 30)), get("lang", "en")
+        if get("kind", "page") == "search":
+            left, page, url, form = int(get("count", 20)), 0, request.url, None
+            while True:
+                throttle()
+                status, body, error = fetch(url, form, agent, timeout, lang)
+                yield request.url, None, None, page, status, error, body
+                rows, token = search_page_info(body) if page == 0 else batch_info(body)
+                left, page, url, form = left - rows, page + 1, get("moreUrl"), search_form(token)
+                if error or left <= 0 or not token or not rows:
+                    return
         if get("kind", "page") != "reviews":
             throttle()
             status, body, error = fetch(request.url, request.body, agent, timeout, lang)
             yield request.url, None, None, 0, status, error, body
             return
-        left, token, page = int(get("count", 500)), "", 0
+        left, token, page = int(get("count", 500)), get("token", "") or "", 0
         while left > 0:
             throttle()
             form = review_form(request.app_id, int(get("sort", 2)), PAGE_MOST, request.score, token)
