@@ -88,7 +88,7 @@ class Counter:
             spec = json.load(file)
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
-        self.memo = WordMemo(Merger(spec).count)
+        self.memo = WordMemo(Merger(spec).count, 400_000)
 
     def plain(self, text: str) -> int:
         if not unicodedata.is_normalized("NFC", text):

@@ -49,7 +49,7 @@ class Tokenizer:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         encoding = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.words = regex.compile(public_tokenizers.PATTERN)
-        self.memo = WordMemo(lambda w: np.array(encoding.encode_ordinary(w), "<u2").tobytes())
+        self.memo = WordMemo(lambda w: np.array(encoding.encode_ordinary(w), "<u2").tobytes(), 400_000)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.memo.__getitem__, self.words.findall(text)))
