@@ -24,10 +24,18 @@ def request_columns(raw: DataFrame) -> list[str]:
     return [c for c in raw.columns if c not in ("body", "status", "error")]
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column, computed once per row, and drop the rows where it is NULL.
+
+    A filter on a plain column would be pushed below the projection, and the column computed again for it.
+    """
+    return df.select("*", F.explode(F.filter(F.array(value), lambda v: v.isNotNull())).alias(name))
+
+
 def _unnest(df: DataFrame, keep: list[str], array: Column, row: Callable[[Column], Column], ordinal: str = "pos") -> DataFrame:
     """The items of an array as rows; what is no array gives none. Rows without an app id go."""
     out = df.select(*keep, F.posexplode(array).alias(ordinal, "item")).where(items(F.col("item")).isNotNull())
-    return out.withColumn("r", row(F.col("item"))).select(*keep, ordinal, "r.*").where("app_id <> ''")
+    return once(out, "r", row(F.col("item"))).where("r.app_id <> ''").select(*keep, ordinal, "r.*")
 
 
 def app_root(body: Column) -> Column:
@@ -36,7 +44,7 @@ def app_root(body: Column) -> Column:
 
 def apps(raw: DataFrame) -> DataFrame:
     """One row per details page (app_id, lang, country) that holds an app; see ``app_errors`` for the others."""
-    parsed = raw.withColumn("root", app_root(F.col("body"))).where("root is not null")
+    parsed = once(raw, "root", app_root(F.col("body")))
     url = layouts.details_url(F.col("app_id"), F.lit("&hl="), F.col("lang"), F.lit("&gl="), F.col("country"))
     return parsed.select(*layouts.app(F.col("root"), F.col("app_id"), url))
 
@@ -85,7 +93,7 @@ def search_first(raw: DataFrame) -> DataFrame:
     """Results of first pages of a search. Where the usual containers are empty, arrays are searched depth-first."""
     keep = request_columns(raw)
     usual = F.coalesce(*[F.when(F.size(a) > 0, a) for k in (22, 21, 0) for a in [items(path(F.col("data"), 0, 1, 0, k, 0))]])
-    parsed = raw.withColumn("data", _search_data(F.col("body"))).where("data is not null").withColumn("usual", usual)
+    parsed = once(raw, "data", _search_data(F.col("body"))).withColumn("usual", usual)
     found = parsed.withColumn("deep", F.pandas_udf(_find_apps_json, "string")(F.when(F.col("usual").isNull(), F.to_json("data"))))
     return _unnest(found, keep, F.coalesce("usual", items(F.try_parse_json("deep"))), layouts.search_row)
 
@@ -97,7 +105,7 @@ def search_tokens(raw: DataFrame) -> DataFrame:
 
 def responses(raw: DataFrame, tolerant: bool) -> DataFrame:
     """Request columns with ``status``, ``error`` and ``data`` of responses."""
-    return raw.withColumn("e", envelope(F.col("body"), tolerant)).select(*request_columns(raw), "e.*")
+    return once(raw, "e", envelope(F.col("body"), tolerant)).select(*request_columns(raw), "e.*")
 
 
 def search_more(raw: DataFrame) -> DataFrame:
@@ -118,7 +126,7 @@ def is_numeric_id(dev_id: Column) -> Column:
 def developer(raw: DataFrame) -> DataFrame:
     """Apps of developer pages (dev_id); numeric ids have another layout than names."""
     keep = request_columns(raw)
-    data = raw.withColumn("data", block(F.col("body"), "ds:3"))
+    data = once(raw, "data", block(F.col("body"), "ds:3"))
     numeric = is_numeric_id(F.col("dev_id"))
     rows = [_unnest(data.where(which), keep, items(path(F.col("data"), 0, 1, 0, container, 0)), layouts.developer_row(n)) for which, container, n in ((numeric, 21, True), (~numeric, 22, False))]
     return rows[0].unionByName(rows[1])
@@ -136,7 +144,7 @@ def similar_cluster(raw: DataFrame) -> DataFrame:
 
 def similar(raw: DataFrame) -> DataFrame:
     """Apps of cluster pages."""
-    data = raw.withColumn("data", block(F.col("body"), "ds:3"))
+    data = once(raw, "data", block(F.col("body"), "ds:3"))
     return _unnest(data, request_columns(raw), items(path(F.col("data"), 0, 1, 0, 21, 0)), layouts.similar_row)
 
 
@@ -157,7 +165,7 @@ def reviews(raw: DataFrame) -> DataFrame:
     keep = request_columns(raw)
     data = responses(raw, False).where("status = 'ok'")
     out = data.select(*keep, F.posexplode(items(array_path(F.col("data"), 0))).alias("pos", "item"))
-    out = out.withColumn("r", layouts.review_row(F.col("item"), F.col("app_id")))
+    out = once(out, "r", layouts.review_row(F.col("item"), F.col("app_id")))
     return out.where("r.id <> ''").select(*keep, "pos", "r.*")
 
 
@@ -190,9 +198,7 @@ def _entries(groups: Column) -> Column:
 
 def data_safety(raw: DataFrame) -> DataFrame:
     """One row per data-safety page that has its block: shared and collected data, practices, privacy policy."""
-    parsed = raw.withColumn("data", block(F.col("body"), "ds:3")).where("data is not null")
-    section = path(F.col("data"), 1, 2, 1, 138)
-    parsed = parsed.withColumn("s", section)
+    parsed = once(raw, "data", block(F.col("body"), "ds:3")).withColumn("s", path(F.col("data"), 1, 2, 1, 138))
     practices = F.transform(items(path(F.col("s"), 9, 2)), lambda x: F.when(F.size(items(x)) >= 3, F.struct(to_string(path(x, 1)).alias("practice"), to_string(path(x, 2, 1)).alias("description"))))
     practices = F.coalesce(F.filter(practices, lambda x: x.isNotNull() & (x["practice"] != "")), F.array().cast("array<struct<practice:string,description:string>>"))
     return parsed.select(*request_columns(raw), _entries(path(F.col("s"), 4, 0, 0)).alias("shared_data"), _entries(path(F.col("s"), 4, 1, 0)).alias("collected_data"), practices.alias("security_practices"), to_string(path(F.col("data"), 1, 2, 1, 100, 0, 5, 2)).alias("privacy_policy_url"))

@@ -38,7 +38,9 @@ def query(sql: str):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # small tables are one split; rows are dealt out before they become payloads
+    return rows.repartition(spark.sparkContext.defaultParallelism)
 
 
 def _app_id(key: Column) -> Column:
