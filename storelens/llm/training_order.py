@@ -22,12 +22,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WordMemo, batches, claim, column, mix, slim, stash
+from .base import batches, claim, column, mix, slim, stash
 
 END_OF_TEXT = 50256
 
@@ -39,7 +38,7 @@ def ranks_path(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 
 class Tokenizer:
-    """Token identifiers of texts, by the library for each new word and remembered for the next."""
+    """Token identifiers of texts by the library, two bytes each."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -47,12 +46,10 @@ class Tokenizer:
 
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        encoding = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.words = regex.compile(public_tokenizers.PATTERN)
-        self.memo = WordMemo(lambda w: np.array(encoding.encode_ordinary(w), "<u2").tobytes(), 400_000)
+        self.library = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.memo.__getitem__, self.words.findall(text)))
+        return np.array(self.library.encode_ordinary(text), "<u2").tobytes()
 
 
 @cache
