@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .variant import array_path, items, let, number_only, path, text_only, to_long
 
+# Heads of package names, and the spellings of a line break.
 PREFIXES = ("com", "org", "io", "me", "net", "app", "dev")
 LINE_BREAKS = ("<br>", "<br/>", "<br />")
 
