@@ -225,7 +225,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, rounds: int
             yield pa.RecordBatch.from_arrays([pa.array(cells[0]), pa.array(cells[1].view(np.int64)), pa.array(cells[2].astype(np.int64))], ["doc_id", "key", "n_shingles"])
 
     classes = shared.where("block < 0").mapInArrow(unpack, "doc_id long, key long, n_shingles long")
-    documents = stash(by_block(shared.where("block >= 0"), INCIDENCE, candidates_of(percent), DOCUMENT))
+    least = classes.where("key <> 0").groupBy("key").agg(F.min("doc_id").alias("least"))
+    documents = by_block(shared.where("block >= 0"), INCIDENCE, candidates_of(percent), DOCUMENT).join(least, "key")
+    # from here on a class goes by its least doc_id, so that a component's least node is its least document
+    documents = stash(documents.select(F.col("least").alias("key"), "size", "prefix", "names"))
     posts = stash(postings(documents))
     found, labels = None, None
     for turn in range(rounds + 1):
@@ -233,10 +236,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, rounds: int
         new = links(centre_pairs(known, percent) if turn < rounds else meetings(known, percent).distinct(), documents, percent)
         found = stash(new if found is None else found.unionByName(new))
         labels = components(found)
-    least = classes.where("key <> 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    least = least.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    joint = least.groupBy("label").agg(F.min("least").alias("component"))
-    of_key = least.join(joint, "label").select("key", "component")
+    of_key = least.join(labels.withColumnRenamed("key", "least"), "least", "left").select("key", F.coalesce("label", "least").alias("component"))
     return classes.join(of_key, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
