@@ -1,14 +1,17 @@
 """License scans by sentence rules, in DataFrame functions only.
 
 A text is cut into sentences, each is normalised (lower case, runs of other characters than a-z and 0-9 as one
-blank) and mapped to the identifier of a known license sentence, or to none. The sequence of identifiers is
-matched against ordered rules; each rule is a sequence of neighbouring sentences, and what an earlier rule
-has matched is not matched again by a later one.
+blank) and mapped to the identifier of a known license sentence, or to none. A line end ends a sentence as well, but
+a known sentence may be wrapped over any number of lines; it then counts as one sentence. The sequence of identifiers
+is matched against ordered rules; each rule is a sequence of neighbouring sentences, and what an earlier rule
+has matched is not matched again by a later one. Blank lines (also those of a comment) and numbers of list items
+are counted as sentences but do not part neighbours.
 
 A text without any of the sentences' signal words cannot match and is dropped by a substring test first.
 
 Defined cases: null and blank texts match nothing; a rule that matches more than once is one row with its
 number of matches; repeated rows give repeated results; extra columns are ignored; whole texts are scanned.
+The SQL takes each line for itself: it knows neither wrapped sentences nor neighbours over blank lines and numbers.
 """
 
 from __future__ import annotations
@@ -38,13 +41,46 @@ SENTENCES = {
     "cc0": "This work is dedicated to the public domain under the CC0 license",
     "bsd-redistribute": "Redistribution and use in source and binary forms, with or without modification, are permitted under this license",
     "rights": "All rights reserved under copyright law",
+    # as the licenses' own texts and notices have them
+    "mit-grant-full": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+    "mit-as-is-full": "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement",
+    "apache-2-full": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License",
+    "apache-2-asf": "The ASF licenses this file to You under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License",
+    "gpl-3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "gpl-2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "gpl-warranty-full": "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose",
+    "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-as-is": "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "rights-plain": "All rights reserved",
 }
 #: Rules in the order in which they are tried: longer ones first.
 RULES = [
+    ("bsd-3-rights-text", "BSD-3-Clause", ["rights-plain", "bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("bsd-3-text", "BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("bsd-2-rights-text", "BSD-2-Clause", ["rights-plain", "bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is"]),
+    ("bsd-2-text", "BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is"]),
+    ("bsd-rights-text", "BSD", ["rights-plain", "bsd-grant", "bsd-source", "bsd-binary"]),
+    ("bsd-text", "BSD", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("mit-full-text", "MIT", ["mit-grant-full", "mit-notice", "mit-as-is-full"]),
     ("mit-text", "MIT", ["mit-grant", "mit-notice", "mit-as-is"]),
     ("apache-2-header", "Apache-2.0", ["apache-2", "apache-2-you", "apache-2-copy"]),
     ("gpl-header", "GPL", ["gpl-free", "gpl-warranty"]),
+    ("apache-2-full-header", "Apache-2.0", ["apache-2-full", "apache-2-copy"]),
+    ("apache-2-asf-header", "Apache-2.0", ["apache-2-asf", "apache-2-copy"]),
+    ("gpl-3-header", "GPL-3.0", ["gpl-3-free", "gpl-warranty-full"]),
+    ("gpl-2-header", "GPL-2.0", ["gpl-2-free", "gpl-warranty-full"]),
     ("mit-short-text", "MIT", ["mit-grant", "mit-notice"]),
+    ("mit-full-short-text", "MIT", ["mit-grant-full", "mit-notice"]),
+    ("mit-grant", "MIT", ["mit-grant-full"]),
+    ("apache-2-full", "Apache-2.0", ["apache-2-full"]),
+    ("apache-2-asf", "Apache-2.0", ["apache-2-asf"]),
+    ("gpl-3-free", "GPL-3.0", ["gpl-3-free"]),
+    ("gpl-2-free", "GPL-2.0", ["gpl-2-free"]),
+    ("bsd-rights-grant", "BSD", ["rights-plain", "bsd-grant"]),
+    ("bsd-grant", "BSD", ["bsd-grant"]),
     ("mit-released", "MIT", ["mit-released"]),
     ("mit-licensed", "MIT", ["mit-licensed"]),
     ("apache-2", "Apache-2.0", ["apache-2"]),
@@ -55,11 +91,14 @@ RULES = [
     ("cc0", "CC0-1.0", ["cc0"]),
     ("bsd", "BSD", ["bsd-redistribute"]),
     ("all-rights-reserved", "proprietary", ["rights"]),
+    ("rights-reserved", "proprietary", ["rights-plain"]),
 ]
 #: Each rule holds at least one sentence with one of these words.
-SIGNALS = ["licens", "permission", "copyright", "warranty"]
+SIGNALS = ["licens", "permission", "copyright", "warranty", "reserved", "redistribut"]
 END = r"[.!?]+(?:[ \t\r\n]+|$)|[\r\n]+"
 OTHER = "[^a-z0-9]+"
+#: Marks of a sentence's end and of a line's end in a normalised text.
+STOP, LINE = "\x01", "\x02"
 
 
 def normal(sentence: str) -> str:
@@ -70,25 +109,39 @@ def code(sentence: str) -> str:
     return f"<{list(SENTENCES).index(sentence)}>"
 
 
-def _sequence(text: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for k, s in SENTENCES.items() for x in (normal(s), code(k))])
-    normalised = F.transform(F.split(text, END, -1), lambda s: F.trim(F.regexp_replace(F.lower(s), OTHER, " ")))
-    return F.array_join(F.transform(normalised, lambda s: F.coalesce(F.try_element_at(known, s), F.lit("<>"))), "")
+def _wrapped(sentence: str) -> str:
+    """A pattern for the normal sentence between two marks, over as many lines as it may take."""
+    return f"(?<![^{STOP}{LINE}])" + normal(sentence).replace(" ", f"[ {LINE}]") + f"(?![^{STOP}{LINE}])"
+
+
+def _sequence(low: Column) -> Column:
+    """``<number:identifier>`` for a known sentence, ``<>`` for another, nothing for a blank one or a number."""
+    stops, lines = END.rsplit("|", 1)
+    marked = F.regexp_replace(F.regexp_replace(F.translate(low, STOP + LINE, "  "), stops, STOP), lines, LINE)
+    marked = F.trim(F.regexp_replace(F.regexp_replace(marked, f"[^a-z0-9{STOP}{LINE}]+", " "), f" ?([{STOP}{LINE}]) ?", "$1"))
+    longest = sorted(SENTENCES.items(), key=lambda x: -len(normal(x[1])))  # a sentence may begin with another one
+    known = F.array(*[F.struct(F.lit(normal(s)).alias("s"), F.lit(_wrapped(s)).alias("pattern"), F.lit(code(k)).alias("code")) for k, s in longest])
+    held = F.transform(F.array(marked), lambda m: F.aggregate(F.filter(known, lambda k: F.contains(F.translate(m, LINE, " "), k["s"])), m, lambda t, k: F.regexp_replace(t, k["pattern"], k["code"])))
+    number = lambda s, i: F.when(F.startswith(s, F.lit("<")), F.replace(s, F.lit("<"), F.concat(F.lit("<"), (i + 1).cast("string"), F.lit(":")))).when(F.rlike(s, F.lit("^[0-9]*$")), "").otherwise("<>")
+    return F.array_join(F.transform(F.split(held[0], f"[{STOP}{LINE}]", -1), number), "")
+
+
+def _rule(sentences: list[str]) -> str:
+    return "".join(code(k).replace("<", "<([0-9]+):" if n == 0 else "<[0-9]+:") for n, k in enumerate(sentences))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, rule_id, license, n_matches, first_sentence`` (from 1) for every row of ``docs`` (doc_id, text)."""
     low = F.lower("text")
     rows = slim(docs, "doc_id", "text").where(reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in SIGNALS]))
-    rows = rows.select("doc_id", _sequence(F.col("text")).alias("s0")).where("s0 rlike '[0-9]'")
+    rows = rows.select("doc_id", _sequence(low).alias("s0")).where("s0 like '%:%'")
     for k, (_, _, sentences) in enumerate(RULES):  # what a rule has matched is blanked for the later ones
-        rows = rows.withColumn(f"s{k + 1}", F.replace(f"s{k}", F.lit("".join(map(code, sentences))), F.lit("<>" * len(sentences))))
+        rows = rows.withColumn(f"s{k + 1}", F.regexp_replace(f"s{k}", _rule(sentences), "<>"))
     matches = []
     for k, (rule, name, sentences) in enumerate(RULES):
-        pattern, before = "".join(map(code, sentences)), F.col(f"s{k}")
-        n = (F.length(before) - F.length(F.replace(before, F.lit(pattern), F.lit("")))) / len(pattern)
-        first = F.substring(before, F.lit(1), F.instr(before, pattern))
-        matches.append(F.struct(F.lit(rule).alias("rule_id"), F.lit(name).alias("license"), n.cast("long").alias("n_matches"), F.length(F.regexp_replace(first, "[^<]", "")).cast("long").alias("first_sentence")))
+        pattern = F.lit(_rule(sentences))
+        first = F.regexp_extract(f"s{k}", _rule(sentences), 1).try_cast("long")
+        matches.append(F.struct(F.lit(rule).alias("rule_id"), F.lit(name).alias("license"), F.regexp_count(F.col(f"s{k}"), pattern).cast("long").alias("n_matches"), first.alias("first_sentence")))
     out = rows.select("doc_id", F.explode(F.filter(F.array(*matches), lambda m: m["n_matches"] > 0)).alias("m"))
     return out.select("doc_id", "m.*")
 
