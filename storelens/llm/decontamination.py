@@ -98,7 +98,7 @@ class Matcher:
             for k, behind in places:
                 _, pattern, edits = self.items[k]
                 start = last + 1 - behind  # where the item would start without an edit before the piece
-                if best.get(k, (1,))[0] == 0 or tried.get(k, -1) == start:
+                if best.get(k, (1,))[0] == 0 or tried.get(k) == start:
                     continue
                 tried[k] = start
                 if start >= 0 and text.startswith(pattern.item, start):
