@@ -66,11 +66,14 @@ def search(first: DataFrame, more: DataFrame, n: int, by: Sequence[str] = ("term
 
 
 def similar(details: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Two hops: the cluster of each details page (app_id, lang, country), then the apps of the cluster's page (url)."""
+    """Two hops: the cluster of each details page (app_id, lang, country), then the apps of the cluster's page (url).
+
+    A page is read once, however many details name it.
+    """
     hop = tables.similar_cluster(details).where("cluster_url is not null")
     hop = hop.select(F.col("app_id").alias("source_app_id"), tables.cluster_page_url(F.col("cluster_url"), F.col("lang"), F.col("country")).alias("page_url"))
-    pages = hop.join(clusters.select(F.col("url").alias("page_url"), "body"), "page_url")
-    return tables.similar(pages.drop("page_url"))
+    apps = tables.similar(clusters.select(F.col("url").alias("page_url"), "body"))
+    return hop.join(apps, "page_url").drop("page_url")
 
 
 def similar_errors(details: DataFrame) -> DataFrame:

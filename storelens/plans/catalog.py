@@ -275,11 +275,21 @@ def list_fallback(spark, sf_dir):
 @query(f"SELECT 'com.p' || CAST(a.p_partkey AS VARCHAR) AS source_app_id, 'com.p' || CAST(b.p_partkey AS VARCHAR) AS app_id, b.p_name AS title, '' AS score_text FROM part a JOIN part b ON a.p_brand = b.p_brand WHERE a.p_partkey % 20 = 1")
 def similar(spark, sf_dir):
     """Two hops: details pages of some parts name the cluster page of their brand."""
+    return _similar(spark, sf_dir, F.col("p_partkey") % 20 == 1)
+
+
+@query("SELECT 'com.p' || CAST(a.p_partkey AS VARCHAR) AS source_app_id, 'com.p' || CAST(b.p_partkey AS VARCHAR) AS app_id, b.p_name AS title, '' AS score_text FROM part a JOIN part b ON a.p_brand = b.p_brand")
+def similar_all(spark, sf_dir):
+    """The same for all parts."""
+    return _similar(spark, sf_dir, F.lit(True))
+
+
+def _similar(spark, sf_dir, sources: Column) -> DataFrame:
     parts = _parts(spark, sf_dir)
     decoy = [{21: {1: [F.lit("More by"), F.lit(None).cast("string"), {4: {2: F.lit("/wrong")}}]}}]
     hit = {21: {1: [F.lit("Similar apps"), F.lit(None).cast("string"), {4: {2: F.concat(F.lit("/cluster?b="), F.col("p_brand"))}}]}}
     body = E.page(E.script("ds:7", E.text(E.array({1: {1: decoy}}))), E.script("ds:8", E.text(E.array({1: {1: [*decoy, hit]}}))))
-    details = parts.where("p_partkey % 20 = 1").select(F.col("id").alias("app_id"), F.lit("en").alias("lang"), F.lit("us").alias("country"), body.alias("body"))
+    details = parts.where(sources).select(F.col("id").alias("app_id"), F.lit("en").alias("lang"), F.lit("us").alias("country"), body.alias("body"))
     pages = _gather(parts, ["p_brand"], _flat_row()).select(F.concat(F.lit("https://play.google.com/cluster?b="), F.col("p_brand"), F.lit("&gl=us&hl=en")).alias("url"), E.page(E.script("ds:3", _container(21, F.col("apps")))).alias("body"))
     return relational.similar(details, pages).select("source_app_id", "app_id", "title", "score_text")
 
@@ -288,8 +298,19 @@ def similar(spark, sf_dir):
   CASE WHEN p.p_partkey % 5 = 0 THEN r.summary ELSE p.p_type END AS summary FROM r JOIN part p ON p.p_partkey = r.p_partkey WHERE n <= 250""")
 def enrich(spark, sf_dir):
     """Details of four fifths of the results."""
+    return _enrich(spark, sf_dir, F.col("p_partkey") % 5 != 0)
+
+
+@query(f"""{RANKED} SELECT r.term, r.app_id, '{STORE}' || r.app_id || '&hl=en&gl=us' AS url, CASE WHEN p.p_partkey % 7 = 0 OR p.p_partkey % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST({MICROS} AS DOUBLE) / 1e6 END AS price,
+  p.p_type AS summary FROM r JOIN part p ON p.p_partkey = r.p_partkey WHERE n <= 250""")
+def enrich_all(spark, sf_dir):
+    """Details of all results."""
+    return _enrich(spark, sf_dir, F.lit(True))
+
+
+def _enrich(spark, sf_dir, detailed: Column) -> DataFrame:
     results = relational.search(_search_first(spark, sf_dir), _search_more(spark, sf_dir), 250)
-    apps = tables.apps(_details(_parts(spark, sf_dir).where("p_partkey % 5 <> 0")))
+    apps = tables.apps(_details(_parts(spark, sf_dir).where(detailed)))
     return relational.enrich(results, apps).select("term", "app_id", "url", "price", "summary")
 
 
@@ -388,6 +409,12 @@ def score_distribution(spark, sf_dir):
     return analytics.score_distribution(tables.reviews(_paged(spark, sf_dir)).where("score <> 2"))
 
 
+@query(f"SELECT s.score, count(r.score) AS n, round(100.0 * count(r.score) / sum(count(r.score)) OVER (), 1) AS percent FROM (SELECT CAST(unnest(range(1, 6)) AS BIGINT) AS score) s LEFT JOIN ({REVIEW}) r ON r.score = s.score GROUP BY s.score")
+def score_distribution_all(spark, sf_dir):
+    """The same over all reviews."""
+    return analytics.score_distribution(tables.reviews(_paged(spark, sf_dir)))
+
+
 @query(f"SELECT app_id, count(*) AS n FROM ({REVIEW}) WHERE date_ms > epoch_ms(TIMESTAMP '2024-01-15 00:00:00') GROUP BY app_id")
 def recent_reviews(spark, sf_dir):
     as_of = F.lit(datetime(2025, 1, 15)).cast("timestamp_ntz").cast("timestamp")
