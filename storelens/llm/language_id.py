@@ -194,8 +194,8 @@ def identify(docs: DataFrame, per_language: int = 4000, path: str | None = None)
     return out.select("doc_id", F.coalesce(held_out(out["doc_id"]), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def reject_unknown(docs: DataFrame, per_language: int = 4000, floor: float = 0.28, path: str | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns, without those of undetermined language or a score below ``floor``.
+def reject_unknown(docs: DataFrame, per_language: int = 4000, path: str | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, without those of undetermined language.
 
     The labels of the rows that are not held out train the model; without labels every text is undetermined.
     """
@@ -205,7 +205,7 @@ def reject_unknown(docs: DataFrame, per_language: int = 4000, floor: float = 0.2
 
     def run(source):
         for batch in batches(source, 4 << 20):
-            labels, scores = score(column(batch, "text").to_pylist())
-            yield batch.filter(pa.array([k != UNDETERMINED and x >= floor for k, x in zip(labels, scores, strict=True)]))
+            labels, _ = score(column(batch, "text").to_pylist())
+            yield batch.filter(pa.array([k != UNDETERMINED for k in labels], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
