@@ -1,7 +1,7 @@
 """A corpus pipeline over ``documents``: each stage takes what its predecessor kept and returns documents.
 
 1. language_id: documents of undetermined language go;
-2. ngram_jaccard_join: of each group of near copies the document with the least doc_id stays;
+2. ngram_jaccard_join: of each group of near copies the document with the least doc_id stays, and rows without an id stay;
 3. substring_dedup: passages of 50 words that also stand in an earlier document are cut out of the text;
 4. decontamination: documents that hold a benchmark item, within its edit budget, go;
 5. sentencepiece: the texts that are left, as piece identifiers, with the round trip checked.
@@ -20,7 +20,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_first(docs)
+    return ngram_join.keep_first(docs).unionByName(docs.where(docs["doc_id"].isNull()))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

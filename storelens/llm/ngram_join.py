@@ -241,6 +241,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, rounds: int
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of ``docs``, all columns, with the least doc_id of each component only, each doc_id once."""
-    first = near_duplicates(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The rows of ``docs``, all columns, with the least doc_id of each component only.
+
+    Rows without an id leave. Rows of one doc_id with equal shingle sets count once; with different ones each is a document of its own.
+    """
+    named = docs.where(docs["doc_id"].isNotNull())
+    repeated = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        first = near_duplicates(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
+        kept = named.join(first, "doc_id", "left_semi")
+    else:  # rows of a repeated id are told apart by the name of their text
+        node, again = "_node", stash(repeated).withColumnRenamed("doc_id", "_again")
+        nodes = named.join(again, named["doc_id"] == again["_again"], "left")
+        nodes = stash(nodes.withColumn(node, F.when(F.col("_again").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text"))).drop("_again"))
+        near = near_duplicates(nodes.select(F.col(node).alias("doc_id"), "text"), n, percent).withColumnRenamed("doc_id", node).distinct()
+        near = near.join(nodes.select(node, "doc_id").distinct(), node)
+        blank = F.col("n_shingles") == 0  # blank texts of one id have equal sets, those of different ids are not linked
+        first = near.groupBy(blank.alias("blank"), F.when(blank, F.col("doc_id")).otherwise(F.col("component_id")).alias("c")).agg(F.min(F.struct("doc_id", node))[node].alias(node))
+        kept = nodes.join(first.select(node), node, "left_semi").dropDuplicates([node])
+    return kept.select(*docs.columns)

@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from storelens.llm import language_id
 
 from .conftest import words
@@ -12,3 +13,16 @@ def test_short_documents_stay_with_many_languages(spark):
     rows = [(k, " ".join(words(rng, "en", 3)), f"l{k % 8}") for k in range(400)]  # eight labels for the same words
     df = spark.createDataFrame([*rows, (1000, "12 !", "l1")], "doc_id long, text string, lang string")
     assert {r.doc_id for r in language_id.reject_unknown(df).collect()} == {k for k, _, _ in rows}
+
+
+def test_rows_without_an_id_or_with_a_repeated_one_stay(spark):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(words(rng, "en", 30)) for _ in range(4))
+    rows = [(None, a, "x"), (None, a, "y"), (3, a, ""), (5, a, ""), (5, b, ""), (5, b.upper(), ""), (5, None, ""), (5, " ", ""), (6, b, ""), (7, c, ""), (7, d, ""), (4, d, ""), (8, "", "")]
+    schema = "doc_id long, text string, source string"
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, schema), "")
+    seen = sorted((r.doc_id or 0, (r.text or "").strip().lower(), r.source) for r in got.collect())
+    assert got.columns == ["doc_id", "text", "source"]
+    assert seen == sorted([(0, a, "x"), (0, a, "y"), (3, a, ""), (5, b, ""), (5, "", ""), (7, c, ""), (4, d, ""), (8, "", "")])
+    once = corpus_pipeline.near_duplicates(spark, spark.createDataFrame([(None, a, ""), (1, a, ""), (2, a, ""), (3, b, "")], schema), "")
+    assert sorted((r.doc_id or 0) for r in once.collect()) == [0, 1, 3]
