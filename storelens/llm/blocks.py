@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def block_count(n_bytes: int, each: int = 16 << 20, least: int = 48) -> int:
+def block_count(n_bytes: int, each: int = 16 << 20, least: int = 24) -> int:
     return max(least, -(-n_bytes // each))
 
 
@@ -44,6 +44,6 @@ def unpack(table: pa.Table, fields: dict[str, str]) -> dict[str, np.ndarray]:
     return {x: np.frombuffer(b"".join(table.column(x).to_pylist()), kind) for x, kind in fields.items()}
 
 
-def by_block(packed: DataFrame, fields: dict[str, str], solve: Callable[[dict[str, np.ndarray]], pa.Table], out: str) -> DataFrame:
-    """Run ``solve`` on the entries of each block."""
-    return packed.groupBy("block").applyInArrow(lambda table: solve(unpack(table, fields)), out)
+def by_block(packed: DataFrame, fields: dict[str, str], solve: Callable[[dict[str, np.ndarray]], pa.Table], out: str, blocks: int) -> DataFrame:
+    """Run ``solve`` on the entries of each block. Every block is a partition of its own, so tasks stay small as inputs grow."""
+    return packed.repartitionById(blocks, "block").groupBy("block").applyInArrow(lambda table: solve(unpack(table, fields)), out)

@@ -7,22 +7,25 @@ verified by Myers' bit-parallel edit distance, whose bit vectors are Python inte
 
 Texts and items are compared in lower case with white space runs as one blank.
 
-Defined cases: null and blank texts or items match nothing; items with equal texts each match; an item
-shorter than its pieces need has a smaller budget; whole texts are searched; repeated rows give repeated
-results; extra columns are ignored. The items are broadcast in chunks of a bounded size, one pass over the
-documents for each chunk.
+Defined cases: null and blank texts or items match nothing; items without an id take no part; items with equal
+texts each match; an item shorter than its pieces need has a smaller budget; whole texts are searched; repeated rows
+give repeated results; a document without an id is searched like any other, and its findings carry a null id; extra
+columns are ignored. The items are taken in chunks of a bounded size, one after the other: each chunk is broadcast,
+searched in one pass over the documents, and freed when the next is there, so that the driver never holds more than
+two and a task never more than one.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import batches, claim, column, slim
+from .base import batches, claim, column, discard, slim, stash
 
 #: One edit is allowed for so many characters of an item.
 CHARACTERS_AN_EDIT = 20
@@ -88,8 +91,8 @@ class Matcher:
         if found:
             self.automaton.make_automaton()
 
-    def matches(self, text: str) -> list[tuple[int, int, int]]:
-        """``item_id, distance, end`` of the best match of each item that is within its budget."""
+    def matches(self, text: str, first: bool = False) -> list[tuple[int, int, int]]:
+        """``item_id, distance, end`` of the best match of each item within its budget; with ``first`` of any one item."""
         if not len(self.automaton) or not text:
             return []
         best: dict[int, tuple[int, int]] = {}
@@ -101,6 +104,8 @@ class Matcher:
                 if best.get(k, (1,))[0] == 0 or tried.get(k) == start:
                     continue
                 tried[k] = start
+                if first and best:
+                    break
                 if start >= 0 and text.startswith(pattern.item, start):
                     best[k] = 0, start + pattern.size
                     continue
@@ -114,48 +119,68 @@ class Matcher:
 _matchers: dict = {}
 
 
-def chunks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items in chunks of at most about ``CHUNK_BYTES``, each small enough to broadcast."""
+def chunks(benchmark: DataFrame, most: int = CHUNK_BYTES) -> Iterator[list[tuple[int, str]]]:
+    """The items in chunks of about ``most`` bytes, each read when it is asked for."""
     items = slim(benchmark, "item_id", "text").where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // CHUNK_BYTES)
-    part = F.pmod(F.xxhash64("item_id"), F.lit(max(n, 1)))
-    return [[(i, plain(t)) for i, t in items.where(part == k).orderBy("item_id").collect() if plain(t)] for k in range(n)]
+    n = -(-size // most)
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(n, 1)))
+    for k in range(n):
+        if some := [(i, p) for i, t in items.where(part == k).orderBy("item_id", "text").collect() if (p := plain(t))]:
+            yield some
+
+
+def _with_matcher(docs: DataFrame, items: list[tuple[int, str]], rate: int, work, out) -> tuple[DataFrame, object]:
+    """``work(matcher, batch)`` over the batches of ``docs``, and the broadcast that it needs."""
+    shared, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+
+    def run(source):
+        claim("test items", _matchers.clear)
+        if key not in _matchers:
+            _matchers.clear()
+            _matchers[key] = Matcher(shared.value, rate)
+        for batch in batches(source):
+            yield work(_matchers[key], batch)
+
+    return docs.mapInArrow(run, out), shared
 
 
 FOUND = "doc_id long, item_id long, distance int, end int"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: int = CHARACTERS_AN_EDIT) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: int = CHARACTERS_AN_EDIT, most: int = CHUNK_BYTES) -> DataFrame:
     """``doc_id, item_id, distance, end``: each document and item that match within the item's budget.
 
     ``end`` is the place behind the match in the plain text.
     """
-    docs = slim(docs, "doc_id", "text")
-
-    def search(items):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-        key = uuid.uuid4().hex
-
-        def run(source):
-            claim("test items", _matchers.clear)
-            if key not in _matchers:
-                _matchers.clear()
-                _matchers[key] = Matcher(shared.value, rate)
-            matcher = _matchers[key]
-            for batch in batches(source):
-                out = [(doc, *m) for doc, t in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), strict=True) for m in matcher.matches(plain(t))]
-                if out:
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "item_id", "distance", "end"])
-
-        return docs.mapInArrow(run, FOUND)
-
-    found = [search(items) for items in chunks(benchmark) if items]
+
+    def search(matcher, batch):
+        out = [(doc, *m) for doc, t in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), strict=True) for m in matcher.matches(plain(t))]
+        cells = zip(*out, strict=True) if out else ((),) * 4
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cells, kinds, strict=True)], ["doc_id", "item_id", "distance", "end"])
+
+    found, shared = [], None
+    for items in chunks(benchmark, most):
+        if found:
+            found[-1] = stash(found[-1])
+            shared.destroy()
+        here, shared = _with_matcher(slim(docs, "doc_id", "text"), items, rate, search, FOUND)
+        found.append(here)
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], FOUND)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: int = CHARACTERS_AN_EDIT) -> DataFrame:
-    """The rows of ``docs``, all columns, without the documents that match a test item."""
-    bad = contaminated(docs, benchmark, rate).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: int = CHARACTERS_AN_EDIT, most: int = CHUNK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text matches no test item. Each row is judged by its own text."""
+    def clean(matcher, batch):
+        return batch.filter(pa.array([not matcher.matches(plain(t), True) for t in column(batch, "text").to_pylist()], pa.bool_()))
+
+    kept, before, shared = docs, None, None
+    for items in chunks(benchmark, most):
+        if shared is not None:
+            kept = stash(kept)
+            shared.destroy()
+            discard(before)
+            before = kept
+        kept, shared = _with_matcher(kept, items, rate, clean, docs.schema)
+    return kept

@@ -1,28 +1,30 @@
 """Language ID by segmentation-marginalised unigrams over a fixed public piece vocabulary.
 
 For each language every vocabulary piece has a probability: the smoothed share of its occurrences in the
-training words of that language. A word's probability is the sum over all its segmentations into pieces, by
-the forward algorithm in numpy (equally long words advance together). Each word votes for the languages by its
-posterior under equal priors; a text's score for a language is the mean over its words, so that a passage in
-another language weighs no more than its length. The prediction is the best language, with its score.
+training words of that language. A word's likelihood is the sum over all its segmentations into pieces, by
+the forward algorithm in numpy (equally long words advance together). A text's likelihood is the product over its
+words, and the prediction is the language under which it is greatest. The score is the posterior of that language
+by the geometric mean of the words' likelihoods, under equal priors, so that it tells short texts from clear ones.
 
-Training reads only text and the language column of the rows it is given; ``per_language`` bounds the sample
-of each language (a documented parameter). Every row is then scored over its whole text.
+A word is a letter (Unicode category L) with the letters and marks (category M) behind it. Training reads only text
+and the language column of the rows it is given; ``per_language`` bounds the sample of each language and
+``most_languages`` the number of languages (those with the most rows, then in alphabetical order); both are
+documented parameters of the fit. Every row is then scored over its whole text.
 
 Defined cases: null texts and texts without a letter get ``und`` with score 0; ties go to the first language
 in alphabetical order; rows whose language is null are not learned from; without any training row every text
-is ``und``; extra columns are ignored.
+is ``und``; repeated rows give repeated results; rows without an id are scored like others; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,18 +32,19 @@ from .base import batches, claim, column, slim
 from .lattice import PieceTable
 from .sentence_pieces import SPACE, model_path
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+PIECE = regex.compile(r"[\p{L}\p{M}]+")
 UNDETERMINED = "und"
 
 
 @cache
-def vocabulary(path: str, longest: int) -> tuple[PieceTable, int]:
-    """The lower-case letter pieces of up to ``longest`` characters, with or without the space mark."""
+def vocabulary(path: str) -> tuple[PieceTable, int]:
+    """All lower-case pieces of letters and marks, with or without the space mark, and the mark itself."""
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=path)
-    names = {p.id_to_piece(i).lower() for i in range(p.get_piece_size()) if not p.is_byte(i)}
-    usual = sorted(x for x in names if len(x) <= longest and WORD.fullmatch(x.removeprefix(SPACE) or "_"))
+    names = {p.id_to_piece(i).lower() for i in range(p.get_piece_size()) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i))}
+    usual = sorted(x for x in names if x == SPACE or PIECE.fullmatch(x.removeprefix(SPACE)))
     return PieceTable(usual), len(usual)
 
 
@@ -49,9 +52,9 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def piece_counts(found: Counter, path: str, longest: int) -> np.ndarray:
+def piece_counts(found: Counter, path: str) -> np.ndarray:
     """Occurrences of every piece in counted words."""
-    pieces, size = vocabulary(path, longest)
+    pieces, size = vocabulary(path)
     out, names = np.zeros(size), [SPACE + w for w in found]
     weight = np.fromiter(found.values(), np.float64, len(found))
     for at, points in pieces.groups(names):
@@ -61,7 +64,7 @@ def piece_counts(found: Counter, path: str, longest: int) -> np.ndarray:
     return out
 
 
-def train(labelled: DataFrame, per_language: int = 4000, path: str | None = None, longest: int = 8, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
+def train(labelled: DataFrame, per_language: int = 4000, path: str | None = None, most_languages: int = 200, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities (language x piece) from ``labelled`` (doc_id, text, lang).
 
     A language with more than ``per_language`` rows gives a share of them, chosen by a hash of doc_id. The
@@ -69,7 +72,8 @@ def train(labelled: DataFrame, per_language: int = 4000, path: str | None = None
     """
     path = path or model_path()
     rows = slim(labelled, "doc_id", "text", "lang").where("lang is not null and text is not null")
-    share = {r["lang"]: min(1.0, per_language / r["count"]) for r in rows.groupBy("lang").count().collect()}
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    share = {r["lang"]: min(1.0, per_language / r["count"]) for r in common.collect()}
     if not share:
         return [], np.zeros((0, 0))
     names = sorted(share)
@@ -82,21 +86,21 @@ def train(labelled: DataFrame, per_language: int = 4000, path: str | None = None
             for lang, text in zip(column(batch, "lang").to_pylist(), column(batch, "text").to_pylist(), strict=True):
                 found.setdefault(lang, Counter()).update(words(text))
         for lang, counts in found.items():
-            n = piece_counts(counts, path, longest)
+            n = piece_counts(counts, path)
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(n[at])], ["lang", "piece", "n"])
 
     counted = chosen.mapInArrow(run, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
-    n = np.full((len(names), vocabulary(path, longest)[1]), smoothing)
+    n = np.full((len(names), vocabulary(path)[1]), smoothing)
     np.add.at(n, (counted["lang"].map({k: i for i, k in enumerate(names)}).to_numpy(int), counted["piece"].to_numpy(int)), counted["n"].to_numpy(float))
     return names, np.log(n / n.sum(1, keepdims=True))
 
 
 class Scorer:
-    """Posteriors of words over the languages, remembered within a Python worker."""
+    """Likelihoods of words in each language, remembered within a Python worker."""
 
-    def __init__(self, model: np.ndarray, path: str, longest: int, most: int = 200_000):
-        self.pieces, size = vocabulary(path, longest)
+    def __init__(self, model: np.ndarray, path: str, most: int = 200_000):
+        self.pieces, size = vocabulary(path)
         self.chance = np.exp(model).T.copy()
         self.stranger = self.chance.min(0) / 10  # a character outside the vocabulary
         self.memo: dict[str, int] = {}
@@ -104,36 +108,37 @@ class Scorer:
         self.most = most
 
     def forward(self, names: list[str]) -> np.ndarray:
-        out = np.empty((len(names), self.chance.shape[1]))
-        for at, points in self.pieces.groups(names, 100_000):
+        """Log-likelihood of each word by language: the sum over all its segmentations."""
+        languages = self.chance.shape[1]
+        out = np.empty((len(names), languages))
+        for at, points in self.pieces.groups(names, max(2000, 400_000 // languages)):
             n, size = points.shape
             found = self.pieces.matches(points)
-            alpha, scale = np.zeros((size + 1, n, self.chance.shape[1])), np.zeros((n, self.chance.shape[1]))
-            alpha[0] = 1
+            behind, scale = [np.ones((n, languages))], np.zeros((n, languages))  # sums up to the last few characters
             for end in range(1, size + 1):
-                for length in range(1, min(end, len(found)) + 1):
+                now = np.zeros((n, languages))
+                for length in range(1, len(behind) + 1):
                     piece = found[length - 1][:, end - length]
                     rows = np.flatnonzero(piece >= 0)
-                    alpha[end, rows] += alpha[end - length, rows] * self.chance[piece[rows]]
+                    if len(rows):
+                        now[rows] += behind[-length][rows] * self.chance[piece[rows]]
                 lone = np.flatnonzero(found[0][:, end - 1] < 0)
-                alpha[end, lone] += alpha[end - 1, lone] * self.stranger
+                now[lone] += behind[-1][lone] * self.stranger
+                behind = [*behind, now][-len(found) :]
                 if end % 16 == 0:  # keep long words within the range of a double
-                    low = max(0, end - len(found))
-                    top = alpha[end] + (alpha[end] == 0)
-                    alpha[low : end + 1] /= top
+                    top = now + (now == 0)
+                    behind = [x / top for x in behind]
                     scale += np.log(top)
-            out[at] = np.log(alpha[size]) + scale
+            out[at] = np.log(behind[-1]) + scale
         return out
 
     def score(self, texts: list[list[str]]) -> np.ndarray:
-        """The mean posterior of each list of words; zeros for none."""
+        """The mean log-likelihood of each list of words; zeros for none."""
         if len(self.memo) > self.most:
             self.memo, self.values = {}, self.values[:0]
         if new := list({w for t in texts for w in t}.difference(self.memo)):
             self.memo.update(zip(new, range(len(self.values), len(self.values) + len(new)), strict=True))
-            chance = self.forward([SPACE + w for w in new])
-            vote = np.exp(chance - chance.max(1, keepdims=True))
-            self.values = np.concatenate([self.values, vote / vote.sum(1, keepdims=True)])
+            self.values = np.concatenate([self.values, self.forward([SPACE + w for w in new])])
         out = np.zeros((len(texts), self.values.shape[1]))
         for k, t in enumerate(texts):
             if t:
@@ -144,7 +149,7 @@ class Scorer:
 _scorers: dict[str, Scorer] = {}
 
 
-def _scores(docs: DataFrame, names: list[str], model: np.ndarray, path: str | None, longest: int):
+def _scores(docs: DataFrame, names: list[str], model: np.ndarray, path: str | None):
     """A function for tasks: labels and scores of a list of texts. The model is languages x vocabulary in size."""
     path = path or model_path()
     shared = docs.sparkSession.sparkContext.broadcast((names, model.astype(np.float32)))
@@ -158,20 +163,21 @@ def _scores(docs: DataFrame, names: list[str], model: np.ndarray, path: str | No
             claim("languages", _scorers.clear)
             if key not in _scorers:
                 _scorers.clear()
-                _scorers[key] = Scorer(model, path, longest)
-            total = _scorers[key].score(found)
-            best = total.argmax(1)
+                _scorers[key] = Scorer(model, path)
+            mean = _scorers[key].score(found)
+            best = mean.argmax(1)
+            top = 1 / np.exp(mean - mean.max(1, keepdims=True)).sum(1)
             for k, w in enumerate(found):
                 if w:
-                    labels[k], scores[k] = names[best[k]], min(1.0, float(total[k, best[k]]))
+                    labels[k], scores[k] = names[best[k]], float(top[k])
         return labels, scores
 
     return score
 
 
-def predict(docs: DataFrame, names: list[str], model: np.ndarray, path: str | None = None, longest: int = 8) -> DataFrame:
+def predict(docs: DataFrame, names: list[str], model: np.ndarray, path: str | None = None) -> DataFrame:
     """``doc_id, lang_pred, score`` of every row of ``docs`` (doc_id, text)."""
-    score = _scores(docs, names, model, path, longest)
+    score = _scores(docs, names, model, path)
 
     def run(source):
         for batch in batches(source, 4 << 20):
@@ -201,7 +207,7 @@ def reject_unknown(docs: DataFrame, per_language: int = 4000, path: str | None =
     """
     held = F.coalesce(held_out(docs["doc_id"]), F.lit(False))
     names, model = train(docs.where(~held), per_language, path)
-    score = _scores(docs, names, model, path, 8)
+    score = _scores(docs, names, model, path)
 
     def run(source):
         for batch in batches(source, 4 << 20):

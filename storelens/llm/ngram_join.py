@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, rounds: int
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (doc_id, text)."""
     docs = docs.where(docs["doc_id"].isNotNull())
     blocks = block_count(text_bytes(docs))
-    shared = stash(by_block(incidence(docs, n, blocks), INCIDENCE, shared_entries(blocks), ROWS))
+    shared = stash(by_block(incidence(docs, n, blocks), INCIDENCE, shared_entries(blocks), ROWS, blocks))
 
     def unpack(source):
         for batch in source:
@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, rounds: int
 
     classes = shared.where("block < 0").mapInArrow(unpack, "doc_id long, key long, n_shingles long")
     least = classes.where("key <> 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    documents = by_block(shared.where("block >= 0"), INCIDENCE, candidates_of(percent), DOCUMENT).join(least, "key")
+    documents = by_block(shared.where("block >= 0"), INCIDENCE, candidates_of(percent), DOCUMENT, blocks).join(least, "key")
     # from here on a class goes by its least doc_id, so that a component's least node is its least document
     documents = stash(documents.select(F.col("least").alias("key"), "size", "prefix", "names"))
     posts = stash(postings(documents))

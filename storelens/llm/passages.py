@@ -89,7 +89,7 @@ def candidates(docs: DataFrame, read: Callable[[list], tuple[np.ndarray, np.ndar
         return pa.table([pa.array(entries["doc"][at]), pa.array(entries["start"][at]), pa.array(entries["count"][at]), pa.array(entries["value"][at].view(np.int64)), pa.array(role[at].astype(np.int32))], ["doc_id", "start", "count", "value", "role"])
 
     packed = slim(docs, "doc_id", "text").mapInArrow(cut, schema(FIELDS))
-    return by_block(packed, FIELDS, solve, RUNS)
+    return by_block(packed, FIELDS, solve, RUNS, blocks)
 
 
 WINDOWS = {"name": "<u8", "doc": "<i8", "start": "<i4", "open": "<u1"}
@@ -126,8 +126,8 @@ def named_windows(found: DataFrame, read: Callable[[bytes], np.ndarray], length:
         last = np.r_[first[1:], len(doc)] - 1
         return pa.table([pa.array(doc[first]), pa.array(start[first]), pa.array((start[last] - start[first] + 1).astype(np.int32))], ["doc_id", "start", "count"])
 
-    named = by_block(found.where("role > 2").mapInArrow(cut, schema(WINDOWS)), WINDOWS, decide, schema(PLACED))
-    return by_block(named, PLACED, join, PLACES)
+    named = by_block(found.where("role > 2").mapInArrow(cut, schema(WINDOWS)), WINDOWS, decide, schema(PLACED), blocks)
+    return by_block(named, PLACED, join, PLACES, blocks)
 
 
 def groups(*keys: np.ndarray) -> np.ndarray:

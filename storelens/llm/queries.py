@@ -31,7 +31,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order.training_shards(table(spark, sf_dir, "documents"))
+    return training_order.written_shards(table(spark, sf_dir, "documents"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

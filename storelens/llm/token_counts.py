@@ -1,7 +1,7 @@
 """Token counts: byte-pair merging with a heap and a linked list; no identifiers are made.
 
-The vocabulary is a ``tokenizers`` JSON file of the kind "byte-level BPE with word ends": NFC, white space
-runs to one space, lower case; a pattern cuts words; each word starts as its bytes, the last one marked as
+The vocabulary is a ``tokenizers`` JSON file of the kind "byte-level BPE with word ends" (others are refused): NFC,
+white space runs to one space, lower case; the file's pattern cuts words; each word starts as its bytes, the last one marked as
 the word's end. The count of a word is its initial symbols minus the merges made.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); special strings in a text count one token
@@ -80,14 +80,33 @@ class Merger:
         return n - merges
 
 
+#: The parts of a file that this operator follows, beside its pattern, vocabulary and merges.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUT = {"type": "Split", "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": WORD_END, "byte_fallback": False, "ignore_merges": False}
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
+
+def check(spec: dict) -> None:
+    """Refuse a file of another kind, whose counts would not be the library's."""
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    same = spec.get("normalizer") == NORMALIZER and len(steps) == 2 and steps[1] == BYTES and spec.get("post_processor") is None
+    same = same and {k: steps[0].get(k) for k in CUT} == CUT and {k: spec["model"].get(k) for k in MODEL} == MODEL
+    if not same or any({k: t.get(k) for k in ADDED} != ADDED for t in spec["added_tokens"]):
+        raise ValueError("not a byte-level BPE file with word ends, NFC, single spaces and lower case")
+
+
 class Counter:
     """Counts the tokens of whole texts by one vocabulary file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        check(spec)
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
+        special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self.special = regex.compile("|".join(map(regex.escape, special)) or r"(?!)")
         self.memo = WordMemo(Merger(spec).count, 400_000)
 
     def plain(self, text: str) -> int:
@@ -98,8 +117,6 @@ class Counter:
         return sum(map(self.memo.__getitem__, self.words.findall(text)))
 
     def count(self, text: str) -> int:
-        if "<|" not in text:
-            return self.plain(text)
         parts = self.special.split(text)
         return len(parts) - 1 + sum(map(self.plain, parts))
 

@@ -1,23 +1,27 @@
 """Token-ID output in training order.
 
-Texts become token identifiers (two bytes each) and are cut into sequences of a fixed length; the last of a
-text is padded with the end-of-text identifier. Every sequence has a dense number; a keyed Feistel network
+Texts become token identifiers (two bytes each), and a text's identifiers are cut into sequences of a fixed length;
+the last of a text is padded with the end-of-text identifier. Every sequence has a dense number; a keyed Feistel network
 permutes the numbers, walking along the cycle until it falls below their count, and so gives every sequence a
-global slot without a sort or a table. Slots are cut into ranges of a fixed number; the sequences of a range
+global slot without a sort or a table of slots. Slots are cut into ranges of a fixed number; the sequences of a range
 are one shard, whose bytes have a fixed stride. Slot s is at ``(s mod per_shard) * stride`` of shard
-``s div per_shard``, so a reader goes on anywhere without an index.
+``s div per_shard``, so a reader goes on anywhere without an index. Shards are written by range: a file holds
+neighbouring shards in their order.
 
-Numbers follow the input's partitions and the rows in them; they are written once to the shared folder before
-slots are given, so lost executors change nothing.
+Numbers follow the order of doc_id (rows without one first), then of the text's identifiers, then of the place in the
+text: a sort by range over whole encoded texts, which does not depend on how the input is split. Rows that agree in all
+of these are alike, so the same table gives the same shards whatever its partitions.
 
 Defined cases: null and empty texts give no sequence; special strings in texts are ordinary text; repeated
-rows give repeated sequences; an empty table gives no shard; extra columns are ignored.
+rows give repeated sequences; rows without an id are encoded too, their id in the lists is null; an empty table gives
+no shard; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from functools import cache
 
 import numpy as np
@@ -26,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import batches, claim, column, mix, slim, stash
+from .base import batches, claim, column, discard, mix, shared_dir, slim, stash
 
 END_OF_TEXT = 50256
 
@@ -73,66 +77,96 @@ def feistel(numbers: np.ndarray, count: int, key: int, rounds: int = 6) -> np.nd
     return out.astype(np.int64)
 
 
-NUMBERED = "part int, number long, doc_id long, sequence int, n_tokens int, payload binary"
+ENCODED = "doc_id long, tokens binary"
+NUMBERED = "part int, number long, doc_id long, tokens binary"
 
 
-def sequences(docs: DataFrame, length: int, path: str) -> DataFrame:
-    """Sequences numbered within their partition."""
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """The identifiers of each text that has any."""
 
     def run(source):
         claim("token ids", tokenizer.cache_clear)
-        encode, part, number = tokenizer(path).encode, TaskContext.get().partitionId(), 0
-        pad = np.array([END_OF_TEXT], "<u2").tobytes()
+        encode = tokenizer(path).encode
         for batch in batches(source, 4 << 20):
-            doc, seq, n, cells = [], [], [], []
-            for i, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), strict=True):
-                raw = encode(text) if text else b""
-                for k, at in enumerate(range(0, len(raw), 2 * length)):
-                    cell = raw[at : at + 2 * length]
-                    doc.append(i)
-                    seq.append(k)
-                    n.append(len(cell) // 2)
-                    cells.append(cell + pad * (length - n[-1]))
-            here = np.arange(number, number + len(doc))
-            number += len(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), part, np.int32)), pa.array(here), pa.array(doc, pa.int64()), pa.array(seq, pa.int32()), pa.array(n, pa.int32()), pa.array(cells, pa.binary())], ["part", "number", "doc_id", "sequence", "n_tokens", "payload"])
-
-    return slim(docs, "doc_id", "text").mapInArrow(run, NUMBERED)
+            cells = [encode(t) if t else b"" for t in column(batch, "text").to_pylist()]
+            out = pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(cells, pa.binary())], ["doc_id", "tokens"])
+            yield out.filter(pa.array([len(x) > 0 for x in cells], pa.bool_()))
+
+    return slim(docs, "doc_id", "text").mapInArrow(run, ENCODED)
+
+
+def numbered(texts: DataFrame, length: int, ranges: int) -> DataFrame:
+    """Texts in order, with the number of their first sequence within their range."""
+
+    def run(source):
+        part, number = TaskContext.get().partitionId(), 0
+        for batch in source:
+            n = np.array([-(-len(x) // (2 * length)) for x in column(batch, "tokens").to_pylist()], np.int64)
+            first = number + np.cumsum(n) - n
+            number += int(n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(first), column(batch, "doc_id"), column(batch, "tokens")], ["part", "number", "doc_id", "tokens"])
+
+    return texts.repartitionByRange(ranges, "doc_id", "tokens").sortWithinPartitions("doc_id", "tokens").mapInArrow(run, NUMBERED)
 
 
 SHARD = "shard long, first_slot long, n_sequences int, stride int, n_tokens long, doc_ids array<long>, sequence_nos array<int>, sha256 string, payload binary"
+PLACED = "shard long, slot long, doc_id long, sequence int, payload binary"
+
 
+def training_shards(docs: DataFrame, length: int = 512, per_shard: int = 1024, key: int = 2024, path: str | None = None, range_bytes: int = 64 << 20) -> DataFrame:
+    """One row per shard: its slots' range, documents and sequence numbers in slot order, and its bytes.
 
-def training_shards(docs: DataFrame, length: int = 512, per_shard: int = 1024, key: int = 2024, path: str | None = None) -> DataFrame:
-    """One row per shard: its slots' range, documents and sequence numbers in slot order, and its bytes."""
-    numbered = stash(sequences(docs, length, path or ranks_path()))
-    counts = {r["part"]: r["count"] for r in numbered.groupBy("part").count().collect()}  # a number for each input partition
+    ``range_bytes`` is about how much a task sorts or writes; it has no bearing on the result.
+    """
+    texts = stash(encoded(docs, path or ranks_path()))
+    size = texts.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    ordered = stash(numbered(texts, length, max(1, -(-size // range_bytes))))
+    discard(texts)
+    n = F.ceil(F.octet_length("tokens") / (2 * length))
+    counts = {r["part"]: r["n"] for r in ordered.groupBy("part").agg(F.sum(n).alias("n")).collect()}  # a number for each range
     parts = sorted(counts)
     starts = dict(zip(parts, np.r_[0, np.cumsum([counts[p] for p in parts])].tolist(), strict=False))
     total = sum(counts.values())
 
     def place(source):
         for batch in source:
-            part, number = column(batch, "part").to_numpy(), column(batch, "number").to_numpy()
-            slot = feistel(number + np.array([starts[p] for p in part.tolist()], np.int64), total, key)
-            names = ["doc_id", "sequence", "n_tokens", "payload"]
-            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), *[column(batch, x) for x in names]], ["shard", "slot", *names])
+            docs, seq, number, cells = [], [], [], []
+            for p, first, doc, raw in zip(*(column(batch, x).to_pylist() for x in ("part", "number", "doc_id", "tokens")), strict=True):
+                mine = [raw[at : at + 2 * length] for at in range(0, len(raw), 2 * length)]
+                docs += [doc] * len(mine)
+                seq += range(len(mine))
+                number += range(starts[p] + first, starts[p] + first + len(mine))
+                cells += mine
+            slot = feistel(np.array(number, np.int64), total, key)
+            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), pa.array(docs, pa.int64()), pa.array(seq, pa.int32()), pa.array(cells, pa.binary())], ["shard", "slot", "doc_id", "sequence", "payload"])
+
+    pad = np.array([END_OF_TEXT], "<u2").tobytes()
 
     def write(table):
         table = table.sort_by("slot")
-        payload = b"".join(table.column("payload").to_pylist())
+        cells = table.column("payload").to_pylist()
+        payload = b"".join([x + pad * (length - len(x) // 2) for x in cells])
         shard, n = table.column("shard")[0].as_py(), len(table)
         lists = [pa.array([table.column(x).to_pylist()], t) for x, t in (("doc_id", pa.list_(pa.int64())), ("sequence", pa.list_(pa.int32())))]
-        tokens = int(table.column("n_tokens").to_numpy().sum())
-        return pa.table([pa.array([shard]), pa.array([shard * per_shard]), pa.array([n], pa.int32()), pa.array([2 * length], pa.int32()), pa.array([tokens]), *lists, pa.array([hashlib.sha256(payload).hexdigest()]), pa.array([payload], pa.binary())], [x.split()[0] for x in SHARD.split(", ")])
+        return pa.table([pa.array([shard]), pa.array([shard * per_shard]), pa.array([n], pa.int32()), pa.array([2 * length], pa.int32()), pa.array([sum(map(len, cells)) // 2]), *lists, pa.array([hashlib.sha256(payload).hexdigest()]), pa.array([payload], pa.binary())], [x.split()[0] for x in SHARD.split(", ")])
 
-    placed = numbered.mapInArrow(place, "shard long, slot long, doc_id long, sequence int, n_tokens int, payload binary")
-    return placed.groupBy("shard").applyInArrow(write, SHARD)
+    shards = -(-total // per_shard)
+    files = max(1, min(shards, -(-total * 2 * length // range_bytes)))
+    placed = ordered.mapInArrow(place, PLACED)
+    return placed.repartitionByRange(files, "shard").groupBy("shard").applyInArrow(write, SHARD)  # a shard is a group of a fixed size
 
 
 def write_shards(shards: DataFrame, path: str) -> None:
-    """Write the shards, in the order of their slots within each file."""
-    shards.repartitionByRange("shard").sortWithinPartitions("shard").write.parquet(path)
+    """Write the shards: neighbouring ones in one file, in the order of their slots."""
+    shards.write.parquet(path)
+
+
+def written_shards(docs: DataFrame, **options) -> DataFrame:
+    """``training_shards`` written to the shared folder by range, and read from there."""
+    shards = training_shards(docs, **options)
+    path = f"{shared_dir(docs.sparkSession)}/{uuid.uuid4().hex}"
+    write_shards(shards, path)
+    return docs.sparkSession.read.schema(shards.schema).parquet(path)
 
 
 def read_slots(shards: DataFrame, first: int, n: int, per_shard: int = 1024) -> DataFrame:

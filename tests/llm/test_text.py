@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from storelens.llm import decontamination, language_id, licenses, sentence_pieces, token_counts, training_order
 
@@ -22,6 +23,16 @@ def test_token_counts(docs, sample, nothing):
     assert token_counts.count_tokens(nothing).count() == 0
 
 
+def test_other_files_are_refused():
+    import json
+
+    spec = json.load(open(token_counts.vocabulary_path(), encoding="utf-8"))
+    token_counts.check(spec)
+    for change in ({"normalizer": None}, {"post_processor": {}}, {"model": spec["model"] | {"byte_fallback": True}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError, match="not a byte-level"):
+            token_counts.check(spec | change)
+
+
 def test_token_counts_of_many_characters():
     from tokenizers import Tokenizer
 
@@ -74,22 +85,38 @@ def test_language_on_held_out_documents(spark, nothing):
     kept = language_id.reject_unknown(df)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(truth) | {1003}
     assert language_id.identify(nothing).count() == 0 and language_id.reject_unknown(nothing).count() == 0
+    again = {(r.doc_id, r.lang_pred, r.score) for r in language_id.identify(df.unionAll(df).repartition(3)).collect()}
+    assert len(again) == len(got)  # repeated rows get one result
     unlabelled = df.withColumn("lang", df["lang"].substr(100, 1)).selectExpr("doc_id", "text", "nullif(lang, '') as lang")
     assert {r.lang_pred for r in language_id.identify(unlabelled).collect()} == {"und"}
 
 
+def test_letters_decide_and_marks_stay_in_words(spark):
+    assert language_id.words("हिन्दी ½ ² ① x2y _é́") == ["हिन्दी", "x", "y", "é́"]
+    rows = [(5 * k + j, "the same words " * 3, lang) for k in range(20) for j, lang in enumerate(("b", "a"))]
+    odd = [(1000, "½ ² ①", "a"), (1001, "the same", None), (None, "words", None), (1002, "x" * 50_000, None), (1003, "the " * 30_000, None)]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")).collect()}
+    assert (got[1000].lang_pred, got[1000].score) == ("und", 0.0)
+    balanced = [(k, "the same words", lang) for k in range(40) for lang in ("b", "a")]  # both rows of an id are learned from
+    tied = language_id.identify(spark.createDataFrame(balanced, "doc_id long, text string, lang string")).collect()
+    assert {(r.lang_pred, r.score) for r in tied} == {("a", 0.5)}  # ties go to the first in alphabetical order
+    assert all(got[i].lang_pred in ("a", "b") and 0.5 <= got[i].score <= 1 for i in (1001, None, 1002, 1003))
+    few = language_id.train(spark.createDataFrame([(k, "word", f"l{k % 7}") for k in range(70)] + [(100, "word", "rare")], "doc_id long, text string, lang string"), most_languages=3)
+    assert few[0] == ["l0", "l1", "l2"] and few[1].shape[0] == 3
+
+
 def test_forward_sums_all_segmentations():
     path = sentence_pieces.model_path()
-    table, size = language_id.vocabulary(path, 8)
+    table, size = language_id.vocabulary(path)
     rng = np.random.default_rng(0)
     model = np.log(rng.dirichlet(np.ones(size), 2))
-    scorer = language_id.Scorer(model, path, 8)
+    scorer = language_id.Scorer(model, path)
     names = ["▁thing", "▁que", "▁" + "ein" * 20]
     for word, got in zip(names, scorer.forward(names), strict=True):
         chance = [np.ones(2)]
         for end in range(1, len(word) + 1):
             total, lone = np.zeros(2), True
-            for a in range(max(0, end - 8), end):
+            for a in range(max(0, end - table.longest), end):
                 (hit,) = table.matches(np.array([[ord(c) for c in word[a:end]]], np.uint64))[-1][0] if end - a <= table.longest else (-1,)
                 if hit >= 0:
                     total += chance[a] * np.exp(model[:, hit])
@@ -150,6 +177,15 @@ def test_decontamination(spark, docs, nothing):
     assert {(r.doc_id, r.item_id, r.distance) for r in got.collect()} == expected and len(expected) > 10
     kept = decontamination.drop_contaminated(df, bench)
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - {i for i, _, _ in expected}
+    by_chunk = decontamination.contaminated(df, bench, most=100)
+    assert len(list(decontamination.chunks(bench, 100))) > 3 and {(r.doc_id, r.item_id, r.distance) for r in by_chunk.collect()} == expected
+    assert {r.doc_id for r in decontamination.drop_contaminated(df, bench, most=100).collect()} == {r.doc_id for r in kept.collect()}
+    # rows without an id, repeated rows, very long texts, and columns of the same names on both sides
+    odd = [(None, items[0][1], 1), (None, "clean words", 2), (7, f"{'filler ' * 40_000}{items[1][1]} end", 3), (8, items[1][1], 4), (8, items[1][1], 4), (9, "clean", 5)]
+    odd = spark.createDataFrame(odd, "doc_id long, text string, item_id long")
+    assert sorted((r.doc_id or 0, r.item_id) for r in decontamination.contaminated(odd, bench).collect()) == [(0, 0), (7, 1), (8, 1), (8, 1)]
+    left = decontamination.drop_contaminated(odd, bench)
+    assert left.columns == odd.columns and sorted(r.text for r in left.collect()) == ["clean", "clean words"]
     none = bench.where("false")
     assert decontamination.contaminated(docs, none).count() == 0 and decontamination.contaminated(nothing, bench).count() == 0
 
@@ -175,6 +211,24 @@ def test_training_order(spark, docs, sample, nothing):
     assert training_order.training_shards(nothing).count() == 0
 
 
+def test_training_order_does_not_depend_on_the_split(spark, docs, tmp_path):
+    options = {"length": 16, "per_shard": 32}
+    whole = [sorted(map(tuple, training_order.training_shards(docs.unionAll(docs.limit(3)).repartition(n), **options, range_bytes=size).collect())) for n, size in ((2, 1 << 20), (5, 4000))]
+    assert whole[0] == whole[1] and len(whole[0]) > 20
+    shards = training_order.training_shards(docs, **options, range_bytes=4000)
+    training_order.write_shards(shards, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    files = back.selectExpr("input_file_name() f", "shard").groupBy("f").agg({"shard": "min"}).count()
+    spans = back.selectExpr("input_file_name() f", "shard").groupBy("f").agg(F.min("shard").alias("a"), F.max("shard").alias("b"), F.count("*").alias("n")).collect()
+    assert files > 2 and all(r.b - r.a + 1 == r.n for r in spans)  # a file holds neighbouring shards
+    total = sum(r.n_sequences for r in back.select("n_sequences").collect())
+    first = {r.slot: r.tokens for r in training_order.read_slots(back, 0, 50, 32).collect()}
+    rest = {r.slot: r.tokens for r in training_order.read_slots(back, 50, total - 50, 32).collect()}  # resumed behind slot 49
+    at_once = {r.slot: r.tokens for r in training_order.read_slots(shards, 0, total, 32).collect()}
+    assert first | rest == at_once and len(at_once) == total
+    assert sorted(map(tuple, training_order.written_shards(docs, **options).collect())) == sorted(map(tuple, shards.collect()))
+
+
 @pytest.mark.parametrize("count", [1, 2, 3, 10, 1000, 4097])
 def test_feistel_is_a_permutation(count):
     a, b = (training_order.feistel(np.arange(count), count, key) for key in (1, 2))
