@@ -1,17 +1,22 @@
 """Exact top-k search by inner product over KD-trees, one for each shard of the vectors.
 
-A shard's tree splits its vectors at the median of the widest dimension and keeps a tight bounding box for
-each node. A query visits nodes best-first by the greatest inner product that the box allows, and stops when
-no box can beat the kth score so far. The search has two rounds: each query first searches one shard; the kth
-score found there is propagated and bounds the search of all the other shards. Queries travel in blocks, as
-vectors do, so that a task holds one block of queries and one shard.
+Shards are cut in space: the top levels of one KD-tree, fitted on a bounded sample, give each vector a cell, and a cell
+of many vectors is dealt out over several shards. A shard's tree splits its vectors at the median of the widest
+dimension and keeps a tight bounding box for each node. It is built once and written to the shared folder.
 
-Scores are integers: each component becomes floor(scale * x).
+A query visits nodes best-first by the greatest inner product that a box allows, and stops when no box can beat the kth
+score so far. Each query first searches the shard in whose cell it lies, where the tree is built. The kth score found
+there is propagated: against the shards' root boxes it decides which of the other shards a query is sent to at all, and
+bounds the search there. Queries go to a shard in batches of a bounded number.
+
+Scores are integers: each component becomes floor(scale * x). Products are exact; a score beyond the range of a long is
+cut to it.
 
 Defined cases: vectors that are null or hold a null or a non-finite component take no part, neither do rows
-without an id; a query's own row is no candidate; with fewer than k candidates all are returned; ties go to
-the smaller vec_id; repeated rows of one id are candidates as they come; vectors of different lengths are
-compared within their own length only; extra columns are ignored.
+without an id; rows with a query's own id are no candidates; with fewer than k candidates all are returned; ties go to
+the smaller vec_id; repeated rows of one id are candidates as they come, and ask once (with the least of their vectors,
+compared by component); vectors of different lengths are compared within their own length only; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -26,55 +31,84 @@ from pyspark.sql.window import Window
 
 from .base import slim, stash
 
-PACK = "n int, ids binary, cells binary"
-LEAST = np.iinfo(np.int64).min
+LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+#: Sums of products of whole numbers up to this many bits in all stay within a long.
+SAFE_BITS = 62
+
+
+def products(rows: np.ndarray, query: np.ndarray, exact: bool) -> np.ndarray:
+    """Inner products as longs; ``exact`` for numbers whose sums may leave the range of a long, which cuts them."""
+    if not exact:
+        return rows @ query
+    sums = rows.astype(object) @ query.astype(object)
+    return np.array([min(max(int(x), LEAST + 1), MOST) for x in sums], np.int64)
+
+
+def needs_care(queries: np.ndarray, *others: np.ndarray) -> bool:
+    """May inner products of the queries with any of the others leave the range of a long?"""
+    bits = lambda a: max(int(a.max(initial=0)), -int(a.min(initial=0))).bit_length()
+    return bits(queries) + max(map(bits, others)) + queries.shape[-1].bit_length() > SAFE_BITS
 
 
 class Tree:
     """A KD-tree whose leaves hold up to ``leaf`` vectors of whole numbers."""
 
+    FIELDS = ("ids", "cells", "low", "high", "span", "children")
+
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = 64):
         order = np.lexsort((ids,))
-        self.ids, self.vectors = ids[order], vectors[order]
-        self.low, self.high, self.children, self.range = [], [], [], []
+        ids, vectors = ids[order], vectors[order]
+        low, high, span, children = [], [], [], []
         places = np.arange(len(ids))
         work = [(0, len(ids), -1)]
         while work:  # depth-first, children know their parent
             a, b, parent = work.pop()
-            node = len(self.range)
+            node = len(span)
             if parent >= 0:
-                self.children[parent].append(node)
-            rows = self.vectors[places[a:b]]
-            low, high = rows.min(0), rows.max(0)
-            self.low.append(low)
-            self.high.append(high)
-            self.range.append((a, b))
-            self.children.append([])
-            wide = int((high - low).argmax())
-            if b - a > leaf and high[wide] > low[wide]:
+                children[parent][children[parent][0] >= 0] = node
+            rows = vectors[places[a:b]]
+            low.append(rows.min(0))
+            high.append(rows.max(0))
+            span.append((a, b))
+            children.append([-1, -1])
+            width = high[-1].astype(np.float64) - low[-1]
+            wide = int(width.argmax())
+            if b - a > leaf and width[wide] > 0:
                 middle = (a + b) // 2
                 places[a:b] = places[a:b][np.argpartition(rows[:, wide], middle - a)]
                 work += [(middle, b, node), (a, middle, node)]
-        self.ids, self.vectors = self.ids[places], self.vectors[places]
-        self.low, self.high = np.array(self.low), np.array(self.high)
-
-    def search(self, query: np.ndarray, own: int, k: int, bound: int) -> list[tuple[float, int]]:
+        self.ids, self.cells = ids[places], vectors[places]
+        self.low, self.high = np.array(low), np.array(high)
+        self.span, self.children = np.array(span, np.int64), np.array(children, np.int64)
+
+    def stored(self) -> list[bytes]:
+        return [getattr(self, x).tobytes() for x in self.FIELDS]
+
+    @classmethod
+    def read(cls, length: int, *stored: bytes) -> Tree:
+        tree = cls.__new__(cls)
+        for x, raw in zip(cls.FIELDS, stored, strict=True):
+            flat = np.frombuffer(raw, np.int64)
+            setattr(tree, x, flat if x == "ids" else flat.reshape(-1, 2 if x in ("span", "children") else length))
+        return tree
+
+    def search(self, query: np.ndarray, own: int, k: int, bound: int, exact: bool = False) -> list[tuple[int, int]]:
         """The k best (score, id), best first; only scores of at least ``bound`` are sure to be found."""
-        limit = np.where(query >= 0, self.high, self.low) @ query  # greatest inner product in each box
-        heap, best = [(-limit[0], 0)], []  # best: worst first
+        limit = greatest(self.low, self.high, query, exact)
+        heap, best = [(-int(limit[0]), 0)], []  # best: worst first
         while heap:
             top, node = heapq.heappop(heap)
             if -top < bound:
                 break
-            if self.children[node]:
-                for child in self.children[node]:
+            if self.children[node, 0] >= 0:
+                for child in self.children[node].tolist():
                     if limit[child] >= bound:
-                        heapq.heappush(heap, (-limit[child], child))
+                        heapq.heappush(heap, (-int(limit[child]), child))
                 continue
-            a, b = self.range[node]
-            score, ids = self.vectors[a:b] @ query, self.ids[a:b]
+            a, b = self.span[node]
+            score, ids = products(self.cells[a:b], query, exact), self.ids[a:b]
             for i in np.flatnonzero((score >= bound) & (ids != own)).tolist():
-                found = (score[i], -int(ids[i]))
+                found = (int(score[i]), -int(ids[i]))
                 if len(best) < k:
                     heapq.heappush(best, found)
                 elif found > best[0]:
@@ -84,6 +118,11 @@ class Tree:
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
+def greatest(low: np.ndarray, high: np.ndarray, query: np.ndarray, exact: bool = False) -> np.ndarray:
+    """The greatest inner product that each box allows."""
+    return products(np.where(query >= 0, high, low), query, exact)
+
+
 def whole_numbers(vectors: DataFrame, scale: int) -> DataFrame:
     """``vec_id, cells`` (array of long) of the vectors that take part."""
     rows = slim(vectors, "vec_id", "embedding").where("vec_id is not null and embedding is not null and size(embedding) > 0")
@@ -91,43 +130,133 @@ def whole_numbers(vectors: DataFrame, scale: int) -> DataFrame:
     return rows.where(good).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("cells"))
 
 
-def packed(rows: DataFrame, key: str, parts: int) -> DataFrame:
-    """Rows (vec_id, cells) packed by ``key`` (a hash of the id, below ``parts``) and ``length`` of the vectors."""
-    keyed = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias(key), F.size("cells").alias("length"), "vec_id", "cells")
+def splits(sample: list[list[int]], cells: int) -> list[tuple[int, float, int, int]]:
+    """The top levels of a KD-tree: (dimension, value, left, right); places below 0 are cells, -1 the first."""
+    width = max(map(len, sample), default=1)
+    points = np.array([[*map(float, v), *[0.0] * (width - len(v))] for v in sample]).reshape(-1, width)
+    nodes: list = []
+    count = 0
 
-    def pack(table):
-        ids = table.column("vec_id").to_numpy()
-        cells = table.column("cells").combine_chunks().flatten().to_numpy()
-        return pa.table([table.column(key)[:1], table.column("length")[:1], pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([cells.tobytes()], pa.binary())], [key, "length", "n", "ids", "cells"])
+    def grow(at: np.ndarray, parts: int) -> int:
+        nonlocal count
+        rows = points[at]
+        spread = rows.max(0) - rows.min(0) if len(at) else np.zeros(width)
+        wide = int(spread.argmax())
+        if parts > 1 and spread[wide] > 0:
+            value = float(np.quantile(rows[:, wide], (parts // 2) / parts))
+            left = rows[:, wide] <= value
+            if left.any() and not left.all():
+                node = len(nodes)
+                nodes.append(None)
+                nodes[node] = (wide, value, grow(at[left], parts // 2), grow(at[~left], parts - parts // 2))
+                return node
+        count += 1
+        return -count
 
-    return keyed.groupBy(key, "length").applyInArrow(pack, f"{key} long, length int, {PACK}")
+    grow(np.arange(len(points)), cells)
+    return nodes
 
 
-def _unpack(row: dict, of: str = "") -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row[f"{of}ids"], np.int64), np.frombuffer(row[f"{of}cells"], np.int64).reshape(-1, row["length"])
+def cell_of(vectors: list[list[int]], nodes: list[tuple[int, float, int, int]]) -> np.ndarray:
+    """The cell of each vector; a dimension that a vector lacks counts as 0."""
+    out = np.zeros(len(vectors), np.int64)
+    for k, v in enumerate(vectors):
+        at = 0 if nodes else -1
+        while at >= 0:
+            dimension, value, left, right = nodes[at]
+            at = left if (v[dimension] if dimension < len(v) else 0) <= value else right
+        out[k] = -at - 1
+    return out
 
 
-SEARCHED = "block long, length int, bounds binary, q binary, v binary, s binary"
+BUILT = "shard long, length int, n int, ids binary, cells binary, low binary, high binary, span binary, children binary, asked binary, points binary, bounds binary, q binary, v binary, s binary"
+KINDS = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 12]
+FOUND = "q binary, v binary, s binary"
 
 
-def search(pairs: DataFrame, k: int) -> DataFrame:
-    """Search each pair of a block of queries and a shard: what was found, and the bound of each query after it."""
+def _hits(hits: list[tuple[int, int, int]]) -> list[bytes]:
+    return [x.tobytes() for x in np.array(hits, np.int64).reshape(-1, 3).T]
 
-    def run(source):
-        for batch in source:
-            for row in batch.to_pylist():
-                (asked, points), tree = _unpack(row, "q_"), Tree(*_unpack(row))
-                bounds = np.frombuffer(row["bounds"], np.int64) if row["bounds"] else np.full(len(asked), LEAST)
-                hits, after = [], bounds.copy()
-                for i, (q, x) in enumerate(zip(asked.tolist(), points, strict=True)):
-                    found = tree.search(x, q, k, int(bounds[i]))
-                    hits += [(q, v, score) for score, v in found]
-                    if len(found) == k:
-                        after[i] = max(after[i], found[-1][0])
-                q, v, score = np.array(hits, np.int64).reshape(-1, 3).T
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([row["length"]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (after, q, v, score))], ["block", "length", "bounds", "q", "v", "s"])
 
-    return pairs.mapInArrow(run, SEARCHED)
+def built(rows: DataFrame, k: int) -> DataFrame:
+    """Rows (shard, length, vec_id, cells, ask) as one tree per shard and length, with its own queries' first results."""
+
+    def build(table):
+        ids, ask = table.column("vec_id").to_numpy(), table.column("ask").to_numpy(zero_copy_only=False)
+        cells = table.column("cells").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        asked, points = ids[ask], cells[ask]
+        tree, hits = None, []
+        bounds = np.full(len(asked), LEAST)
+        if not ask.all():
+            tree, exact = Tree(ids[~ask], cells[~ask]), needs_care(points, cells)
+            for i, (q, x) in enumerate(zip(asked.tolist(), points, strict=True)):
+                found = tree.search(x, q, k, LEAST, exact)
+                hits += [(q, v, score) for score, v in found]
+                if len(found) == k:
+                    bounds[i] = found[-1][0]
+        row = [table.column("shard")[0].as_py(), table.column("length")[0].as_py(), int((~ask).sum()), *(tree.stored() if tree else [b""] * 6), asked.tobytes(), points.tobytes(), bounds.tobytes(), *_hits(hits)]
+        return pa.table([pa.array([x], t) for x, t in zip(row, KINDS, strict=True)], [x.split()[0] for x in BUILT.split(", ")])
+
+    return rows.groupBy("shard", "length").applyInArrow(build, BUILT)
+
+
+SENT = "target long, part int, length int, asked binary, points binary, bounds binary"
+
+
+def sent(trees: DataFrame, groups: int, parts: int) -> DataFrame:
+    """The queries of each shard that each other shard has to see, by its root box: ``target, part`` and the queries.
+
+    Boxes travel in groups, so that a row of queries meets many boxes at once and no tree.
+    """
+
+    def pack(table):
+        ids = table.column("shard").to_numpy()
+        low, high = (b"".join(table.column(x).to_pylist()) for x in ("low", "high"))
+        return pa.table([table.column("g")[:1], table.column("length")[:1], *(pa.array([x], pa.binary()) for x in (ids.tobytes(), low, high))], ["g", "length", "shards", "b_low", "b_high"])
+
+    group = F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int").alias("g")
+    # a node's box comes first in its arrays, so the heads of these are the root box
+    roots = trees.where("n > 0").select(group, "length", "shard", *[F.expr(f"substring({x}, 1, 8 * length)").alias(x) for x in ("low", "high")])
+    boxes = roots.groupBy("g", "length").applyInArrow(pack, "g int, length int, shards binary, b_low binary, b_high binary")
+    asking = trees.where(F.octet_length("asked") > 0).select("shard", "length", "asked", "points", "bounds", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+
+    def choose(source):
+        for batch in source:
+            out = []
+            for r in batch.to_pylist():
+                read = lambda x, r=r: np.frombuffer(r[x], np.int64)
+                asked, points, bounds, shards = read("asked"), read("points").reshape(-1, r["length"]), read("bounds"), read("shards")
+                low, high = read("b_low").reshape(len(shards), -1), read("b_high").reshape(len(shards), -1)
+                exact = needs_care(points, low, high)
+                worth = np.array([greatest(low, high, x, exact) >= b for x, b in zip(points, bounds, strict=True)])
+                for j, target in enumerate(shards.tolist()):
+                    some = worth[:, j]
+                    if target != r["shard"] and some.any():
+                        out.append((target, r["shard"] % parts, r["length"], asked[some].tobytes(), points[some].tobytes(), bounds[some].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], [x.split()[0] for x in SENT.split(", ")])
+
+    return asking.join(boxes, ["g", "length"]).mapInArrow(choose, SENT)
+
+
+def far(queries: DataFrame, trees: DataFrame, parts: int, k: int) -> DataFrame:
+    """Search each shard for the queries that were sent to it; each part of the queries is a task's work of its own."""
+    stored = trees.where("n > 0").select(F.col("shard").alias("target"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "length", *Tree.FIELDS)
+
+    def search(asked, held):
+        hits = []
+        if len(asked) and len(held):
+            length = held.column("length")[0].as_py()
+            tree = Tree.read(length, *(held.column(x)[0].as_py() for x in Tree.FIELDS))
+            for q_ids, points, bounds in zip(*(asked.column(x).to_pylist() for x in ("asked", "points", "bounds")), strict=True):
+                points = np.frombuffer(points, np.int64).reshape(-1, length)
+                exact = needs_care(points, tree.low[:1], tree.high[:1])
+                for q, x, bound in zip(np.frombuffer(q_ids, np.int64).tolist(), points, np.frombuffer(bounds, np.int64).tolist(), strict=True):
+                    hits += [(q, v, score) for score, v in tree.search(x, q, k, bound, exact)]
+        return pa.table([pa.array([x], pa.binary()) for x in _hits(hits)], ["q", "v", "s"])
+
+    key = ["target", "part", "length"]
+    return queries.groupBy(*key).cogroup(stored.groupBy(*key)).applyInArrow(search, FOUND)
 
 
 def _rows(found: DataFrame) -> DataFrame:
@@ -139,23 +268,35 @@ def _rows(found: DataFrame) -> DataFrame:
     return found.select("q", "v", "s").mapInArrow(run, "query_id long, vec_id long, score long")
 
 
-def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, shard_rows: int = 2048, query_rows: int = 256) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k best of all other rows for each row whose id ``every`` divides."""
+def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, shard_rows: int = 2048, query_rows: int = 4096, most_cells: int = 256, sample_rows: int = 8192) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the k best of all other rows for each row whose id ``every`` divides.
+
+    ``sample_rows`` bounds the sample (chosen by a hash of the id) that the cells are fitted on, ``most_cells`` their
+    number; a cell takes as many shards of about ``shard_rows`` as it needs, and every row is in one of them.
+    """
     rows = stash(whole_numbers(vectors, scale))
     n = rows.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n // (every * query_rows)))
-    trees = stash(packed(rows, "shard", shards))
-    asked = packed(rows.where(F.col("vec_id") % every == 0), "block", blocks)
-    asked = stash(asked.select("block", "length", F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells")))
-    first = asked.withColumn("shard", F.pmod("block", F.lit(shards))).withColumn("bounds", F.lit(None).cast("binary"))
-    near = stash(search(first.join(trees, ["shard", "length"]), k))
-    # a block whose first shard holds no vector of its length goes on without a bound
-    bounds = near.select("block", "length", "bounds")
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")), lambda x: x != F.pmod("block", F.lit(shards)))
-    rest = first.drop("bounds", "shard").join(bounds, ["block", "length"], "left").withColumn("shard", F.explode(others))
-    far = search(rest.join(trees, ["shard", "length"]), k)
+    share = min(1.0, 0.8 * sample_rows / max(n, 1))
+    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) <= share * (1 << 20)).select("cells").limit(sample_rows)
+    nodes = splits([r["cells"] for r in sample.collect()], max(1, min(most_cells, -(-n // shard_rows))))
+    cells = len(nodes) + 1
+    deal = max(1, -(-n // (cells * shard_rows)))  # shards of a cell
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("cells").alias("cells"))
+    both = rows.withColumn("ask", F.lit(False)).unionByName(queries.withColumn("ask", F.lit(True)))
+
+    def place(source):
+        for batch in source:
+            found = cell_of(batch.column("cells").to_pylist(), nodes)
+            yield pa.RecordBatch.from_arrays([pa.array(found), *batch.columns], ["cell", *batch.schema.names])
+
+    placed = both.select("vec_id", "cells", "ask").mapInArrow(place, "cell long, vec_id long, cells array<long>, ask boolean")
+    sharded = placed.select((F.col("cell") * deal + F.pmod(F.xxhash64("vec_id"), F.lit(deal))).alias("shard"), F.size("cells").alias("length"), "vec_id", "cells", "ask")
+    trees = stash(built(sharded, k))
+    asked = trees.agg(F.sum(F.octet_length("asked"))).first()[0] or 0
+    groups, parts = max(1, -(-cells * deal // 256)), max(1, -(-asked // (8 * query_rows)))
+    found = _rows(trees.select("q", "v", "s")).unionByName(_rows(far(sent(trees, groups, parts), trees, parts, k)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = _rows(near).unionByName(_rows(far)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")
 
 

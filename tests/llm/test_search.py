@@ -23,14 +23,37 @@ def test_top_k(spark):
     rows = [(k, v.tolist()) for k, v in enumerate(vectors)]
     rows += [(1000, None), (1100, [1.0, None] + [0.0] * 6), (1200, [float("nan")] * 8), (1300, [float("inf")] * 8), (None, [1.0] * 8), (1400, [0.5, 0.25]), (1401, [0.5, 0.5]), (1500, []), (1600, [0.0] * 8)]
     df = spark.createDataFrame([(i, v, "x", 0) for i, v in rows], "vec_id long, embedding array<float>, cells string, length int")
-    for shard_rows, query_rows in ((64, 3), (10_000, 1000)):
-        got = vector_search.top_k(df, 10, shard_rows=shard_rows, query_rows=query_rows)
+    for options in ({"shard_rows": 64, "query_rows": 3}, {"shard_rows": 64, "most_cells": 3, "sample_rows": 50}, {}):
+        got = vector_search.top_k(df, 10, **options)
         assert sorted(map(tuple, got.collect())) == brute(rows, 10)
     assert vector_search.top_k(df.where("false")).count() == 0
     few = df.where("vec_id in (0, 1, 2)")
     assert sorted(map(tuple, vector_search.top_k(few).collect())) == brute([r for r in rows if r[0] in (0, 1, 2)], 10)
 
 
+def test_repeated_rows_and_large_components(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [0.5, 9.0])] + [(k, [float(k), 1.0]) for k in range(1, 30)]
+    rows += [(40, [3e38, 3e38]), (41, [-3e38, 3e38]), (42, [1e15, 1e15]), (100, [1e16, 2e16])]
+    got = vector_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=8)
+    scaled = [(i, [min(max(int(np.floor(1024 * x)), -(2**63)), 2**63 - 1) for x in v]) for i, v in rows]
+    expected = []
+    for q in (0, 100):
+        a = min(v for i, v in scaled if i == q)
+        cut = lambda s: min(max(s, -(2**63) + 1), 2**63 - 1)
+        scored = sorted((-cut(sum(x * y for x, y in zip(a, b))), i) for i, b in scaled if i != q)
+        expected += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:10], 1)]
+    assert sorted(map(tuple, got.collect())) == expected
+
+
+def test_cells_hold_every_vector():
+    rng = np.random.default_rng(4)
+    sample = rng.integers(-100, 100, (300, 3)).tolist()
+    nodes = vector_search.splits(sample, 7)
+    cells = vector_search.cell_of(rng.integers(-200, 200, (1000, 3)).tolist() + [[5], [1, 2, 3, 4]], nodes)
+    assert len(nodes) == 6 and set(cells.tolist()) == set(range(7))
+    assert vector_search.splits([[1, 1]] * 9, 4) == [] and vector_search.cell_of([[7, 7]], []).tolist() == [0]
+
+
 def test_tree_prunes_but_loses_nothing():
     rng = np.random.default_rng(2)
     points = rng.integers(-100, 100, (500, 3))
