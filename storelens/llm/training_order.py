@@ -8,8 +8,8 @@ are one shard, whose bytes have a fixed stride. Slot s is at ``(s mod per_shard)
 ``s div per_shard``, so a reader goes on anywhere without an index. Shards are written by range: a file holds
 neighbouring shards in their order.
 
-Numbers follow the order of doc_id (rows without one first), then of the text's identifiers, then of the place in the
-text: a sort by range over whole encoded texts, which does not depend on how the input is split. Rows that agree in all
+Numbers follow the order of doc_id (rows without one first), then of a hash of the text's identifiers, then of the place
+in the text: a sort by range over whole encoded texts, which does not depend on how the input is split. Rows that agree in all
 of these are alike, so the same table gives the same shards whatever its partitions.
 
 Defined cases: null and empty texts give no sequence; special strings in texts are ordinary text; repeated
@@ -99,21 +99,23 @@ def numbered(texts: DataFrame, length: int, ranges: int) -> DataFrame:
     """Texts in order, with the number of their first sequence within their range."""
 
     def run(source):
+        claim("training order", lambda: None)  # the encoder is not needed here
         part, number = TaskContext.get().partitionId(), 0
-        for batch in source:
+        for batch in batches(source):
             n = np.array([-(-len(x) // (2 * length)) for x in column(batch, "tokens").to_pylist()], np.int64)
             first = number + np.cumsum(n) - n
             number += int(n.sum())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(first), column(batch, "doc_id"), column(batch, "tokens")], ["part", "number", "doc_id", "tokens"])
 
-    return texts.repartitionByRange(ranges, "doc_id", "tokens").sortWithinPartitions("doc_id", "tokens").mapInArrow(run, NUMBERED)
+    order = ["doc_id", F.xxhash64("tokens"), F.crc32("tokens")]  # short keys: the range sort samples them
+    return texts.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(run, NUMBERED)
 
 
 SHARD = "shard long, first_slot long, n_sequences int, stride int, n_tokens long, doc_ids array<long>, sequence_nos array<int>, sha256 string, payload binary"
 PLACED = "shard long, slot long, doc_id long, sequence int, payload binary"
 
 
-def training_shards(docs: DataFrame, length: int = 512, per_shard: int = 1024, key: int = 2024, path: str | None = None, range_bytes: int = 64 << 20) -> DataFrame:
+def training_shards(docs: DataFrame, length: int = 512, per_shard: int = 1024, key: int = 2024, path: str | None = None, range_bytes: int = 32 << 20) -> DataFrame:
     """One row per shard: its slots' range, documents and sequence numbers in slot order, and its bytes.
 
     ``range_bytes`` is about how much a task sorts or writes; it has no bearing on the result.
@@ -129,7 +131,8 @@ def training_shards(docs: DataFrame, length: int = 512, per_shard: int = 1024, k
     total = sum(counts.values())
 
     def place(source):
-        for batch in source:
+        claim("training order", lambda: None)
+        for batch in batches(source):
             docs, seq, number, cells = [], [], [], []
             for p, first, doc, raw in zip(*(column(batch, x).to_pylist() for x in ("part", "number", "doc_id", "tokens")), strict=True):
                 mine = [raw[at : at + 2 * length] for at in range(0, len(raw), 2 * length)]
