@@ -44,6 +44,13 @@ def unpack(table: pa.Table, fields: dict[str, str]) -> dict[str, np.ndarray]:
     return {x: np.frombuffer(b"".join(table.column(x).to_pylist()), kind) for x, kind in fields.items()}
 
 
-def by_block(packed: DataFrame, fields: dict[str, str], solve: Callable[[dict[str, np.ndarray]], pa.Table], out: str, blocks: int) -> DataFrame:
-    """Run ``solve`` on the entries of each block. Every block is a partition of its own, so tasks stay small as inputs grow."""
-    return packed.repartitionById(blocks, "block").groupBy("block").applyInArrow(lambda table: solve(unpack(table, fields)), out)
+def by_block(packed: DataFrame, fields: dict[str, str], solve: Callable[[dict[str, np.ndarray]], pa.Table], out: str, blocks: int, number: str | None = None) -> DataFrame:
+    """Run ``solve`` on the entries of each block, with the block's number under the name ``number`` if given.
+
+    Every block is a partition of its own, so tasks stay small as inputs grow.
+    """
+
+    def run(table):
+        return solve(unpack(table, fields) | ({number: table.column("block")[0].as_py()} if number else {}))
+
+    return packed.repartitionById(blocks, "block").groupBy("block").applyInArrow(run, out)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import stash
+from .base import discard, stash
 
 
 def _large(links: DataFrame) -> DataFrame:
@@ -33,6 +33,7 @@ def components(links: DataFrame) -> DataFrame:
     """``key, label`` of every node of ``links`` (a, b) but the least of each component; label is that least node."""
     links, before = stash(_small(links.select("a", "b"))), None
     while (now := _state(links)) != before:
-        before = now
-        links = stash(_small(_large(links)))
+        before, last = now, links
+        links = stash(_small(_large(last)))
+        discard(last)
     return links.select(F.col("a").alias("key"), F.col("b").alias("label"))

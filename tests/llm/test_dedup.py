@@ -34,9 +34,39 @@ def test_join(docs, sample, nothing):
     assert sorted(map(tuple, ngram_join.near_duplicates(docs).collect())) == expected
     kept = ngram_join.keep_first(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in expected})
+    # every n-gram of two sets of a batch goes the way of the common ones
+    assert sorted(map(tuple, ngram_join.near_duplicates(docs, hot=2).collect())) == expected
     assert ngram_join.near_duplicates(nothing).count() == 0
 
 
+def test_join_gives_every_link(docs, sample):
+    sets = {r[0]: shingles(r[1]) for r in sample if r[0] is not None}
+    least = {i: min(j for j in sets if sets[j] == s) if s else None for i, s in sets.items()}
+    heads = sorted({x for x in least.values() if x is not None})
+    expected = sorted((i, j, len(sets[i] & sets[j])) for i in heads for j in heads if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]))
+    for hot in (64, 2):
+        pairs, members = ngram_join.similar_pairs(docs, hot=hot)
+        assert sorted(map(tuple, pairs.collect())) == expected and len(expected) > 10
+        assert {r.doc_id: r.class_id for r in members.collect()} == least
+
+
+def test_overlaps_of_pairs():
+    rng = np.random.default_rng(6)
+    rows = [np.unique(rng.integers(0, 1 << 63, 40, dtype=np.uint64) * np.uint64(2)) for _ in range(20)]
+    a, b = [], []
+    for k in range(200):
+        x = rows[k % 20]
+        a.append(rng.permutation(x))
+        b.append(rng.permutation(np.unique(np.r_[x[rng.random(len(x)) < 0.9], rows[(k + 1) % 20][: k % 9]])))
+    sizes = [np.array([len(x) for x in y]) for y in (a, b)]
+    got = ngram_join.overlaps(a, b, *sizes, 75)
+    true = np.array([len(np.intersect1d(x, y)) for x, y in zip(a, b)])
+    linked = 100 * true >= 75 * (sizes[0] + sizes[1] - true)
+    assert linked.any() and not linked.all() and (got[linked] == true[linked]).all() and ((got < 0) | (got == true)).all()
+    huge = np.full(200, 2_000_000_000)  # sizes whose hundredfold leaves 32 bits
+    assert (ngram_join.overlaps(a, b, huge, huge, 75) == -1).all()
+
+
 def test_join_of_a_large_group(spark):
     """Near copies of one text that are mostly not similar to each other, and a chain."""
     rng = random.Random(3)
