@@ -5,12 +5,18 @@ representatives, and consecutive windows mostly share one, so a run of windows b
 (representative, place, number of windows). Runs whose representative occurs once in the corpus hold no
 repeated window and end here; the others form classes that are small, independent units of work.
 
+Before the exchange each batch settles what it can for itself: of runs with equal content only one travels, with a mark
+that there are others, and a representative with very many contents (a common line that goes on in different ways) sends
+one mark in place of its runs, which are told apart window by window. So no class is gathered that copies or a common
+passage make large.
+
 This only narrows the search and loses nothing: whether two windows are equal is decided later.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +30,25 @@ from .blocks import block_of, by_block, pack, schema
 FIELDS = {"value": "<u8", "zone": "<u8", "doc": "<i8", "start": "<i4", "count": "<i4", "twice": "<u1"}
 RUNS = "doc_id long, start int, count int, value long, role int"
 #: Roles: every window of the run recurs; the run must be compared; it recurs and others are compared with it.
-SURE, OPEN, POOL = 0, 1, 2
+#: Two more than a role: the run is compared window by window.
+SURE, OPEN, POOL, SINGLY = 0, 1, 2, 2
+#: Bits of the flag: the representative occurs twice in the run; its batch has copies of it; a mark of a common representative.
+TWICE, COPIED, MARK = 1, 2, 4
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What counts as a repetition. All functions take sorted entries as arrays.
+
+    ``alone`` of a batch's runs: which are settled, and which have copies; one of each content is not settled.
+    ``roles`` of a block's runs, given which have a common representative; ``windows_alone`` of a batch's windows: which recur, which have to travel, and which
+    of these are still open; ``windows`` of a block: which recur.
+    """
+
+    alone: Callable[[dict], tuple[np.ndarray, np.ndarray]]
+    roles: Callable[[dict, int, np.ndarray], np.ndarray]
+    windows_alone: Callable[[dict], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    windows: Callable[[dict], np.ndarray]
 
 
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -67,29 +91,50 @@ def runs(symbols: np.ndarray, ends: np.ndarray, length: int, part: int) -> dict[
     return {"value": value, "zone": zone, "doc": owner[first], "start": (first - before).astype(np.int32), "count": count.astype(np.int32), "twice": twice.astype(np.uint8)}
 
 
-def candidates(docs: DataFrame, read: Callable[[list], tuple[np.ndarray, np.ndarray]], length: int, part: int, blocks: int, roles: Callable[[dict], np.ndarray], most: int = 4 << 20) -> DataFrame:
+def candidates(docs: DataFrame, read: Callable[[list], tuple[np.ndarray, np.ndarray]], length: int, part: int, blocks: int, rule: Rule, most: int, hot: int, each: int = 4 << 20) -> DataFrame:
     """Runs whose class needs attention: ``doc_id, start, count, value, role``.
 
-    ``read`` gives symbols and ends of a list of texts; ``roles`` gives each entry of a block, sorted by
-    class and content, its role or -1 to drop it. ``most`` bytes of text are handled at once.
+    ``read`` gives symbols and ends of a list of texts. Classes of more than ``most`` contents, and those with ``hot``
+    of them in one batch, are compared window by window. ``each`` bytes of text are handled at once.
     """
 
     def cut(source):
-        for batch in batches(source, most):
+        for batch in batches(source, each):
             ids = as_longs(column(batch, "doc_id"))
-            if found := runs(*read(column(batch, "text").to_pylist()), length, part):
-                found["doc"] = ids[found["doc"]]
-                yield pack(block_of(mix(found["value"]), blocks), {x: found[x].astype(kind) for x, kind in FIELDS.items()})
-
-    def solve(entries):
-        order = np.lexsort((entries["start"], entries["doc"], entries["zone"], entries["value"]))
-        entries = {x: v[order] for x, v in entries.items()}
-        role = roles(entries)
+            if not (e := runs(*read(column(batch, "text").to_pylist()), length, part)):
+                continue
+            e["doc"] = ids[e["doc"]]
+            order = np.lexsort((e["start"], e["doc"], e["zone"], e["value"]))
+            e = {x: e[x][order].astype(kind) for x, kind in FIELDS.items()}
+            settled, copied = rule.alone(e)
+            value, zone = groups(e["value"]), groups(e["value"], e["zone"])
+            new = np.r_[True, zone[1:] != zone[:-1]]
+            common = np.bincount(value[new])[value] >= hot
+            e["twice"] |= np.where(copied, COPIED, 0).astype(np.uint8)
+            block = block_of(mix(e["value"]), blocks)
+            here = settled | common
+            role = np.where(settled, SURE, np.where(copied, POOL, OPEN) + SINGLY)
+            block[here] = blocks + block_of(mix(e["doc"][here].view(np.uint64)), blocks)
+            e["twice"][here] = role[here]
+            mark = np.flatnonzero(common & np.r_[True, value[1:] != value[:-1]])
+            marks = {x: v[mark] for x, v in e.items()} | {"twice": np.full(len(mark), MARK, np.uint8)}
+            yield pack(np.r_[block, block_of(mix(marks["value"]), blocks)], {x: np.r_[e[x], marks[x]] for x in FIELDS})
+
+    def solve(e):
+        if e.pop("block") >= blocks:
+            role = e["twice"].astype(np.int32)
+        else:
+            order = np.lexsort((e["start"], e["doc"], e["zone"], e["value"]))
+            e = {x: v[order] for x, v in e.items()}
+            group, mark = groups(e["value"]), (e["twice"] & MARK) > 0
+            common = np.bincount(group, mark)[group] > 0 if len(group) else mark
+            e = {x: v[~mark] for x, v in e.items()}
+            role = rule.roles(e, most, common[~mark])
         at = np.flatnonzero(role >= 0)
-        return pa.table([pa.array(entries["doc"][at]), pa.array(entries["start"][at]), pa.array(entries["count"][at]), pa.array(entries["value"][at].view(np.int64)), pa.array(role[at].astype(np.int32))], ["doc_id", "start", "count", "value", "role"])
+        return pa.table([pa.array(e["doc"][at]), pa.array(e["start"][at]), pa.array(e["count"][at]), pa.array(e["value"][at].view(np.int64)), pa.array(role[at].astype(np.int32))], ["doc_id", "start", "count", "value", "role"])
 
     packed = slim(docs, "doc_id", "text").mapInArrow(cut, schema(FIELDS))
-    return by_block(packed, FIELDS, solve, RUNS, blocks)
+    return by_block(packed, FIELDS, solve, RUNS, 2 * blocks, "block")
 
 
 WINDOWS = {"name": "<u8", "doc": "<i8", "start": "<i4", "open": "<u1"}
@@ -97,11 +142,11 @@ PLACED = {"doc": "<i8", "start": "<i4"}
 PLACES = "doc_id long, start int, count int"
 
 
-def named_windows(found: DataFrame, read: Callable[[bytes], np.ndarray], length: int, blocks: int, keep: Callable[[dict], np.ndarray]) -> DataFrame:
+def named_windows(found: DataFrame, read: Callable[[bytes], np.ndarray], length: int, blocks: int, rule: Rule) -> DataFrame:
     """Decide on each window of passages (doc_id, start, role, zone) by its own name: ``doc_id, start, count``.
 
-    Names are exchanged in blocks; ``keep`` flags the entries of a block, sorted by name and document. What it
-    keeps is exchanged by document, where neighbouring windows become one run again.
+    A batch settles its own repetitions and sends each name on once; names are exchanged in blocks. What recurs is
+    exchanged by document, where neighbouring windows become one run again.
     """
 
     def cut(source):
@@ -109,24 +154,32 @@ def named_windows(found: DataFrame, read: Callable[[bytes], np.ndarray], length:
             parts = []
             for doc, start, role, raw in zip(*(column(batch, x).to_pylist() for x in ("doc_id", "start", "role", "zone")), strict=True):
                 names = window_names(read(raw), length)
-                parts.append((names, np.full(len(names), doc), np.arange(start, start + len(names)), np.full(len(names), role == OPEN + 2)))
-            fields = {x: np.concatenate(v).astype(kind) for (x, kind), v in zip(WINDOWS.items(), zip(*parts, strict=True), strict=True)}
-            yield pack(block_of(fields["name"], blocks), fields)
-
-    def decide(entries):
-        order = np.lexsort((entries["doc"], entries["name"]))
-        entries = {x: v[order] for x, v in entries.items()}
-        at = np.flatnonzero(keep(entries) & (entries["open"] > 0))
-        return pa.Table.from_batches([pack(block_of(mix(entries["doc"][at].view(np.uint64)), blocks), {x: entries[x][at] for x in PLACED})])
-
-    def join(entries):
-        order = np.lexsort((entries["start"], entries["doc"]))
-        doc, start = entries["doc"][order], entries["start"][order]
+                parts.append((names, np.full(len(names), doc), np.arange(start, start + len(names)), np.full(len(names), role == OPEN + SINGLY)))
+            e = {x: np.concatenate(v).astype(kind) for (x, kind), v in zip(WINDOWS.items(), zip(*parts, strict=True), strict=True)}
+            order = np.lexsort((e["start"], e["doc"], e["name"]))
+            e = {x: v[order] for x, v in e.items()}
+            recurs, travels, still = rule.windows_alone(e)
+            sent = {x: v[travels] for x, v in e.items()} | {"open": (e["open"] * still)[travels].astype(np.uint8)}
+            done = {x: v[recurs & (e["open"] > 0)] for x, v in e.items()}
+            block = np.r_[block_of(sent["name"], blocks), blocks + block_of(mix(done["doc"].view(np.uint64)), blocks)]
+            yield pack(block, {x: np.r_[sent[x], done[x]] for x in WINDOWS})
+
+    def decide(e):
+        if e.pop("block") < blocks:
+            order = np.lexsort((e["doc"], e["name"]))
+            e = {x: v[order] for x, v in e.items()}
+            at = np.flatnonzero(rule.windows(e) & (e["open"] > 0))
+            e = {x: v[at] for x, v in e.items()}
+        return pa.Table.from_batches([pack(block_of(mix(e["doc"].view(np.uint64)), blocks), {x: e[x] for x in PLACED})])
+
+    def join(e):
+        order = np.lexsort((e["start"], e["doc"]))
+        doc, start = e["doc"][order], e["start"][order]
         first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)])
         last = np.r_[first[1:], len(doc)] - 1
         return pa.table([pa.array(doc[first]), pa.array(start[first]), pa.array((start[last] - start[first] + 1).astype(np.int32))], ["doc_id", "start", "count"])
 
-    named = by_block(found.where("role > 2").mapInArrow(cut, schema(WINDOWS)), WINDOWS, decide, schema(PLACED), blocks)
+    named = by_block(found.where(f"role > {SINGLY}").mapInArrow(cut, schema(WINDOWS)), WINDOWS, decide, schema(PLACED), 2 * blocks, "block")
     return by_block(named, PLACED, join, PLACES, blocks)
 
 

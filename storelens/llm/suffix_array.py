@@ -104,21 +104,43 @@ def read_bytes(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return scrambled(b"".join(raw)), np.cumsum([len(x) for x in raw])
 
 
-def roles(most: int):
-    def run(e: dict) -> np.ndarray:
-        group, zone = P.groups(e["value"]), P.groups(e["value"], e["zone"])
-        if not len(group):
-            return group
-        first = np.r_[True, zone[1:] != zone[:-1]]
-        copies = np.bincount(zone)[zone]
-        zones = np.bincount(group[first])[group]
-        twice = np.bincount(group, e["twice"])[group] > 0
-        role = np.where(copies > 1, np.where(first, P.POOL, P.SURE), P.OPEN)
-        role[(zones == 1) & ~twice] = P.SURE
-        role[(zones == 1) & (copies == 1) & ~twice] = -1
-        return np.where((zones > most) & (role > 0), role + 2, role)
-
-    return run
+def _first(*keys: np.ndarray) -> np.ndarray:
+    """Which of sorted entries begin a group of equal keys."""
+    group = P.groups(*keys)
+    return np.r_[True, group[1:] != group[:-1]][: len(group)]
+
+
+def _many(*keys: np.ndarray) -> np.ndarray:
+    group = P.groups(*keys)
+    return np.bincount(group)[group] > 1 if len(group) else np.empty(0, bool)
+
+
+def alone(e: dict) -> tuple[np.ndarray, np.ndarray]:
+    first = _first(e["value"], e["zone"])
+    return ~first, first & _many(e["value"], e["zone"])
+
+
+def roles(e: dict, most: int, common: np.ndarray) -> np.ndarray:
+    group, zone = P.groups(e["value"]), P.groups(e["value"], e["zone"])
+    if not len(group):
+        return group
+    first = _first(e["value"], e["zone"])
+    copies = np.bincount(zone, 1 + (e["twice"] & P.COPIED > 0))[zone]
+    zones = np.where(common, most + 2, np.bincount(group[first])[group])  # there are others elsewhere
+    twice = np.bincount(group, e["twice"] & P.TWICE)[group] > 0
+    role = np.where(copies > 1, np.where(first, P.POOL, P.SURE), P.OPEN)
+    role[(zones == 1) & ~twice] = P.SURE
+    role[(zones == 1) & (copies == 1) & ~twice] = -1
+    return np.where((zones > most) & (role > 0), role + P.SINGLY, role)
+
+
+def windows_alone(e: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    many = _many(e["name"])
+    return many, _first(e["name"]), ~many
+
+
+#: A run or window goes where another one is like it; one of a batch travels for all of them.
+AGAIN = P.Rule(alone, roles, windows_alone, lambda e: _many(e["name"]))
 
 
 SHARED = "shard long, doc_id long, start int, count int, role int, zone binary"
@@ -156,28 +178,22 @@ def shard_repeats(found: DataFrame, length: int) -> DataFrame:
         flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
         return pa.table([pa.array(flat[0], pa.int64()), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.int32))], ["doc_id", "start", "count"])
 
-    return found.where("role <= 2").groupBy("shard").applyInArrow(solve, P.PLACES)
-
+    return found.where(f"role <= {P.SINGLY}").groupBy("shard").applyInArrow(solve, P.PLACES)
 
-def named_twice(e: dict) -> np.ndarray:
-    """Windows of a block whose name occurs more than once."""
-    name = P.groups(e["name"])
-    return np.bincount(name)[name] > 1 if len(name) else np.empty(0, bool)
 
-
-def repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256, hot: int = 16) -> DataFrame:
     """``doc_id, start, count``: runs of windows of ``length`` bytes that also start elsewhere."""
     size = text_bytes(docs)
     docs = docs.where(docs["doc_id"].isNotNull())
     # the bytes of a batch become arrays of eight bytes each, hence the smaller batches
-    found = stash(P.candidates(docs, read_bytes, length, part, block_count(size, 32 << 20), roles(most), 2 << 20))
+    found = stash(P.candidates(docs, read_bytes, length, part, block_count(size, 32 << 20), AGAIN, most, hot, 2 << 20))
     shards = block_count(size, 16 << 20)
     texts = stash(zones(docs, found, length, shards))
-    sure = found.where(f"role in ({P.SURE}, {P.POOL}, {P.POOL + 2})").select("doc_id", "start", "count")
-    return sure.unionByName(shard_repeats(texts, length)).unionByName(P.named_windows(texts, scrambled, length, shards, named_twice))
+    sure = found.where(f"role in ({P.SURE}, {P.POOL}, {P.POOL + P.SINGLY})").select("doc_id", "start", "count")
+    return sure.unionByName(shard_repeats(texts, length)).unionByName(P.named_windows(texts, scrambled, length, shards, AGAIN))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256, hot: int = 16) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary) for every row of ``docs`` (doc_id, text)."""
 
     def run(source):
@@ -193,11 +209,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most
                 out.append((len(raw), len(raw) - len(kept), len(P.ranges(gone)[0]), kept))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    found = P.per_document(repeats(docs, length, part, most), ["start", "count"])
+    found = P.per_document(repeats(docs, length, part, most, hot), ["start", "count"])
     return P.with_documents(docs, found.hint("shuffle_hash"), "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(kept: DataFrame) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-

@@ -91,20 +91,38 @@ class Automaton:
         return out
 
 
-def roles(most: int):
-    def run(e: dict) -> np.ndarray:
-        group, zone = P.groups(e["value"]), P.groups(e["value"], e["zone"])
-        if not len(group):
-            return group
-        first = np.r_[True, zone[1:] != zone[:-1]]
-        low_zone = e["doc"][first][zone]  # entries of a zone are sorted by document
-        head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        low = np.minimum.reduceat(e["doc"], head)[group]
-        zones = np.bincount(group[first])[group]
-        role = np.where(e["doc"] > low_zone, P.SURE, np.where(low_zone > low, P.OPEN, np.where(first & (zones > 1), P.POOL, -1)))
-        return np.where((zones > most) & (role > 0), role + 2, role)
-
-    return run
+def _first(*keys: np.ndarray) -> np.ndarray:
+    """Which of sorted entries begin a group of equal keys."""
+    group = P.groups(*keys)
+    return np.r_[True, group[1:] != group[:-1]][: len(group)]
+
+
+def _later(e: dict, *keys: np.ndarray) -> np.ndarray:
+    """Which entries have a smaller document in their group; groups are sorted by document."""
+    group, first = P.groups(*keys), _first(*keys)
+    return e["doc"] > e["doc"][first][group] if len(group) else first
+
+
+def roles(e: dict, most: int, common: np.ndarray) -> np.ndarray:
+    group = P.groups(e["value"])
+    if not len(group):
+        return group
+    first, later = _first(e["value"], e["zone"]), _later(e, e["value"], e["zone"])
+    low_zone = e["doc"][first][P.groups(e["value"], e["zone"])]
+    low = np.minimum.reduceat(e["doc"], np.flatnonzero(_first(e["value"])))[group]
+    zones = np.bincount(group[first])[group]
+    role = np.where(later, P.SURE, np.where(low_zone > low, P.OPEN, np.where(first & (zones > 1), P.POOL, -1)))
+    role = np.where((zones > most) & (role > 0), role + P.SINGLY, role)
+    return np.where(common & ~later, P.OPEN + P.SINGLY, role)  # smaller documents may be elsewhere
+
+
+def windows_alone(e: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    later = _later(e, e["name"])
+    return later, ~later, np.ones(len(later), bool)
+
+
+#: A run or window goes where a smaller document has it; the smallest one of a batch travels for it.
+LATER = P.Rule(lambda e: (_later(e, e["value"], e["zone"]), np.zeros(len(e["doc"]), bool)), roles, windows_alone, lambda e: _later(e, e["name"]))
 
 
 SHARED = "shard long, value long, doc_id long, start int, role int, zone binary"
@@ -150,24 +168,18 @@ def shard_matches(found: DataFrame, length: int) -> DataFrame:
         doc, start, count = zip(*out, strict=True) if out else ((), (), ())
         return pa.table([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(count, pa.int32())], ["doc_id", "start", "count"])
 
-    return found.where("role <= 2").groupBy("shard").applyInArrow(solve, P.PLACES)
-
-
-def named_later(e: dict) -> np.ndarray:
-    """Windows of a block whose name has a smaller document."""
-    name = P.groups(e["name"])
-    return e["doc"] > e["doc"][np.r_[True, name[1:] != name[:-1]]][name] if len(name) else np.empty(0, bool)
+    return found.where(f"role <= {P.SINGLY}").groupBy("shard").applyInArrow(solve, P.PLACES)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256, hot: int = 16) -> DataFrame:
     """``doc_id, start, count``: runs of windows that also start in a document with a smaller doc_id."""
     size = text_bytes(docs)
     docs = docs.where(docs["doc_id"].isNotNull())
-    found = stash(P.candidates(docs, read_words, length, part, block_count(size, 32 << 20), roles(most)))
+    found = stash(P.candidates(docs, read_words, length, part, block_count(size, 32 << 20), LATER, most, hot))
     shards = block_count(size, 16 << 20)
     texts = stash(zones(docs, found, length, shards))
     sure = found.where(f"role = {P.SURE}").select("doc_id", "start", "count")
-    return sure.unionByName(shard_matches(texts, length)).unionByName(P.named_windows(texts, lambda raw: np.frombuffer(raw, np.uint64), length, shards, named_later))
+    return sure.unionByName(shard_matches(texts, length)).unionByName(P.named_windows(texts, lambda raw: np.frombuffer(raw, np.uint64), length, shards, LATER))
 
 
 def _kept(text: str | None, found: dict | None, length: int) -> tuple[int, int, bytes]:
@@ -179,7 +191,7 @@ def _kept(text: str | None, found: dict | None, length: int) -> tuple[int, int,
     return len(words), int(gone.sum()), b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256, hot: int = 16) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` (text) for every row of ``docs`` (doc_id, text)."""
 
     def run(source):
@@ -188,11 +200,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most
             n, gone, kept = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([x.decode() for x in kept], pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    found = P.per_document(repeats(docs, length, part, most), ["start", "count"])
+    found = P.per_document(repeats(docs, length, part, most, hot), ["start", "count"])
     return P.with_documents(docs, found.hint("shuffle_hash"), "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256, hot: int = 16) -> DataFrame:
     """The rows of ``docs``, all columns, without the repeated passages in ``text``.
 
     A text that loses words becomes its kept words joined by one space, and ``n_chars`` follows; the others
@@ -217,7 +229,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: i
             columns["text"] = changed
             yield pa.RecordBatch.from_arrays(list(columns.values()), names).take(pa.array(rows, pa.int64()))
 
-    found = P.per_document(repeats(docs, length, part, most), ["start", "count"]).withColumnRenamed("found", hidden)
+    found = P.per_document(repeats(docs, length, part, most, hot), ["start", "count"]).withColumnRenamed("found", hidden)
     return docs.join(found.hint("shuffle_hash"), "doc_id", "left").mapInArrow(run, docs.schema)
 
 

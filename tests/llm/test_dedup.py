@@ -105,9 +105,12 @@ def test_components(spark):
     assert got == {x: p for x, p in parent.items() if x != p}
 
 
-@pytest.mark.parametrize("most", [256, 0])
-def test_suffix_array_dedup(docs, sample, nothing, most):
-    """``most`` 0: every class takes the way of very large classes."""
+WAYS = [{}, {"most": 0}, {"hot": 2}]
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_suffix_array_dedup(docs, sample, nothing, way):
+    """``most`` 0: every class takes the way of very large classes; ``hot`` 2: most take it in some batches only."""
     length = 200
     counts = Counter(raw[i : i + length] for r in sample if r[0] is not None for raw in [(r[1] or "").encode()] for i in range(len(raw) - length + 1))
     expected = []
@@ -119,13 +122,14 @@ def test_suffix_array_dedup(docs, sample, nothing, most):
                 gone[i : i + length] = True
         kept = bytes(b for b, g in zip(raw, gone) if not g)
         expected.append((r[0] if r[0] is not None else -1, len(raw), int(gone.sum()), len(passages.ranges(gone)[0]), hashlib.sha256(kept).hexdigest()))
-    got = suffix_array.digest(suffix_array.remove_repeats(docs, most=most)).collect()
+    got = suffix_array.digest(suffix_array.remove_repeats(docs, **way)).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, *tuple(r)[1:]) for r in got) == sorted(expected)
-    assert suffix_array.remove_repeats(nothing).count() == 0
+    if not way:
+        assert suffix_array.remove_repeats(nothing).count() == 0
 
 
-@pytest.mark.parametrize("most", [256, 0])
-def test_suffix_automata_dedup(docs, sample, nothing, most):
+@pytest.mark.parametrize("way", WAYS)
+def test_suffix_automata_dedup(docs, sample, nothing, way):
     length = 50
     first = defaultdict(lambda: 1 << 62)
     for r in sample:
@@ -143,10 +147,12 @@ def test_suffix_automata_dedup(docs, sample, nothing, most):
         expected.append((-1 if r[0] is None else r[0], len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
         if not gone or not all(gone):
             cut[r[0]] = kept if any(gone) else r[1]
-    got = suffix_automata.digest(suffix_automata.remove_repeats(docs, most=most)).collect()
+    got = suffix_automata.digest(suffix_automata.remove_repeats(docs, **way)).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, *tuple(r)[1:]) for r in got) == sorted(expected)
     assert sum(x[2] for x in expected) > 500
-    whole = suffix_automata.cut_repeats(docs, most=most)
+    if way:
+        return
+    whole = suffix_automata.cut_repeats(docs, **way)
     assert whole.columns == docs.columns and {r.doc_id: r.text for r in whole.collect()} == cut
     assert all(r.n_chars == len(r.text or "") for r in whole.collect())
     assert suffix_automata.cut_repeats(nothing).count() == 0
