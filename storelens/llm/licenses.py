@@ -3,15 +3,15 @@
 A text is cut into sentences, each is normalised (lower case, runs of other characters than a-z and 0-9 as one
 blank) and mapped to the identifier of a known license sentence, or to none. A line end ends a sentence as well, but
 a known sentence may be wrapped over any number of lines; it then counts as one sentence. The sequence of identifiers
-is matched against ordered rules; each rule is a sequence of neighbouring sentences, and what an earlier rule
-has matched is not matched again by a later one. Blank lines (also those of a comment) and numbers of list items
+is matched against ordered rules; each rule is a sequence of neighbouring sentences, or of sentences in an order with
+others between, and what an earlier rule has matched is not matched again by a later one. Blank lines (also those of a comment) and numbers of list items
 are counted as sentences but do not part neighbours.
 
 A text without any of the sentences' signal words cannot match and is dropped by a substring test first.
 
 Defined cases: null and blank texts match nothing; a rule that matches more than once is one row with its
 number of matches; repeated rows give repeated results; extra columns are ignored; whole texts are scanned.
-The SQL takes each line for itself: it knows neither wrapped sentences nor neighbours over blank lines and numbers.
+The SQL takes each line for itself: it does not know sentences that are wrapped over lines.
 """
 
 from __future__ import annotations
@@ -55,9 +55,70 @@ SENTENCES = {
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "bsd-as-is": "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "rights-plain": "All rights reserved",
+    "bsd-endorse-university": "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    # the licenses' whole texts: titles, and sentences that only one of them has
+    "gpl-1-title": "GNU General Public License Version 1, February 1989",
+    "gpl-1-mercy": "The license agreements of most software companies try to keep users at the mercy of those companies",
+    "gpl-2-title": "GNU General Public License Version 2, June 1991",
+    "gpl-2-applies": "This General Public License applies to most of the Free Software Foundation's software and to any other program whose authors commit to using it",
+    "gpl-3-title": "GNU General Public License Version 3, 29 June 2007",
+    "gpl-3-copyleft": "The GNU General Public License is a free, copyleft license for software and other kinds of works",
+    "lgpl-2-title": "GNU Library General Public License Version 2, June 1991",
+    "lgpl-2-applies": "This license, the Library General Public License, applies to some specially designated Free Software Foundation software, and to any other libraries whose authors decide to use it",
+    "lgpl-2.1-title": "GNU Lesser General Public License Version 2.1, February 1999",
+    "lgpl-2.1-applies": "This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it",
+    "lgpl-3-title": "GNU Lesser General Public License Version 3, 29 June 2007",
+    "lgpl-3-incorporates": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below",
+    "lgpl-2-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "lgpl-2.1-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl-3-free": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "lgpl-warranty": "This library is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gfdl-1.2-title": "GNU Free Documentation License Version 1.2, November 2002",
+    "gfdl-1.3-title": "GNU Free Documentation License Version 1.3, 3 November 2008",
+    "gfdl-kind": "This License is a kind of \"copyleft\", which means that derivative works of the document must themselves be free in the same sense",
+    "apache-2-license": "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document",
+    "apache-2-licensor": "\"Licensor\" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License",
+    "mpl-1.1-title": "Mozilla Public License Version 1.1",
+    "mpl-1.1-use": "\"Commercial Use\" means distribution or otherwise making the Covered Code available to a third party",
+    "mpl-2-title": "Mozilla Public License Version 2.0",
+    "mpl-2-contributor": "\"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software",
+    "mpl-2-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
+    "mpl-2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
+    "mpl-2-copy-https": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    "cc-no-firm": "Creative Commons Corporation is not a law firm and does not provide legal services",
+    "cc0-title": "CC0 1.0 Universal",
+    "cc-by-4-title": "Creative Commons Attribution 4.0 International Public License",
+    "cc-by-4-agree": "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution 4.0 International Public License (\"Public License\")",
+    "cc-by-sa-4-title": "Creative Commons Attribution-ShareAlike 4.0 International Public License",
+    "cc-by-sa-4-agree": "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-ShareAlike 4.0 International Public License (\"Public License\")",
+    "cc-by-4-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "artistic-1-title": "The \"Artistic License\"",
+    "artistic-1-package": "\"Package\" refers to the collection of files distributed by the Copyright Holder, and derivatives of that collection of files created through textual modification",
 }
-#: Rules in the order in which they are tried: longer ones first.
+#: Rules in the order in which they are tried: longer ones first; ``...`` stands for any sentences between.
 RULES = [
+    ("gpl-1-license", "GPL-1.0", ["gpl-1-title", ..., "gpl-1-mercy"]),
+    ("gpl-2-license", "GPL-2.0", ["gpl-2-title", ..., "gpl-2-applies"]),
+    ("gpl-3-license", "GPL-3.0", ["gpl-3-title", ..., "gpl-3-copyleft"]),
+    ("lgpl-2-license", "LGPL-2.0", ["lgpl-2-title", ..., "lgpl-2-applies"]),
+    ("lgpl-2.1-license", "LGPL-2.1", ["lgpl-2.1-title", ..., "lgpl-2.1-applies"]),
+    ("lgpl-3-license", "LGPL-3.0", ["lgpl-3-title", ..., "lgpl-3-incorporates"]),
+    ("gfdl-1.2-license", "GFDL-1.2", ["gfdl-1.2-title", ..., "gfdl-kind"]),
+    ("gfdl-1.3-license", "GFDL-1.3", ["gfdl-1.3-title", ..., "gfdl-kind"]),
+    ("apache-2-license", "Apache-2.0", ["apache-2-license", ..., "apache-2-licensor"]),
+    ("mpl-1.1-license", "MPL-1.1", ["mpl-1.1-title", ..., "mpl-1.1-use"]),
+    ("mpl-2-license", "MPL-2.0", ["mpl-2-title", ..., "mpl-2-contributor"]),
+    ("cc0-license", "CC0-1.0", ["cc0-title", ..., "cc-no-firm"]),
+    ("cc-by-sa-4-license", "CC-BY-SA-4.0", ["cc-by-sa-4-title", ..., "cc-by-sa-4-agree"]),
+    ("cc-by-4-license", "CC-BY-4.0", ["cc-by-4-title", ..., "cc-by-4-agree"]),
+    ("artistic-1-license", "Artistic-1.0", ["artistic-1-title", ..., "artistic-1-package"]),
+    ("bsd-3-university-rights-text", "BSD-3-Clause", ["rights-plain", "bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse-university"]),
+    ("bsd-3-university-text", "BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse-university"]),
+    ("lgpl-2-header", "LGPL-2.0", ["lgpl-2-free", "lgpl-warranty"]),
+    ("lgpl-2.1-header", "LGPL-2.1", ["lgpl-2.1-free", "lgpl-warranty"]),
+    ("lgpl-3-header", "LGPL-3.0", ["lgpl-3-free", "lgpl-warranty"]),
+    ("mpl-2-header", "MPL-2.0", ["mpl-2-form", ..., "mpl-2-copy"]),
+    ("mpl-2-header-https", "MPL-2.0", ["mpl-2-form", ..., "mpl-2-copy-https"]),
     ("bsd-3-rights-text", "BSD-3-Clause", ["rights-plain", "bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("bsd-3-text", "BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("bsd-2-rights-text", "BSD-2-Clause", ["rights-plain", "bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is"]),
@@ -86,6 +147,10 @@ RULES = [
     ("apache-2", "Apache-2.0", ["apache-2"]),
     ("gpl-3", "GPL-3.0", ["gpl-3"]),
     ("gpl-free", "GPL", ["gpl-free"]),
+    ("lgpl-2-free", "LGPL-2.0", ["lgpl-2-free"]),
+    ("lgpl-2.1-free", "LGPL-2.1", ["lgpl-2.1-free"]),
+    ("lgpl-3-free", "LGPL-3.0", ["lgpl-3-free"]),
+    ("cc-by-4-notice", "CC-BY-4.0", ["cc-by-4-notice"]),
     ("cc-by-nc-4", "CC-BY-NC-4.0", ["cc-by-nc-4"]),
     ("cc-by-4", "CC-BY-4.0", ["cc-by-4"]),
     ("cc0", "CC0-1.0", ["cc0"]),
@@ -94,7 +159,7 @@ RULES = [
     ("rights-reserved", "proprietary", ["rights-plain"]),
 ]
 #: Each rule holds at least one sentence with one of these words.
-SIGNALS = ["licens", "permission", "copyright", "warranty", "reserved", "redistribut"]
+SIGNALS = ["licens", "permission", "copyright", "warranty", "reserved", "redistribut", "creative commons"]
 END = r"[.!?]+(?:[ \t\r\n]+|$)|[\r\n]+"
 OTHER = "[^a-z0-9]+"
 #: Marks of a sentence's end and of a line's end in a normalised text.
@@ -110,8 +175,8 @@ def code(sentence: str) -> str:
 
 
 def _wrapped(sentence: str) -> str:
-    """A pattern for the normal sentence between two marks, over as many lines as it may take."""
-    return f"(?<![^{STOP}{LINE}])" + normal(sentence).replace(" ", f"[ {LINE}]") + f"(?![^{STOP}{LINE}])"
+    """A pattern for the normal sentence between two marks, over as many lines as it may take; a list's number may follow."""
+    return f"(?<![^{STOP}{LINE}])" + normal(sentence).replace(" ", f"[ {LINE}]") + f"(?: [0-9]+(?={STOP}))?(?![^{STOP}{LINE}])"
 
 
 def _sequence(low: Column) -> Column:
@@ -121,13 +186,16 @@ def _sequence(low: Column) -> Column:
     marked = F.trim(F.regexp_replace(F.regexp_replace(marked, f"[^a-z0-9{STOP}{LINE}]+", " "), f" ?([{STOP}{LINE}]) ?", "$1"))
     longest = sorted(SENTENCES.items(), key=lambda x: -len(normal(x[1])))  # a sentence may begin with another one
     known = F.array(*[F.struct(F.lit(normal(s)).alias("s"), F.lit(_wrapped(s)).alias("pattern"), F.lit(code(k)).alias("code")) for k, s in longest])
-    held = F.transform(F.array(marked), lambda m: F.aggregate(F.filter(known, lambda k: F.contains(F.translate(m, LINE, " "), k["s"])), m, lambda t, k: F.regexp_replace(t, k["pattern"], k["code"])))
+    both = F.transform(F.array(marked), lambda m: F.struct(m.alias("m"), F.translate(m, LINE, " ").alias("flat")))
+    held = F.transform(both, lambda x: F.aggregate(F.filter(known, lambda k: F.contains(x["flat"], k["s"])), x["m"], lambda t, k: F.regexp_replace(t, k["pattern"], k["code"])))
     number = lambda s, i: F.when(F.startswith(s, F.lit("<")), F.replace(s, F.lit("<"), F.concat(F.lit("<"), (i + 1).cast("string"), F.lit(":")))).when(F.rlike(s, F.lit("^[0-9]*$")), "").otherwise("<>")
     return F.array_join(F.transform(F.split(held[0], f"[{STOP}{LINE}]", -1), number), "")
 
 
-def _rule(sentences: list[str]) -> str:
-    return "".join(code(k).replace("<", "<([0-9]+):" if n == 0 else "<[0-9]+:") for n, k in enumerate(sentences))
+def _rule(sentences: list) -> str:
+    """A pattern over the identifiers; its group is the number of the first sentence."""
+    codes = [".*?" if k is ... else code(k).replace("<", "<[0-9]+:") for k in sentences]
+    return "".join(codes).replace("<[0-9]+:", "<([0-9]+):", 1)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -152,13 +220,13 @@ def _quoted(s: str) -> str:
 
 def oracle() -> str:
     """The same rows in SQL."""
-    known = "CASE x " + " ".join(f"WHEN {_quoted(normal(s))} THEN {_quoted(code(k))}" for k, s in SENTENCES.items()) + " ELSE '<>' END"
+    known = "CASE " + " ".join(f"WHEN x = {_quoted(normal(s))} THEN '<' || i || ':' || {_quoted(code(k)[1:])}" for k, s in SENTENCES.items()) + " WHEN regexp_matches(x, '^[0-9]*$') THEN '' ELSE '<>' END"
     steps = [f"""q0 AS (SELECT doc_id, array_to_string(list_transform(list_transform(regexp_split_to_array(text, {_quoted(END)}),
-      lambda s: trim(regexp_replace(lower(s), {_quoted(OTHER)}, ' ', 'g'))), lambda x: {known}), '') AS s FROM documents WHERE text IS NOT NULL)"""]
+      lambda s: trim(regexp_replace(lower(s), {_quoted(OTHER)}, ' ', 'g'))), lambda x, i: {known}), '') AS s FROM documents WHERE text IS NOT NULL)"""]
     picks = []
     for k, (rule, name, sentences) in enumerate(RULES):
-        pattern = "".join(map(code, sentences))
-        steps.append(f"q{k + 1} AS (SELECT doc_id, replace(s, '{pattern}', '{'<>' * len(sentences)}') AS s FROM q{k})")
-        picks.append(f"""SELECT doc_id, '{rule}' AS rule_id, '{name}' AS license, CAST((length(s) - length(replace(s, '{pattern}', ''))) / {len(pattern)} AS BIGINT) AS n_matches,
-      CAST(length(regexp_replace(substr(s, 1, instr(s, '{pattern}')), '[^<]', '', 'g')) AS BIGINT) AS first_sentence FROM q{k} WHERE contains(s, '{pattern}')""")
+        pattern = _quoted(_rule(sentences))
+        steps.append(f"q{k + 1} AS (SELECT doc_id, regexp_replace(s, {pattern}, '<>', 'g') AS s FROM q{k})")
+        picks.append(f"""SELECT doc_id, '{rule}' AS rule_id, '{name}' AS license, CAST(len(regexp_extract_all(s, {pattern})) AS BIGINT) AS n_matches,
+      CAST(regexp_extract(s, {pattern}, 1) AS BIGINT) AS first_sentence FROM q{k} WHERE regexp_matches(s, {pattern})""")
     return "WITH " + ",\n".join(steps) + "\n" + "\nUNION ALL ".join(picks)

@@ -1,5 +1,11 @@
 """License scans on headers as they stand in files: wrapped, indented, commented."""
 
+from pathlib import Path
+
+import duckdb
+import pandas as pd
+import pytest
+
 from storelens.llm import licenses
 
 MIT = '''MIT License
@@ -101,6 +107,41 @@ def test_real_headers(spark):
     assert {r.rule_id for r in got} == rules
 
 
+COMMON = Path("/usr/share/common-licenses")
+WHOLE = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+def unwrapped(text):
+    return "\n".join(" ".join(p.split()) for p in text.replace("\f", "\n").split("\n\n"))
+
+
+@pytest.mark.skipif(not COMMON.exists(), reason="needs the system's license texts")
+def test_whole_texts(spark):
+    """Installed license texts, as they are and unwrapped, behind a very long text, and twice in one."""
+    names = [n for n in WHOLE if (COMMON / n).exists()]
+    rows, expected = [], {}
+    for k, name in enumerate(names):
+        text = (COMMON / name).read_text(errors="replace")
+        for j, form in enumerate((text, unwrapped(text), "Some words of prose. " * 20_000 + "\n" + text)):
+            rows.append((10 * k + j, form))
+            expected[10 * k + j] = {WHOLE[name]}
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect():
+        if r.rule_id.endswith(("-license", "-text")):
+            got.setdefault(r.doc_id, set()).add(r.license)
+    assert got == expected
+
+
+def test_order_with_others_between_agrees_with_sql(spark):
+    s = licenses.SENTENCES
+    texts = [f"{s['gpl-3-title']}\n\nx. y. {s['gpl-3-copyleft']}.", f"{s['gpl-3-copyleft']}. {s['gpl-3-title']}.", f"{s['lgpl-2.1-free']}.\n\n2.\n{s['lgpl-warranty']}.", f"{s['mpl-2-form']}. 2.0. {s['mpl-2-copy']}. " * 3, s["gpl-2-title"] + ".\n", s["cc-by-4-notice"]]
+    texts += texts[:1]  # a repeated row
+    got = sorted(map(tuple, licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()))
+    assert [(i, r, n) for i, r, _, n, _ in got] == [(0, "gpl-3-license", 1), (2, "lgpl-2.1-header", 1), (3, "mpl-2-header", 3), (5, "cc-by-4-notice", 1), (6, "gpl-3-license", 1)]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841
+    assert sorted(duckdb.sql(licenses.oracle()).fetchall()) == got
+
+
 def test_plain_rights(spark):
     texts = ["Some prose here. All rights reserved. More prose.", "Line\nall rights\nRESERVED\nline", "We hold that all rights reserved here are ours.", "All rights reserved under copyright law.", "A. All rights reserved! B\nAll rights reserved"]
     got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()

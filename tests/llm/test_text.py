@@ -137,7 +137,7 @@ def test_licenses(spark, docs, nothing):
     assert sorted(duckdb.sql(licenses.oracle()).fetchall()) == got
     assert licenses.scan(docs).count() == 0 and licenses.scan(nothing).count() == 0
     for _, _, sentences in licenses.RULES:
-        assert any(w in known[s].lower() for s in sentences for w in licenses.SIGNALS)
+        assert any(w in known[s].lower() for s in sentences if s is not ... for w in licenses.SIGNALS)
 
 
 def distance(item, text):
