@@ -7,23 +7,39 @@ from pyspark.sql import functions as F
 
 from .variant import is_string, items, strict
 
-#: Fixed by the payload format: a block's key and its data. (?d): only a line feed ends a line.
-BLOCK = r"(?d)AF_initDataCallback\(\{key:\s*'(ds:\d+)'.*?data:(.*?), sideChannel:"
+#: Fixed by the payload format: a block's key and its data.
+BLOCK = r"AF_initDataCallback\(\{key:\s*'(ds:\d+)'.*?data:(.*?), sideChannel:"
+BEFORE, BEHIND = "data:", ", sideChannel:"
 BLANK = r"[\t\n\x0B\f\r \u0085   -     　]+"
 SPACE = f"^{BLANK}|{BLANK}$"
 
 
-def block(body: Column, key: str) -> Column:
-    """The last well-formed block of this key; NULL if there is none. Other blocks are not parsed."""
-    keys = F.regexp_extract_all(body, F.lit(BLOCK), F.lit(1))
-    data = F.regexp_extract_all(body, F.lit(BLOCK), F.lit(2))
-    own = F.filter(F.arrays_zip(keys.alias("k"), data.alias("d")), lambda b: b["k"] == key)
-    parsed = F.transform(own, lambda b: strict(F.regexp_replace(b["d"], SPACE, "")))
+def blocks(body: Column) -> Column:
+    """All blocks of a page as texts, by one pass over it. (?d): only a line feed ends a line."""
+    return F.regexp_extract_all(body, F.lit(f"(?d){BLOCK}"), F.lit(0))
+
+
+def _key(block: Column) -> Column:
+    return F.split_part(block, F.lit("'"), F.lit(2))
+
+
+def _data(block: Column) -> Column:
+    start = F.instr(block, BEFORE) + len(BEFORE)
+    return F.substring(block, start, F.length(block) - len(BEHIND) - start + 1)
+
+
+def block_of(found: Column, key: str) -> Column:
+    """Of ``blocks`` the last well-formed one of this key; NULL if there is none. Other blocks are not parsed."""
+    parsed = F.transform(F.filter(found, lambda b: _key(b) == key), lambda b: strict(F.regexp_replace(_data(b), SPACE, "")))
     return F.try_element_at(F.filter(parsed, lambda v: v.isNotNull()), F.lit(-1))
 
 
+def block(body: Column, key: str) -> Column:
+    return block_of(blocks(body), key)
+
+
 def block_keys(body: Column) -> Column:
-    return F.regexp_extract_all(body, F.lit(BLOCK), F.lit(1))
+    return F.transform(blocks(body), _key)
 
 
 def unprefixed(body: Column) -> Column:

@@ -12,6 +12,8 @@ from .variant import array_path, items, let, number_only, path, text_only, to_lo
 # Heads of package names, and the spellings of a line break.
 PREFIXES = ("com", "org", "io", "me", "net", "app", "dev")
 LINE_BREAKS = ("<br>", "<br/>", "<br />")
+#: The first and last millisecond of the years 1 to 9999.
+YEARS = (-62_135_596_800_000, 253_402_300_799_999)
 
 
 def strip_html(html: Column) -> Column:
@@ -21,10 +23,13 @@ def strip_html(html: Column) -> Column:
 
 
 def timestamp(v: Column) -> Column:
-    """[seconds, parts]: the first three characters of the parts' whole number count as milliseconds."""
+    """[seconds, parts]: the first three characters of the parts' whole number count as milliseconds.
+
+    Times outside the years 1 to 9999 are NULL.
+    """
     seconds, parts = number_only(array_path(v, 0)), number_only(array_path(v, 1))
     extra = F.coalesce(F.left(parts.cast("string"), F.lit(3)).try_cast("bigint"), F.lit(0))
-    return F.timestamp_millis(seconds * 1000 + extra)
+    return let(F.try_add(F.try_multiply(seconds, F.lit(1000)), extra), lambda t: F.when(t.between(*YEARS), F.timestamp_millis(t)))
 
 
 def histogram(v: Column) -> Column:

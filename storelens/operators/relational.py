@@ -41,10 +41,15 @@ def chart(rows: DataFrame, collection: str, n: int, by: Sequence[str]) -> DataFr
 def enrich(results: DataFrame, apps: DataFrame) -> DataFrame:
     """Replace whole results by their details where there are any; order, number and ordinals stay.
 
-    Spark picks the join by the sizes it sees; nothing is broadcast by force.
+    Details are those of the app in the result's locale, where both sides have ``lang`` and ``country``. Of several
+    details of an app the one that was updated last counts, then the greatest by its columns. Spark picks the join by
+    the sizes it sees; nothing is broadcast by force.
     """
-    details = apps.dropDuplicates(["app_id"]).select(F.col("app_id").alias("_id"), F.struct(*RESULT).alias("_app"))
-    joined = results.join(details, F.col("app_id") == F.col("_id"), "left")
+    keys = ["app_id", *[c for c in ("lang", "country") if c in results.columns and c in apps.columns]]
+    latest = apps.groupBy(*keys).agg(F.max(F.struct("updated", F.struct(*RESULT).alias("app"))).alias("_d"))
+    details = latest.select(*[F.col(k).alias("_id" if k == "app_id" else f"_{k}") for k in keys], F.col("_d.app").alias("_app"))
+    same = [F.col(k) == F.col("_id" if k == "app_id" else f"_{k}") for k in keys]
+    joined = results.join(details, same, "left")
     own = F.struct(*RESULT)
     keep = [c for c in results.columns if c not in RESULT]
     return joined.select(*keep, F.when(F.col("_id").isNotNull(), F.col("_app")).otherwise(own).alias("_r")).select(*keep, "_r.*")
@@ -60,9 +65,15 @@ def by_price(results: DataFrame, price: str) -> DataFrame:
 
 
 def search(first: DataFrame, more: DataFrame, n: int, by: Sequence[str] = ("term",)) -> DataFrame:
-    """First and further pages of searches as one ordered list of at most n results each."""
-    rows = tables.search_first(first).unionByName(tables.search_more(more))
-    return first_n(rows, n, ["page_no", "pos"], by)
+    """First and further pages of searches as one ordered list of at most n results each.
+
+    A search ends behind its first page without a token, and before its first page in error.
+    """
+    pages = tables.search_first_pages(first).unionByName(tables.search_more_pages(more))
+    ends = (F.col("status") == "error") | (F.col("next_token") == "")
+    before = Window.partitionBy(*by).orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    read = pages.withColumn("_over", F.max(ends).over(before)).where(~F.coalesce("_over", F.lit(False))).drop("_over")
+    return first_n(tables.exploded(read), n, ["page_no", "pos"], by)
 
 
 def similar(details: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -89,15 +100,20 @@ def sort_reviews(reviews: DataFrame, sort: Sort) -> DataFrame:
     return reviews.orderBy(F.desc(REVIEW_ORDER[sort]), "id")
 
 
+def _read_pages(pages: DataFrame, total: int, by: Sequence[str]) -> DataFrame:
+    """The typed pages that are read for a total: up to the first that is empty, in error or without a token, or until the total is there."""
+    if total < 0:
+        raise ValueError("a number of rows can't be negative")
+    n = F.coalesce(F.size("items"), F.lit(0))
+    ends = (F.col("status") != "ok") | (n == 0) | (F.col("next_token") == "")
+    before = Window.partitionBy(*by).orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    known = tables.typed_review_pages(pages).withColumn("_over", F.max(ends).over(before)).withColumn("_n", F.sum(n).over(before))
+    return known.where(~F.coalesce("_over", F.lit(False)) & (F.coalesce("_n", F.lit(0)) < total)).drop("_over", "_n")
+
+
 def reviews_all(pages: DataFrame, total: int, by: Sequence[str] = ("app_id",)) -> DataFrame:
     """Reviews of consecutive pages up to a total: reading ends behind the first page that is empty, in error, or without a token."""
-    status = tables.review_pages(pages).select(*by, "page_no", "status", "next_token")
-    rows = tables.reviews(pages)
-    counts = rows.groupBy(*by, "page_no").agg(F.count("*").alias("n"))
-    ends = status.join(counts, [*by, "page_no"], "left").where((F.col("status") != "ok") | F.col("n").isNull() | (F.col("next_token") == ""))
-    last = ends.groupBy(*by).agg(F.min("page_no").alias("last"))
-    read = rows.join(last, list(by), "left").where(F.col("last").isNull() | (F.col("page_no") <= F.col("last"))).drop("last")
-    return first_n(read, total, ["page_no", "pos"], by)
+    return first_n(tables.exploded(_read_pages(pages, total, by)), total, ["page_no", "pos"], by)
 
 
 def reviews_all_errors(pages: DataFrame, by: Sequence[str] = ("app_id",)) -> DataFrame:
@@ -107,9 +123,11 @@ def reviews_all_errors(pages: DataFrame, by: Sequence[str] = ("app_id",)) -> Dat
 def reviews_comprehensive(pages: DataFrame, per_rating: int) -> DataFrame:
     """All pages of the five rating queries (``score_query``): up to ``per_rating`` of each, each id once, the first seen.
 
-    A rating with a page in error gives nothing, as its partial rows are not used.
+    A rating that meets a page in error before its number is there gives nothing, as its partial rows are not used.
     """
-    failed = tables.review_pages(pages).where("status = 'error'").select("app_id", "score_query").distinct()
-    good = pages.join(failed, ["app_id", "score_query"], "left_anti").where("app_id <> ''")
-    rows = reviews_all(good, per_rating, ["app_id", "score_query"])
+    by = ["app_id", "score_query"]
+    read = _read_pages(pages.where("app_id <> ''"), per_rating, by)
+    failed = F.max(F.col("status") == "error").over(Window.partitionBy(*by))
+    good = read.withColumn("_failed", failed).where("not _failed").drop("_failed")
+    rows = first_n(tables.exploded(good), per_rating, ["page_no", "pos"], by)
     return first_seen(rows, ["app_id", "id"], ["score_query", "page_no", "pos"])

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.payload import block, envelope
+from ..functions.payload import block, block_of, blocks, envelope
 from ..functions.text import PREFIXES
 from ..functions.variant import array_path, is_string, items, path, text_only, to_double, to_string
 from ..schemas import BASE_URL, CATEGORIES
@@ -46,7 +46,7 @@ def apps(raw: DataFrame) -> DataFrame:
     """One row per details page (app_id, lang, country) that holds an app; see ``app_errors`` for the others."""
     parsed = once(raw, "root", app_root(F.col("body")))
     url = layouts.details_url(F.col("app_id"), F.lit("&hl="), F.col("lang"), F.lit("&gl="), F.col("country"))
-    return parsed.select(*layouts.app(F.col("root"), F.col("app_id"), url))
+    return parsed.select("lang", "country", *layouts.app(F.col("root"), F.col("app_id"), url))
 
 
 def app_errors(raw: DataFrame) -> DataFrame:
@@ -85,22 +85,41 @@ def _find_apps_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(lambda t: json.dumps(found) if t is not None and (found := _find_apps(json.loads(t))) is not None else None)
 
 
-def _search_data(body: Column) -> Column:
-    return F.coalesce(*[block(body, k) for k in ("ds:4", "ds:3", "ds:1")])
+def _typed(array: Column, row: Callable[[Column], Column], key: str) -> Column:
+    """The items of an array as typed rows with their places: those that are arrays and whose ``key`` is not empty."""
+    rows = F.transform(array, lambda x, i: F.struct(i.alias("pos"), F.when(items(x).isNotNull(), row(x)).alias("r")))
+    return F.filter(rows, lambda e: e["r"][key] != "")
+
+
+def exploded(pages: DataFrame) -> DataFrame:
+    """Typed pages (see below) as rows."""
+    keep = [c for c in pages.columns if c not in ("status", "error", "next_token", "items")]
+    return pages.select(*keep, F.explode("items").alias("i")).select(*keep, "i.pos", "i.r.*")
+
+
+def search_first_pages(raw: DataFrame) -> DataFrame:
+    """Typed first pages of a search, each parsed once: ``status, error, next_token, items``.
+
+    Where the usual containers are empty, arrays are searched depth-first. A page without its block has no items.
+    """
+    data = F.coalesce(*[block_of(F.col("_blocks"), k) for k in ("ds:4", "ds:3", "ds:1")])
+    parsed = once(raw.withColumn("_blocks", blocks(F.col("body"))), "_s", F.struct(data.alias("data"))).withColumn("_data", F.col("_s.data"))
+    usual = F.coalesce(*[F.when(F.size(a) > 0, a) for k in (22, 21, 0) for a in [items(path(F.col("_data"), 0, 1, 0, k, 0))]])
+    parsed = parsed.withColumn("_usual", usual)
+    found = parsed.withColumn("_deep", F.pandas_udf(_find_apps_json, "string")(F.when(F.col("_usual").isNull(), F.to_json("_data"))))
+    token = to_string(path(F.col("_data"), 0, 1, 0, 0, 3, 0))
+    rows = _typed(F.coalesce("_usual", items(F.try_parse_json("_deep"))), layouts.search_row, "app_id")
+    return found.select(*request_columns(raw), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"), token.alias("next_token"), rows.alias("items"))
 
 
 def search_first(raw: DataFrame) -> DataFrame:
-    """Results of first pages of a search. Where the usual containers are empty, arrays are searched depth-first."""
-    keep = request_columns(raw)
-    usual = F.coalesce(*[F.when(F.size(a) > 0, a) for k in (22, 21, 0) for a in [items(path(F.col("data"), 0, 1, 0, k, 0))]])
-    parsed = once(raw, "data", _search_data(F.col("body"))).withColumn("usual", usual)
-    found = parsed.withColumn("deep", F.pandas_udf(_find_apps_json, "string")(F.when(F.col("usual").isNull(), F.to_json("data"))))
-    return _unnest(found, keep, F.coalesce("usual", items(F.try_parse_json("deep"))), layouts.search_row)
+    """Results of first pages of a search."""
+    return exploded(search_first_pages(raw))
 
 
 def search_tokens(raw: DataFrame) -> DataFrame:
     """``next_token`` of first pages; '' for none."""
-    return raw.select(*request_columns(raw), to_string(path(_search_data(F.col("body")), 0, 1, 0, 0, 3, 0)).alias("next_token"))
+    return search_first_pages(raw).select(*request_columns(raw), "next_token")
 
 
 def responses(raw: DataFrame, tolerant: bool) -> DataFrame:
@@ -108,15 +127,20 @@ def responses(raw: DataFrame, tolerant: bool) -> DataFrame:
     return once(raw, "e", envelope(F.col("body"), tolerant)).select(*request_columns(raw), "e.*")
 
 
+def search_more_pages(raw: DataFrame) -> DataFrame:
+    """Typed further pages of a search."""
+    data = F.col("data")
+    rows = _typed(items(path(data, 0, 0, 0)), layouts.batch_row, "app_id")
+    return responses(raw, True).select(*request_columns(raw), "status", "error", to_string(path(data, 0, 0, 7, 1)).alias("next_token"), rows.alias("items"))
+
+
 def search_more(raw: DataFrame) -> DataFrame:
     """Results of further pages."""
-    data = responses(raw, True).where("status = 'ok'")
-    return _unnest(data, request_columns(raw), items(path(F.col("data"), 0, 0, 0)), layouts.batch_row)
+    return exploded(search_more_pages(raw))
 
 
 def search_more_tokens(raw: DataFrame) -> DataFrame:
-    data = responses(raw, True)
-    return data.select(*request_columns(raw), "status", "error", to_string(path(F.col("data"), 0, 0, 7, 1)).alias("next_token"))
+    return search_more_pages(raw).drop("items")
 
 
 def is_numeric_id(dev_id: Column) -> Column:
@@ -134,12 +158,12 @@ def developer(raw: DataFrame) -> DataFrame:
 
 def similar_cluster(raw: DataFrame) -> DataFrame:
     """``cluster_url`` of details pages: the first cluster called similar, in the blocks' order; NULL for none."""
-    found = []
+    found, pages = [], raw.withColumn("_blocks", blocks(F.col("body")))
     for key in ("ds:7", "ds:8", "ds:6"):
-        clusters = items(path(block(F.col("body"), key), 1, 1))
+        clusters = items(path(block_of(F.col("_blocks"), key), 1, 1))
         fits = lambda v: F.coalesce(to_string(path(v, 21, 1, 0)).contains("Similar") & path(v, 21, 1, 2, 4, 2).isNotNull(), F.lit(False))
         found.append(to_string(path(F.get(F.filter(clusters, fits), F.lit(0)), 21, 1, 2, 4, 2)))
-    return raw.select(*request_columns(raw), F.coalesce(*[F.nullif(x, F.lit("")) for x in found]).alias("cluster_url"))
+    return pages.select(*request_columns(raw), F.coalesce(*[F.nullif(x, F.lit("")) for x in found]).alias("cluster_url"))
 
 
 def similar(raw: DataFrame) -> DataFrame:
@@ -160,19 +184,21 @@ def section_of(collection: str) -> int:
     return {"TOP_PAID": 1, "GROSSING": 2}.get(collection, 0)
 
 
+def typed_review_pages(raw: DataFrame) -> DataFrame:
+    """Typed review pages (app_id), each parsed once; only a text counts as a token."""
+    rows = _typed(items(array_path(F.col("data"), 0)), lambda x: layouts.review_row(x, F.col("app_id")), "id")
+    token = F.coalesce(text_only(array_path(F.col("data"), 1, 1)), F.lit(""))
+    return responses(raw, False).select(*request_columns(raw), "status", "error", token.alias("next_token"), rows.alias("items"))
+
+
 def reviews(raw: DataFrame) -> DataFrame:
     """Reviews of response pages (app_id)."""
-    keep = request_columns(raw)
-    data = responses(raw, False).where("status = 'ok'")
-    out = data.select(*keep, F.posexplode(items(array_path(F.col("data"), 0))).alias("pos", "item"))
-    out = once(out, "r", layouts.review_row(F.col("item"), F.col("app_id")))
-    return out.where("r.id <> ''").select(*keep, "pos", "r.*")
+    return exploded(typed_review_pages(raw))
 
 
 def review_pages(raw: DataFrame) -> DataFrame:
-    """``status``, ``error`` and ``next_token`` of review pages; only a text counts as a token."""
-    data = responses(raw, False)
-    return data.select(*request_columns(raw), "status", "error", F.coalesce(text_only(array_path(F.col("data"), 1, 1)), F.lit("")).alias("next_token"))
+    """``status``, ``error`` and ``next_token`` of review pages."""
+    return typed_review_pages(raw).drop("items")
 
 
 def permissions(raw: DataFrame) -> DataFrame:

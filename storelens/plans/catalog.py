@@ -38,9 +38,9 @@ def query(sql: str):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    # small tables are one split; rows are dealt out before they become payloads
-    return rows.repartition(spark.sparkContext.defaultParallelism)
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    # a small table is one split; its rows are dealt out before they become payloads
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def _app_id(key: Column) -> Column:
@@ -59,20 +59,22 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _details(rows: DataFrame, **more: Column) -> DataFrame:
-    """Details pages of parts: every third part is free, every seventh has no price."""
+    """Details pages of parts: every third part is free, every seventh has no price; ``missing`` pages hold no app."""
     price = F.when(F.col("p_partkey") % 3 == 0, F.lit(0)).otherwise(_micros(F.col("p_retailprice")))
     offer = F.when(F.col("p_partkey") % 7 == 0, F.parse_json(F.lit("null"))).otherwise(E.array([[price, F.lit("USD"), F.lit("shown")]]))
     root = {
-        0: [F.col("p_name")], 9: [F.lit("Everyone")], 10: {1: [F.lit("Jan 1, 2024")]}, 13: [F.concat(F.col("p_size").cast("string"), F.lit("+")), F.col("p_size"), F.col("p_size") * 2],
+        0: [more.get("title", F.col("p_name"))], 9: [F.lit("Everyone")], 10: {1: [F.lit("Jan 1, 2024")]}, 13: [F.concat(F.col("p_size").cast("string"), F.lit("+")), F.col("p_size"), F.col("p_size") * 2],
         51: {0: {0: F.lit("4.5"), 1: F.lit(4.5)}, 1: more.get("histogram", F.lit(None).cast("variant")), 2: {1: F.col("p_partkey")}, 3: {1: F.col("p_size")}},
         57: [[[[{1: offer}]]]], 68: {0: F.col("p_brand"), 1: {4: {2: F.concat(F.lit("/store/apps/developer?id="), F.col("p_brand"))}}},
         72: [{1: F.concat(F.lit("<b>"), F.col("p_name"), F.lit("</b><br>second<br />third"))}], 73: [{1: F.col("p_type")}],
         78: [[{3: {2: F.lit("https://shot/1")}}, F.lit("bad"), {3: {2: F.lit("https://shot/2")}}]], 79: [[[F.col("p_type"), F.lit(None).cast("string"), F.upper("p_type")]]],
-        95: [{3: {2: F.lit("https://icon")}}], 140: {0: [[F.lit("1.2.3")]]}, 145: [{1: [F.col("p_partkey") * 1000]}],
+        95: [{3: {2: F.lit("https://icon")}}], 140: {0: [[F.lit("1.2.3")]]}, 145: [{1: [more.get("updated", F.col("p_partkey") * 1000)]}],
     }
     block = E.text(E.array({1: {2: E.array(root)}}))
     decoy = E.script("ds:5", F.lit("[broken"))
-    return rows.select(F.col("id").alias("app_id"), F.lit("en").alias("lang"), F.lit("us").alias("country"), E.page(E.script("ds:4", F.lit("[1]")), E.script("ds:5", F.lit('["old"]')), E.script("ds:5", block), decoy).alias("body"))
+    page = E.page(E.script("ds:4", F.lit("[1]")), E.script("ds:5", F.lit('["old"]')), E.script("ds:5", block), decoy)
+    body = F.when(more.get("missing", F.lit(False)), E.page(E.script("ds:4", F.lit("[1]")))).otherwise(page)
+    return rows.select(F.col("id").alias("app_id"), more.get("lang", F.lit("en")).alias("lang"), more.get("country", F.lit("us")).alias("country"), body.alias("body"))
 
 
 def _join(c: str) -> str:
@@ -98,15 +100,18 @@ _COUNTS = ", ".join(f"count(CASE WHEN l_linenumber = {k} THEN 1 END) AS n{k}" fo
 
 @query(f"SELECT {_join('l_partkey')} AS app_id, {_COUNTS}, count(CASE WHEN l_linenumber <= 5 THEN 1 END) AS total FROM lineitem GROUP BY l_partkey")
 def app_histogram(spark, sf_dir):
+    apps = _histograms(spark, sf_dir)
+    return apps.select("app_id", *[F.get("histogram", F.lit(k - 1)).alias(f"n{k}") for k in range(1, 6)], analytics.total(F.col("histogram")).alias("total"))
+
+
+def _histograms(spark, sf_dir) -> DataFrame:
     n = [F.count(F.when(F.col("l_linenumber") == k, 1)).alias(f"c{k}") for k in range(1, 6)]
     lines = _table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(*n)
     rows = E.array([[F.lit(k), F.col(f"c{k}")] for k in (5, 4, 3, 2, 1)])
     root = E.array({0: [F.lit("t")], 51: {1: rows}})
     body = E.page(E.script("ds:5", E.text(E.array({1: {2: root}}))))
     raw = lines.select(_app_id(F.col("l_partkey")).alias("app_id"), F.lit("en").alias("lang"), F.lit("us").alias("country"), body.alias("body"))
-    apps = tables.apps(raw)
-    wide = apps.select("app_id", *[F.get("histogram", F.lit(k - 1)).alias(f"n{k}") for k in range(1, 6)], F.aggregate("histogram", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
-    return wide
+    return tables.apps(raw)
 
 
 @query("SELECT page_id, regexp_replace(replace(replace(replace(html, '<br>', chr(10)), '<br/>', chr(10)), '<br />', chr(10)), '<[^>]*>', '', 'g') AS text FROM pages")
@@ -159,8 +164,8 @@ def _gather(rows: DataFrame, by: list[str], row: Column) -> DataFrame:
     return packed.select(*by, F.parse_json(joined).alias("apps"))
 
 
-def _container(place: int, apps: Column) -> Column:
-    return E.text(E.array([{1: [{0: {3: [F.lit("tok")]}, place: [apps]}]}]))
+def _container(place: int, apps: Column, token: Column | None = None) -> Column:
+    return E.text(E.array([{1: [{0: {3: [F.lit("tok") if token is None else token]}, place: [apps]}]}]))
 
 
 def _term(rows: DataFrame) -> DataFrame:
@@ -186,9 +191,12 @@ RANKED = f"WITH u AS ({PAGE1} UNION ALL {PAGE2}), r AS (SELECT *, row_number() O
 SHORT = ["term", "app_id", "title", "url", "developer_id", "summary", "price", "currency", "free"]
 
 
-@query(f"{RANKED} SELECT {', '.join(SHORT)} FROM r WHERE page_no = 0")
+@query(f"SELECT {', '.join(SHORT)} FROM ({PAGE1.removesuffix(' WHERE p_partkey % 2 = 0')})")
 def search_first_page(spark, sf_dir):
-    return tables.search_first(_search_first(spark, sf_dir)).select(*SHORT)
+    """All parts on the first pages of their terms."""
+    rows = _gather(_term(_parts(spark, sf_dir)), ["term"], E.array([_flat_row()]))
+    body = E.page(E.script("ds:1", F.lit("[]")), E.script("ds:4", _container(22, F.col("apps"))))
+    return tables.search_first(rows.select("term", F.lit(0).alias("page_no"), body.alias("body"))).select(*SHORT)
 
 
 @query(f"{RANKED} SELECT {', '.join(SHORT)} FROM r WHERE n <= 250")
@@ -201,6 +209,22 @@ def search_paid(spark, sf_dir):
     return relational.by_price(relational.search(_search_first(spark, sf_dir), _search_more(spark, sf_dir), 250), "PAID").select(*SHORT)
 
 
+@query(f"""WITH u AS (SELECT {TERM} AS term, p_partkey % 3 AS page_no, length({TERM}) % 4 AS k, {_join('p_partkey')} AS app_id, p_name AS title FROM part),
+  p AS (SELECT term, page_no, CASE WHEN page_no = 0 THEN k = 2 ELSE k = 0 OR k = 1 END AS ends, page_no = 1 AND k = 0 AS failed FROM (SELECT DISTINCT term, page_no, k FROM u)),
+  o AS (SELECT *, coalesce(bool_or(ends) OVER (PARTITION BY term ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM p)
+  SELECT u.term, CAST(u.page_no AS INTEGER) AS page_no, u.app_id, u.title FROM u JOIN o ON u.term = o.term AND u.page_no = o.page_no WHERE NOT o.over AND NOT o.failed""")
+def search_stops(spark, sf_dir):
+    """Three pages a term: for some the second is in error or has no token, for some the first has none."""
+    rows = _term(_parts(spark, sf_dir)).withColumn("page_no", (F.col("p_partkey") % 3).cast("int")).withColumn("k", F.length("term") % 4)
+    none = F.lit(None).cast("string")
+    first = _gather(rows.where("page_no = 0"), ["term", "k", "page_no"], E.array([_flat_row()]))
+    first = first.select("term", "page_no", E.page(E.script("ds:4", _container(22, F.col("apps"), F.when(F.col("k") == 2, none).otherwise(F.lit("tok"))))).alias("body"))
+    more = _gather(rows.where("page_no > 0"), ["term", "k", "page_no"], _batch_row())
+    inner = E.text(E.array([[{0: F.col("apps"), 7: [F.lit(0), F.when(F.col("k") < 2, none).otherwise(F.lit("tok2"))]}]]))
+    more = more.select("term", "page_no", F.when((F.col("k") == 0) & (F.col("page_no") == 1), F.lit("nonsense")).otherwise(E.response(inner)).alias("body"))
+    return relational.search(first, more, 1_000_000).select("term", "page_no", "app_id", "title")
+
+
 @query(f"SELECT {TERM} AS term, {_join('p_partkey')} AS app_id, p_name AS title FROM part")
 def search_deep(spark, sf_dir):
     """Containers that are not where they should be: found by the depth-first search."""
@@ -272,48 +296,63 @@ def list_fallback(spark, sf_dir):
     return relational.chart(tables.charts(_charts(spark, sf_dir, True)), "TOP_PAID", 60, ["category"]).select(*CHART_COLUMNS)
 
 
-@query(f"SELECT 'com.p' || CAST(a.p_partkey AS VARCHAR) AS source_app_id, 'com.p' || CAST(b.p_partkey AS VARCHAR) AS app_id, b.p_name AS title, '' AS score_text FROM part a JOIN part b ON a.p_brand = b.p_brand WHERE a.p_partkey % 20 = 1")
+@query("SELECT 'com.p' || CAST(a.p_partkey AS VARCHAR) AS source_app_id, 'com.p' || CAST(b.p_partkey AS VARCHAR) AS app_id, b.p_name AS title, '' AS score_text FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type")
 def similar(spark, sf_dir):
-    """Two hops: details pages of some parts name the cluster page of their brand."""
-    return _similar(spark, sf_dir, F.col("p_partkey") % 20 == 1)
+    """Two hops: details pages of all parts name the cluster page of their brand and type."""
+    return _similar(spark, sf_dir, ["p_brand", "p_type"])
 
 
 @query("SELECT 'com.p' || CAST(a.p_partkey AS VARCHAR) AS source_app_id, 'com.p' || CAST(b.p_partkey AS VARCHAR) AS app_id, b.p_name AS title, '' AS score_text FROM part a JOIN part b ON a.p_brand = b.p_brand")
 def similar_all(spark, sf_dir):
-    """The same for all parts."""
-    return _similar(spark, sf_dir, F.lit(True))
+    """The same with a cluster for each brand."""
+    return _similar(spark, sf_dir, ["p_brand"])
 
 
-def _similar(spark, sf_dir, sources: Column) -> DataFrame:
+def _similar(spark, sf_dir, by: list[str]) -> DataFrame:
     parts = _parts(spark, sf_dir)
+    cluster = F.concat(F.lit("/cluster?b="), F.concat_ws("_", *by))
     decoy = [{21: {1: [F.lit("More by"), F.lit(None).cast("string"), {4: {2: F.lit("/wrong")}}]}}]
-    hit = {21: {1: [F.lit("Similar apps"), F.lit(None).cast("string"), {4: {2: F.concat(F.lit("/cluster?b="), F.col("p_brand"))}}]}}
+    hit = {21: {1: [F.lit("Similar apps"), F.lit(None).cast("string"), {4: {2: cluster}}]}}
     body = E.page(E.script("ds:7", E.text(E.array({1: {1: decoy}}))), E.script("ds:8", E.text(E.array({1: {1: [*decoy, hit]}}))))
-    details = parts.where(sources).select(F.col("id").alias("app_id"), F.lit("en").alias("lang"), F.lit("us").alias("country"), body.alias("body"))
-    pages = _gather(parts, ["p_brand"], _flat_row()).select(F.concat(F.lit("https://play.google.com/cluster?b="), F.col("p_brand"), F.lit("&gl=us&hl=en")).alias("url"), E.page(E.script("ds:3", _container(21, F.col("apps")))).alias("body"))
+    details = parts.select(F.col("id").alias("app_id"), F.lit("en").alias("lang"), F.lit("us").alias("country"), body.alias("body"))
+    pages = _gather(parts, by, _flat_row()).select(F.concat(F.lit("https://play.google.com"), cluster, F.lit("&gl=us&hl=en")).alias("url"), E.page(E.script("ds:3", _container(21, F.col("apps")))).alias("body"))
     return relational.similar(details, pages).select("source_app_id", "app_id", "title", "score_text")
 
 
 @query(f"""{RANKED} SELECT r.term, r.app_id, CASE WHEN p.p_partkey % 5 = 0 THEN r.url ELSE '{STORE}' || r.app_id || '&hl=en&gl=us' END AS url, CASE WHEN p.p_partkey % 5 = 0 THEN r.price WHEN p.p_partkey % 7 = 0 OR p.p_partkey % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST({MICROS} AS DOUBLE) / 1e6 END AS price,
   CASE WHEN p.p_partkey % 5 = 0 THEN r.summary ELSE p.p_type END AS summary FROM r JOIN part p ON p.p_partkey = r.p_partkey WHERE n <= 250""")
 def enrich(spark, sf_dir):
-    """Details of four fifths of the results."""
-    return _enrich(spark, sf_dir, F.col("p_partkey") % 5 != 0)
+    """Details pages of all results; every fifth holds no app, and its result stays as it is."""
+    return _enrich(spark, sf_dir, F.col("p_partkey") % 5 == 0)
 
 
 @query(f"""{RANKED} SELECT r.term, r.app_id, '{STORE}' || r.app_id || '&hl=en&gl=us' AS url, CASE WHEN p.p_partkey % 7 = 0 OR p.p_partkey % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST({MICROS} AS DOUBLE) / 1e6 END AS price,
   p.p_type AS summary FROM r JOIN part p ON p.p_partkey = r.p_partkey WHERE n <= 250""")
 def enrich_all(spark, sf_dir):
     """Details of all results."""
-    return _enrich(spark, sf_dir, F.lit(True))
+    return _enrich(spark, sf_dir, F.lit(False))
 
 
-def _enrich(spark, sf_dir, detailed: Column) -> DataFrame:
+def _enrich(spark, sf_dir, missing: Column) -> DataFrame:
     results = relational.search(_search_first(spark, sf_dir), _search_more(spark, sf_dir), 250)
-    apps = tables.apps(_details(_parts(spark, sf_dir).where(detailed)))
+    apps = tables.apps(_details(_parts(spark, sf_dir), missing=missing))
     return relational.enrich(results, apps).select("term", "app_id", "url", "price", "summary")
 
 
+@query(f"""SELECT {TERM} AS term, lang, country, {_join('p_partkey')} AS app_id, p_name || ' ' || lang AS title, '{STORE}com.p' || CAST(p_partkey AS VARCHAR) || '&hl=' || lang || '&gl=' || country AS url
+  FROM part, (VALUES ('en', 'us'), ('de', 'de')) l(lang, country)""")
+def enrich_locales(spark, sf_dir):
+    """Two locales in one raw store: a result takes the details of its own, the latest of two fetches."""
+    locales = F.explode(F.array(*[F.struct(F.lit(a).alias("lang"), F.lit(b).alias("country")) for a, b in (("en", "us"), ("de", "de"))]))
+    parts = _term(_parts(spark, sf_dir)).select("*", locales.alias("l")).select("*", "l.lang", "l.country")
+    rows = _gather(parts, ["term", "lang", "country"], E.array([_flat_row()]))
+    results = tables.search_first(rows.select("term", "lang", "country", E.page(E.script("ds:4", _container(22, F.col("apps")))).alias("body")))
+    title = F.concat("p_name", F.lit(" "), "lang")
+    details = _details(parts, title=title, lang=F.col("lang"), country=F.col("country"))
+    older = _details(parts, title=F.lit("old"), updated=F.lit(-1), lang=F.col("lang"), country=F.col("country"))
+    return relational.enrich(results, tables.apps(older.unionByName(details))).select("term", "lang", "country", "app_id", "title", "url")
+
+
 # reviews ----------------------------------------------------------------------------------------------------
 
 
@@ -353,6 +392,13 @@ def reviews_parse(spark, sf_dir):
     return _shown(tables.reviews(_paged(spark, sf_dir)))
 
 
+@query(f"SELECT {', '.join('CASE WHEN event_id % 7 = 0 THEN NULL ELSE ' + c + ' END AS ' + c if c in ('date_ms', 'reply_ms') else c for c in REVIEW_COLUMNS)} FROM ({REVIEW})")
+def reviews_bad_time(spark, sf_dir):
+    """Some reviews hold a time that no calendar has: it is missing, and the job goes on."""
+    bad = F.when(F.col("event_id") % 7 == 0, F.lit(10**17)).otherwise(F.col("seconds"))
+    return _shown(tables.reviews(_review_pages(_events(spark, sf_dir).withColumn("seconds", bad), ["app_id"], F.floor(F.col("event_id") / 500))))
+
+
 @query(f"SELECT app_id, page_no, 'ok' AS status, CASE WHEN page_no < max(page_no) OVER (PARTITION BY app_id) THEN 't' || CAST(page_no AS VARCHAR) ELSE '' END AS next_token FROM (SELECT DISTINCT app_id, CAST(page_no AS INTEGER) AS page_no FROM ({REVIEW}))")
 def reviews_tokens(spark, sf_dir):
     return tables.review_pages(_paged(spark, sf_dir)).select("app_id", "page_no", "status", "next_token")
@@ -404,9 +450,9 @@ def score_stats(spark, sf_dir):
     return analytics.score_stats(tables.reviews(_paged(spark, sf_dir)), ["app_id"]).withColumn("avg_score", F.round("avg_score", 6))
 
 
-@query(f"SELECT s.score, count(r.score) AS n, round(100.0 * count(r.score) / sum(count(r.score)) OVER (), 1) AS percent FROM (SELECT CAST(unnest(range(1, 6)) AS BIGINT) AS score) s LEFT JOIN (SELECT * FROM ({REVIEW}) WHERE score <> 2) r ON r.score = s.score GROUP BY s.score")
+@query(f"SELECT s.score, count(r.score) AS n, round(100.0 * count(r.score) / sum(count(r.score)) OVER (), 1) AS percent FROM (SELECT CAST(unnest(range(1, 6)) AS BIGINT) AS score) s LEFT JOIN ({REVIEW}) r ON r.score = s.score GROUP BY s.score")
 def score_distribution(spark, sf_dir):
-    return analytics.score_distribution(tables.reviews(_paged(spark, sf_dir)).where("score <> 2"))
+    return analytics.score_distribution(tables.reviews(_paged(spark, sf_dir)))
 
 
 @query(f"SELECT s.score, count(r.score) AS n, round(100.0 * count(r.score) / sum(count(r.score)) OVER (), 1) AS percent FROM (SELECT CAST(unnest(range(1, 6)) AS BIGINT) AS score) s LEFT JOIN ({REVIEW}) r ON r.score = s.score GROUP BY s.score")
@@ -426,6 +472,22 @@ def latest_reviews(spark, sf_dir):
     return analytics.latest(tables.reviews(_paged(spark, sf_dir)), 5, ["app_id"]).drop("date")
 
 
+_STARS = ", ".join([f"count(CASE WHEN score = {k} THEN 1 END) AS n{k}" for k in range(5, 0, -1)] + [f"round(100.0 * count(CASE WHEN score = {k} THEN 1 END) / count(*), 1) AS percent{k}" for k in range(5, 0, -1)])
+
+
+@query(f"""WITH r AS ({REVIEW}), l AS (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY date_ms DESC, id) AS k FROM r)
+  SELECT a.*, l.date_ms AS latest_ms, l.score AS latest_score, l.user_name AS latest_user, l.text AS latest_text
+  FROM (SELECT app_id, count(*) AS n_reviews, round(avg(score), 2) AS avg_score, {_STARS} FROM r GROUP BY app_id) a JOIN l ON a.app_id = l.app_id AND l.k = 1""")
+def review_report(spark, sf_dir):
+    rows = analytics.report(tables.reviews(_paged(spark, sf_dir)))
+    return rows.withColumn("latest_ms", F.unix_millis("latest_date")).drop("latest_date")
+
+
+@query("SELECT p_name AS title, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
+def repeated_titles(spark, sf_dir):
+    return analytics.repeated(tables.apps(_details(_parts(spark, sf_dir))), "title")
+
+
 @query("SELECT count(DISTINCT p_brand) AS n_developers FROM part")
 def distinct_developers(spark, sf_dir):
     return analytics.distinct_developers(tables.apps(_details(_parts(spark, sf_dir))))
@@ -498,6 +560,66 @@ def request_urls(spark, sf_dir):
     return rows.select("p_partkey", requests.search(F.col("p_name"), en, us, price).alias("search_url"), requests.developer(dev, en, us).alias("developer_url"))
 
 
+def _form(payload: str) -> str:
+    return f"'f.req=' || url_encode({payload})"
+
+
+_TOKEN = """CASE WHEN p_partkey % 2 = 0 THEN ',null,\\"t' || CAST(p_partkey AS VARCHAR) || '\\"' ELSE '' END"""
+_SCORE = "CASE WHEN p_partkey % 7 BETWEEN 1 AND 5 THEN CAST(p_partkey % 7 AS VARCHAR) ELSE 'null' END"
+_REVIEWS = f"""'[[["oCPfdb","[null,[2,' || CAST(1 + p_partkey % 3 AS VARCHAR) || ',[' || CAST(least(p_size * 10, 150) AS VARCHAR) || {_TOKEN} || '],null,[null,' || {_SCORE} || ']],[\\"com.p' || CAST(p_partkey AS VARCHAR) || '\\",7]]",null,"generic"]]]'"""
+_MORE = """'[[["qnKhOb","[[null,[[10,[10,50]],true,null,[96,27,4,8,57,30,110,79,11,16,49,1,3,9,12,104,55,56,51,10,34,77]],[null,\\"t' || CAST(p_partkey AS VARCHAR) || '\\"]]",null,"generic"]]]'"""
+_PERMISSIONS = """'[[["xdSrCf","[[null,[\\"com.p' || CAST(p_partkey AS VARCHAR) || '\\",7],[]]]",null,"1"]]]'"""
+_SUGGEST = """'[[["IJ4APc","[[null,[\\"' || split_part(p_name, ' ', 1) || '\\"],[10],[2],4]]"]]]'"""
+
+
+@query(f"""SELECT p_partkey, {_form(_REVIEWS)} AS reviews, {_form(_MORE)} AS search_more, {_form(_PERMISSIONS)} AS permissions, {_form(_SUGGEST)} AS suggest,
+  'https://play.google.com/store/apps/' || CASE p_partkey % 3 WHEN 0 THEN 'top' WHEN 1 THEN 'top' ELSE 'category/TOOLS' END || '?hl=de&gl=at' || CASE WHEN p_partkey % 2 = 0 THEN '&age=AGE_RANGE1' ELSE '' END AS chart FROM part""")
+def request_bodies(spark, sf_dir):
+    """Bodies of calls and addresses of charts: page sizes, sort codes, score filters, tokens, sections."""
+    from ..sources import requests
+
+    key, even = F.col("p_partkey"), F.col("p_partkey") % 2 == 0
+    token = F.concat(F.lit("t"), key.cast("string"))
+    category = F.when(key % 3 == 0, "APPLICATION").when(key % 3 == 1, "GAME").otherwise("TOOLS")
+    return _parts(spark, sf_dir).select(
+        "p_partkey",
+        requests.reviews(F.col("id"), 1 + key % 3, F.col("p_size") * 10, (key % 7).cast("int"), F.when(even, token).otherwise(F.lit(""))).alias("reviews"),
+        requests.search_more(token).alias("search_more"), requests.permissions(F.col("id")).alias("permissions"), requests.suggest(F.substring_index("p_name", " ", 1)).alias("suggest"),
+        requests.chart(category, F.when(even, "AGE_RANGE1").otherwise(F.lit("")), F.lit("de"), F.lit("at")).alias("chart"),
+    )
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 8 = 7 THEN 'ok' ELSE 'error' END AS strict, CASE WHEN event_id % 8 IN (2, 3, 4) THEN 'empty' WHEN event_id % 8 = 7 THEN 'ok' ELSE 'error' END AS tolerant FROM events""")
+def envelope_errors(spark, sf_dir):
+    """Bodies that are empty, no JSON, without rows, short, without an inner text, or with a malformed one."""
+    from ..functions.payload import envelope
+
+    inner = F.to_json(E.array([F.col("event_id")]))
+    bodies = ["", "nonsense", ")]}'\n[]", ")]}'\n[[\"a\",\"b\"]]", ")]}'\n[[\"a\",\"b\",null]]", ")]}'\n[[\"a\",\"b\",\"[1\"]]", ")]}'\n[1]"]
+    body = E.response(inner)
+    for k, b in enumerate(bodies):
+        body = F.when(F.col("event_id") % 8 == k, F.lit(b)).otherwise(body)
+    rows = _table(spark, sf_dir, "events").select("event_id", body.alias("body"))
+    return rows.select("event_id", envelope(F.col("body"), False)["status"].alias("strict"), envelope(F.col("body"), True)["status"].alias("tolerant"))
+
+
+@query("""SELECT event_id, regexp_replace(CAST(value AS VARCHAR), '[.]0$', '') AS number, CASE WHEN event_id = 0 THEN '0' ELSE left(d, 1) || CASE WHEN length(d) > 1 THEN '.' || substr(d, 2) ELSE '' END || 'e+' || lpad(CAST(length(CAST(event_id AS VARCHAR)) + 5 AS VARCHAR), 2, '0') END AS large,
+  CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END AS flag, event_type AS text, '' AS none, '[' || CAST(event_id AS VARCHAR) || ']' AS list FROM (SELECT *, rtrim(CAST(event_id AS VARCHAR), '0') AS d FROM events)""")
+def loose_text(spark, sf_dir):
+    """Values of any kind as text."""
+    from ..functions.variant import to_string
+
+    rows = _table(spark, sf_dir, "events")
+    doc = F.to_json(E.array([F.col("value"), F.col("event_id") * 1_000_000, F.col("event_id") % 2 == 0, F.col("event_type"), F.lit(None).cast("string"), [F.col("event_id")]]))
+    names = ("number", "large", "flag", "text", "none", "list")
+    return rows.select("event_id", strict(doc).alias("v")).select("event_id", *[to_string(path(F.col("v"), k)).alias(x) for k, x in enumerate(names)])
+
+
+@query(f"SELECT {_join('l_partkey')} AS app_id, count(CASE WHEN l_linenumber <= 5 THEN 1 END) AS total FROM lineitem GROUP BY l_partkey")
+def histogram_totals(spark, sf_dir):
+    return analytics.histogram_total(_histograms(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -30,5 +30,9 @@ def write_json_lines(documents: DataFrame, path: str, mode: str = "errorifexists
     documents.select("json").write.mode(mode).text(path)
 
 
-def dated_name(name: str, day: str) -> str:
-    return f"{name}_{day}.json"
+def report_lines(report: DataFrame) -> DataFrame:
+    """``app_id, line``: each row of ``analytics.report`` as one text of several lines."""
+    shares = [F.format_string(f"    {k} star: %d (%.1f%%)", f"n{k}", f"percent{k}") for k in (5, 4, 3, 2, 1)]
+    latest = [F.format_string("  Date: %s", F.coalesce(F.date_format("latest_date", "yyyy-MM-dd"), F.lit("0001-01-01"))), F.format_string("  Score: %d", "latest_score"), F.format_string("  User: %s", "latest_user"), F.format_string("  Text: %s", "latest_text")]
+    head = [F.format_string("Reviews: %d", "n_reviews"), F.lit("Stats:"), F.format_string("  Average score: %.2f", "avg_score"), F.lit("  Score distribution:")]
+    return report.select("app_id", F.concat_ws("\n", *head, *shares, F.lit("Latest review:"), *latest).alias("line"))

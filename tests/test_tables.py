@@ -47,7 +47,7 @@ def test_app_page_error_and_zero_values(spark):
     df = raw(spark, "app_id string, lang string, country string, body string", ("a", "en", "us", good), ("b", "en", "us", "<html></html>"))
     (app,) = tables.apps(df).collect()
     assert (app.app_id, app.title, app.score, app.ratings, app.free, app.price, app.histogram, app.screenshots, app.categories, app.available) == ("a", "Title", 0.0, 0, True, 0.0, [0] * 5, [], [], True)
-    assert len(app) == 38
+    assert len(app) == 40 and (app.lang, app.country) == ("en", "us")
     assert [r.app_id for r in tables.app_errors(df).collect()] == ["b"]
 
 
