@@ -53,7 +53,11 @@ def app_errors(raw: DataFrame) -> DataFrame:
     return raw.where(app_root(F.col("body")).isNull()).select("app_id", F.lit("app data not found").alias("error"))
 
 
-def _find_apps(data: object) -> list | None:
+# Where the results of a first page of a search may be: blocks and, in them, containers, in this order.
+SEARCH_BLOCKS, SEARCH_CONTAINERS = ("ds:4", "ds:3", "ds:1"), (22, 21, 0)
+
+
+def find_apps(data: object) -> list | None:
     """Depth-first, arrays only: the first array with a child that looks like an app."""
 
     def walk(v: object, *steps: int) -> object:
@@ -82,7 +86,7 @@ def _find_apps(data: object) -> list | None:
 
 def _find_apps_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        yield texts.map(lambda t: json.dumps(found) if t is not None and (found := _find_apps(json.loads(t))) is not None else None)
+        yield texts.map(lambda t: json.dumps(found) if t is not None and (found := find_apps(json.loads(t))) is not None else None)
 
 
 def _typed(array: Column, row: Callable[[Column], Column], key: str) -> Column:
@@ -102,9 +106,9 @@ def search_first_pages(raw: DataFrame) -> DataFrame:
 
     Where the usual containers are empty, arrays are searched depth-first. A page without its block has no items.
     """
-    data = F.coalesce(*[block_of(F.col("_blocks"), k) for k in ("ds:4", "ds:3", "ds:1")])
+    data = F.coalesce(*[block_of(F.col("_blocks"), k) for k in SEARCH_BLOCKS])
     parsed = once(raw.withColumn("_blocks", blocks(F.col("body"))), "_s", F.struct(data.alias("data"))).withColumn("_data", F.col("_s.data"))
-    usual = F.coalesce(*[F.when(F.size(a) > 0, a) for k in (22, 21, 0) for a in [items(path(F.col("_data"), 0, 1, 0, k, 0))]])
+    usual = F.coalesce(*[F.when(F.size(a) > 0, a) for k in SEARCH_CONTAINERS for a in [items(path(F.col("_data"), 0, 1, 0, k, 0))]])
     parsed = parsed.withColumn("_usual", usual)
     found = parsed.withColumn("_deep", F.pandas_udf(_find_apps_json, "string")(F.when(F.col("_usual").isNull(), F.to_json("_data"))))
     token = to_string(path(F.col("_data"), 0, 1, 0, 0, 3, 0))

@@ -1,11 +1,14 @@
-"""A Python data source that fetches bodies: one partition per request, pages within it one after the other.
-
-Options: ``kind`` (page, form, search or reviews), ``url`` or ``urls`` (JSON list), ``body``, ``userAgent``, ``timeout``
-(seconds), ``throttleMs`` (least time between two requests of a partition; for a global limit use one partition),
-``lang``. For reviews: ``appId``, ``sort``, ``count`` (the total), ``scores`` (such as ``1,2,3,4,5``).
-``token`` starts behind a page. For a search: ``moreUrl`` (where further pages are asked for) and ``count``.
-A filter ``score_query = k`` is pushed down: only that rating is asked for.
-Any status but 200 is an error; there is no retry. Errors are rows: ``status``, ``error``.
+"""A Python data source that fetches bodies: requests are dealt over partitions, the pages of one come one after the other.
+
+Options: ``kind`` (page, form, search or reviews), ``url`` or ``urls`` (JSON list), ``body``, ``contentType``, ``userAgent``,
+``timeout`` (seconds), ``throttleMs`` (least time between two requests; all requests are then one partition),
+``notBefore`` (seconds since 1970: no request earlier). For reviews: ``appId``, ``sort``, ``count`` (the total), ``pageSize``,
+``pages`` (at most so many for each rating), ``scores`` (such as ``1,2,3,4,5``). ``token`` starts behind a page. For a
+search: ``moreUrl`` (where further pages are asked for) and ``count``.
+
+A filter ``score_query = k`` is pushed down: only that rating is asked for. Only rows that count towards a total are
+counted: reviews with an id, results with an app id. Any status but 200 is an error; there is no retry. Errors are
+rows: ``status``, ``error``. ``at`` is the time of the request.
 """
 
 from __future__ import annotations
@@ -14,42 +17,53 @@ import json
 import re
 import time
 import urllib.error
-import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
+from ..functions.payload import BLOCK
+from ..functions.text import PREFIXES
+from ..operators.tables import SEARCH_BLOCKS, SEARCH_CONTAINERS, find_apps
 from ..schemas import BASE_URL, PAGE_MOST
-from .requests import SEARCH_FIELDS
+from . import requests
 
+# What the requests say about the client.
 USER_AGENT = "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36"
-SCHEMA = "request string, app_id string, score_query int, page_no int, status int, error string, body string"
+GET_HEADERS = {"Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8", "Accept-Language": "en-US,en;q=0.9"}
+POST_HEADERS = {"Accept": "*/*"}
+#: Requests without a throttle are dealt over at most so many partitions.
+PARTITIONS = 64
+FORM, FORM_UTF8 = "application/x-www-form-urlencoded", "application/x-www-form-urlencoded;charset=UTF-8"
+
+SCHEMA = "request string, app_id string, score_query int, page_no int, status int, error string, body string, at double"
 
 
-class Request(InputPartition):
-    def __init__(self, url: str, body: str | None = None, app_id: str = "", score: int = 0):
-        self.url, self.body, self.app_id, self.score = url, body, app_id, score
+class Requests(InputPartition):
+    """Requests that are made one after the other: (address, body, app id, rating)."""
+
+    def __init__(self, *requests: tuple):
+        self.requests = requests
 
 
 class Throttle:
-    """At least ``wait`` seconds between two calls."""
+    """At least ``wait`` seconds between two calls, the first not before a given time."""
 
-    def __init__(self, wait: float):
-        self.wait, self.last = wait, None
+    def __init__(self, wait: float, first: float = 0):
+        self.wait, self.next = wait, first
 
-    def __call__(self) -> None:
-        if self.wait and self.last is not None and (rest := self.last + self.wait - time.monotonic()) > 0:
+    def __call__(self) -> float:
+        if (rest := self.next - time.time()) > 0:
             time.sleep(rest)
-        self.last = time.monotonic()
+        now = time.time()
+        self.next = now + self.wait
+        return now
 
 
-def fetch(url: str, body: str | None, agent: str, timeout: float, lang: str) -> tuple[int, str, str | None]:
+def fetch(url: str, body: str | None, agent: str, timeout: float, content: str) -> tuple[int, str, str | None]:
     """Status, text and error of one request; a body makes it a form."""
-    headers = {"User-Agent": agent, "Accept-Language": lang, "Accept": "*/*"}
-    if body is not None:
-        headers["Content-Type"] = "application/x-www-form-urlencoded;charset=UTF-8"
+    headers = {"User-Agent": agent} | (GET_HEADERS if body is None else POST_HEADERS | {"Content-Type": content})
     try:
         with urllib.request.urlopen(urllib.request.Request(url, body.encode() if body is not None else None, headers), timeout=timeout) as answer:
             return answer.status, answer.read().decode(errors="replace"), None if answer.status == 200 else f"unexpected status {answer.status}"
@@ -59,54 +73,59 @@ def fetch(url: str, body: str | None, agent: str, timeout: float, lang: str) ->
         return 0, "", str(e)
 
 
-def review_form(app_id: str, sort: int, count: int, score: int, token: str) -> str:
-    page = [count, None, token] if token else [count]
-    inner = json.dumps([None, [2, sort, page, None, [None, score if 1 <= score <= 5 else None]], [app_id, 7]], separators=(",", ":"))
-    return "f.req=" + urllib.parse.quote_plus(json.dumps([[["oCPfdb", inner, None, "generic"]]], separators=(",", ":")))
+def walk(data, *steps):
+    for i in steps:
+        data = data[i] if isinstance(data, list) and i < len(data) else data.get(str(i)) if isinstance(data, dict) else None
+    return data
 
 
-def search_form(token: str) -> str:
-    return "f.req=" + urllib.parse.quote_plus(f'[[["qnKhOb","[[null,[{SEARCH_FIELDS}],[null,\\"{token}\\"]]",null,"generic"]]]')
+def inner(body: str):
+    """The inner document of a response; None if there is none."""
+    try:
+        return json.loads(json.loads(body[body.find("\n") + 1 :])[0][2])
+    except (ValueError, TypeError, IndexError, KeyError):
+        return None
 
 
-def walk(data, *steps):
-    for i in steps:
-        data = data[i] if isinstance(data, list) and i < len(data) else None
-    return data
+def _text(value) -> str:
+    return value if isinstance(value, str) else ""
+
+
+def _package(row) -> bool:
+    """Does a result of a first page keep its app id?"""
+    row = row[0] if isinstance(row, list) and len(row) == 1 and isinstance(row[0], list) else row
+    for steps in ((0, 0, 0, 0), (0, 0, 0), (0, 0)):
+        head, dot, rest = _text(walk(row, *steps)).partition(".")
+        if dot and rest and head in PREFIXES:
+            return True
+    return False
 
 
 def search_page_info(body: str) -> tuple[int, str]:
-    """The same for a first page of a search: its token stands in the first of three blocks that is there."""
+    """Number of results and token of a first page of a search, where its blocks and containers may be."""
     blocks = {}
-    for key, data in re.findall(r"AF_initDataCallback\(\{key:\s*'(ds:\d+)'.*?data:(.*?), sideChannel:", body):
+    for key, data in re.findall(BLOCK, body):
         try:
             blocks[key] = json.loads(data.strip())
         except ValueError:
             continue
-    data = next((blocks[k] for k in ("ds:4", "ds:3", "ds:1") if k in blocks), None)
-    rows = next((r for p in (22, 21, 0) if isinstance(r := walk(data, 0, 1, 0, p, 0), list) and r), [])
-    token = walk(data, 0, 1, 0, 0, 3, 0)
-    return len(rows), token if isinstance(token, str) else ""
+    data = next((blocks[k] for k in SEARCH_BLOCKS if k in blocks), None)
+    rows = next((r for p in SEARCH_CONTAINERS if isinstance(r := walk(data, 0, 1, 0, p, 0), list) and r), None) or find_apps(data) or []
+    return sum(map(_package, rows)), _text(walk(data, 0, 1, 0, 0, 3, 0))
 
 
 def batch_info(body: str) -> tuple[int, str]:
     """The same for a further page of a search."""
-    try:
-        data = json.loads(json.loads(body[body.find("\n") + 1 :])[0][2])
-    except (ValueError, TypeError, IndexError, KeyError):
-        return 0, ""
-    rows, token = walk(data, 0, 0, 0), walk(data, 0, 0, 7, 1)
-    return len(rows) if isinstance(rows, list) else 0, token if isinstance(token, str) else ""
+    data = inner(body)
+    rows = walk(data, 0, 0, 0)
+    return sum(walk(r, 12, 0) not in (None, "") for r in rows) if isinstance(rows, list) else 0, _text(walk(data, 0, 0, 7, 1))
 
 
 def page_info(body: str) -> tuple[int, str]:
-    """Number of rows and continuation token of a review page; a malformed page has neither."""
-    try:
-        data = json.loads(json.loads(body[body.find("\n") + 1 :])[0][2])
-        token = data[1][1] if len(data) > 1 and isinstance(data[1], list) and len(data[1]) > 1 else ""
-        return len(data[0] or []), token if isinstance(token, str) else ""
-    except (ValueError, TypeError, IndexError, KeyError):
-        return 0, ""
+    """Number of reviews and token of a review page; a malformed page has neither."""
+    data = inner(body)
+    rows = walk(data, 0)
+    return sum(isinstance(r, list) and bool(_text(walk(r, 0))) for r in rows) if isinstance(rows, list) else 0, _text(walk(data, 1, 1))
 
 
 class Reader(DataSourceReader):
@@ -123,43 +142,54 @@ class Reader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Request]:
+    def partitions(self) -> list[Requests]:
         get = self.get
         if get("kind", "page") != "reviews":
             urls = json.loads(get("urls")) if get("urls") else [get("url")]
-            return [Request(u, get("body") if get("kind") == "form" else None) for u in urls]
-        if not get("appId"):
-            raise ValueError("app id is required")
-        asked = [int(x) for x in get("scores", "0").split(",")]
-        url = get("url", f"{BASE_URL}/_/PlayStoreUi/data/batchexecute?hl={get('lang', 'en')}&gl={get('country', 'us')}")
-        return [Request(url, None, get("appId"), s) for s in asked if self.scores is None or s in self.scores]
-
-    def read(self, request: Request) -> Iterator[tuple]:
+            asked = [(u, get("body") if get("kind") == "form" else None, None, None) for u in urls]
+        else:
+            if not get("appId"):
+                raise ValueError("app id is required")
+            url = get("url", f"{requests.RPC}?hl={get('lang', 'en')}&gl={get('country', 'us')}")
+            scores = [int(x) for x in get("scores", "0").split(",")]
+            asked = [(url, None, get("appId"), s) for s in scores if self.scores is None or s in self.scores]
+        n = 1 if float(get("throttleMs", 0)) > 0 else min(len(asked), PARTITIONS)
+        return [Requests(*asked[k::n]) for k in range(n)]
+
+    def read(self, part: Requests) -> Iterator[tuple]:
+        throttle = Throttle(float(self.get("throttleMs", 0)) / 1000, float(self.get("notBefore", 0)))
+        pages = {"search": self.search, "reviews": self.reviews}.get(self.get("kind", "page"), self.single)
+        for url, body, app_id, score in part.requests:
+            yield from pages(throttle, url, body, app_id, score)
+
+    def ask(self, throttle: Throttle, url: str, body: str | None) -> tuple:
+        """Time, status, text and error of one request."""
         get = self.get
-        throttle, agent = Throttle(float(get("throttleMs", 0)) / 1000), get("userAgent", USER_AGENT)
-        timeout, lang = float(get("timeout", 30)), get("lang", "en")
-        if get("kind", "page") == "search":
-            left, page, url, form = int(get("count", 20)), 0, request.url, None
-            while True:
-                throttle()
-                status, body, error = fetch(url, form, agent, timeout, lang)
-                yield request.url, None, None, page, status, error, body
-                rows, token = search_page_info(body) if page == 0 else batch_info(body)
-                left, page, url, form = left - rows, page + 1, get("moreUrl"), search_form(token)
-                if error or left <= 0 or not token or not rows:
-                    return
-        if get("kind", "page") != "reviews":
-            throttle()
-            status, body, error = fetch(request.url, request.body, agent, timeout, lang)
-            yield request.url, None, None, 0, status, error, body
-            return
-        left, token, page = int(get("count", 500)), get("token", "") or "", 0
-        while left > 0:
-            throttle()
-            form = review_form(request.app_id, int(get("sort", 2)), PAGE_MOST, request.score, token)
-            status, body, error = fetch(request.url, form, agent, timeout, lang)
-            yield request.url, request.app_id, request.score, page, status, error, body
-            rows, token = page_info(body)
+        return throttle(), *fetch(url, body, get("userAgent", USER_AGENT), float(get("timeout", 30)), get("contentType", FORM))
+
+    def single(self, throttle, url, body, app_id, score) -> Iterator[tuple]:
+        at, status, text, error = self.ask(throttle, url, body)
+        yield url, app_id, score, 0, status, error, text, at
+
+    def search(self, throttle, url, body, app_id, score) -> Iterator[tuple]:
+        left, page, address, form, before = int(self.get("count", 20)), 0, url, None, None
+        while True:
+            at, status, text, error = self.ask(throttle, address, form)
+            yield url, app_id, score, page, status, error, text, at
+            rows, token = batch_info(text) if page else search_page_info(text)
+            left, page, address, form = left - rows, page + 1, self.get("moreUrl"), requests.form(requests.SEARCH_BODY, token=token)
+            if error or left <= 0 or not token or (not rows and token == before):  # a page that only repeats its token leads nowhere
+                return
+            before = token
+
+    def reviews(self, throttle, url, body, app_id, score) -> Iterator[tuple]:
+        get = self.get
+        left, token, page, most = int(get("count", 500)), get("token", "") or "", 0, int(get("pages", 1 << 31))
+        while left > 0 and page < most:
+            form = requests.reviews_form(app_id, int(get("sort", 2)), int(get("pageSize", PAGE_MOST)), score, token)
+            at, status, text, error = self.ask(throttle, url, form)
+            yield url, app_id, score, page, status, error, text, at
+            rows, token = page_info(text)
             left, page = left - rows, page + 1
             if error or not rows or not token:
                 return
