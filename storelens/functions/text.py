@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .variant import array_path, items, let, number_only, path, text_only, to_long
+from .variant import array_path, items, let, numbers_only, path, text_only, to_long
 
 # Heads of package names, and the spellings of a line break.
 PREFIXES = ("com", "org", "io", "me", "net", "app", "dev")
@@ -27,7 +27,10 @@ def timestamp(v: Column) -> Column:
 
     Times outside the years 1 to 9999 are NULL.
     """
-    seconds, parts = number_only(array_path(v, 0)), number_only(array_path(v, 1))
+    return let(numbers_only(v, (0,), (1,)), lambda n: moment(F.get(n, F.lit(0)), F.get(n, F.lit(1))))
+
+
+def moment(seconds: Column, parts: Column) -> Column:
     extra = F.coalesce(F.left(parts.cast("string"), F.lit(3)).try_cast("bigint"), F.lit(0))
     return let(F.try_add(F.try_multiply(seconds, F.lit(1000)), extra), lambda t: F.when(t.between(*YEARS), F.timestamp_millis(t)))
 

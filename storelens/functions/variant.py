@@ -5,6 +5,8 @@ A missing value is SQL NULL inside these functions; the coercions turn it into t
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,24 +50,38 @@ def _present(v: Column) -> Column:
     return let(v, lambda x: F.when(~F.is_variant_null(x), x))
 
 
+def _indices(steps: Sequence[int]) -> str:
+    return "$" + "".join(f"[{i}]" for i in steps)
+
+
+def _step(at: Column, i: Column) -> Column:
+    name = i.cast("string")
+    by_key = F.variant_get(at, F.concat(F.lit("$['"), name, F.lit("']")), "variant")
+    return F.coalesce(F.variant_get(at, F.concat(F.lit("$["), name, F.lit("]")), "variant"), by_key)
+
+
+def paths(v: Column, *many: Sequence[int]) -> Column:
+    """``path`` for each of several, as an array: one expression, however many there are."""
+    rows = F.expr("array(" + ", ".join(f"named_struct('quick', '{_indices(p)}', 'steps', array({', '.join(map(str, p))}))" for p in many) + ")")
+    return F.transform(rows, lambda p: _present(F.coalesce(F.variant_get(v, p["quick"], "variant"), F.aggregate(p["steps"], v, _step))))
+
+
+def array_paths(v: Column, *many: Sequence[int]) -> Column:
+    """``array_path`` for each of several, as an array."""
+    rows = F.expr("array(" + ", ".join(f"'{_indices(p)}'" for p in many) + ")")
+    return F.transform(rows, lambda p: _present(F.variant_get(v, p, "variant")))
+
+
 def path(v: Column, *steps: int) -> Column:
     """Walk index steps: an array by place, an object by the step as its key; NULL when a step fails or ends in null."""
     if not steps:
         return _present(v)
-    quick = F.variant_get(v, "$" + "".join(f"[{i}]" for i in steps), "variant")
-
-    def step(at: Column, i: Column) -> Column:
-        name = i.cast("string")
-        by_key = F.variant_get(at, F.concat(F.lit("$['"), name, F.lit("']")), "variant")
-        return F.coalesce(F.variant_get(at, F.concat(F.lit("$["), name, F.lit("]")), "variant"), by_key)
-
-    slow = F.aggregate(F.array(*map(F.lit, steps)), v, step)
-    return _present(F.coalesce(quick, slow))
+    return _present(F.coalesce(F.variant_get(v, _indices(steps), "variant"), F.aggregate(F.array(*map(F.lit, steps)), v, _step)))
 
 
 def array_path(v: Column, *steps: int) -> Column:
     """Walk arrays only."""
-    return _present(F.variant_get(v, "$" + "".join(f"[{i}]" for i in steps), "variant"))
+    return _present(F.variant_get(v, _indices(steps), "variant"))
 
 
 def _number_text(d: Column) -> Column:
@@ -92,12 +108,23 @@ def _number_text(d: Column) -> Column:
 
 def to_string(v: Column) -> Column:
     """Text as it is, other scalars in their usual form, '' for none; arrays and objects as JSON."""
+    return let(v, _string)
 
-    def of(x: Column) -> Column:
-        number = let(F.try_variant_get(x, "$", "double"), _number_text)
-        return F.when(is_string(x) | (kind(x) == "BOOLEAN"), F.try_variant_get(x, "$", "string")).when(is_number(x), number).when(kind(x) != "VOID", F.to_json(x))
 
-    return F.coalesce(let(v, of), F.lit(""))
+def _string(x: Column) -> Column:
+    number = let(F.try_variant_get(x, "$", "double"), _number_text)
+    found = F.when(is_string(x) | (kind(x) == "BOOLEAN"), F.try_variant_get(x, "$", "string")).when(is_number(x), number).when(kind(x) != "VOID", F.to_json(x))
+    return F.coalesce(found, F.lit(""))
+
+
+def strings(v: Column, *many: Sequence[int]) -> Column:
+    """``to_string`` of each of several paths, as an array."""
+    return F.transform(paths(v, *many), _string)
+
+
+def longs(v: Column, *many: Sequence[int]) -> Column:
+    """``to_long`` of each of several paths, as an array."""
+    return F.transform(paths(v, *many), _long)
 
 
 def _as_long(d: Column) -> Column:
@@ -111,11 +138,12 @@ def _parsed_long(text: Column) -> Column:
 
 def to_long(v: Column) -> Column:
     """A number cut to its whole part; text of digits, at most the largest value; 0 for anything else."""
+    return let(v, _long)
 
-    def of(x: Column) -> Column:
-        return F.when(is_number(x), _as_long(F.try_variant_get(x, "$", "double"))).when(is_string(x), let(F.try_variant_get(x, "$", "string"), _parsed_long))
 
-    return F.coalesce(let(v, of), F.lit(0)).cast("long")
+def _long(x: Column) -> Column:
+    found = F.when(is_number(x), _as_long(F.try_variant_get(x, "$", "double"))).when(is_string(x), let(F.try_variant_get(x, "$", "string"), _parsed_long))
+    return F.coalesce(found, F.lit(0)).cast("long")
 
 
 def to_double(v: Column) -> Column:
@@ -130,9 +158,27 @@ def to_double(v: Column) -> Column:
 
 def text_only(v: Column) -> Column:
     """A text, or NULL: no coercion."""
-    return let(v, lambda x: F.when(is_string(x), F.try_variant_get(x, "$", "string")))
+    return let(v, _text)
+
+
+def _text(x: Column) -> Column:
+    return F.when(is_string(x), F.try_variant_get(x, "$", "string"))
 
 
 def number_only(v: Column) -> Column:
     """A number cut to its whole part, or NULL: no coercion."""
-    return let(v, lambda x: F.when(is_number(x), _as_long(F.try_variant_get(x, "$", "double"))))
+    return let(v, _number)
+
+
+def _number(x: Column) -> Column:
+    return F.when(is_number(x), _as_long(F.try_variant_get(x, "$", "double")))
+
+
+def texts_only(v: Column, *many: Sequence[int]) -> Column:
+    """``text_only`` of each of several paths of arrays, '' for none."""
+    return F.transform(array_paths(v, *many), lambda x: F.coalesce(_text(x), F.lit("")))
+
+
+def numbers_only(v: Column, *many: Sequence[int]) -> Column:
+    """``number_only`` of each of several paths of arrays."""
+    return F.transform(array_paths(v, *many), _number)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import has_package_prefix, histogram, screenshots, strip_html, timestamp
-from ..functions.variant import array_path, items, let, number_only, path, text_only, to_double, to_long, to_string
+from ..functions.text import has_package_prefix, histogram, moment, screenshots, strip_html
+from ..functions.variant import items, let, longs, numbers_only, path, strings, texts_only, to_double
 from ..schemas import BASE_URL, RESULT
 
 # Paths of an app's columns below its root, by how they are read.
@@ -29,43 +31,51 @@ def details_url(app_id: Column, *suffix: Column) -> Column:
     return F.concat(F.lit(f"{BASE_URL}/store/apps/details?id="), app_id, *suffix)
 
 
+def app_values(root: Column) -> dict[str, Column]:
+    """The texts and whole numbers of an app as arrays, in the order of the paths above."""
+    return {"_texts": strings(root, *APP_TEXT.values()), "_longs": longs(root, *APP_LONG.values())}
+
+
 def app(root: Column, app_id: Column, url: Column) -> list[Column]:
-    """The columns of an app; missing values are zero values, a missing price means free."""
-    micros = path(root, *APP_PRICE)
-    html = to_string(path(root, *APP_TEXT["description_html"]))
-    columns = {x: to_string(path(root, *p)) for x, p in APP_TEXT.items()}
-    columns |= {x: to_long(path(root, *p)) for x, p in APP_LONG.items()}
+    """The columns of an app, from its root and ``app_values``; missing values are zero values, a missing price means free."""
+    columns = {x: F.get("_texts", F.lit(k)) for k, x in enumerate(APP_TEXT)}
+    columns |= {x: F.get("_longs", F.lit(k)) for k, x in enumerate(APP_LONG)}
     columns |= {x: to_double(path(root, *p)) for x, p in APP_DOUBLE.items()}
     columns |= {
-        "app_id": app_id, "url": url, "available": F.lit(True), "description": strip_html(html), "description_html": html,
+        "app_id": app_id, "url": url, "available": F.lit(True), "description": strip_html(columns["description_html"]),
         "histogram": histogram(path(root, *APP_HISTOGRAM)), "screenshots": screenshots(path(root, *APP_SCREENSHOTS)),
-        **_price(micros), "categories": F.array().cast("array<string>"), "header_image": F.lit(""), "video": F.lit(""), "video_image": F.lit(""),
+        **_price(path(root, *APP_PRICE)), "categories": F.array().cast("array<string>"), "header_image": F.lit(""), "video": F.lit(""), "video_image": F.lit(""),
     }
     return [columns[x].alias(x) for x in APP]
 
 
-def _first_text(v: Column, *paths: tuple) -> Column:
-    found = [F.nullif(to_string(path(v, *p)), F.lit("")) for p in paths]
-    return F.coalesce(*found, F.lit(""))
-
-
 def _price(micros: Column) -> dict[str, Column]:
     return {"price": to_double(micros) / 1e6, "free": F.coalesce(let(micros, lambda m: m.isNull() | (to_double(m) == 0)), F.lit(True))}
 
 
+def _fields(v: Column, paths: dict[str, tuple], row: Callable[[dict[str, Column]], Column]) -> Column:
+    """``row`` of the texts at the paths, each read once."""
+    return let(strings(v, *paths.values()), lambda t: row({x: F.get(t, F.lit(k)) for k, x in enumerate(paths)}))
+
+
+def _first(*texts: Column) -> Column:
+    return F.coalesce(*[F.nullif(x, F.lit("")) for x in texts], F.lit(""))
+
+
 def _result(columns: dict[str, Column]) -> Column:
     """A search result; what a layout does not give has its zero value."""
     zero = {"score": F.lit(0.0), "price": F.lit(0.0), "free": F.lit(True)}
     return F.struct(*[columns.get(x, zero.get(x, F.lit(""))).alias(x) for x in RESULT])
 
 
-def _flat(v: Column, app_id: Column, icon: Column, offset: tuple = (), score_text: bool = True) -> dict[str, Column]:
-    """The columns that most layouts share, ``offset`` levels down."""
-    out = {
-        "app_id": app_id, "title": to_string(path(v, *offset, 3)), "icon": icon, "developer": to_string(path(v, *offset, 14)),
-        "score": to_double(path(v, *offset, 4, 1)), "url": F.when(app_id != "", details_url(app_id)).otherwise(F.lit("")),
-    }
-    return out | ({"score_text": to_string(path(v, *offset, 4, 0))} if score_text else {})
+#: Paths that most layouts share.
+FLAT = {"app_id": (0, 0), "icon": (1, 3, 2), "title": (3,), "score_text": (4, 0), "developer": (14,)}
+
+
+def _flat(v: Column, f: dict[str, Column], offset: tuple = ()) -> dict[str, Column]:
+    """The columns that most layouts share, from their texts ``f``."""
+    url = F.when(f["app_id"] != "", details_url(f["app_id"])).otherwise(F.lit(""))
+    return {x: f[x] for x in FLAT} | {"score": to_double(path(v, *offset, 4, 1)), "url": url}
 
 
 def search_row(v: Column) -> Column:
@@ -73,55 +83,77 @@ def search_row(v: Column) -> Column:
     inner = F.get(items(v), F.lit(0))
     row = F.when((F.size(items(v)) == 1) & items(inner).isNotNull(), inner).otherwise(v)
     package = lambda x: F.when(has_package_prefix(x), x)
+    paths = FLAT | {"id_4": (0, 0, 0, 0), "id_3": (0, 0, 0), "icon_2": (0, 1, 3, 2)}
 
     def of(r: Column) -> Column:
-        app_id = F.coalesce(*[let(to_string(path(r, *p)), package) for p in ((0, 0, 0, 0), (0, 0, 0), (0, 0))], F.lit(""))
-        return let(app_id, lambda i: _result(_flat(r, i, _first_text(r, (1, 3, 2), (0, 1, 3, 2)))))
+        def result(f: dict[str, Column]) -> Column:
+            app_id = F.coalesce(*[package(f[x]) for x in ("id_4", "id_3", "app_id")], F.lit(""))
+            return let(app_id, lambda i: _result(_flat(r, f | {"app_id": i, "icon": _first(f["icon"], f["icon_2"])})))
+
+        return _fields(r, paths, result)
 
     return let(row, of)
 
 
+BATCH = {
+    "app_id": (12, 0), "title": (2,), "icon": (1, 1, 0, 3, 2), "developer": (4, 0, 0, 0), "score_text": (6, 0, 2, 1, 0), "summary": (4, 1, 1, 1, 1),
+    "currency": (7, 0, 3, 2, 1, 0, 1), "link": (9, 4, 2), "maker": (4, 0, 0, 1, 4, 2),
+}
+
+
 def batch_row(v: Column) -> Column:
     """Further pages of a search."""
-    app_id, micros = to_string(path(v, 12, 0)), path(v, 7, 0, 3, 2, 1, 0, 0)
-    link, maker = to_string(path(v, 9, 4, 2)), to_string(path(v, 4, 0, 0, 1, 4, 2))
-    parts = F.split(maker, r"\?id=")
-    return _result({
-        "app_id": app_id, "title": to_string(path(v, 2)), "icon": to_string(path(v, 1, 1, 0, 3, 2)), "developer": to_string(path(v, 4, 0, 0, 0)),
-        "score": to_double(path(v, 6, 0, 2, 1, 1)), "score_text": to_string(path(v, 6, 0, 2, 1, 0)), "summary": to_string(path(v, 4, 1, 1, 1, 1)),
-        **_price(micros), "currency": to_string(path(v, 7, 0, 3, 2, 1, 0, 1)),
-        "url": F.when(link != "", F.concat(F.lit(BASE_URL), link)).otherwise(F.lit("")), "developer_id": F.when(F.size(parts) > 1, F.get(parts, F.lit(1))).otherwise(F.lit("")),
-    })
 
+    def result(f: dict[str, Column]) -> Column:
+        parts = F.split(f["maker"], r"\?id=")
+        return _result({
+            **f, "score": to_double(path(v, 6, 0, 2, 1, 1)), **_price(path(v, 7, 0, 3, 2, 1, 0, 0)),
+            "url": F.when(f["link"] != "", F.concat(F.lit(BASE_URL), f["link"])).otherwise(F.lit("")),
+            "developer_id": F.when(F.size(parts) > 1, F.get(parts, F.lit(1))).otherwise(F.lit("")),
+        })
 
-def developer_row(numeric: bool):
-    offset = () if numeric else (0,)
+    return _fields(v, BATCH, result)
 
-    def row(v: Column) -> Column:
-        return let(to_string(path(v, *offset, 0, 0)), lambda i: _result(_flat(v, i, to_string(path(v, *offset, 1, 3, 2)), offset)))
 
-    return row
+def developer_row(numeric: bool):
+    offset = () if numeric else (0,)
+    paths = {x: (*offset, *p) for x, p in FLAT.items()}
+    return lambda v: _fields(v, paths, lambda f: _result(_flat(v, f, offset)))
 
 
 def similar_row(v: Column) -> Column:
-    return let(to_string(path(v, 0, 0)), lambda i: _result(_flat(v, i, to_string(path(v, 1, 3, 2)), score_text=False)))
+    return _fields(v, FLAT, lambda f: _result(_flat(v, f) | {"score_text": F.lit("")}))
 
 
 def chart_row(v: Column) -> Column:
     """A chart's row; a price only from an array of at least two."""
-    priced = F.when(F.size(items(path(v, 8))) > 1, path(v, 8))
-    micros = path(priced, 1, 0, 0)
-    return let(to_string(path(v, 0, 0)), lambda i: _result(_flat(v, i, to_string(path(v, 1, 3, 2))) | {**_price(micros), "currency": to_string(path(priced, 1, 0, 1))}))
+    priced = let(path(v, 8), lambda p: F.when(F.size(items(p)) > 1, p))
+    paths = FLAT | {"currency": (8, 1, 0, 1)}
+
+    def result(f: dict[str, Column]) -> Column:
+        return let(priced, lambda p: _result(_flat(v, f) | {**_price(path(p, 1, 0, 0)), "currency": F.when(p.isNotNull(), f["currency"]).otherwise(F.lit(""))}))
+
+    return _fields(v, paths, result)
+
+
+REVIEW_TEXT = {"id": (0,), "user_name": (1, 0), "user_image": (1, 1, 3, 2), "text": (4,), "reply_text": (7, 1), "version": (10,)}
+REVIEW_NUMBER = {"score": (2,), "thumbs_up": (6,), "seconds": (5, 0), "parts": (5, 1), "reply_seconds": (7, 2, 0), "reply_parts": (7, 2, 1)}
 
 
 def review_row(v: Column, app_id: Column) -> Column:
     """A review: only values of the expected type count, and only arrays are walked."""
-    text = lambda *p: F.coalesce(text_only(array_path(v, *p)), F.lit(""))
-    number = lambda *p: F.coalesce(number_only(array_path(v, *p)), F.lit(0)).cast("long")
-    columns = {
-        "id": text(0), "user_name": text(1, 0), "user_image": text(1, 1, 3, 2), "date": timestamp(array_path(v, 5)), "score": number(2), "thumbs_up": number(6),
-        "text": text(4), "reply_date": timestamp(array_path(v, 7, 2)), "reply_text": text(7, 1), "version": text(10),
-        "url": F.when(text(0) != "", details_url(app_id, F.lit("&reviewId="), text(0))).otherwise(F.lit("")),
-        "criterias": F.array().cast("array<struct<name:string,rating:int>>"),
-    }
-    return F.struct(*[c.alias(x) for x, c in columns.items()])
+
+    def row(t: Column, n: Column) -> Column:
+        columns = {x: F.get(t, F.lit(k)) for k, x in enumerate(REVIEW_TEXT)}
+        number = {x: F.get(n, F.lit(k)) for k, x in enumerate(REVIEW_NUMBER)}
+        columns |= {x: F.coalesce(number[x], F.lit(0)).cast("long") for x in ("score", "thumbs_up")}
+        columns |= {"date": moment(number["seconds"], number["parts"]), "reply_date": moment(number["reply_seconds"], number["reply_parts"])}
+        columns["url"] = F.when(columns["id"] != "", details_url(app_id, F.lit("&reviewId="), columns["id"])).otherwise(F.lit(""))
+        columns["criterias"] = F.array().cast("array<struct<name:string,rating:int>>")
+        return F.struct(*[columns[x].alias(x) for x in REVIEW])
+
+    return let(texts_only(v, *REVIEW_TEXT.values()), lambda t: let(numbers_only(v, *REVIEW_NUMBER.values()), lambda n: row(t, n)))
+
+
+#: A review's columns in their order.
+REVIEW = ["id", "user_name", "user_image", "date", "score", "thumbs_up", "text", "reply_date", "reply_text", "version", "url", "criterias"]

@@ -45,6 +45,7 @@ def app_root(body: Column) -> Column:
 def apps(raw: DataFrame) -> DataFrame:
     """One row per details page (app_id, lang, country) that holds an app; see ``app_errors`` for the others."""
     parsed = once(raw, "root", app_root(F.col("body")))
+    parsed = parsed.select("*", *[c.alias(x) for x, c in layouts.app_values(F.col("root")).items()])
     url = layouts.details_url(F.col("app_id"), F.lit("&hl="), F.col("lang"), F.lit("&gl="), F.col("country"))
     return parsed.select("lang", "country", *layouts.app(F.col("root"), F.col("app_id"), url))
 
