@@ -161,7 +161,7 @@ def training_shards(docs: DataFrame, length: int = 512, per_shard: int = 1024, k
 
 def write_shards(shards: DataFrame, path: str) -> None:
     """Write the shards: neighbouring ones in one file, in the order of their slots."""
-    shards.write.parquet(path)
+    shards.write.option("compression", "zstd").parquet(path)
 
 
 def written_shards(docs: DataFrame, **options) -> DataFrame:
