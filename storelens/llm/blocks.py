@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def block_count(n_bytes: int, each: int = 16 << 20, least: int = 24) -> int:
+def block_count(n_bytes: int, each: int = 16 << 20, least: int = 12) -> int:
     return max(least, -(-n_bytes // each))
 
 
