@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,20 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
+@cache
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda _: 0
+
+
+def tidy() -> None:
+    """Give what a task has freed back to the machine: Spark keeps its Python workers for other tasks."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def batches(source: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to about ``most`` bytes each (a single longer row stays whole)."""
     for batch in source:
@@ -65,6 +81,7 @@ def batches(source: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[p
         step = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    tidy()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

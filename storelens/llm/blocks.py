@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .base import tidy
+
 
 def block_count(n_bytes: int, each: int = 16 << 20, least: int = 12) -> int:
     return max(least, -(-n_bytes // each))
@@ -51,6 +53,8 @@ def by_block(packed: DataFrame, fields: dict[str, str], solve: Callable[[dict[st
     """
 
     def run(table):
-        return solve(unpack(table, fields) | ({number: table.column("block")[0].as_py()} if number else {}))
+        out = solve(unpack(table, fields) | ({number: table.column("block")[0].as_py()} if number else {}))
+        tidy()
+        return out
 
     return packed.repartitionById(blocks, "block").groupBy("block").applyInArrow(run, out)
