@@ -620,6 +620,16 @@ def histogram_totals(spark, sf_dir):
     return analytics.histogram_total(_histograms(spark, sf_dir))
 
 
+def stored() -> dict[str, tuple[Query, Callable[[DataFrame], DataFrame]]]:
+    """What encodes bodies, and what reads them: for timing the readers on bodies that are stored already."""
+    return {
+        "app_details": (lambda spark, sf_dir: _details(_parts(spark, sf_dir)), tables.apps),
+        "search_first_page": (_search_first, tables.search_first),
+        "reviews_parse": (_paged, tables.reviews),
+        "reviews_all": (_paged, lambda pages: relational.reviews_all(pages, 500)),
+    }
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
