@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, filter_audit, language_id, licenses, ngram_join, sentence_pieces, suffix_array, suffix_automata, token_counts, training_order, vector_search
+from . import conversation_trie, decontamination, filter_audit, language_id, licenses, ngram_join, sentence_pieces, suffix_array, suffix_automata, token_counts, training_order, vector_search
 from .base import table
 
 
@@ -50,6 +50,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -65,6 +69,7 @@ REGISTERED = (
     op8_suffix_dedup,
     op9_substring_dedup,
     op10_language_id,
+    op12_conversation_trie,
     op13_filter_audit,
 )
 
@@ -74,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.oracle(), "op4_exact_top_k": vector_search.ORACLE_SQL, "op13_filter_audit": filter_audit.ORACLE_SQL}
+    return {"op2_license_scan": licenses.oracle(), "op4_exact_top_k": vector_search.ORACLE_SQL, "op12_conversation_trie": conversation_trie.ORACLE_SQL, "op13_filter_audit": filter_audit.ORACLE_SQL}
