@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_trie, decontamination, filter_audit, language_id, licenses, ngram_join, sentence_pieces, suffix_array, suffix_automata, token_counts, training_order, vector_search
+from . import conversation_trie, decontamination, filter_audit, language_id, licenses, ngram_join, sentence_pieces, suffix_array, suffix_automata, superminhash, token_counts, training_order, vector_search
 from .base import table
 
 
@@ -50,6 +50,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -69,6 +73,7 @@ REGISTERED = (
     op8_suffix_dedup,
     op9_substring_dedup,
     op10_language_id,
+    op11_superminhash,
     op12_conversation_trie,
     op13_filter_audit,
 )
