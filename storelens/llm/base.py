@@ -140,14 +140,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 _powers: list[np.ndarray] = [np.empty(0, np.uint64)] * 2
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the multiplier and of its inverse modulo 2**64, kept between calls."""
-    if len(_powers[0]) < n:
+def powers(n: int, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the multiplier and of its inverse modulo 2**64; up to ``most`` of them are kept between calls."""
+    found = list(_powers)
+    if len(found[0]) < n:
         for k, x in enumerate((int(MULTIPLIER), pow(int(MULTIPLIER), -1, 1 << 64))):
             out = np.full(n, x, np.uint64)
             out[0] = 1
-            _powers[k] = np.multiply.accumulate(out)
-    return _powers[0][:n], _powers[1][:n]
+            found[k] = np.multiply.accumulate(out)
+        if n <= most:
+            _powers[:] = found
+    return found[0][:n], found[1][:n]
 
 
 def prefix_sums(symbols: np.ndarray) -> np.ndarray:

@@ -11,6 +11,9 @@ one mark in place of its runs, which are told apart window by window. So no clas
 passage make large.
 
 This only narrows the search and loses nothing: whether two windows are equal is decided later.
+
+Findings belong to a row, not to a doc_id: ``row`` tells rows of one id apart (see ``keyed``). A long text is read in
+stretches that overlap by a window, so what a task holds does not grow with a text.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ from .base import as_longs, batches, column, mix, powers, prefix_sums, slim, win
 from .blocks import block_of, by_block, pack, schema
 
 #: Entries of a run, as they travel: representative, content of the run, document, first window, windows, flag.
-FIELDS = {"value": "<u8", "zone": "<u8", "doc": "<i8", "start": "<i4", "count": "<i4", "twice": "<u1"}
-RUNS = "doc_id long, start int, count int, value long, role int"
+FIELDS = {"value": "<u8", "zone": "<u8", "doc": "<i8", "row": "<i8", "start": "<i4", "count": "<i4", "twice": "<u1"}
+RUNS = "doc long, row long, start int, count int, value long, role int"
+#: What names a row of documents.
+ROW = ["doc", "row"]
 #: Roles: every window of the run recurs; the run must be compared; it recurs and others are compared with it.
 #: Two more than a role: the run is compared window by window.
 SURE, OPEN, POOL, SINGLY = 0, 1, 2, 2
@@ -91,20 +96,68 @@ def runs(symbols: np.ndarray, ends: np.ndarray, length: int, part: int) -> dict[
     return {"value": value, "zone": zone, "doc": owner[first], "start": (first - before).astype(np.int32), "count": count.astype(np.int32), "twice": twice.astype(np.uint8)}
 
 
-def candidates(docs: DataFrame, read: Callable[[list], tuple[np.ndarray, np.ndarray]], length: int, part: int, blocks: int, rule: Rule, most: int, hot: int, each: int = 4 << 20) -> DataFrame:
-    """Runs whose class needs attention: ``doc_id, start, count, value, role``.
+def keyed(docs: DataFrame, doc: str = "doc", row: str = "row") -> DataFrame:
+    """``docs`` with two more columns that name a row: its id (0 for none), and a hash of its text, or 0 where ids are unique.
 
-    ``read`` gives symbols and ends of a list of texts. Classes of more than ``most`` contents, and those with ``hot``
-    of them in one batch, are compared window by window. ``each`` bytes of text are handled at once.
+    Rows of equal id and text share a name; what is found for one holds for the other.
+    """
+    ids = slim(docs, "doc_id").where("doc_id is not null")
+    unique = ids.groupBy("doc_id").count().where("count > 1").isEmpty()
+    text = F.xxhash64(docs["doc_id"].isNull(), docs["text"]).bitwiseOR(F.lit(1))
+    return docs.withColumns({doc: F.coalesce(docs["doc_id"].cast("long"), F.lit(0).cast("long")), row: F.when(docs["doc_id"].isNotNull(), F.lit(0).cast("long")).otherwise(text) if unique else text})
+
+
+def home(e: dict, blocks: int) -> np.ndarray:
+    """The block in which the entries of a row are gathered."""
+    return block_of(mix(e["doc"].view(np.uint64) ^ mix(e["row"].view(np.uint64))), blocks)
+
+
+def once(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a task without the further rows of one name (equal id and text); names are kept where ids repeat only."""
+    seen: set[tuple[int, int]] = set()
+    for batch in source:
+        keep = []
+        for name in zip(*(column(batch, x).to_pylist() for x in ROW), strict=True):
+            keep.append(not name[1] or name not in seen)
+            if name[1]:
+                seen.add(name)
+        yield batch if all(keep) else batch.filter(pa.array(keep, pa.bool_()))
+
+
+def stretches(texts: list, read: Callable[[str | None], np.ndarray], length: int, most: int) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+    """Lists of (text, first window, units) of about ``most`` windows in all; longer texts are cut, overlapping by a window."""
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        units = read(text)
+        for at in range(0, len(units) - length + 1, most):
+            held.append((k, at, units[at : at + most + length - 1]))
+            size += len(held[-1][2])
+            if size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def candidates(docs: DataFrame, read: Callable[[str | None], np.ndarray], symbols: Callable[[np.ndarray], np.ndarray], length: int, part: int, blocks: int, rule: Rule, most: int, hot: int, each: int = 4 << 20) -> DataFrame:
+    """Runs whose class needs attention: ``doc, row, start, count, value, role``. ``docs``: doc, row, text.
+
+    ``read`` gives the units of a text, ``symbols`` their 64-bit symbols. Classes of more than ``most`` contents, and
+    those with ``hot`` of them in one batch, are compared window by window. ``each`` bytes or units are handled at once.
     """
 
+    def found(batch):
+        texts = column(batch, "text").to_pylist()
+        ids, rows = (as_longs(column(batch, x)) for x in ROW)
+        for held in stretches(texts, read, length, each):
+            owner, at = (np.array([x[k] for x in held]) for k in (0, 1))
+            parts = [symbols(x[2]) for x in held]
+            if e := runs(np.concatenate(parts), np.cumsum([len(x) for x in parts]), length, part):
+                yield e | {"doc": ids[owner][e["doc"]], "row": rows[owner][e["doc"]], "start": (e["start"] + at[e["doc"]]).astype(np.int32)}
+
     def cut(source):
-        for batch in batches(source, each):
-            ids = as_longs(column(batch, "doc_id"))
-            if not (e := runs(*read(column(batch, "text").to_pylist()), length, part)):
-                continue
-            e["doc"] = ids[e["doc"]]
-            order = np.lexsort((e["start"], e["doc"], e["zone"], e["value"]))
+        for e in (x for batch in batches(source, each) for x in found(batch)):
+            order = np.lexsort((e["start"], e["row"], e["doc"], e["zone"], e["value"]))
             e = {x: e[x][order].astype(kind) for x, kind in FIELDS.items()}
             settled, copied = rule.alone(e)
             value, zone = groups(e["value"]), groups(e["value"], e["zone"])
@@ -114,7 +167,7 @@ def candidates(docs: DataFrame, read: Callable[[list], tuple[np.ndarray, np.ndar
             block = block_of(mix(e["value"]), blocks)
             here = settled | common
             role = np.where(settled, SURE, np.where(copied, POOL, OPEN) + SINGLY)
-            block[here] = blocks + block_of(mix(e["doc"][here].view(np.uint64)), blocks)
+            block[here] = blocks + home({x: e[x][here] for x in ROW}, blocks)
             e["twice"][here] = role[here]
             mark = np.flatnonzero(common & np.r_[True, value[1:] != value[:-1]])
             marks = {x: v[mark] for x, v in e.items()} | {"twice": np.full(len(mark), MARK, np.uint8)}
@@ -124,60 +177,60 @@ def candidates(docs: DataFrame, read: Callable[[list], tuple[np.ndarray, np.ndar
         if e.pop("block") >= blocks:
             role = e["twice"].astype(np.int32)
         else:
-            order = np.lexsort((e["start"], e["doc"], e["zone"], e["value"]))
+            order = np.lexsort((e["start"], e["row"], e["doc"], e["zone"], e["value"]))
             e = {x: v[order] for x, v in e.items()}
             group, mark = groups(e["value"]), (e["twice"] & MARK) > 0
             common = np.bincount(group, mark)[group] > 0 if len(group) else mark
             e = {x: v[~mark] for x, v in e.items()}
             role = rule.roles(e, most, common[~mark])
         at = np.flatnonzero(role >= 0)
-        return pa.table([pa.array(e["doc"][at]), pa.array(e["start"][at]), pa.array(e["count"][at]), pa.array(e["value"][at].view(np.int64)), pa.array(role[at].astype(np.int32))], ["doc_id", "start", "count", "value", "role"])
+        return pa.table([*(pa.array(e[x][at]) for x in ("doc", "row", "start", "count")), pa.array(e["value"][at].view(np.int64)), pa.array(role[at].astype(np.int32))], [*ROW, "start", "count", "value", "role"])
 
-    packed = slim(docs, "doc_id", "text").mapInArrow(cut, schema(FIELDS))
+    packed = slim(docs, *ROW, "text").mapInArrow(cut, schema(FIELDS))
     return by_block(packed, FIELDS, solve, RUNS, 2 * blocks, "block")
 
 
-WINDOWS = {"name": "<u8", "doc": "<i8", "start": "<i4", "open": "<u1"}
-PLACED = {"doc": "<i8", "start": "<i4"}
-PLACES = "doc_id long, start int, count int"
+WINDOWS = {"name": "<u8", "value": "<i8", "doc": "<i8", "row": "<i8", "start": "<i4", "open": "<u1"}
+PLACED = {"doc": "<i8", "row": "<i8", "start": "<i4"}
+PLACES = "doc long, row long, start int, count int"
 
 
 def named_windows(found: DataFrame, read: Callable[[bytes], np.ndarray], length: int, blocks: int, rule: Rule) -> DataFrame:
-    """Decide on each window of passages (doc_id, start, role, zone) by its own name: ``doc_id, start, count``.
+    """Decide on each window of passages (doc, row, start, role, value, zone) by its own name: ``doc, row, start, count``.
 
-    A batch settles its own repetitions and sends each name on once; names are exchanged in blocks. What recurs is
+    Equal windows are of one class, so a window goes by its class and its name, 128 bits together. A batch settles its own repetitions and sends each name on once; names are exchanged in blocks. What recurs is
     exchanged by document, where neighbouring windows become one run again.
     """
 
     def cut(source):
         for batch in batches(source, 1 << 20):
             parts = []
-            for doc, start, role, raw in zip(*(column(batch, x).to_pylist() for x in ("doc_id", "start", "role", "zone")), strict=True):
+            for value, doc, row, start, role, raw in zip(*(column(batch, x).to_pylist() for x in ("value", *ROW, "start", "role", "zone")), strict=True):
                 names = window_names(read(raw), length)
-                parts.append((names, np.full(len(names), doc), np.arange(start, start + len(names)), np.full(len(names), role == OPEN + SINGLY)))
+                parts.append((names, *(np.full(len(names), x) for x in (value, doc, row)), np.arange(start, start + len(names)), np.full(len(names), role == OPEN + SINGLY)))
             e = {x: np.concatenate(v).astype(kind) for (x, kind), v in zip(WINDOWS.items(), zip(*parts, strict=True), strict=True)}
-            order = np.lexsort((e["start"], e["doc"], e["name"]))
+            order = np.lexsort((e["start"], e["row"], e["doc"], e["value"], e["name"]))
             e = {x: v[order] for x, v in e.items()}
             recurs, travels, still = rule.windows_alone(e)
             sent = {x: v[travels] for x, v in e.items()} | {"open": (e["open"] * still)[travels].astype(np.uint8)}
             done = {x: v[recurs & (e["open"] > 0)] for x, v in e.items()}
-            block = np.r_[block_of(sent["name"], blocks), blocks + block_of(mix(done["doc"].view(np.uint64)), blocks)]
+            block = np.r_[block_of(sent["name"], blocks), blocks + home(done, blocks)]
             yield pack(block, {x: np.r_[sent[x], done[x]] for x in WINDOWS})
 
     def decide(e):
         if e.pop("block") < blocks:
-            order = np.lexsort((e["doc"], e["name"]))
+            order = np.lexsort((e["doc"], e["value"], e["name"]))
             e = {x: v[order] for x, v in e.items()}
             at = np.flatnonzero(rule.windows(e) & (e["open"] > 0))
             e = {x: v[at] for x, v in e.items()}
-        return pa.Table.from_batches([pack(block_of(mix(e["doc"].view(np.uint64)), blocks), {x: e[x] for x in PLACED})])
+        return pa.Table.from_batches([pack(home(e, blocks), {x: e[x] for x in PLACED})])
 
     def join(e):
-        order = np.lexsort((e["start"], e["doc"]))
-        doc, start = e["doc"][order], e["start"][order]
-        first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)])
+        order = np.lexsort((e["start"], e["row"], e["doc"]))
+        doc, row, start = (e[x][order] for x in PLACED)
+        first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1)])
         last = np.r_[first[1:], len(doc)] - 1
-        return pa.table([pa.array(doc[first]), pa.array(start[first]), pa.array((start[last] - start[first] + 1).astype(np.int32))], ["doc_id", "start", "count"])
+        return pa.table([pa.array(doc[first]), pa.array(row[first]), pa.array(start[first]), pa.array((start[last] - start[first] + 1).astype(np.int32))], [*ROW, "start", "count"])
 
     named = by_block(found.where(f"role > {SINGLY}").mapInArrow(cut, schema(WINDOWS)), WINDOWS, decide, schema(PLACED), 2 * blocks, "block")
     return by_block(named, PLACED, join, PLACES, blocks)
@@ -191,12 +244,13 @@ def groups(*keys: np.ndarray) -> np.ndarray:
 
 
 def per_document(found: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per document: its entries as arrays (their number is bounded by the document's length)."""
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("found"))
+    """One row per named row: its different entries as arrays (their number is bounded by the text's length)."""
+    return found.groupBy(*ROW).agg(F.collect_set(F.struct(*columns)).alias("found"))
 
 
 def with_documents(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    return slim(docs, "doc_id", "text").join(found, "doc_id", how)
+    """``docs`` (keyed) with the column ``found``."""
+    return docs.join(found, ROW, how)
 
 
 def struct_arrays(batch: pa.RecordBatch, name: str, fields: list[str]) -> Iterator[dict[str, np.ndarray] | None]:
@@ -209,12 +263,23 @@ def struct_arrays(batch: pa.RecordBatch, name: str, fields: list[str]) -> Iterat
         yield {x: v[offsets[k] : offsets[k + 1]] for x, v in flat.items()} if valid[k] else None
 
 
-def covered(size: int, start: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
-    """Which of ``size`` symbols lie in the windows given as runs."""
-    change = np.zeros(size + 1, np.int32)
-    np.add.at(change, start, 1)
-    np.add.at(change, start + count - 1 + length, -1)
-    return np.cumsum(change[:-1]) > 0
+def covered(start: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and behind-the-last symbols of the maximal stretches that windows, given as runs, cover."""
+    order = np.argsort(start, kind="stable")
+    first, end = start[order].astype(np.int64), np.maximum.accumulate((start + count - 1 + length)[order].astype(np.int64))
+    new = np.r_[True, first[1:] > end[:-1]][: len(first)]
+    return first[new], end[np.r_[new[1:], True][: len(end)]]
+
+
+def left_over(size: int, first: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The stretches of ``size`` symbols between covered ones."""
+    at = 0
+    for a, b in zip(first.tolist(), end.tolist(), strict=True):
+        if at < a:
+            yield at, a
+        at = b
+    if at < size:
+        yield at, size
 
 
 def ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

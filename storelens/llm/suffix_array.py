@@ -10,9 +10,9 @@ together are those of one suffix array over the corpus.
 A class of very many distinct passages (a common line that ends in different ways) would make one shard hot.
 Its windows are named one by one instead and exchanged in even blocks of names, which is exact as well.
 
-Defined cases: rows without a doc_id are kept whole and compared with nothing; null and empty texts have nothing to remove (the digest of no bytes); texts shorter than
-``length`` are kept whole; repeated rows of one doc_id are documents like any others in the search, and the
-removals found under one doc_id apply to each of its rows; extra columns are ignored.
+Defined cases: every row is a document, rows without a doc_id and rows that repeat one too; null and empty texts have nothing
+to remove (the digest of no bytes); texts shorter than ``length`` are kept whole; very long texts are read in stretches;
+extra columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import passages as P
-from .base import MULTIPLIER, as_longs, batches, column, mix, stash, text_bytes, window_names
+from .base import MULTIPLIER, batches, column, mix, slim, stash, text_bytes, window_names
 from .blocks import block_count
 
 LENGTH, PART = 200, 100
@@ -99,9 +99,8 @@ def scrambled(raw: bytes) -> np.ndarray:
     return SYMBOLS[np.frombuffer(raw, np.uint8)]
 
 
-def read_bytes(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    raw = [t.encode() if t else b"" for t in texts]
-    return scrambled(b"".join(raw)), np.cumsum([len(x) for x in raw])
+def read_bytes(text: str | None) -> np.ndarray:
+    return np.frombuffer(text.encode() if text else b"", np.uint8)
 
 
 def _first(*keys: np.ndarray) -> np.ndarray:
@@ -135,29 +134,30 @@ def roles(e: dict, most: int, common: np.ndarray) -> np.ndarray:
 
 
 def windows_alone(e: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    many = _many(e["name"])
-    return many, _first(e["name"]), ~many
+    many = _many(e["name"], e["value"])
+    return many, _first(e["name"], e["value"]), ~many
 
 
 #: A run or window goes where another one is like it; one of a batch travels for all of them.
-AGAIN = P.Rule(alone, roles, windows_alone, lambda e: _many(e["name"]))
+AGAIN = P.Rule(alone, roles, windows_alone, lambda e: _many(e["name"], e["value"]))
 
 
-SHARED = "shard long, doc_id long, start int, count int, role int, zone binary"
+SHARED = "shard long, value long, doc long, row long, start int, role int, zone binary"
+KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
 
 def zones(docs: DataFrame, found: DataFrame, length: int, shards: int) -> DataFrame:
     """The text of the runs that have to be compared."""
 
     def cut(source):
-        for batch in batches(source):
-            ids, out = as_longs(column(batch, "doc_id")), []
-            for doc, text, f in zip(ids, column(batch, "text").to_pylist(), P.struct_arrays(batch, "found", ["start", "count", "value", "role"]), strict=True):
+        for batch in P.once(batches(source)):
+            out = []
+            for doc, row, text, f in zip(*(column(batch, x).to_pylist() for x in (*P.ROW, "text")), P.struct_arrays(batch, "found", ["start", "count", "value", "role"]), strict=True):
                 raw = text.encode()
                 shard = mix(f["value"].view(np.uint64)) % np.uint64(shards)
-                out += [(int(h), int(doc), int(a), int(n), int(r), raw[a : a + n - 1 + length]) for h, a, n, r in zip(shard, f["start"], f["count"], f["role"], strict=True)]
+                out += [(int(h), int(v), doc, row, int(a), int(r), raw[a : a + n - 1 + length]) for h, v, a, n, r in zip(shard, f["value"], f["start"], f["count"], f["role"], strict=True)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["shard", "doc_id", "start", "count", "role", "zone"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), KINDS, strict=True)], ["shard", "value", *P.ROW, "start", "role", "zone"])
 
     return P.with_documents(docs, P.per_document(found.where("role > 0"), ["start", "count", "value", "role"]).hint("shuffle_hash"), "inner").mapInArrow(cut, SHARED)
 
@@ -167,33 +167,31 @@ def shard_repeats(found: DataFrame, length: int) -> DataFrame:
 
     def solve(table):
         texts, role = table.column("zone").to_pylist(), table.column("role").to_numpy()
-        docs, starts = table.column("doc_id").to_numpy(), table.column("start").to_numpy()
-        out: list[list[np.ndarray]] = [[], [], []]
+        docs, rows, starts = (table.column(x).to_numpy() for x in (*P.ROW, "start"))
+        out: list[list[np.ndarray]] = [[], [], [], []]
         for k, flags in enumerate(repeated_windows(texts, length)):
             if role[k] == P.OPEN and flags.any():
                 first, n = P.ranges(flags)
-                out[0].append(np.full(len(n), docs[k]))
-                out[1].append(starts[k] + first)
-                out[2].append(n)
+                for x, y in zip(out, (np.full(len(n), docs[k]), np.full(len(n), rows[k]), starts[k] + first, n), strict=True):
+                    x.append(y)
         flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
-        return pa.table([pa.array(flat[0], pa.int64()), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.int32))], ["doc_id", "start", "count"])
+        return pa.table([*(pa.array(x, pa.int64()) for x in flat[:2]), *(pa.array(x.astype(np.int32)) for x in flat[2:])], [*P.ROW, "start", "count"])
 
     return found.where(f"role <= {P.SINGLY}").groupBy("shard").applyInArrow(solve, P.PLACES)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256, hot: int = 16) -> DataFrame:
-    """``doc_id, start, count``: runs of windows of ``length`` bytes that also start elsewhere."""
+def repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256, hot: int = 16, each: int = 2 << 20) -> DataFrame:
+    """``doc, row, start, count``: runs of windows of ``length`` bytes that also start elsewhere. ``docs``: doc, row, text."""
     size = text_bytes(docs)
-    docs = docs.where(docs["doc_id"].isNotNull())
     # the bytes of a batch become arrays of eight bytes each, hence the smaller batches
-    found = stash(P.candidates(docs, read_bytes, length, part, block_count(size, 32 << 20), AGAIN, most, hot, 2 << 20))
+    found = stash(P.candidates(docs, read_bytes, SYMBOLS.__getitem__, length, part, block_count(size, 32 << 20), AGAIN, most, hot, each))
     shards = block_count(size, 16 << 20)
     texts = stash(zones(docs, found, length, shards))
-    sure = found.where(f"role in ({P.SURE}, {P.POOL}, {P.POOL + P.SINGLY})").select("doc_id", "start", "count")
+    sure = found.where(f"role in ({P.SURE}, {P.POOL}, {P.POOL + P.SINGLY})").select(*P.ROW, "start", "count")
     return sure.unionByName(shard_repeats(texts, length)).unionByName(P.named_windows(texts, scrambled, length, shards, AGAIN))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256, hot: int = 16) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256, hot: int = 16, each: int = 2 << 20) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary) for every row of ``docs`` (doc_id, text)."""
 
     def run(source):
@@ -204,12 +202,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most
                 if f is None or not raw:
                     out.append((len(raw), 0, 0, raw))
                     continue
-                gone = P.covered(len(raw), f["start"], f["count"], length)
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                out.append((len(raw), len(raw) - len(kept), len(P.ranges(gone)[0]), kept))
+                first, end = P.covered(f["start"], f["count"], length)
+                kept = b"".join(raw[a:b] for a, b in P.left_over(len(raw), first, end))
+                out.append((len(raw), len(raw) - len(kept), len(first), kept))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    found = P.per_document(repeats(docs, length, part, most, hot), ["start", "count"])
+    docs = P.keyed(slim(docs, "doc_id", "text"))
+    found = P.per_document(repeats(docs, length, part, most, hot, each), ["start", "count"])
     return P.with_documents(docs, found.hint("shuffle_hash"), "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

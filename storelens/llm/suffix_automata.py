@@ -11,12 +11,13 @@ A class of very many distinct passages would make one shard hot; its windows are
 exchanged in even blocks of names, where each name's least doc_id decides, exact as well.
 
 Defined cases: rows without a doc_id are kept whole and compared with nothing; null and blank texts have no words (the digest of the empty text); shorter texts are kept;
-several rows of one doc_id are one document in the search, and the removals found apply to each of its rows;
-extra columns are ignored. Words are unchanged; kept words are joined by one space.
+several rows of one doc_id are documents of one rank: neither is smaller than the other, each loses what it shares with smaller ones;
+very long texts are read in stretches; extra columns are ignored; an empty table gives no row. Words are unchanged; kept words are joined by one space.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -25,19 +26,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import passages as P
-from .base import as_longs, batches, column, mix, stash, text_bytes, word_names
+from .base import batches, column, mix, slim, stash, text_bytes, word_names
 from .blocks import block_count
 
 LENGTH, PART = 50, 8
 
+
 def split(text: str | None) -> list[bytes]:
     """Words between the ASCII white space characters."""
     return text.encode().split() if text else []
 
 
-def read_words(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    words = [word_names(split(t)) for t in texts]
-    return np.concatenate([*words, np.empty(0, np.uint64)]), np.cumsum([len(w) for w in words])
+SPACE = re.compile(rb"[ \t-\r]")
+
+
+def read_words(text: str | None, most: int = 4 << 20) -> np.ndarray:
+    """The names of a text's words; a long text's words are never all in hand."""
+    raw, at, out = text.encode() if text else b"", 0, []
+    while at < len(raw):
+        gap = SPACE.search(raw, at + most)
+        end = gap.start() if gap else len(raw)
+        out.append(word_names(raw[at:end].split()))
+        at = end
+    return np.concatenate([*out, np.empty(0, np.uint64)])
 
 
 class Automaton:
@@ -117,29 +128,30 @@ def roles(e: dict, most: int, common: np.ndarray) -> np.ndarray:
 
 
 def windows_alone(e: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    later = _later(e, e["name"])
+    later = _later(e, e["name"], e["value"])
     return later, ~later, np.ones(len(later), bool)
 
 
 #: A run or window goes where a smaller document has it; the smallest one of a batch travels for it.
-LATER = P.Rule(lambda e: (_later(e, e["value"], e["zone"]), np.zeros(len(e["doc"]), bool)), roles, windows_alone, lambda e: _later(e, e["name"]))
+LATER = P.Rule(lambda e: (_later(e, e["value"], e["zone"]), np.zeros(len(e["doc"]), bool)), roles, windows_alone, lambda e: _later(e, e["name"], e["value"]))
 
 
-SHARED = "shard long, value long, doc_id long, start int, role int, zone binary"
+SHARED = "shard long, value long, doc long, row long, start int, role int, zone binary"
+KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
 
 def zones(docs: DataFrame, found: DataFrame, length: int, shards: int) -> DataFrame:
     """The word names of the runs that have to be compared."""
 
     def cut(source):
-        for batch in batches(source):
-            ids, out = as_longs(column(batch, "doc_id")), []
-            for doc, text, f in zip(ids, column(batch, "text").to_pylist(), P.struct_arrays(batch, "found", ["start", "count", "value", "role"]), strict=True):
-                names = word_names(split(text))
+        for batch in P.once(batches(source)):
+            out = []
+            for doc, row, text, f in zip(*(column(batch, x).to_pylist() for x in (*P.ROW, "text")), P.struct_arrays(batch, "found", ["start", "count", "value", "role"]), strict=True):
+                names = read_words(text)
                 shard = mix(f["value"].view(np.uint64)) % np.uint64(shards)
-                out += [(int(h), int(v), int(doc), int(a), int(r), names[a : a + n - 1 + length].tobytes()) for h, v, a, n, r in zip(shard, f["value"], f["start"], f["count"], f["role"], strict=True)]
+                out += [(int(h), int(v), doc, row, int(a), int(r), names[a : a + n - 1 + length].tobytes()) for h, v, a, n, r in zip(shard, f["value"], f["start"], f["count"], f["role"], strict=True)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["shard", "value", "doc_id", "start", "role", "zone"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), KINDS, strict=True)], ["shard", "value", *P.ROW, "start", "role", "zone"])
 
     return P.with_documents(docs, P.per_document(found.where("role > 0"), ["start", "count", "value", "role"]).hint("shuffle_hash"), "inner").mapInArrow(cut, SHARED)
 
@@ -148,9 +160,9 @@ def shard_matches(found: DataFrame, length: int) -> DataFrame:
     """Windows of the open runs that occur in smaller documents, by the automata of each shard."""
 
     def solve(table):
-        value, docs = table.column("value").to_numpy(), table.column("doc_id").to_numpy()
+        value, docs, rows = (table.column(x).to_numpy() for x in ("value", *P.ROW))
         starts, role, cells = table.column("start").to_numpy(), table.column("role").to_numpy(), table.column("zone").to_pylist()
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int, int]] = []
         order = np.lexsort((docs, value))
         group, seen, waiting = None, None, []
         for i in order.tolist():
@@ -163,22 +175,22 @@ def shard_matches(found: DataFrame, length: int) -> DataFrame:
             words = np.frombuffer(cells[i], np.int64).tolist()
             if role[i] == P.OPEN:
                 first, n = P.ranges(np.array(seen.matching(words)) >= length)
-                out += [(docs[i], starts[i] + a - length + 1, k) for a, k in zip(first.tolist(), n.tolist(), strict=True)]
+                out += [(docs[i], rows[i], starts[i] + a - length + 1, k) for a, k in zip(first.tolist(), n.tolist(), strict=True)]
             waiting.append((docs[i], words))
-        doc, start, count = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(count, pa.int32())], ["doc_id", "start", "count"])
+        flat = zip(*out, strict=True) if out else ((), (), (), ())
+        return pa.table([pa.array(x, t) for x, t in zip(flat, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], [*P.ROW, "start", "count"])
 
     return found.where(f"role <= {P.SINGLY}").groupBy("shard").applyInArrow(solve, P.PLACES)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256, hot: int = 16) -> DataFrame:
-    """``doc_id, start, count``: runs of windows that also start in a document with a smaller doc_id."""
+def repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256, hot: int = 16, each: int = 4 << 20) -> DataFrame:
+    """``doc, row, start, count``: runs of windows that also start in a document with a smaller doc_id. ``docs``: doc_id, doc, row, text."""
     size = text_bytes(docs)
     docs = docs.where(docs["doc_id"].isNotNull())
-    found = stash(P.candidates(docs, read_words, length, part, block_count(size, 32 << 20), LATER, most, hot))
+    found = stash(P.candidates(docs, read_words, lambda names: names, length, part, block_count(size, 32 << 20), LATER, most, hot, each))
     shards = block_count(size, 16 << 20)
     texts = stash(zones(docs, found, length, shards))
-    sure = found.where(f"role = {P.SURE}").select("doc_id", "start", "count")
+    sure = found.where(f"role = {P.SURE}").select(*P.ROW, "start", "count")
     return sure.unionByName(shard_matches(texts, length)).unionByName(P.named_windows(texts, lambda raw: np.frombuffer(raw, np.uint64), length, shards, LATER))
 
 
@@ -187,11 +199,11 @@ def _kept(text: str | None, found: dict | None, length: int) -> tuple[int, int,
     words = split(text)
     if found is None or not words:
         return len(words), 0, b" ".join(words)
-    gone = P.covered(len(words), found["start"], found["count"], length)
-    return len(words), int(gone.sum()), b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x])
+    first, end = P.covered(found["start"], found["count"], length)
+    return len(words), int((end - first).sum()), b" ".join([w for a, b in P.left_over(len(words), first, end) for w in words[a:b]])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256, hot: int = 16) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256, hot: int = 16, each: int = 4 << 20) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` (text) for every row of ``docs`` (doc_id, text)."""
 
     def run(source):
@@ -200,17 +212,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most
             n, gone, kept = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([x.decode() for x in kept], pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    found = P.per_document(repeats(docs, length, part, most, hot), ["start", "count"])
+    docs = P.keyed(slim(docs, "doc_id", "text"))
+    found = P.per_document(repeats(docs, length, part, most, hot, each), ["start", "count"])
     return P.with_documents(docs, found.hint("shuffle_hash"), "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256, hot: int = 16) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: int = 256, hot: int = 16, each: int = 4 << 20) -> DataFrame:
     """The rows of ``docs``, all columns, without the repeated passages in ``text``.
 
     A text that loses words becomes its kept words joined by one space, and ``n_chars`` follows; the others
     stay as they are. Documents that lose every word leave.
     """
-    names, hidden = docs.columns, "found by " + uuid.uuid4().hex
+    names = docs.columns
+    doc, row, hidden = (f"{x} {uuid.uuid4().hex}" for x in ("doc", "row", "found"))
 
     def run(source):
         for batch in batches(source):
@@ -229,8 +243,11 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, most: i
             columns["text"] = changed
             yield pa.RecordBatch.from_arrays(list(columns.values()), names).take(pa.array(rows, pa.int64()))
 
-    found = P.per_document(repeats(docs, length, part, most, hot), ["start", "count"]).withColumnRenamed("found", hidden)
-    return docs.join(found.hint("shuffle_hash"), "doc_id", "left").mapInArrow(run, docs.schema)
+    whole = P.keyed(docs, doc, row)
+    search = whole.select("doc_id", "text", F.col(doc).alias("doc"), F.col(row).alias("row"))
+    found = P.per_document(repeats(search, length, part, most, hot, each), ["start", "count"])
+    found = found.select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("found").alias(hidden))
+    return whole.join(found.hint("shuffle_hash"), [doc, row], "left").mapInArrow(run, docs.schema)
 
 
 def digest(kept: DataFrame) -> DataFrame:

@@ -105,20 +105,20 @@ def test_components(spark):
     assert got == {x: p for x, p in parent.items() if x != p}
 
 
-WAYS = [{}, {"most": 0}, {"hot": 2}]
+WAYS = [{}, {"most": 0}, {"hot": 2}, {"each": 700}]
 
 
 @pytest.mark.parametrize("way", WAYS)
 def test_suffix_array_dedup(docs, sample, nothing, way):
-    """``most`` 0: every class takes the way of very large classes; ``hot`` 2: most take it in some batches only."""
+    """``most`` 0: every class takes the way of very large classes; ``hot`` 2: most take it in some batches only; ``each``: texts are cut."""
     length = 200
-    counts = Counter(raw[i : i + length] for r in sample if r[0] is not None for raw in [(r[1] or "").encode()] for i in range(len(raw) - length + 1))
+    counts = Counter(raw[i : i + length] for r in sample for raw in [(r[1] or "").encode()] for i in range(len(raw) - length + 1))
     expected = []
     for r in sample:
         raw = (r[1] or "").encode()
         gone = np.zeros(len(raw), bool)
         for i in range(len(raw) - length + 1):
-            if r[0] is not None and counts[raw[i : i + length]] > 1:
+            if counts[raw[i : i + length]] > 1:
                 gone[i : i + length] = True
         kept = bytes(b for b, g in zip(raw, gone) if not g)
         expected.append((r[0] if r[0] is not None else -1, len(raw), int(gone.sum()), len(passages.ranges(gone)[0]), hashlib.sha256(kept).hexdigest()))
@@ -159,7 +159,7 @@ def test_suffix_automata_dedup(docs, sample, nothing, way):
 
 
 def test_repeated_rows(spark):
-    """Rows of one doc_id: one document for the automata, separate ones for the suffix array."""
+    """Equal rows of one doc_id: one document for the automata, separate ones for the suffix array."""
     text = " ".join(f"word{k}" for k in range(80))
     df = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_removed) for r in suffix_automata.remove_repeats(df).collect()) == [(1, 0), (1, 0), (2, 80)]
@@ -168,6 +168,82 @@ def test_repeated_rows(spark):
     assert ngram_join.keep_first(df).count() == 1
 
 
+def several_texts_of_an_id():
+    """Rows of one id with longer, shorter, empty and missing texts, some of which share passages with other ids, and rows without id."""
+    rng = random.Random(9)
+    some = lambda n: [f"{rng.random():.9f}" for _ in range(n)]
+    a, b, c = some(130), some(90), some(160)
+    rows = [(1, a), (2, a[20:110]), (2, some(140)), (2, ["tiny", "text", "here"]), (2, []), (2, None), (3, b), (3, c), (4, some(30) + b[10:80] + some(30)), (4, c[:70]), (4, c[:70]), (None, a[:60] + some(9)), (None, some(70)), (None, None)]
+    rows += [(5, some(40) + a[30:90]), (5, a[30:90] + some(40)), (0, some(80))]
+    return [(i, None if w is None else " ".join(w)) for i, w in rows]
+
+
+def cut_bytes(rows, length=200):
+    raws = [(t or "").encode() for _, t in rows]
+    counts = Counter(raw[i : i + length] for raw in raws for i in range(len(raw) - length + 1))
+    for (i, _), raw in zip(rows, raws, strict=True):
+        gone = np.zeros(len(raw), bool)
+        for k in range(len(raw) - length + 1):
+            if counts[raw[k : k + length]] > 1:
+                gone[k : k + length] = True
+        yield i, len(raw), int(gone.sum()), bytes(b for b, g in zip(raw, gone, strict=True) if not g)
+
+
+def cut_words(rows, length=50):
+    least: dict = {}
+    for i, t in rows:
+        w = (t or "").split()
+        for k in range(len(w) - length + 1) if i is not None else ():
+            least[tuple(w[k : k + length])] = min(i, least.get(tuple(w[k : k + length]), i))
+    for i, t in rows:
+        w = (t or "").split()
+        gone = [False] * len(w)
+        for k in range(len(w) - length + 1) if i is not None else ():
+            if least[tuple(w[k : k + length])] < i:
+                gone[k : k + length] = [True] * length
+        yield i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+
+
+def in_order(rows):
+    return sorted(rows, key=str)
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_several_texts_of_an_id(spark, way):
+    """Findings belong to a row: nothing but repeats is cut out of the other rows of an id."""
+    rows = several_texts_of_an_id()
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, doc string, row string").repartition(3)
+    got = suffix_array.remove_repeats(df, **way).select("doc_id", "n_bytes", "n_removed", "kept").collect()
+    assert in_order((r[0], r[1], r[2], bytes(r[3])) for r in got) == in_order(cut_bytes(rows))
+    got = suffix_automata.remove_repeats(df, **way).select("doc_id", "n_words", "n_removed", "kept").collect()
+    expected = in_order(cut_words(rows))
+    assert in_order(map(tuple, got)) == expected and sum(x[2] for x in expected) > 200
+    whole = in_order((r.doc_id, " ".join((r.text or "").split())) for r in suffix_automata.cut_repeats(df, **way).collect())
+    assert whole == in_order((i, kept) for i, n, gone, kept in expected if not gone or gone < n)
+
+
+def test_a_repeated_row_is_searched_once(spark):
+    """Very many equal rows of one id are one name: their findings are not collected once for each."""
+    text = " ".join(f"{k * 7919 % 1000003:07d}" for k in range(120))
+    df = passages.keyed(spark.createDataFrame([(1, text)] * 500 + [(2, text[200:] + " end")], "doc_id long, text string"))
+    for way in ({}, {"most": 0}):
+        found = passages.per_document(suffix_array.repeats(df, **way), ["start", "count"]).collect()
+        assert len(found) == 2 and max(len(r.found) for r in found) < 100
+    assert sorted({(r.doc_id, r.n_removed) for r in suffix_automata.remove_repeats(df.select("doc_id", "text")).collect()}) == [(1, 0), (2, 95)]
+
+
+def test_long_texts_are_read_in_stretches():
+    raw = np.arange(1000)
+    for most in (1, 7, 300, 5000):
+        held = [x for y in passages.stretches(["long", None, "long"], lambda t: raw if t else raw[:0], 20, most) for x in y]
+        windows = [(k, at + i) for k, at, units in held for i in range(len(units) - 19)]
+        assert windows == [(k, i) for k in (0, 2) for i in range(981)]
+        assert all(len(units) <= most + 19 and (units == raw[at : at + len(units)]).all() for _, at, units in held)
+    text = " ".join(f"w{k}" for k in range(3000)) + "\n\n tail"
+    assert suffix_automata.read_words(text, 50).tolist() == suffix_automata.read_words(text).tolist() and len(suffix_automata.read_words(text)) == 3001
+    assert len(suffix_automata.read_words(None)) == 0
+
+
 def test_suffix_order():
     rng = random.Random(2)
     for _ in range(200):
