@@ -8,8 +8,11 @@ of documents makes each stop together, as numpy arrays; permutations are short k
 
 1. Documents with equal n-gram sets are one class, with one signature, cut into bands of ``rows`` values.
 2. Classes that share a band are candidates: a pair at the similarity of 0.8 misses all 32 bands of 4 once in 20 million times.
-3. Candidates are verified on their full sets. A class is first compared with one centre of its bands, twice; then only
-   classes that are not connected yet are paired, so that groups of thousands of near copies never meet all in all.
+3. Candidates are verified on their full sets. A class is first compared with one centre of its bands, twice: the class that
+   shares its bands with the most others. Near copies whose edits differ are similar to the centre, but often not to each
+   other, though they share bands; so those that are not connected yet are not paired by bands, thousands with thousands, but
+   where two of them meet in n-grams that are rare among the candidates, early enough for a link (the size bounds of
+   ``ngram_join``; a link always meets there).
 4. Verified links are grouped: union-find within each batch of links, whose forests are merged by large-star / small-star.
 
 Bands, centres and copies that very many rows name are dealt out in each join (see ``skew``).
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .base import MULTIPLIER, as_longs, batches, column, discard, mix, slim, stash
 from .components import components
-from .ngram_join import set_key, shingles, similar_sizes
+from .ngram_join import heads, matrix, meetings, overlaps, postings, set_key, shingles, similar_sizes
 from .skew import hot_keys, hot_of, salted_join
 
 PLACES, ROWS = 128, 4
@@ -110,72 +113,51 @@ def entries(classes: DataFrame) -> DataFrame:
 
 
 def shared_bands(classes: DataFrame) -> DataFrame:
-    """The entries of bands that two or more classes have."""
+    """The entries of bands that two or more classes have, with the number of these, ``n``."""
     posts = entries(classes)
     shared = stash(posts.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     hot = hot_of(shared, ["band"], "n", classes.count())  # a class has a band once
-    return stash(salted_join(posts, shared.select("band"), ["band"], hot, ["node"]))
+    return stash(salted_join(posts, shared, ["band"], hot, ["node"]))
 
 
-def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """``node, names`` of the classes that have a candidate: the whole set, from the text of the class's least document."""
-
-    def run(source):
-        for batch in batches(source):
-            sets = [shingles(t, n) for t in column(batch, "text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([set_key(s) for s in sets], pa.uint64()).view(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "key", "names"])
-
-    nodes = wanted.select("node").distinct()
-    texts = slim(docs, "doc_id", "text").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    sets = texts.mapInArrow(run, "node long, key long, names binary")
-    return sets.join(classes.select("node", "key"), ["node", "key"], "left_semi").dropDuplicates(["node", "key"]).drop("key")
+def candidates(docs: DataFrame, shared: DataFrame, n: int, percent: int, hot: int) -> DataFrame:
+    """``key, size, prefix, names`` of the classes with a band in common: their n-grams from rare to common, as in ``ngram_join``."""
+    nodes = shared.select(F.col("node").alias("doc_id")).distinct()
+    texts = stash(slim(docs, "doc_id", "text").join(nodes, "doc_id", "left_semi"))
+    documents = matrix(texts, n, percent, hot)[2]
+    discard(texts)
+    return documents
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
 
     def run(source):
         for batch in batches(source):
-            keep = []
-            for x, y in zip(column(batch, "names_a").to_pylist(), column(batch, "names_b").to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    for side, other in (("a", "b"), ("b", "a")):
-        pairs = salted_join(pairs, sets.select(F.col("node").alias(side), F.col("names").alias(f"names_{side}")), [side], _hot_side(pairs, side), [other])
+            rows = [[np.frombuffer(x, np.uint64) for x in column(batch, f"names_{y}").to_pylist()] for y in "ab"]
+            sizes = [as_longs(column(batch, f"size_{y}")) for y in "ab"]
+            both = overlaps(*rows, *sizes, percent)
+            keep = (both >= 0) & (100 * both >= percent * (sizes[0] + sizes[1] - both))
+            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], ["a", "b"]).filter(pa.array(keep))
+
+    hot = {side: hot_keys(pairs, [side]) for side in "ab"}
+    for side, other in ("ab", "ba"):
+        names = documents.select(F.col("key").alias(side), F.col("size").alias(f"size_{side}"), F.col("names").alias(f"names_{side}"))
+        pairs = salted_join(pairs, names, [side], hot[side], [other])
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _hot_side(pairs: DataFrame, side: str) -> DataFrame:
-    return hot_keys(pairs.select(side), [side])
-
-
 def centre_pairs(posts: DataFrame, percent: int) -> DataFrame:
     """For each class the centre that most of its bands name, if the two are not connected yet."""
-    at_random = F.xxhash64("node")
-    centre = posts.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), *[f(F.struct(*x, "node", "size", "label")).alias(k) for k, f, x in (("c0", F.min, [at_random.alias("by")]), ("c1", F.min, [F.col("label").alias("by")]), ("c2", F.max, [F.col("label").alias("by")]))]).where("low < high")
-    centre = stash(centre.select("band", "n", F.array(*[F.struct(*[F.col(f"{c}.{x}").alias(x) for x in ("node", "size", "label")]) for c in ("c0", "c1", "c2")]).alias("centres")))
+    ways = {"c0": (F.max, "fame"), "c1": (F.min, "label"), "c2": (F.max, "label")}
+    centre = posts.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), *[f(F.struct(F.col(x).alias("by"), "node", "size", "label")).alias(k) for k, (f, x) in ways.items()]).where("low < high")
+    centre = stash(centre.select("band", "n", F.array(*[F.struct(*[F.col(f"{c}.{x}").alias(x) for x in ("node", "size", "label")]) for c in ways]).alias("centres")))
     near = salted_join(posts, centre.drop("n"), ["band"], hot_of(centre, ["band"], "n", posts.count()), ["node"])
     near = near.withColumn("c", F.explode("centres")).where((F.col("label") != F.col("c.label")) & similar_sizes(F.col("size"), F.col("c.size"), percent))
     votes = near.groupBy("node", F.col("c.node").alias("centre")).count()
     return votes.groupBy("node").agg(F.max(F.struct("count", "centre")).alias("best")).select(F.col("node").alias("a"), F.col("best.centre").alias("b"))
 
 
-def meetings(posts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of one band that are not connected yet; those of the band's largest component meet the others only."""
-    top = posts.groupBy("band", "label").count().groupBy("band").agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("n"), F.count("*").alias("labels")).where("labels > 1")
-    top = stash(top.select("band", "n", F.col("top.label").alias("top")))
-    hot = hot_of(top, ["band"], "n", posts.count())
-    mixed = stash(salted_join(posts, top.select("band", "top"), ["band"], hot, ["node"]))
-    side = lambda x: [F.col(y).alias(f"{y}_{x}") for y in ("node", "size", "label")]
-    pairs = mixed.where("label <> top").select("band", *side("a")).join(mixed.select("band", "top", *side("b")), "band")
-    once = (F.col("label_b") == F.col("top")) | (F.col("node_a") < F.col("node_b"))
-    pairs = pairs.where((F.col("label_a") != F.col("label_b")) & once & similar_sizes(F.col("size_a"), F.col("size_b"), percent))
-    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-
-
 def forests(links: DataFrame) -> DataFrame:
     """Links with the same components, by union-find within each batch: from a node to the least one of its tree."""
 
@@ -198,23 +180,31 @@ def forests(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80, places: int = PLACES, rows: int = ROWS, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80, places: int = PLACES, rows: int = ROWS, rounds: int = 2, hot: int = 64) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (doc_id, text)."""
     rows_of = stash(members(docs, n, places, rows))
     named = rows_of.where("key <> 0 and doc_id is not null")
     classes = stash(named.groupBy("key").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("size"), F.max("bands").alias("bands"), F.count("*").alias("n")))
-    shared = shared_bands(classes.where("bands is not null"))
-    sets = stash(full_sets(docs, classes, shared, n))
+    shared = shared_bands(classes)
+    documents = candidates(docs, shared, n, percent, hot)
+    fame = shared.groupBy("node").agg(F.sum("n").alias("fame")).join(documents.select(F.col("key").alias("node")).distinct(), "node", "left_semi")
+    famous = stash(shared.drop("n").join(fame, "node"))
+    short = stash(heads(documents))
     found, labels = None, None
     for turn in range(rounds + 1):
-        posts = shared.withColumn("label", F.col("node")) if labels is None else stash(shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        pairs = stash(centre_pairs(posts, percent) if turn < rounds else meetings(posts, percent))
-        new = forests(verified(pairs, sets, percent))
+        if turn < rounds:
+            posts = stash(famous.withColumn("label", F.col("node")) if labels is None else famous.join(labels.withColumnRenamed("key", "node"), "node", "left").withColumn("label", F.coalesce("label", "node")))
+            pairs = centre_pairs(posts, percent)
+        else:
+            posts = stash(postings(short, labels))
+            pairs = meetings(posts, percent).distinct()
+        pairs = stash(pairs)
+        new = forests(verified(pairs, documents, percent))
         last, found = found, stash(new if found is None else found.unionByName(new))
-        discard(pairs, last, None if labels is None else posts)
-        labels = components(found).withColumnRenamed("key", "node")
-    discard(sets, shared, found)
-    component = classes.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component_id"))
+        discard(pairs, last, posts)
+        labels = components(found)
+    discard(documents, shared, famous, short, found)
+    component = classes.select("key", "node").join(labels.withColumnRenamed("key", "node"), "node", "left").select("key", F.coalesce("label", "node").alias("component_id"))
     out = salted_join(named.select("doc_id", "key", "n_shingles"), component, ["key"], hot_of(classes, ["key"], "n", named.count()), ["doc_id"])
     alone = rows_of.where("key = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = out.select("doc_id", "n_shingles", "component_id").unionByName(alone)
