@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only a local session, which is one machine, may get one of its own."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="storelens-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -102,19 +102,30 @@ def claim(owner: str, release: Callable[[], None]) -> None:
     _held[owner] = release
 
 
+#: Longer words are not remembered by any operator; together, remembered words take so many characters at most.
+LONGEST, MOST_LETTERS = 1024, 16 << 20
+
+
 class WordMemo(dict):
-    """Values by word within one Python worker; emptied when full, so its memory is bounded."""
+    """Values by word within one Python worker; emptied when full, by number or by length, so its memory is bounded."""
 
     def __init__(self, make, most: int = 200_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.letters = make, most, 0
 
     def __missing__(self, word):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = self.make(word)
+        value = self.make(word)
+        if len(word) <= LONGEST:
+            if len(self) >= self.most or self.letters > MOST_LETTERS:
+                self.clear()
+            self.letters += len(word)
+            self[word] = value
         return value
 
+    def clear(self):
+        super().clear()
+        self.letters = 0
+
 
 _names = WordMemo(xxhash.xxh64_intdigest)
 

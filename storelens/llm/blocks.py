@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame
 
 from .base import tidy
 
+#: The most partitions of an exchange of blocks.
+PARTITIONS = 20_000
+
 
 def block_count(n_bytes: int, each: int = 16 << 20, least: int = 12) -> int:
     return max(least, -(-n_bytes // each))
@@ -49,7 +52,8 @@ def unpack(table: pa.Table, fields: dict[str, str]) -> dict[str, np.ndarray]:
 def by_block(packed: DataFrame, fields: dict[str, str], solve: Callable[[dict[str, np.ndarray]], pa.Table], out: str, blocks: int, number: str | None = None) -> DataFrame:
     """Run ``solve`` on the entries of each block, with the block's number under the name ``number`` if given.
 
-    Every block is a partition of its own, so tasks stay small as inputs grow.
+    Up to ``PARTITIONS`` blocks each is a partition of its own; of more, several share one and are solved one after the other,
+    so tasks stay small in memory, and their number stays one that a scheduler can bear, as inputs grow.
     """
 
     def run(table):
@@ -57,4 +61,4 @@ def by_block(packed: DataFrame, fields: dict[str, str], solve: Callable[[dict[st
         tidy()
         return out
 
-    return packed.repartitionById(blocks, "block").groupBy("block").applyInArrow(run, out)
+    return packed.repartitionById(min(blocks, PARTITIONS), "block").groupBy("block").applyInArrow(run, out)

@@ -7,9 +7,9 @@ words, and the prediction is the language under which it is greatest. The score
 by the geometric mean of the words' likelihoods, under equal priors, so that it tells short texts from clear ones.
 
 A word is a letter (Unicode category L) with the letters and marks (category M) behind it. Training reads only text
-and the language column of the rows it is given; ``per_language`` bounds the sample of each language and
-``most_languages`` the number of languages (those with the most rows, then in alphabetical order); both are
-documented parameters of the fit. Every row is then scored over its whole text.
+and the language column of the rows it is given; ``per_language`` bounds the sample of each language and is a documented
+parameter of the fit; there is no bound on the languages. Every row is then scored over its whole text, by ``SLICE``
+languages at a time, so that a worker never holds the probabilities of more.
 
 Defined cases: null texts and texts without a letter get ``und`` with score 0; ties go to the first language
 in alphabetical order; rows whose language is null are not learned from; without any training row every text
@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import batches, claim, column, slim
+from .base import MOST_LETTERS, batches, claim, column, slim, stash
 from .lattice import PieceTable
 from .sentence_pieces import SPACE, model_path
 
@@ -64,21 +64,28 @@ def piece_counts(found: Counter, path: str) -> np.ndarray:
     return out
 
 
-def train(labelled: DataFrame, per_language: int = 4000, path: str | None = None, most_languages: int = 200, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """Languages and log-probabilities (language x piece) from ``labelled`` (doc_id, text, lang).
+def sampled(rows: DataFrame, per_language: int, few: int = 100_000) -> DataFrame:
+    """``lang, text`` of about ``per_language`` rows of each language, chosen by a hash of doc_id."""
+    share = stash(rows.groupBy("lang").count().select("lang", F.least(F.lit(1.0), per_language / F.col("count")).alias("share")))
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    least = share.agg(F.max("share")).first()[0]
+    rows = rows.where(chance < (least or 0.0) * (1 << 20))  # rows that no language takes go before the join
+    joined = rows.join(F.broadcast(share) if share.count() <= few else share, "lang")
+    return joined.where(chance < F.col("share") * (1 << 20)).select("lang", "text")
 
-    A language with more than ``per_language`` rows gives a share of them, chosen by a hash of doc_id. The
-    result's size is languages x vocabulary, whatever the input.
+
+#: A model: the languages in alphabetical order, and for each those of its pieces that were seen, with their counts.
+Model = tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]
+
+
+def train(labelled: DataFrame, per_language: int = 4000, path: str | None = None) -> Model:
+    """The languages of ``labelled`` (doc_id, text, lang) and the counts of their pieces.
+
+    A language with more than ``per_language`` rows gives a share of them. The result's size is languages x vocabulary at
+    most, whatever the input.
     """
     path = path or model_path()
     rows = slim(labelled, "doc_id", "text", "lang").where("lang is not null and text is not null")
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
-    share = {r["lang"]: min(1.0, per_language / r["count"]) for r in common.collect()}
-    if not share:
-        return [], np.zeros((0, 0))
-    names = sorted(share)
-    rate = F.create_map(*[F.lit(x) for k in names for x in (k, share[k])])[F.col("lang")]
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20)).select("lang", "text")
 
     def run(source):
         found: dict[str, Counter] = {}
@@ -88,12 +95,22 @@ def train(labelled: DataFrame, per_language: int = 4000, path: str | None = None
         for lang, counts in found.items():
             n = piece_counts(counts, path)
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(n[at])], ["lang", "piece", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array([-1, *at]), pa.array([0.0, *n[at]])], ["lang", "piece", "n"])
+
+    counted = sampled(rows, per_language).mapInArrow(run, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
+    counted = counted.sort_by([("lang", "ascending"), ("piece", "ascending")])
+    lang, piece, n = counted["lang"].to_pylist(), counted["piece"].to_numpy(), counted["n"].to_numpy()
+    starts = np.flatnonzero(piece == -1)  # one for each language, even if it has no piece
+    ends = np.r_[starts[1:], len(piece)][: len(starts)]
+    return [lang[k] for k in starts], [(piece[a + 1 : b], n[a + 1 : b]) for a, b in zip(starts, ends, strict=True)]
+
 
-    counted = chosen.mapInArrow(run, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
-    n = np.full((len(names), vocabulary(path)[1]), smoothing)
-    np.add.at(n, (counted["lang"].map({k: i for i, k in enumerate(names)}).to_numpy(int), counted["piece"].to_numpy(int)), counted["n"].to_numpy(float))
-    return names, np.log(n / n.sum(1, keepdims=True))
+def probabilities(counts: list[tuple[np.ndarray, np.ndarray]], size: int, smoothing: float = 0.5) -> np.ndarray:
+    """Log-probabilities (language x piece)."""
+    n = np.full((len(counts), size), smoothing)
+    for row, (piece, count) in zip(n, counts, strict=True):
+        row[piece] += count
+    return np.log(n / n.sum(1, keepdims=True))
 
 
 class Scorer:
@@ -105,7 +122,7 @@ class Scorer:
         self.stranger = self.chance.min(0) / 10  # a character outside the vocabulary
         self.memo: dict[str, int] = {}
         self.values = np.empty((0, model.shape[0]))
-        self.most = most
+        self.most, self.letters = min(most, (1 << 27) // (8 * len(model))), 0
 
     def forward(self, names: list[str]) -> np.ndarray:
         """Log-likelihood of each word by language: the sum over all its segmentations."""
@@ -134,9 +151,10 @@ class Scorer:
 
     def score(self, texts: list[list[str]]) -> np.ndarray:
         """The mean log-likelihood of each list of words; zeros for none."""
-        if len(self.memo) > self.most:
-            self.memo, self.values = {}, self.values[:0]
+        if len(self.memo) > self.most or self.letters > MOST_LETTERS:
+            self.memo, self.values, self.letters = {}, self.values[:0], 0
         if new := list({w for t in texts for w in t}.difference(self.memo)):
+            self.letters += sum(map(len, new))
             self.memo.update(zip(new, range(len(self.values), len(self.values) + len(new)), strict=True))
             self.values = np.concatenate([self.values, self.forward([SPACE + w for w in new])])
         out = np.zeros((len(texts), self.values.shape[1]))
@@ -148,43 +166,57 @@ class Scorer:
 
 _scorers: dict[str, Scorer] = {}
 
+#: So many languages are scored at a time.
+SLICE = 128
 
-def _scores(docs: DataFrame, names: list[str], model: np.ndarray, path: str | None):
-    """A function for tasks: labels and scores of a list of texts. The model is languages x vocabulary in size."""
+
+def _best(docs: DataFrame, model: Model, path: str | None, each: int) -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns, whose names are given back: the best language and its score.
+
+    Slices of the languages follow each other as steps over the same rows. A step has a worker, a model and a memo of its
+    own, and hands on the best language so far, its mean log-likelihood, and the sum of all likelihoods relative to it.
+    """
     path = path or model_path()
-    shared = docs.sparkSession.sparkContext.broadcast((names, model.astype(np.float32)))
+    names, counts = model
+    label, mean, total = (f"{x} {uuid.uuid4().hex}" for x in ("label", "mean", "total"))
+    docs = docs.withColumns({label: F.lit(UNDETERMINED), mean: F.lit(float("-inf")), total: F.lit(0.0)})
+    for at in range(0, len(names), each):
+        some = names[at : at + each]
+        shared = docs.sparkSession.sparkContext.broadcast(probabilities(counts[at : at + each], vocabulary(path)[1]).astype(np.float32))
+        docs = docs.mapInArrow(_step(some, shared, path, (label, mean, total)), docs.schema)
+    return docs.withColumn(total, F.when(F.col(total) > 0, 1 / F.col(total)).otherwise(0.0)).drop(mean), label, total
+
+
+def _step(names: list[str], shared, path: str, columns: tuple[str, str, str]):
     key = uuid.uuid4().hex
 
-    def score(texts):
-        names, model = shared.value
-        found = [words(t) for t in texts]
-        labels, scores = [UNDETERMINED] * len(found), [0.0] * len(found)
-        if names:
-            claim("languages", _scorers.clear)
-            if key not in _scorers:
-                _scorers.clear()
-                _scorers[key] = Scorer(model, path)
-            mean = _scorers[key].score(found)
-            best = mean.argmax(1)
-            top = 1 / np.exp(mean - mean.max(1, keepdims=True)).sum(1)
+    def run(source):
+        claim("languages", _scorers.clear)
+        if key not in _scorers:
+            _scorers.clear()
+            _scorers[key] = Scorer(shared.value, path)
+        scorer = _scorers[key]
+        for batch in batches(source, 4 << 20):
+            found = [words(t) for t in column(batch, "text").to_pylist()]
+            likely = scorer.score(found)
+            best = likely.argmax(1)
+            labels, means, totals = (column(batch, x).to_pylist() for x in columns)
             for k, w in enumerate(found):
                 if w:
-                    labels[k], scores[k] = names[best[k]], float(top[k])
-        return labels, scores
+                    top = max(here := float(likely[k, best[k]]), means[k])
+                    totals[k] = float(np.exp(likely[k] - top).sum()) + totals[k] * float(np.exp(means[k] - top))
+                    if here > means[k]:
+                        labels[k], means[k] = names[best[k]], here
+            new = dict(zip(columns, (pa.array(labels, pa.string()), pa.array(means, pa.float64()), pa.array(totals, pa.float64())), strict=True))
+            yield pa.RecordBatch.from_arrays([new.get(x, y) for x, y in zip(batch.schema.names, batch.columns, strict=True)], batch.schema.names)
 
-    return score
+    return run
 
 
-def predict(docs: DataFrame, names: list[str], model: np.ndarray, path: str | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Model, path: str | None = None, each: int = SLICE) -> DataFrame:
     """``doc_id, lang_pred, score`` of every row of ``docs`` (doc_id, text)."""
-    score = _scores(docs, names, model, path)
-
-    def run(source):
-        for batch in batches(source, 4 << 20):
-            labels, scores = score(column(batch, "text").to_pylist())
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return slim(docs, "doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    found, label, score = _best(slim(docs, "doc_id", "text"), model, path, each)
+    return found.select("doc_id", F.col(label).alias("lang_pred"), F.col(score).alias("score"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -195,8 +227,7 @@ def held_out(doc_id: Column) -> Column:
 def identify(docs: DataFrame, per_language: int = 4000, path: str | None = None) -> DataFrame:
     """Learn from the labelled rows that are not held out; ``doc_id, held_out, lang_pred, score`` of all."""
     held = F.coalesce(held_out(docs["doc_id"]), F.lit(False))
-    names, model = train(docs.where(~held), per_language, path)
-    out = predict(docs, names, model, path)
+    out = predict(docs, train(docs.where(~held), per_language, path), path)
     return out.select("doc_id", F.coalesce(held_out(out["doc_id"]), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
@@ -206,12 +237,5 @@ def reject_unknown(docs: DataFrame, per_language: int = 4000, path: str | None =
     The labels of the rows that are not held out train the model; without labels every text is undetermined.
     """
     held = F.coalesce(held_out(docs["doc_id"]), F.lit(False))
-    names, model = train(docs.where(~held), per_language, path)
-    score = _scores(docs, names, model, path)
-
-    def run(source):
-        for batch in batches(source, 4 << 20):
-            labels, _ = score(column(batch, "text").to_pylist())
-            yield batch.filter(pa.array([k != UNDETERMINED for k in labels], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    found, label, score = _best(docs, train(docs.where(~held), per_language, path), path, SLICE)
+    return found.where(F.col(label) != UNDETERMINED).drop(label, score)

@@ -17,7 +17,7 @@ No column is gathered that a common passage makes long: an n-gram that many sets
 sure, so its entries go straight to their documents, its column gets one mark per batch, and it ranks behind all
 counted ones everywhere.
 
-Defined cases: rows without a doc_id are no documents and leave; null and blank texts have no n-grams and are linked
+Defined cases: rows without a doc_id are returned, without a component, and compared with nothing; null and blank texts have no n-grams and are linked
 with nothing; a text with fewer words than ``n`` is one n-gram; doc_id is the identity of a document: several rows of
 one doc_id are returned as they come, and the component is the least doc_id; ties in the order of n-grams go by their
 names; extra columns are ignored; an empty table gives no row. Sets are told apart by 64-bit hashes.
@@ -25,6 +25,7 @@ names; extra columns are ignored; an empty table gives no row. Sets are told apa
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -297,7 +298,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, rounds: int
         labels = components(found)
     discard(documents, short, found)
     of_key = least.join(labels.withColumnRenamed("key", "least"), "least", "left").select("key", F.coalesce("label", "least").alias("component"))
-    return members.join(of_key, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = members.join(of_key, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.unionByName(unnamed(docs, n))
+
+
+def unnamed(docs: DataFrame, n: int) -> DataFrame:
+    """The result of rows without a doc_id."""
+
+    def run(source):
+        for batch in batches(source):
+            sizes = [len(shingles(t, n)) for t in column(batch, "text").to_pylist()]
+            none = pa.nulls(len(sizes), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(sizes, pa.int64()), none], ["doc_id", "n_shingles", "component_id"])
+
+    return slim(docs, "doc_id", "text").where("doc_id is null").mapInArrow(run, "doc_id long, n_shingles long, component_id long")
 
 
 def similar_pairs(docs: DataFrame, n: int = 5, percent: int = 75, hot: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -318,10 +332,11 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     if repeated.isEmpty():
         first = near_duplicates(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
         kept = named.join(first, "doc_id", "left_semi")
-    else:  # rows of a repeated id are told apart by the name of their text
-        node, again = "_node", stash(repeated).withColumnRenamed("doc_id", "_again")
-        nodes = named.join(again, named["doc_id"] == again["_again"], "left")
-        nodes = stash(nodes.withColumn(node, F.when(F.col("_again").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text"))).drop("_again"))
+    else:  # rows of a repeated id are told apart by the name of their text; new columns have names that no other has
+        node, again = (f"{x} {uuid.uuid4().hex}" for x in ("node", "again"))
+        ids = stash(repeated).withColumnRenamed("doc_id", again)
+        nodes = named.join(ids, named["doc_id"] == ids[again], "left")
+        nodes = stash(nodes.withColumn(node, F.when(F.col(again).isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text"))).drop(again))
         near = near_duplicates(nodes.select(F.col(node).alias("doc_id"), "text"), n, percent).withColumnRenamed("doc_id", node).distinct()
         near = near.join(nodes.select(node, "doc_id").distinct(), node)
         blank = F.col("n_shingles") == 0  # blank texts of one id have equal sets, those of different ids are not linked

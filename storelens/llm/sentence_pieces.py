@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .base import batches, claim, column, slim
+from .base import LONGEST, MOST_LETTERS, batches, claim, column, slim
 from .lattice import PieceTable
 
 SPACE = "▁"
@@ -110,7 +110,7 @@ class Pieces:
         self.joins = Joins({x: k for k, x in enumerate(names)}, {k: -float(s) for k, s in enumerate(self.score)}) if kind == "bpe" else None
         self.single = {x for x in names if len(x) == 1}
         self.memo: dict[str, bytes] = {}
-        self.most = most
+        self.most, self.letters = most, 0
         # where no piece has two such neighbours, a text can be cut between them without changing its pieces
         if any(SPACE in x.lstrip(SPACE) for x in names):
             raise ValueError("pieces across words are not supported")
@@ -184,12 +184,19 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.cut.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.memo) > self.most:
+        if len(self.memo) > self.most or self.letters > MOST_LETTERS:
             self.memo.clear()
+            self.letters = 0
         if new := list({w for words in cut for w in words}.difference(self.memo)):
             self.learn(new)
         memo = self.memo
-        return [np.frombuffer(b"".join(map(memo.__getitem__, words)), "<i4") for words in cut]
+        out = [np.frombuffer(b"".join(map(memo.__getitem__, words)), "<i4") for words in cut]
+        for w in new:
+            if len(w) > LONGEST:
+                del memo[w]
+            else:
+                self.letters += len(w)
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.raw.__getitem__, ids.tolist())).decode(errors="replace").removeprefix(" ")

@@ -272,7 +272,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     """``query_id, rank, vec_id, score``: the k best of all other rows for each row whose id ``every`` divides.
 
     ``sample_rows`` bounds the sample (chosen by a hash of the id) that the cells are fitted on, ``most_cells`` their
-    number; a cell takes as many shards of about ``shard_rows`` as it needs, and every row is in one of them.
+    number; a cell takes as many shards of about ``shard_rows`` as its rows need, and every row is in one of them.
     """
     rows = stash(whole_numbers(vectors, scale))
     n = rows.count()
@@ -280,7 +280,6 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) <= share * (1 << 20)).select("cells").limit(sample_rows)
     nodes = splits([r["cells"] for r in sample.collect()], max(1, min(most_cells, -(-n // shard_rows))))
     cells = len(nodes) + 1
-    deal = max(1, -(-n // (cells * shard_rows)))  # shards of a cell
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("cells").alias("cells"))
     both = rows.withColumn("ask", F.lit(False)).unionByName(queries.withColumn("ask", F.lit(True)))
 
@@ -290,10 +289,13 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
             yield pa.RecordBatch.from_arrays([pa.array(found), *batch.columns], ["cell", *batch.schema.names])
 
     placed = both.select("vec_id", "cells", "ask").mapInArrow(place, "cell long, vec_id long, cells array<long>, ask boolean")
-    sharded = placed.select((F.col("cell") * deal + F.pmod(F.xxhash64("vec_id"), F.lit(deal))).alias("shard"), F.size("cells").alias("length"), "vec_id", "cells", "ask")
+    held = dict(placed.where("not ask").groupBy("cell").count().collect())  # at most ``most_cells`` rows
+    deal = [max(1, -(-held.get(k, 0) // shard_rows)) for k in range(cells)]  # shards of each cell; equal rows are dealt by their ids
+    at, parts_of = (F.element_at(F.array(*map(F.lit, x)), F.col("cell").cast("int") + 1) for x in ([sum(deal[:k]) for k in range(cells)], deal))
+    sharded = placed.select((at + F.pmod(F.xxhash64("vec_id"), parts_of)).cast("long").alias("shard"), F.size("cells").alias("length"), "vec_id", "cells", "ask")
     trees = stash(built(sharded, k))
     asked = trees.agg(F.sum(F.octet_length("asked"))).first()[0] or 0
-    groups, parts = max(1, -(-cells * deal // 256)), max(1, -(-asked // (8 * query_rows)))
+    groups, parts = max(1, -(-sum(deal) // 256)), max(1, -(-asked // (8 * query_rows)))
     found = _rows(trees.select("q", "v", "s")).unionByName(_rows(far(sent(trees, groups, parts), trees, parts, k)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -54,6 +54,22 @@ def test_cells_hold_every_vector():
     assert vector_search.splits([[1, 1]] * 9, 4) == [] and vector_search.cell_of([[7, 7]], []).tolist() == [0]
 
 
+def test_a_hot_cell_takes_more_shards(spark, monkeypatch):
+    """Very many equal vectors: their cell is dealt over as many shards as its rows need."""
+    rng, sizes = np.random.default_rng(5), []
+    rows = [(k, [7, 7, 7]) for k in range(5000)] + [(5000 + k, rng.integers(-100, 100, 3).tolist()) for k in range(1000)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+
+    def built(sharded, k, own=vector_search.built):
+        sizes.extend(r["count"] for r in sharded.where("not ask").groupBy("shard").count().collect())
+        return own(sharded, k)
+
+    monkeypatch.setattr(vector_search, "built", built)
+    got = vector_search.top_k(df, every=1500, shard_rows=256)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 10, 1500)
+    assert sum(sizes) == 6000 and max(sizes) <= 2 * 256
+
+
 def test_tree_prunes_but_loses_nothing():
     rng = np.random.default_rng(2)
     points = rng.integers(-100, 100, (500, 3))

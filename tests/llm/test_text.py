@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from storelens.llm import decontamination, language_id, licenses, sentence_pieces, token_counts, training_order
+from storelens.llm import base, decontamination, language_id, licenses, sentence_pieces, token_counts, training_order
 
 from .conftest import SCHEMA, words
 
@@ -37,7 +37,7 @@ def test_token_counts_of_many_characters():
     from tokenizers import Tokenizer
 
     library, own = Tokenizer.from_file(token_counts.vocabulary_path()), token_counts.counter(token_counts.vocabulary_path())
-    for block in range(0x20, 0x3000, 64):
+    for block in [0x20, *range(0x40, 0xD800, 64), *range(0xE000, 0x110000, 64)]:  # every code point there is
         text = "".join(f"a{chr(c)}b {chr(c)}" for c in range(block, block + 64))
         assert own.count(text) == len(library.encode(text, add_special_tokens=False).ids), hex(block)
 
@@ -101,8 +101,65 @@ def test_letters_decide_and_marks_stay_in_words(spark):
     tied = language_id.identify(spark.createDataFrame(balanced, "doc_id long, text string, lang string")).collect()
     assert {(r.lang_pred, r.score) for r in tied} == {("a", 0.5)}  # ties go to the first in alphabetical order
     assert all(got[i].lang_pred in ("a", "b") and 0.5 <= got[i].score <= 1 for i in (1001, None, 1002, 1003))
-    few = language_id.train(spark.createDataFrame([(k, "word", f"l{k % 7}") for k in range(70)] + [(100, "word", "rare")], "doc_id long, text string, lang string"), most_languages=3)
-    assert few[0] == ["l0", "l1", "l2"] and few[1].shape[0] == 3
+
+
+def test_every_language_is_learned(spark):
+    """250 languages, of which each has words of its own; slices of them give what all at once give."""
+    rng = random.Random(7)
+    own = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4)] for k in range(250)}
+    rows = [(250 * j + k, " ".join(rng.choices(w, k=12)), lang) for k, (lang, w) in enumerate(own.items()) for j in range(4 + (k < 200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, counts = model = language_id.train(df)
+    assert names == sorted(own) and len(counts) == 250
+    got = [sorted(map(tuple, language_id.predict(df, model, each=each).collect())) for each in (37, 1000)]
+    assert [x[:2] for x in got[0]] == [x[:2] for x in got[1]] == sorted((i, lang) for i, _, lang in rows)
+    assert [x[2] for x in got[0]] == pytest.approx([x[2] for x in got[1]])
+    assert {len(language_id.sampled(df, 2, few).where("lang = 'l003'").collect()) for few in (0, 10**6)} <= {0, 1, 2, 3, 4, 5}
+    few = language_id.sampled(spark.range(40_000).selectExpr("id as doc_id", "'w' as text", "if(id % 4 = 0, 'a', 'b') as lang"), 1000).groupBy("lang").count().collect()
+    assert all(800 < r["count"] < 1200 for r in few) and len(few) == 2
+
+
+def test_piece_counts_against_brute_force():
+    from collections import Counter
+
+    path = sentence_pieces.model_path()
+    table, size = language_id.vocabulary(path)
+    names = {p.lower() for p in _library(path)}
+    usual = sorted(x for x in names if x == "▁" or x.removeprefix("▁").isalpha() or language_id.PIECE.fullmatch(x.removeprefix("▁")))
+    assert len(usual) == size
+    found = Counter({"the": 3, "a": 1, "counting": 2, "éa": 5, "x" * 3000: 1, "हिन्दी": 4})
+    expected = np.zeros(size)
+    for k, piece in enumerate(usual):
+        for word, n in found.items():
+            word = "▁" + word
+            expected[k] += n * sum(word.startswith(piece, at) for at in range(len(word)))
+    assert (language_id.piece_counts(found, path) == expected).all() and expected.sum() > 3000
+
+
+def _library(path):
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=path)
+    return [p.id_to_piece(i) for i in range(p.get_piece_size()) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i))]
+
+
+def test_memos_are_bounded_in_letters(monkeypatch):
+    """Long words are counted without being remembered, and many of middle length empty a memo."""
+    rng = random.Random(2)
+    monkeypatch.setattr(base, "MOST_LETTERS", 5000)
+    memo = base.WordMemo(len)
+    assert [memo[f"{k:08d}"] for k in range(3000)] == [8] * 3000 and memo.letters <= 5008 and memo["x" * 2000] == 2000 and "x" * 2000 not in memo
+    monkeypatch.setattr(sentence_pieces, "MOST_LETTERS", 5000)
+    coder = sentence_pieces.Pieces(sentence_pieces.model_path())
+    texts = ["".join(rng.choice("abc de") for _ in range(3000)) + " " + "".join(rng.choice("abc") for _ in range(4000)) for _ in range(8)]
+    for t in texts:
+        assert coder.decode(coder.encode([t])[0]) == t
+    assert max(map(len, coder.memo)) <= base.LONGEST and sum(map(len, coder.memo)) < 10_000
+    monkeypatch.setattr(language_id, "MOST_LETTERS", 5000)
+    path = sentence_pieces.model_path()
+    scorer = language_id.Scorer(np.log(np.random.default_rng(1).dirichlet(np.ones(language_id.vocabulary(path)[1]), 2)), path)
+    apart = [scorer.score([t.split()]) for t in texts]
+    assert np.allclose(np.concatenate(apart), language_id.Scorer(np.log(scorer.chance.T), path).score([t.split() for t in texts])) and sum(map(len, scorer.memo)) < 20_000
 
 
 def test_forward_sums_all_segmentations():
