@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -140,19 +140,27 @@ REVIEW_TEXT = {"id": (0,), "user_name": (1, 0), "user_image": (1, 1, 3, 2), "tex
 REVIEW_NUMBER = {"score": (2,), "thumbs_up": (6,), "seconds": (5, 0), "parts": (5, 1), "reply_seconds": (7, 2, 0), "reply_parts": (7, 2, 1)}
 
 
-def review_row(v: Column, app_id: Column) -> Column:
-    """A review: only values of the expected type count, and only arrays are walked."""
+#: What a column of a review is made of, where that is not its own value.
+REVIEW_FROM = {"date": ("seconds", "parts"), "reply_date": ("reply_seconds", "reply_parts"), "url": ("id",), "criterias": ()}
 
-    def row(t: Column, n: Column) -> Column:
-        columns = {x: F.get(t, F.lit(k)) for k, x in enumerate(REVIEW_TEXT)}
-        number = {x: F.get(n, F.lit(k)) for k, x in enumerate(REVIEW_NUMBER)}
-        columns |= {x: F.coalesce(number[x], F.lit(0)).cast("long") for x in ("score", "thumbs_up")}
-        columns |= {"date": moment(number["seconds"], number["parts"]), "reply_date": moment(number["reply_seconds"], number["reply_parts"])}
-        columns["url"] = F.when(columns["id"] != "", details_url(app_id, F.lit("&reviewId="), columns["id"])).otherwise(F.lit(""))
-        columns["criterias"] = F.array().cast("array<struct<name:string,rating:int>>")
-        return F.struct(*[columns[x].alias(x) for x in REVIEW])
 
-    return let(texts_only(v, *REVIEW_TEXT.values()), lambda t: let(numbers_only(v, *REVIEW_NUMBER.values()), lambda n: row(t, n)))
+def review_row(v: Column, app_id: Column, fields: Sequence[str] | None = None) -> Column:
+    """A review: only values of the expected type count, and only arrays are walked. ``fields``: the columns beside ``id``, all if None."""
+    wanted = [x for x in REVIEW if fields is None or x == "id" or x in fields]
+    parts = {y for x in wanted for y in REVIEW_FROM.get(x, (x,))} | {"id"}
+    texts, numbers = ({x: p for x, p in of.items() if x in parts} for of in (REVIEW_TEXT, REVIEW_NUMBER))
+
+    def row(t: Column, n: Column | None) -> Column:
+        columns = {x: F.get(t, F.lit(k)) for k, x in enumerate(texts)}
+        number = {x: F.get(n, F.lit(k)) for k, x in enumerate(numbers)}
+        make = {x: lambda x=x: F.coalesce(number[x], F.lit(0)).cast("long") for x in ("score", "thumbs_up")}
+        make |= {x: lambda x=x: moment(*[number[y] for y in REVIEW_FROM[x]]) for x in ("date", "reply_date")}
+        make["url"] = lambda: F.when(columns["id"] != "", details_url(app_id, F.lit("&reviewId="), columns["id"])).otherwise(F.lit(""))
+        make["criterias"] = lambda: F.array().cast("array<struct<name:string,rating:int>>")
+        return F.struct(*[(make[x]() if x in make else columns[x]).alias(x) for x in wanted])
+
+    numbered = lambda t: let(numbers_only(v, *numbers.values()), lambda n: row(t, n)) if numbers else row(t, None)
+    return let(texts_only(v, *texts.values()), numbered)
 
 
 #: A review's columns in their order.

@@ -100,24 +100,45 @@ def sort_reviews(reviews: DataFrame, sort: Sort) -> DataFrame:
     return reviews.orderBy(F.desc(REVIEW_ORDER[sort]), "id")
 
 
-def _read_pages(pages: DataFrame, total: int, by: Sequence[str]) -> DataFrame:
-    """The typed pages that are read for a total: up to the first that is empty, in error or without a token, or until the total is there."""
+def _read_pages(pages: DataFrame, total: int, by: Sequence[str], fields: Sequence[str] | None = None) -> DataFrame:
+    """The typed pages that are read for a total: up to the first that is empty, in error or without a token, or until the total is there.
+
+    ``_before`` is the number of reviews on the pages before.
+    """
     if total < 0:
         raise ValueError("a number of rows can't be negative")
     n = F.coalesce(F.size("items"), F.lit(0))
     ends = (F.col("status") != "ok") | (n == 0) | (F.col("next_token") == "")
     before = Window.partitionBy(*by).orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    known = tables.typed_review_pages(pages).withColumn("_over", F.max(ends).over(before)).withColumn("_n", F.sum(n).over(before))
-    return known.where(~F.coalesce("_over", F.lit(False)) & (F.coalesce("_n", F.lit(0)) < total)).drop("_over", "_n")
+    known = tables.typed_review_pages(pages, fields).withColumn("_over", F.max(ends).over(before)).withColumn("_before", F.coalesce(F.sum(n).over(before), F.lit(0)))
+    return known.where(~F.coalesce("_over", F.lit(False)) & (F.col("_before") < total)).drop("_over")
 
 
-def reviews_all(pages: DataFrame, total: int, by: Sequence[str] = ("app_id",)) -> DataFrame:
+def reviews_all(pages: DataFrame, total: int, by: Sequence[str] = ("app_id",), fields: Sequence[str] | None = None) -> DataFrame:
     """Reviews of consecutive pages up to a total: reading ends behind the first page that is empty, in error, or without a token."""
-    return first_n(tables.exploded(_read_pages(pages, total, by)), total, ["page_no", "pos"], by)
+    return first_n(tables.exploded(_read_pages(pages, total, by, fields).drop("_before")), total, ["page_no", "pos"], by)
+
+
+def reviews_all_errors(pages: DataFrame, total: int, by: Sequence[str] = ("app_id",)) -> DataFrame:
+    """The error that ended a read, if one did: ``page_no, error, n_reviews`` (what the read gives in spite of it). Pages that
+    the read never comes to are not asked, so their errors do not count."""
+    read = _read_pages(pages, total, by, ["id"]).where("status = 'error'")
+    return read.select(*by, "page_no", "error", F.col("_before").cast("long").alias("n_reviews"))
+
+
+def reviews_outcome(pages: DataFrame, total: int, by: Sequence[str] = ("app_id",)) -> DataFrame:
+    """Both of one read, for which each page is parsed once: the reviews of ``reviews_all``, and behind them, where an error ended
+    the read, one row with it in ``failed`` (NULL for reviews) and no review. ``parted`` takes the two apart."""
+    read = _read_pages(pages, total, by).drop("_before")
+    wrong = F.col("status") == "error"
+    one = F.array(F.get("items", F.lit(0)))  # a page in error has no items: a single row without a review
+    read = read.withColumn("failed", F.when(wrong, F.coalesce("error", F.lit("")))).withColumn("items", F.when(wrong, one).otherwise(F.col("items")))
+    return first_n(tables.exploded(read), total, ["page_no", "pos"], by)
 
 
-def reviews_all_errors(pages: DataFrame, by: Sequence[str] = ("app_id",)) -> DataFrame:
-    return tables.review_pages(pages).where("status = 'error'").select(*by, "page_no", "error")
+def parted(outcome: DataFrame, by: Sequence[str] = ("app_id",)) -> tuple[DataFrame, DataFrame]:
+    """Reviews, and errors (``page_no, error``), of an outcome. Persist or store the outcome to use both."""
+    return outcome.where("failed is null").drop("failed"), outcome.where("failed is not null").select(*by, "page_no", F.col("failed").alias("error"))
 
 
 def reviews_comprehensive(pages: DataFrame, per_rating: int) -> DataFrame:
@@ -126,7 +147,7 @@ def reviews_comprehensive(pages: DataFrame, per_rating: int) -> DataFrame:
     A rating that meets a page in error before its number is there gives nothing, as its partial rows are not used.
     """
     by = ["app_id", "score_query"]
-    read = _read_pages(pages.where("app_id <> ''"), per_rating, by)
+    read = _read_pages(pages.where("app_id <> ''"), per_rating, by).drop("_before")
     failed = F.max(F.col("status") == "error").over(Window.partitionBy(*by))
     good = read.withColumn("_failed", failed).where("not _failed").drop("_failed")
     rows = first_n(tables.exploded(good), per_rating, ["page_no", "pos"], by)

@@ -6,7 +6,7 @@ Rows keep their order in ordinal columns: ``page_no`` (given), ``section_no``, `
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -128,8 +128,12 @@ def search_tokens(raw: DataFrame) -> DataFrame:
 
 
 def responses(raw: DataFrame, tolerant: bool) -> DataFrame:
-    """Request columns with ``status``, ``error`` and ``data`` of responses."""
-    return once(raw, "e", envelope(F.col("body"), tolerant)).select(*request_columns(raw), "e.*")
+    """Request columns with ``status``, ``error`` and ``data`` of responses. A request that failed (``error``) has no body to read."""
+    read = envelope(F.col("body"), tolerant)
+    if "error" in raw.columns:
+        failed = F.struct(F.lit("error").alias("status"), F.concat(F.lit("request failed: "), raw["error"]).alias("error"), F.lit(None).cast("variant").alias("data"))
+        read = F.when(raw["error"].isNotNull(), failed).otherwise(read)
+    return once(raw, "e", read).select(*request_columns(raw), "e.*")
 
 
 def search_more_pages(raw: DataFrame) -> DataFrame:
@@ -189,21 +193,21 @@ def section_of(collection: str) -> int:
     return {"TOP_PAID": 1, "GROSSING": 2}.get(collection, 0)
 
 
-def typed_review_pages(raw: DataFrame) -> DataFrame:
-    """Typed review pages (app_id), each parsed once; only a text counts as a token."""
-    rows = _typed(items(array_path(F.col("data"), 0)), lambda x: layouts.review_row(x, F.col("app_id")), "id")
+def typed_review_pages(raw: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
+    """Typed review pages (app_id), each parsed once; only a text counts as a token. Of a review only ``fields`` are read, if given."""
+    rows = _typed(items(array_path(F.col("data"), 0)), lambda x: layouts.review_row(x, F.col("app_id"), fields), "id")
     token = F.coalesce(text_only(array_path(F.col("data"), 1, 1)), F.lit(""))
     return responses(raw, False).select(*request_columns(raw), "status", "error", token.alias("next_token"), rows.alias("items"))
 
 
-def reviews(raw: DataFrame) -> DataFrame:
-    """Reviews of response pages (app_id)."""
-    return exploded(typed_review_pages(raw))
+def reviews(raw: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
+    """Reviews of response pages (app_id): all columns, or ``id`` and ``fields``. What is not asked for is not taken out of the page."""
+    return exploded(typed_review_pages(raw, fields))
 
 
 def review_pages(raw: DataFrame) -> DataFrame:
     """``status``, ``error`` and ``next_token`` of review pages."""
-    return typed_review_pages(raw).drop("items")
+    return typed_review_pages(raw, ["id"]).drop("items")
 
 
 def permissions(raw: DataFrame) -> DataFrame:

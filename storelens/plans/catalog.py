@@ -442,34 +442,59 @@ def reviews_comprehensive(spark, sf_dir):
     return _shown(relational.reviews_comprehensive(pages, 200))
 
 
+def _broken(spark, sf_dir) -> DataFrame:
+    """Review pages of which every fourth is no response, from another page on in each app."""
+    wrong = F.col("page_no") % 4 == F.length("app_id") % 4
+    return _paged(spark, sf_dir).withColumn("body", F.when(wrong, F.lit(")]}'\nnonsense")).otherwise(F.col("body")))
+
+
+#: What a read up to 250 reviews comes to: the pages before the first broken one, and that one if the total is not there before.
+BROKEN = f"""p AS (SELECT app_id, page_no, count(*) AS n, page_no % 4 = length(app_id) % 4 AS wrong FROM ({REVIEW}) GROUP BY app_id, page_no),
+  w AS (SELECT *, coalesce(max(wrong::INT) OVER b, 0) = 1 AS over, coalesce(sum(n) OVER b, 0) AS before FROM p WINDOW b AS (PARTITION BY app_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@query(f"WITH {BROKEN} SELECT app_id, CAST(page_no AS INTEGER) AS page_no, 'malformed response' AS error, CAST(before AS BIGINT) AS n_reviews FROM w WHERE wrong AND NOT over AND before < 250")
+def reviews_all_errors(spark, sf_dir):
+    """Only the error that ended a read: those of later pages, or behind the total, are never met."""
+    return relational.reviews_all_errors(_broken(spark, sf_dir), 250)
+
+
+@query(f"""WITH {BROKEN}, r AS (SELECT r.*, row_number() OVER (PARTITION BY r.app_id ORDER BY r.event_id) AS k FROM ({REVIEW}) r JOIN w ON r.app_id = w.app_id AND r.page_no = w.page_no WHERE NOT w.over AND NOT w.wrong AND before < 250)
+  SELECT app_id, CAST(page_no AS INTEGER) AS page_no, id, score, CAST(NULL AS VARCHAR) AS failed FROM r WHERE k <= 250
+  UNION ALL SELECT app_id, CAST(page_no AS INTEGER), NULL, NULL, 'malformed response' FROM w WHERE wrong AND NOT over AND before < 250""")
+def reviews_outcome(spark, sf_dir):
+    """Reviews and the error of one read."""
+    return relational.reviews_outcome(_broken(spark, sf_dir), 250).select("app_id", "page_no", "id", "score", "failed")
+
+
 # analytics --------------------------------------------------------------------------------------------------
 
 
 @query(f"SELECT app_id, count(*) AS n_reviews, round(avg(score), 6) AS avg_score FROM ({REVIEW}) GROUP BY app_id")
 def score_stats(spark, sf_dir):
-    return analytics.score_stats(tables.reviews(_paged(spark, sf_dir)), ["app_id"]).withColumn("avg_score", F.round("avg_score", 6))
+    return analytics.score_stats(tables.reviews(_paged(spark, sf_dir), ["score"]), ["app_id"]).withColumn("avg_score", F.round("avg_score", 6))
 
 
 @query(f"SELECT s.score, count(r.score) AS n, round(100.0 * count(r.score) / sum(count(r.score)) OVER (), 1) AS percent FROM (SELECT CAST(unnest(range(1, 6)) AS BIGINT) AS score) s LEFT JOIN ({REVIEW}) r ON r.score = s.score GROUP BY s.score")
 def score_distribution(spark, sf_dir):
-    return analytics.score_distribution(tables.reviews(_paged(spark, sf_dir)))
+    return analytics.score_distribution(tables.reviews(_paged(spark, sf_dir), ["score"]))
 
 
 @query(f"SELECT s.score, count(r.score) AS n, round(100.0 * count(r.score) / sum(count(r.score)) OVER (), 1) AS percent FROM (SELECT CAST(unnest(range(1, 6)) AS BIGINT) AS score) s LEFT JOIN ({REVIEW}) r ON r.score = s.score GROUP BY s.score")
 def score_distribution_all(spark, sf_dir):
     """The same over all reviews."""
-    return analytics.score_distribution(tables.reviews(_paged(spark, sf_dir)))
+    return analytics.score_distribution(tables.reviews(_paged(spark, sf_dir), ["score"]))
 
 
 @query(f"SELECT app_id, count(*) AS n FROM ({REVIEW}) WHERE date_ms > epoch_ms(TIMESTAMP '2024-01-15 00:00:00') GROUP BY app_id")
 def recent_reviews(spark, sf_dir):
     as_of = F.lit(datetime(2025, 1, 15)).cast("timestamp_ntz").cast("timestamp")
-    return analytics.recent(tables.reviews(_paged(spark, sf_dir)), as_of).groupBy("app_id").agg(F.count("*").alias("n"))
+    return analytics.recent(tables.reviews(_paged(spark, sf_dir), ["date"]), as_of).groupBy("app_id").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY date_ms DESC, id) AS n FROM ({REVIEW})) SELECT app_id, CAST(n AS INTEGER) AS n, id, score, left(text, 200) AS preview FROM r WHERE n <= 5")
 def latest_reviews(spark, sf_dir):
-    return analytics.latest(tables.reviews(_paged(spark, sf_dir)), 5, ["app_id"]).drop("date")
+    return analytics.latest(tables.reviews(_paged(spark, sf_dir), ["score", "date", "text"]), 5, ["app_id"]).drop("date")
 
 
 _STARS = ", ".join([f"count(CASE WHEN score = {k} THEN 1 END) AS n{k}" for k in range(5, 0, -1)] + [f"round(100.0 * count(CASE WHEN score = {k} THEN 1 END) / count(*), 1) AS percent{k}" for k in range(5, 0, -1)])
@@ -479,7 +504,7 @@ _STARS = ", ".join([f"count(CASE WHEN score = {k} THEN 1 END) AS n{k}" for k in
   SELECT a.*, l.date_ms AS latest_ms, l.score AS latest_score, l.user_name AS latest_user, l.text AS latest_text
   FROM (SELECT app_id, count(*) AS n_reviews, round(avg(score), 2) AS avg_score, {_STARS} FROM r GROUP BY app_id) a JOIN l ON a.app_id = l.app_id AND l.k = 1""")
 def review_report(spark, sf_dir):
-    rows = analytics.report(tables.reviews(_paged(spark, sf_dir)))
+    rows = analytics.report(tables.reviews(_paged(spark, sf_dir), ["score", "date", "user_name", "text"]))
     return rows.withColumn("latest_ms", F.unix_millis("latest_date")).drop("latest_date")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import arrays
+
 ZERO_TIME = "0001-01-01T00:00:00Z"
 #: Review fields that are left out when empty.
 OPTIONAL = {"replyText", "version"}
@@ -30,6 +32,16 @@ def write_json_lines(documents: DataFrame, path: str, mode: str = "errorifexists
     documents.select("json").write.mode(mode).text(path)
 
 
+def write_json_array(documents: DataFrame, path: str, name: str, day: str | None = None, mode: str = "append") -> None:
+    """One indented array in the file ``<name>_<day>.json`` of the folder ``path``; the rows keep their order (see ``arrays``).
+
+    ``day`` is today where it is not given (in UTC). ``overwrite`` replaces the file of that day; ``append`` refuses to.
+    """
+    documents.sparkSession.dataSource.register(arrays.JsonArray)
+    options = {"path": path, "name": name} | ({"day": day} if day else {})
+    documents.select("json").write.format(arrays.JsonArray.name()).options(**options).mode(mode).save()
+
+
 def report_lines(report: DataFrame) -> DataFrame:
     """``app_id, line``: each row of ``analytics.report`` as one text of several lines."""
     shares = [F.format_string(f"    {k} star: %d (%.1f%%)", f"n{k}", f"percent{k}") for k in (5, 4, 3, 2, 1)]

@@ -135,11 +135,41 @@ def test_reviews_all(spark):
     assert ids(pages(spark), 5) == ["r0", "r1", "r2", "r10", "r11"]
     assert len(ids(pages(spark, ("a", 0, 3, response([[], None])), ("a", 0, 4, response([[review(99)], None]))), 50)) == 9
     broken = pages(spark, ("a", 0, 3, "nonsense"), ("a", 0, 4, response([[review(99)], None])))
-    assert len(ids(broken, 50)) == 9 and relational.reviews_all_errors(broken).count() == 1
+    assert len(ids(broken, 50)) == 9
+    errors = lambda df, n: [tuple(r) for r in relational.reviews_all_errors(df, n).collect()]
+    assert errors(broken, 50) == [("a", 3, "malformed response", 9)]
+    assert errors(broken, 9) == errors(broken, 0) == errors(pages(spark), 50) == []  # the total is there before the broken page
+    unread = raw(spark, PAGE, ("a", 0, 0, response([[review(1)], [None, "t"]])), ("a", 0, 1, response([[review(2), review(3)], None])), ("a", 0, 2, "nonsense"), ("b", 0, 0, "nonsense"), ("b", 0, 1, ""))
+    assert errors(unread, 500) == [("b", 0, "malformed response", 0)]
+    for df, n in ((broken, 50), (broken, 9), (unread, 500), (unread, 1), (pages(spark), 0)):
+        outcome = relational.reviews_outcome(df, n)
+        kept, failed = relational.parted(outcome)
+        assert kept.columns == relational.reviews_all(df, n).columns
+        assert sorted(map(str, kept.collect())) == sorted(map(str, relational.reviews_all(df, n).collect()))
+        assert [tuple(r) for r in failed.collect()] == [x[:3] for x in errors(df, n)]
+        plan = outcome._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1  # one scan
     with pytest.raises(ValueError):
         relational.reviews_all(pages(spark), -1)
 
 
+def test_a_failed_request_is_the_error_of_its_page(spark):
+    df = raw(spark, PAGE + ", status int, error string", ("a", 0, 0, response([[review(1)], [None, "t"]]), 200, None), ("a", 0, 1, "", 503, "unexpected status 503"))
+    assert [tuple(r) for r in relational.reviews_all_errors(df, 9).collect()] == [("a", 1, "request failed: unexpected status 503", 1)]
+    assert relational.reviews_all(df, 9).count() == 1
+
+
+def test_only_wanted_fields_are_read(spark):
+    df = pages(spark)
+    whole = {r.id: r for r in tables.reviews(df).collect()}
+    for fields in (["score"], ["date", "url"], ["text", "thumbs_up", "criterias"], [], tables.layouts.REVIEW):
+        some = tables.reviews(df, fields)
+        assert some.columns == ["app_id", "score_query", "page_no", "pos", *[x for x in tables.layouts.REVIEW if x == "id" or x in fields]]
+        assert len(got := some.collect()) == 9 and all(r[x] == whole[r.id][x] for r in got for x in some.columns)
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert "reviewId" in plan(tables.reviews(df)) and "reviewId" not in plan(tables.reviews(df, ["score"]))
+
+
 def test_reviews_comprehensive(spark):
     df = raw(spark, PAGE, ("a", 1, 0, response([[review(1), review(2)], None])), ("a", 2, 0, response([[review(2), review(3), review(4)], None])), ("a", 3, 0, response([[review(5)], [None, "t"]])), ("a", 3, 1, "nonsense"), ("", 1, 0, response([[review(7)], None])))
     got = relational.reviews_comprehensive(df, 2).orderBy("score_query", "pos").collect()
@@ -203,3 +233,55 @@ def test_json_sink(spark, tmp_path):
     assert got["r1"]["date"] == "2024-01-01T00:00:00Z" and got["r2"]["date"] == sinks.ZERO_TIME and "replyText" not in got["r1"] and got["r1"]["version"] == "1.0" and "version" not in got["r2"]
     sinks.write_json_lines(docs, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_json_array_sink(spark, tmp_path):
+    """One indented array in a dated file, in the rows' order; nothing is left of an aborted job."""
+    rows = [review(1, _7=[None, "thanks <b> & co", [1704067200]]), sparse(_0="r2", _4="1 < 2 \u2028 \"é\" \\"), *[review(k, day=k) for k in range(3, 40)]]
+    df = raw(spark, PAGE, *[("a", 0, p, response([rows[10 * p : 10 * p + 10], [None, "t"]])) for p in range(4)])
+    docs = sinks.review_json(tables.reviews(df)).orderBy("page_no", "pos")
+    out = tmp_path / "out"
+    sinks.write_json_array(docs.repartitionByRange(5, "page_no", "pos").sortWithinPartitions("page_no", "pos"), str(out), "reviews", "2024-05-06")
+    assert [f.name for f in out.iterdir()] == ["reviews_2024-05-06.json"]
+    text = (out / "reviews_2024-05-06.json").read_bytes().decode()
+    assert [d["id"] for d in json.loads(text)] == [f"r{k}" for k in range(1, 40)]
+    assert text.startswith("""[
+  {
+    "id": "r1",
+    "userName": "user",
+    "userImage": "face",
+    "date": "2024-01-01T00:00:00Z",
+    "score": 5,
+    "text": "text",
+    "replyDate": "2024-01-01T00:00:00Z",
+    "replyText": "thanks \\u003cb\\u003e \\u0026 co",
+    "version": "1.0",
+    "thumbsUp": 1,
+    "url": "https://play.google.com/store/apps/details?id=a\\u0026reviewId=r1"
+  },
+  {
+    "id": "r2",
+    "userName": "",
+    "userImage": "",
+    "date": "0001-01-01T00:00:00Z",
+    "score": 0,
+    "text": "1 \\u003c 2 \\u2028 \\"é\\" \\\\",
+    "replyDate": "0001-01-01T00:00:00Z",
+    "thumbsUp": 0,
+    "url": "https://play.google.com/store/apps/details?id=a\\u0026reviewId=r2"
+  },
+""") and text.endswith("\n  }\n]")
+    with pytest.raises(Exception, match="is there already"):
+        sinks.write_json_array(docs, str(out), "reviews", "2024-05-06")
+    failing = docs.withColumn("json", F.when(F.col("pos") == 7, F.raise_error(F.lit("lost"))).otherwise(F.col("json")))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_json_array(failing, str(tmp_path / "none"), "reviews", "2024-05-06")
+    assert not (tmp_path / "none").exists() or not list((tmp_path / "none").iterdir())
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_json_array(failing, str(out), "reviews", "2024-05-06", "overwrite")
+    assert (out / "reviews_2024-05-06.json").read_bytes().decode() == text  # a failed job replaces nothing
+    sinks.write_json_array(docs.limit(0), str(out), "reviews", "2024-05-06", "overwrite")
+    assert (out / "reviews_2024-05-06.json").read_text() == "null"
+    sinks.write_json_array(docs.limit(1), "file://" + str(out), "today")
+    (today,) = out.glob("today_*.json")
+    assert len(json.loads(today.read_text())) == 1 and oct(today.stat().st_mode)[-3:] == "644"
