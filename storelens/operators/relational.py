@@ -30,6 +30,11 @@ def first_seen(rows: DataFrame, keys: Sequence[str], order: Sequence) -> DataFra
     return first_n(rows, 1, order, keys)
 
 
+def unseen(rows: DataFrame, known: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
+    """``first_seen`` of the rows whose keys ``known`` does not have, however long ago it got them."""
+    return first_seen(rows.join(known.select(*keys), list(keys), "left_anti"), keys, order)
+
+
 def chart(rows: DataFrame, collection: str, n: int, by: Sequence[str]) -> DataFrame:
     """The first n apps of the collection's section; if it has none, of all sections in their order."""
     section = tables.section_of(collection)

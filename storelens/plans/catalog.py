@@ -467,6 +467,19 @@ def reviews_outcome(spark, sf_dir):
     return relational.reviews_outcome(_broken(spark, sf_dir), 250).select("app_id", "page_no", "id", "score", "failed")
 
 
+@query(f"""WITH a AS (SELECT *, event_id % 2 AS arrival, ts FROM (SELECT r.*, e.ts FROM ({REVIEW}) r JOIN events e USING (event_id)) UNION ALL SELECT *, event_id % 2 + 1, ts FROM (SELECT r.*, e.ts FROM ({REVIEW}) r JOIN events e USING (event_id)) WHERE event_id % 5 = 0)
+  SELECT app_id, id, CAST(min(arrival) AS INTEGER) AS arrival FROM a GROUP BY app_id, id""")
+def reviews_merged(spark, sf_dir):
+    """Reviews arrive in three goes, some of them again in the next; each counts in the go that it was first seen in."""
+    rows = _events(spark, sf_dir).withColumn("arrival", (F.col("event_id") % 2).cast("int"))
+    twice = rows.unionByName(rows.where("event_id % 5 = 0").withColumn("arrival", F.col("arrival") + 1))
+    seen = tables.reviews(_review_pages(twice, ["app_id", "arrival"], F.floor(F.col("event_id") / 500)), []).select("app_id", "id", "arrival", "page_no", "pos")
+    keys, order = ["app_id", "id"], ["page_no", "pos"]
+    goes = [relational.first_seen(seen.where("arrival = 0"), keys, order)]
+    goes += [relational.unseen(seen.where(F.col("arrival") == k), seen.where(F.col("arrival") < k), keys, order) for k in (1, 2)]
+    return goes[0].unionByName(goes[1]).unionByName(goes[2]).select("app_id", "id", "arrival")
+
+
 # analytics --------------------------------------------------------------------------------------------------
 
 
