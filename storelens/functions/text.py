@@ -59,3 +59,27 @@ def has_app_id_pattern(v: Column) -> Column:
 def escape(text: Column) -> Column:
     """Query escaping: ~ stays, * is escaped."""
     return F.replace(F.replace(F.url_encode(text), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+
+
+def first_app_array(data: Column) -> Column:
+    """Depth-first through arrays, objects left out: the first array with a child that looks like an app; NULL for none.
+
+    The work list is folded over as many steps as the document can have arrays; a step takes its first array, and is the last
+    if that has such a child, or puts its arrays in front. It stays within the JVM, row by row.
+    """
+    none = F.array().cast("array<variant>")
+    text = F.to_json(data)
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - F.length(F.replace(text, F.lit("["), F.lit("")))))
+
+    def step(state: Column, _: Column) -> Column:
+        def visit(children: Column) -> Column:
+            arrays = F.filter(children, lambda x: items(x).isNotNull())
+            rest = F.slice(state["work"], F.lit(2), F.size(state["work"]))
+            hit = F.exists(arrays, has_app_id_pattern)
+            found = F.struct(none.alias("work"), F.get(state["work"], F.lit(0)).alias("found"))
+            return F.when(hit, found).otherwise(F.struct(F.concat(arrays, rest).alias("work"), state["found"].alias("found")))
+
+        return F.when(F.size(state["work"]) == 0, state).otherwise(let(F.coalesce(items(F.get(state["work"], F.lit(0))), none), visit))
+
+    start = F.struct(F.when(items(data).isNotNull(), F.array(data)).otherwise(none).alias("work"), F.lit(None).cast("variant").alias("found"))
+    return F.aggregate(F.coalesce(steps, F.array().cast("array<int>")), start, step, lambda state: state["found"])

@@ -5,15 +5,13 @@ Rows keep their order in ordinal columns: ``page_no`` (given), ``section_no``, `
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.payload import block, block_of, blocks, envelope
-from ..functions.text import PREFIXES
+from ..functions.text import first_app_array
 from ..functions.variant import array_path, is_string, items, path, text_only, to_double, to_string
 from ..schemas import BASE_URL, CATEGORIES
 from . import layouts
@@ -58,38 +56,6 @@ def app_errors(raw: DataFrame) -> DataFrame:
 SEARCH_BLOCKS, SEARCH_CONTAINERS = ("ds:4", "ds:3", "ds:1"), (22, 21, 0)
 
 
-def find_apps(data: object) -> list | None:
-    """Depth-first, arrays only: the first array with a child that looks like an app."""
-
-    def walk(v: object, *steps: int) -> object:
-        for i in steps:
-            v = v[i] if isinstance(v, list) and i < len(v) else v.get(str(i)) if isinstance(v, dict) else None
-        return v
-
-    def is_app(v: object) -> bool:
-        for p in ((0, 0), (0, 0, 0), (0, 0, 0, 0), (12, 0)):
-            s = walk(v, *p)
-            if isinstance(s, str) and len(s) > 3:
-                head, dot, rest = s.partition(".")
-                if dot and rest and head in PREFIXES:
-                    return True
-        return False
-
-    work = [data]
-    while work:
-        v = work.pop()
-        if isinstance(v, list):
-            if any(isinstance(x, list) and is_app(x) for x in v):
-                return v
-            work += reversed(v)
-    return None
-
-
-def _find_apps_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield texts.map(lambda t: json.dumps(found) if t is not None and (found := find_apps(json.loads(t))) is not None else None)
-
-
 def _typed(array: Column, row: Callable[[Column], Column], key: str) -> Column:
     """The items of an array as typed rows with their places: those that are arrays and whose ``key`` is not empty."""
     rows = F.transform(array, lambda x, i: F.struct(i.alias("pos"), F.when(items(x).isNotNull(), row(x)).alias("r")))
@@ -111,9 +77,9 @@ def search_first_pages(raw: DataFrame) -> DataFrame:
     parsed = once(raw.withColumn("_blocks", blocks(F.col("body"))), "_s", F.struct(data.alias("data"))).withColumn("_data", F.col("_s.data"))
     usual = F.coalesce(*[F.when(F.size(a) > 0, a) for k in SEARCH_CONTAINERS for a in [items(path(F.col("_data"), 0, 1, 0, k, 0))]])
     parsed = parsed.withColumn("_usual", usual)
-    found = parsed.withColumn("_deep", F.pandas_udf(_find_apps_json, "string")(F.when(F.col("_usual").isNull(), F.to_json("_data"))))
+    found = parsed.withColumn("_rows", F.coalesce("_usual", F.when(F.col("_usual").isNull() & F.col("_data").isNotNull(), items(first_app_array(F.col("_data"))))))
     token = to_string(path(F.col("_data"), 0, 1, 0, 0, 3, 0))
-    rows = _typed(F.coalesce("_usual", items(F.try_parse_json("_deep"))), layouts.search_row, "app_id")
+    rows = _typed(F.col("_rows"), layouts.search_row, "app_id")
     return found.select(*request_columns(raw), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"), token.alias("next_token"), rows.alias("items"))
 
 

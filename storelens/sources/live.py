@@ -34,7 +34,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, In
 
 from ..functions.payload import BLOCK
 from ..functions.text import PREFIXES
-from ..operators.tables import SEARCH_BLOCKS, SEARCH_CONTAINERS, find_apps
+from ..operators.tables import SEARCH_BLOCKS, SEARCH_CONTAINERS
 from ..schemas import BASE_URL, PAGE_MOST
 from . import requests
 
@@ -131,6 +131,26 @@ def _package(row) -> bool:
     return False
 
 
+def find_apps(data: object) -> list | None:
+    """``first_app_array`` for plain values."""
+
+    def is_app(v: object) -> bool:
+        for steps in ((0, 0), (0, 0, 0), (0, 0, 0, 0), (12, 0)):
+            head, dot, rest = (text := _text(walk(v, *steps))).partition(".")
+            if len(text) > 3 and dot and rest and head in PREFIXES:
+                return True
+        return False
+
+    work = [data]
+    while work:
+        v = work.pop()
+        if isinstance(v, list):
+            if any(isinstance(x, list) and is_app(x) for x in v):
+                return v
+            work += reversed(v)
+    return None
+
+
 def search_page_info(body: str) -> tuple[int, str]:
     """Number of results and token of a first page of a search, where its blocks and containers may be."""
     blocks = {}

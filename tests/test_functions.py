@@ -1,5 +1,7 @@
 """Scalar cases: paths, coercions, envelopes, text and time."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +107,33 @@ LINE = ")]}'\n"
 def test_envelope(spark, body, strict, tolerant):
     for expected, flag in ((strict, False), (tolerant, True)):
         assert one(spark, payload.envelope(F.col("d"), flag)["status"], d=body) == expected
+
+
+def test_depth_first_search_for_apps(spark):
+    """The JVM's fold against a stack walk, on random nested documents; no step of a search leaves the JVM."""
+    import random
+
+    from storelens.functions.text import first_app_array
+    from storelens.operators import tables
+    from storelens.sources.live import find_apps
+
+    rng = random.Random(5)
+
+    def tree(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.25:
+            return rng.choice([1, None, "x", "com.", "com.a", "net.b.c", ".com", "[[[", True, 2.5])
+        if kind < 0.35:
+            return {rng.choice("0ab"): tree(depth - 1) for _ in range(rng.randint(0, 2))}
+        return [tree(depth - 1) for _ in range(rng.choice([0, 1, 1, 2, 3, 13]))]
+
+    trees = [tree(7) for _ in range(400)] + [[[["com.x.y"]]], [], 5, None, [[[["com.q"], 1]], [["io.z"]]], {"a": [[["com.x"]]]}]
+    df = spark.createDataFrame([(k, json.dumps(t)) for k, t in enumerate(trees)] + [(9999, "no json")], "k int, t string").select("k", F.try_parse_json("t").alias("v"))
+    got = {r.k: r.found for r in df.select("k", F.to_json(first_app_array(F.col("v"))).alias("found")).collect()}
+    expected = {k: find_apps(t) for k, t in enumerate(trees)}
+    assert 20 < sum(x is not None for x in expected.values()) < 390
+    for k, x in expected.items():
+        assert (None if got[k] is None else json.loads(got[k])) == x, trees[k]
+    assert got[9999] is None
+    plan = tables.search_first(df.selectExpr("'t' as term", "0 as page_no", "cast(v as string) as body"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "ArrowEval" not in plan
