@@ -153,3 +153,57 @@ def test_lines_stay_sentences(spark):
     texts = ["A title\nReleased under the MIT License\nAnother line", "Licensed under the Apache License, Version 2.0\n(see the file)", "x \x01\x02 <3> y. Licensed under CC BY 4.0"]
     got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.rule_id, r.first_sentence) for r in got) == [(0, "mit-released", 2), (1, "apache-2", 1), (2, "cc-by-4", 2)]
+
+
+PROBES = {
+    "SPDX-License-Identifier: MIT": "MIT",
+    "// SPDX-License-Identifier: GPL-2.0-or-later\nint main;": "GPL-2.0",
+    GPL.replace("General Public License as", "Affero General Public License as").replace("GNU\n    General", "GNU General"): "AGPL-3.0",
+    "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": "ISC",
+    "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.": "Unlicense",
+    "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+    "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/": "EPL-2.0",
+    "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+    "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 3.0 Unported License.": "CC-BY-NC-ND-3.0",
+    "Licensed under the MIT licence": "MIT",
+    "This software is licensed under the Apache License 2.0.": "Apache-2.0",
+    "Released under the MIT License.": "MIT",
+    "This project is released under the terms of the BSD 3-Clause License!": "BSD-3-Clause",
+    "# This file is distributed under\n# the GNU Lesser General\n# Public License v3.0": "LGPL-3.0",
+    "available under GPLv3": "GPL-3.0",
+}
+
+
+def test_everyday_notices(spark):
+    rows = [(100 * k + j, form(t)) for k, t in enumerate(PROBES) for j, form in enumerate((str, commented, lambda t: f"Some prose before.\n\n{t}\n\nMore of it behind."))]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.n_matches))
+    assert got == {100 * k + j: [(license, 1)] for k, license in enumerate(PROBES.values()) for j in range(3)}
+
+
+def test_pages_that_speak_of_licenses_hold_none(spark):
+    """Sentences with a license's name in them, and its sentences far apart, are not the license."""
+    s = licenses.SENTENCES
+    filler = "This is a sentence of the page. " * (licenses.GAP + 5)
+    texts = [
+        "The software was once licensed under the MIT License but is not any more.", "We looked at permission notices. Is it licensed under the terms? Ask your copyright lawyer.",
+        "He was released under the terms of the agreement.", "Their SPDX-License-Identifier: MIT line was wrong.", "This program is available under the counter.", f"{s['gpl-3-title']}.\n{filler}\n{s['gpl-3-copyleft']}.",
+        "Permission is hereby granted to enter. All rights are reserved.", "under the CC licence umbrella", "",
+    ]
+    assert licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() == []
+
+
+def test_sql_agrees_on_single_lines(spark):
+    texts = [t for t in PROBES if "\n" not in t] + [f"{t}\n{t} x. {t}" for t in PROBES if "\n" not in t] + ["Licensed under the MIT license. SPDX-License-Identifier: MIT. licensed under MIT.\n5.\nAll rights reserved."]
+    got = sorted(map(tuple, licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()))
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841
+    assert sorted(duckdb.sql(licenses.oracle()).fetchall()) == got and len(got) > 20
+
+
+def test_lines_without_stops_stay_cheap(spark):
+    """Thousands of lines that begin as known sentences do, without a stop: each join ends where no known sentence is as long."""
+    text = "\n".join(["this software is a word of many"] * 5000 + ["licensed", "under the", "mit license"])
+    (r,) = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (r.rule_id, r.n_matches, r.first_sentence) == ("mit-licensed", 1, 5001)

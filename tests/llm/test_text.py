@@ -193,8 +193,8 @@ def test_licenses(spark, docs, nothing):
     documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841
     assert sorted(duckdb.sql(licenses.oracle()).fetchall()) == got
     assert licenses.scan(docs).count() == 0 and licenses.scan(nothing).count() == 0
-    for _, _, sentences in licenses.RULES:
-        assert any(w in known[s].lower() for s in sentences if s is not ... for w in licenses.SIGNALS)
+    for sentences in [*(ids for _, _, ids in licenses.RULES), *([k] for k in licenses.KNOWN if k in licenses.SINGLE)]:
+        assert any(w in licenses.KNOWN[s].lower() for s in sentences if s is not ... for w in licenses.SIGNALS)
 
 
 def distance(item, text):
