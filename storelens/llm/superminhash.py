@@ -85,7 +85,7 @@ def members(docs: DataFrame, n: int, places: int, rows: int) -> DataFrame:
     """``doc_id, key`` (0: no n-gram), ``n_shingles``, ``bands`` (binary; null for copies of the same batch)."""
 
     def run(source):
-        for batch in batches(source):
+        for batch in batches(source, 2 << 20):
             sets = [shingles(t, n) for t in column(batch, "text").to_pylist()]
             keys, sizes = np.array([set_key(s) for s in sets], np.uint64), np.array([len(s) for s in sets], np.int64)
             _, once = np.unique(keys, return_index=True)

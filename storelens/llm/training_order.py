@@ -6,7 +6,8 @@ permutes the numbers, walking along the cycle until it falls below their count,
 global slot without a sort or a table of slots. Slots are cut into ranges of a fixed number; the sequences of a range
 are one shard, whose bytes have a fixed stride. Slot s is at ``(s mod per_shard) * stride`` of shard
 ``s div per_shard``, so a reader goes on anywhere without an index. Shards are written by range: a file holds
-neighbouring shards in their order.
+neighbouring shards in their order. ``write_plain`` writes each shard's bytes as a file of its own, in which a reader seeks to
+a slot (``read_plain``), so that it goes on in mid-shard without reading what is before.
 
 Numbers follow the order of doc_id (rows without one first), then of a hash of the text's identifiers, then of the place
 in the text: a sort by range over whole encoded texts, which does not depend on how the input is split. Rows that agree in all
@@ -26,8 +27,9 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import batches, claim, column, discard, mix, shared_dir, slim, stash
@@ -77,6 +79,9 @@ def feistel(numbers: np.ndarray, count: int, key: int, rounds: int = 6) -> np.nd
     return out.astype(np.int64)
 
 
+#: The starts of so many ranges (of two numbers each) are broadcast at most; those of more are joined by a shuffle.
+FEW_RANGES = 1_000_000
+
 ENCODED = "doc_id long, tokens binary"
 NUMBERED = "part int, number long, doc_id long, tokens binary"
 
@@ -125,20 +130,20 @@ def training_shards(docs: DataFrame, length: int = 512, per_shard: int = 1024, k
     ordered = stash(numbered(texts, length, max(1, -(-size // range_bytes))))
     discard(texts)
     n = F.ceil(F.octet_length("tokens") / (2 * length))
-    counts = {r["part"]: r["n"] for r in ordered.groupBy("part").agg(F.sum(n).alias("n")).collect()}  # a number for each range
-    parts = sorted(counts)
-    starts = dict(zip(parts, np.r_[0, np.cumsum([counts[p] for p in parts])].tolist(), strict=False))
-    total = sum(counts.values())
+    counts = stash(ordered.groupBy("part").agg(F.sum(n).alias("n")))  # a row for each range
+    total, ranges = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
 
     def place(source):
         claim("training order", lambda: None)
         for batch in batches(source):
             docs, seq, number, cells = [], [], [], []
-            for p, first, doc, raw in zip(*(column(batch, x).to_pylist() for x in ("part", "number", "doc_id", "tokens")), strict=True):
+            for start, first, doc, raw in zip(*(column(batch, x).to_pylist() for x in ("start", "number", "doc_id", "tokens")), strict=True):
                 mine = [raw[at : at + 2 * length] for at in range(0, len(raw), 2 * length)]
                 docs += [doc] * len(mine)
                 seq += range(len(mine))
-                number += range(starts[p] + first, starts[p] + first + len(mine))
+                number += range(start + first, start + first + len(mine))
                 cells += mine
             slot = feistel(np.array(number, np.int64), total, key)
             yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), pa.array(docs, pa.int64()), pa.array(seq, pa.int32()), pa.array(cells, pa.binary())], ["shard", "slot", "doc_id", "sequence", "payload"])
@@ -155,7 +160,7 @@ def training_shards(docs: DataFrame, length: int = 512, per_shard: int = 1024, k
 
     shards = -(-total // per_shard)
     files = max(1, min(shards, -(-total * 2 * length // range_bytes)))
-    placed = ordered.mapInArrow(place, PLACED)
+    placed = ordered.join(F.broadcast(starts) if ranges <= FEW_RANGES else starts, "part").mapInArrow(place, PLACED)
     return placed.repartitionByRange(files, "shard").groupBy("shard").applyInArrow(write, SHARD)  # a shard is a group of a fixed size
 
 
@@ -184,3 +189,55 @@ def read_slots(shards: DataFrame, first: int, n: int, per_shard: int = 1024) ->
                 yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array([cells[s - row["shard"] * per_shard].astype(np.int32) for s in slots], pa.list_(pa.int32()))], ["slot", "tokens"])
 
     return rows.mapInArrow(run, "slot long, tokens array<int>")
+
+
+def _place(folder: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+
+
+def _name(shard: int) -> str:
+    """The file of a shard; a thousand shards share a folder."""
+    return f"{shard // 1000:06d}/{shard:012d}.bin"
+
+
+def write_plain(shards: DataFrame, folder: str) -> DataFrame:
+    """Each shard's bytes as a file below the shared ``folder``, and their list, without bytes, as Parquet in ``<folder>/index``,
+    which is written last and is returned. A task that is repeated writes the same bytes; a file has its name only when it is whole.
+    """
+
+    def write(source):
+        system, root = _place(folder)
+        for batch in source:
+            for shard, payload in zip(column(batch, "shard").to_pylist(), column(batch, "payload").to_pylist(), strict=True):
+                name, own = f"{root}/{_name(shard)}", f"{root}/{_name(shard)}.{uuid.uuid4().hex}"
+                system.create_dir(name.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(own) as out:
+                    out.write(payload)
+                system.move(own, name)
+            yield batch.drop_columns(["payload"])
+
+    fields = SHARD.rpartition(",")[0]
+    shards.mapInArrow(write, fields).write.mode("overwrite").parquet(f"{folder}/index")
+    return shards.sparkSession.read.schema(fields).parquet(f"{folder}/index")
+
+
+def read_plain(spark: SparkSession, folder: str, first: int, n: int, per_shard: int = 1024, slots: int = 4096) -> DataFrame:
+    """``slot, tokens`` of ``n`` slots from ``first`` on, out of the files of ``write_plain``: only their own bytes are read.
+
+    A task takes about ``slots`` of them: it opens a shard's file and seeks to the first.
+    """
+    index = spark.read.parquet(f"{folder}/index").where(F.col("shard").between(first // per_shard, (first + n - 1) // per_shard))
+    wanted = index.select("shard", "stride", F.greatest(F.lit(first), F.col("first_slot")).alias("a"), F.least(F.lit(first + n), F.col("first_slot") + F.col("n_sequences")).alias("b")).where("a < b")
+
+    def run(source):
+        system, root = _place(folder)
+        for batch in source:
+            for row in batch.to_pylist():
+                with system.open_input_file(f"{root}/{_name(row['shard'])}") as held:
+                    for a in range(row["a"], row["b"], slots):
+                        held.seek((a - row["shard"] * per_shard) * row["stride"])
+                        cells = np.frombuffer(held.read(min(slots, row["b"] - a) * row["stride"]), "<u2").reshape(-1, row["stride"] // 2)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(cells))), pa.array(cells.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["slot", "tokens"])
+
+    parts = max(1, -(-n // max(slots, 1)))
+    return wanted.repartitionByRange(min(parts, 10_000), "shard").mapInArrow(run, "slot long, tokens array<int>")

@@ -268,6 +268,28 @@ def test_training_order(spark, docs, sample, nothing):
     assert training_order.training_shards(nothing).count() == 0
 
 
+def test_plain_shards_are_read_from_the_middle(spark, docs, nothing, tmp_path, monkeypatch):
+    """A reader that stopped in mid-shard goes on there: it opens the files of the rest, and reads their bytes only."""
+    options = {"length": 16, "per_shard": 32}
+    shards = training_order.training_shards(docs, **options)
+    index = training_order.write_plain(shards, str(tmp_path / "plain"))
+    total = sum(r.n_sequences for r in index.collect())
+    assert total > 200 and "payload" not in index.columns
+    whole = {r.slot: r.tokens for r in training_order.read_slots(shards, 0, total, 32).collect()}
+    for first, n, slots in ((0, total, 7), (45, 100, 4096), (total - 3, 50, 2), (31, 2, 1)):
+        got = training_order.read_plain(spark, str(tmp_path / "plain"), first, n, 32, slots).collect()
+        assert len({r.slot for r in got}) == len(got) and {r.slot: r.tokens for r in got} == {s: whole[s] for s in range(first, min(total, first + n))}
+    for k in range(45 // 32):
+        (tmp_path / "plain" / training_order._name(k)).unlink()
+    assert len(training_order.read_plain(spark, str(tmp_path / "plain"), 45, total, 32).collect()) == total - 45  # earlier files are not touched
+    training_order.write_plain(shards, str(tmp_path / "plain"))  # once more: the same bytes
+    assert {f.name: f.read_bytes() for f in (tmp_path / "plain").glob("0*/*")} == {f"{r.shard:012d}.bin": bytes(r.payload) for r in shards.collect()}
+    assert training_order.write_plain(training_order.training_shards(nothing), str(tmp_path / "none")).count() == 0
+    monkeypatch.setattr(training_order, "FEW_RANGES", 0)
+    many = training_order.training_shards(docs, **options, range_bytes=1000)  # starts by a shuffle
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, shards.collect()))
+
+
 def test_training_order_does_not_depend_on_the_split(spark, docs, tmp_path):
     options = {"length": 16, "per_shard": 32}
     whole = [sorted(map(tuple, training_order.training_shards(docs.unionAll(docs.limit(3)).repartition(n), **options, range_bytes=size).collect())) for n, size in ((2, 1 << 20), (5, 4000))]
