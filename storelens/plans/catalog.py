@@ -598,6 +598,54 @@ def request_urls(spark, sf_dir):
     return rows.select("p_partkey", requests.search(F.col("p_name"), en, us, price).alias("search_url"), requests.developer(dev, en, us).alias("developer_url"))
 
 
+KINDS = ["app", "search", "developer", "list", "data_safety", "reviews", "permissions", "suggest", "other"]
+_KIND = "CASE p_partkey % 9 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(KINDS)) + " END"
+_ASKED = f"""SELECT p_partkey, {_KIND} AS kind, CASE WHEN p_partkey % 5 > 0 THEN 'com.p' || CAST(p_partkey AS VARCHAR) ELSE '' END AS app_id, CASE WHEN p_partkey % 5 > 0 THEN p_name ELSE '' END AS term,
+  CASE WHEN p_partkey % 5 > 0 THEN p_brand ELSE '' END AS dev_id, CASE WHEN p_partkey % 2 = 0 THEN 'de' ELSE 'en' END AS lang, CASE WHEN p_partkey % 4 = 0 THEN 'at' ELSE 'us' END AS country, CAST(p_size * 10 - 60 AS INTEGER) AS num FROM part"""
+_WRONG = """CASE WHEN kind IN ('app', 'data_safety', 'reviews', 'permissions') AND app_id = '' THEN 'app id is required' WHEN kind = 'search' AND term = '' THEN 'search term is required' WHEN kind = 'suggest' AND term = '' THEN 'term is required'
+  WHEN kind = 'developer' AND dev_id = '' THEN 'developer id is required' WHEN kind = 'other' THEN 'unknown kind' WHEN num < 0 THEN 'a number of results can''t be negative' WHEN kind = 'search' AND num > 250 THEN 'at most 250 results' END"""
+_URL = """'https://play.google.com' || CASE kind WHEN 'app' THEN '/store/apps/details?id=' || app_id || '&' WHEN 'data_safety' THEN '/store/apps/datasafety?id=' || app_id || '&' WHEN 'search' THEN '/store/search?q=' || replace(term, ' ', '+') || '&'
+  WHEN 'developer' THEN '/store/apps/developer?id=' || replace(replace(dev_id, '#', '%23'), ' ', '+') || '&' WHEN 'list' THEN '/store/apps/top?' ELSE '/_/PlayStoreUi/data/batchexecute?' || CASE kind WHEN 'permissions' THEN 'rpcids=xdSrCf&' WHEN 'suggest' THEN 'rpcids=IJ4APc&' ELSE '' END END
+  || 'hl=' || lang || '&gl=' || country || CASE WHEN kind = 'search' THEN '&price=0&c=apps' ELSE '' END"""
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    """Parts as requests of all kinds; some lack what they need, their locale or their number."""
+    key, some = F.col("p_partkey"), F.col("p_partkey") % 5 > 0
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (key % len(KINDS) + 1).cast("int"))
+    return _parts(spark, sf_dir).select(
+        "p_partkey", kind.alias("kind"), F.when(some, F.col("id")).alias("app_id"), F.when(some, F.col("p_name")).otherwise("").alias("term"), F.when(some, F.col("p_brand")).alias("dev_id"),
+        F.when(key % 2 == 0, "de").alias("lang"), F.when(key % 4 == 0, "at").alias("country"), (F.col("p_size") * 10 - 60).alias("num"),
+    )
+
+
+@query(f"SELECT p_partkey, kind, error, CASE WHEN error IS NULL THEN {_URL} END AS url FROM (SELECT *, {_WRONG} AS error FROM ({_ASKED}))")
+def request_checks(spark, sf_dir):
+    """A table of requests: which may be made, and what is wrong with the others."""
+    from ..sources import requests
+
+    return requests.prepared(_asked(spark, sf_dir)).select("p_partkey", "kind", "error", "url")
+
+
+@query(f"SELECT p_partkey, kind, lang, country, CASE WHEN num <> 0 THEN num ELSE CASE kind WHEN 'search' THEN 20 WHEN 'developer' THEN 60 WHEN 'list' THEN 60 WHEN 'reviews' THEN 150 END END AS num, CAST(2 AS INTEGER) AS sort, 'all' AS price, 'APPLICATION' AS category FROM ({_ASKED})")
+def request_defaults(spark, sf_dir):
+    """What is meant where a request says nothing."""
+    from ..sources import requests
+
+    return requests.prepared(_asked(spark, sf_dir)).select("p_partkey", "kind", "lang", "country", "num", "sort", "price", "category")
+
+
+@query("SELECT p_partkey, 'https://play.google.com/store/apps/details' || CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 3 = 1 THEN '?id=com.p' || CAST(p_partkey AS VARCHAR) ELSE '?brand=' || p_brand || '&id=com.p' || CAST(p_partkey AS VARCHAR) END AS url FROM part")
+def request_parameters(spark, sf_dir):
+    """Addresses from maps of none, one or two parameters, in the order of their names."""
+    from ..sources import requests
+
+    rows = _parts(spark, sf_dir)
+    none = F.map_from_arrays(*[F.array().cast("array<string>")] * 2)
+    values = F.when(F.col("p_partkey") % 3 == 0, none).when(F.col("p_partkey") % 3 == 1, F.create_map(F.lit("id"), "id")).otherwise(F.create_map(F.lit("id"), F.col("id"), F.lit("brand"), F.col("p_brand")))
+    return rows.select("p_partkey", requests.parameters("https://play.google.com", "/store/apps/details", values).alias("url"))
+
+
 def _form(payload: str) -> str:
     return f"'f.req=' || url_encode({payload})"
 

@@ -215,6 +215,19 @@ def test_requests(spark):
     assert (body.f, body.g) == ("base/p?id=com.x", "base/p") and body.h.endswith("/store/apps/top?hl=en&gl=us&age=AGE_RANGE1")
 
 
+def test_tables_of_requests(spark):
+    """Defaults, checks and addresses of whole tables are those of the options classes; columns may be missing."""
+    kinds = ["app", "search", "developer", "list", "reviews", "suggest", "permissions", "data_safety", "similar", "nonsense", None]
+    bare = {r.kind: r for r in requests.prepared(spark.createDataFrame([(k,) for k in kinds], "kind string")).collect()}
+    assert {k: r.error for k, r in bare.items()} == {"app": "app id is required", "search": "search term is required", "developer": "developer id is required", "list": None, "reviews": "app id is required", "suggest": "term is required", "permissions": "app id is required", "data_safety": "app id is required", "similar": "app id is required", "nonsense": "unknown kind", None: "unknown kind"}
+    assert all((r.url is None) == (r.error is not None) for r in bare.values()) and bare["list"].url.endswith("/store/apps/top?hl=en&gl=us")
+    assert (bare["search"].num, bare["developer"].num, bare["list"].num, bare["reviews"].num, bare["app"].num) == (schemas.SearchOptions(term="x").num, schemas.DeveloperOptions(dev_id="x").num, schemas.ListOptions().num, 150, None)
+    rows = [("search", "a b", 251), ("search", "a b", 250), ("search", "a b", -1), ("suggest", "a b", 0), ("search", "", -1)]
+    got = [(r.error, r.url, r.body, r.extra) for r in requests.prepared(spark.createDataFrame([(*r, 7) for r in rows], "kind string, term string, num int, extra int")).collect()]
+    assert [x[0] for x in got] == ["at most 250 results", None, "a number of results can't be negative", None, "search term is required"]
+    assert got[1][1].endswith("/store/search?q=a+b&hl=en&gl=us&price=0&c=apps") and got[3][2].startswith("f.req=") and all(x[3] == 7 for x in got)
+
+
 def test_options():
     for bad in (lambda: schemas.AppOptions(), lambda: schemas.SearchOptions(), lambda: schemas.SearchOptions(term="x", num=300), lambda: schemas.DeveloperOptions(), lambda: schemas.SimilarOptions(), lambda: schemas.SuggestOptions(), lambda: schemas.ListOptions(num=-1)):
         with pytest.raises(ValueError):
