@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -299,17 +299,22 @@ def list_fallback(spark, sf_dir):
 @query("SELECT 'com.p' || CAST(a.p_partkey AS VARCHAR) AS source_app_id, 'com.p' || CAST(b.p_partkey AS VARCHAR) AS app_id, b.p_name AS title, '' AS score_text FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type")
 def similar(spark, sf_dir):
     """Two hops: details pages of all parts name the cluster page of their brand and type."""
-    return _similar(spark, sf_dir, ["p_brand", "p_type"])
+    return _similar(_parts(spark, sf_dir), ["p_brand", "p_type"])
 
 
-@query("SELECT 'com.p' || CAST(a.p_partkey AS VARCHAR) AS source_app_id, 'com.p' || CAST(b.p_partkey AS VARCHAR) AS app_id, b.p_name AS title, '' AS score_text FROM part a JOIN part b ON a.p_brand = b.p_brand")
+#: A cluster page of the store lists a bounded number of apps, however many its developer has.
+CLUSTER_ROWS = 40
+
+
+@query(f"""WITH u AS (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // {CLUSTER_ROWS} AS page FROM part)
+  SELECT 'com.p' || CAST(a.p_partkey AS VARCHAR) AS source_app_id, 'com.p' || CAST(b.p_partkey AS VARCHAR) AS app_id, b.p_name AS title, '' AS score_text FROM u a JOIN u b ON a.p_brand = b.p_brand AND a.page = b.page""")
 def similar_all(spark, sf_dir):
-    """The same with a cluster for each brand."""
-    return _similar(spark, sf_dir, ["p_brand"])
+    """The same with clusters for each brand, as many as its parts need."""
+    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    return _similar(_parts(spark, sf_dir).withColumn("page", F.floor((rank - 1) / CLUSTER_ROWS)), ["p_brand", "page"])
 
 
-def _similar(spark, sf_dir, by: list[str]) -> DataFrame:
-    parts = _parts(spark, sf_dir)
+def _similar(parts: DataFrame, by: list[str]) -> DataFrame:
     cluster = F.concat(F.lit("/cluster?b="), F.concat_ws("_", *by))
     decoy = [{21: {1: [F.lit("More by"), F.lit(None).cast("string"), {4: {2: F.lit("/wrong")}}]}}]
     hit = {21: {1: [F.lit("Similar apps"), F.lit(None).cast("string"), {4: {2: cluster}}]}}
