@@ -1,6 +1,11 @@
-"""What keeps queries in proportion to their tables: pages parsed once."""
+"""What keeps queries in proportion to their tables: pages parsed once, pages of bounded length, joins without a broadcast."""
 
-from storelens.operators import tables
+import pytest
+from pyspark.sql import functions as F
+
+from storelens.operators import relational, tables
+from storelens.plans import catalog
+from storelens.schemas import RESULT
 
 
 def test_a_page_is_parsed_once(spark):
@@ -8,3 +13,23 @@ def test_a_page_is_parsed_once(spark):
     plan = tables.reviews(raw)._jdf.queryExecution().optimizedPlan().toString()
     # one for the response, one for the document in it; no filter that computes the page's items again
     assert plan.count("parseJson") == 2 and "Filter (" not in plan
+
+
+NAME = "hot bolt"
+
+
+@pytest.fixture(scope="module")
+def alike(spark, tmp_path_factory):
+    """Tables in which all rows share their term, brand and type."""
+    folder = tmp_path_factory.mktemp("alike")
+    parts = spark.range(5000).select(F.col("id").alias("p_partkey"), F.lit(NAME).alias("p_name"), F.lit("B").alias("p_brand"), F.lit("T").alias("p_type"), F.lit(7).alias("p_size"), F.lit(9.5).alias("p_retailprice"))
+    parts.write.parquet(f"{folder}/part.parquet")
+    spark.range(1300).select(F.format_string("Customer#%09d", F.floor(F.col("id") / 2)).alias("c_name")).write.parquet(f"{folder}/customer.parquet")
+    return str(folder)
+
+
+def test_pages_of_a_term_are_bounded(spark, alike):
+    for pages in (catalog._search_first(spark, alike), catalog._search_more(spark, alike)):
+        sizes = [len(r.body) for r in pages.collect()]
+        assert len(sizes) == 3 and max(sizes) < 400 * catalog.PAGE_KEYS
+    assert [tuple(r) for r in catalog.queries()["search_tokens"](spark, alike).collect()] == [("hot", "tok", "tok2")]
