@@ -33,3 +33,9 @@ def test_pages_of_a_term_are_bounded(spark, alike):
         sizes = [len(r.body) for r in pages.collect()]
         assert len(sizes) == 3 and max(sizes) < 400 * catalog.PAGE_KEYS
     assert [tuple(r) for r in catalog.queries()["search_tokens"](spark, alike).collect()] == [("hot", "tok", "tok2")]
+
+
+def test_details_are_not_broadcast(spark):
+    row = ", ".join(f"{c} {'double' if c in ('score', 'price') else 'boolean' if c == 'free' else 'string'}" for c in RESULT)
+    results, apps = spark.createDataFrame([], row), spark.createDataFrame([], f"{row}, updated long")
+    assert "Broadcast" not in relational.enrich(results, apps)._jdf.queryExecution().sparkPlan().toString()
