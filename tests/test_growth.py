@@ -35,6 +35,13 @@ def test_pages_of_a_term_are_bounded(spark, alike):
     assert [tuple(r) for r in catalog.queries()["search_tokens"](spark, alike).collect()] == [("hot", "tok", "tok2")]
 
 
+def test_pages_of_suggestions_are_bounded(spark, alike):
+    sizes = [r.body.count("Customer") for r in catalog._names(spark, alike).collect()]
+    assert max(sizes) <= catalog.NAMES and sum(sizes) == 1300
+    got = sorted((r.pos, r.suggestion) for r in catalog.queries()["suggest"](spark, alike).collect())
+    assert got == [(k + 1, f"Customer#{k // 2:09d}") for k in range(1300)]
+
+
 def test_details_are_not_broadcast(spark):
     row = ", ".join(f"{c} {'double' if c in ('score', 'price') else 'boolean' if c == 'free' else 'string'}" for c in RESULT)
     results, apps = spark.createDataFrame([], row), spark.createDataFrame([], f"{row}, updated long")
