@@ -46,3 +46,10 @@ def test_details_are_not_broadcast(spark):
     row = ", ".join(f"{c} {'double' if c in ('score', 'price') else 'boolean' if c == 'free' else 'string'}" for c in RESULT)
     results, apps = spark.createDataFrame([], row), spark.createDataFrame([], f"{row}, updated long")
     assert "Broadcast" not in relational.enrich(results, apps)._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_all_apps_of_a_brand_are_similar(spark, tmp_path):
+    parts = spark.range(90).select(F.col("id").alias("p_partkey"), F.lit(NAME).alias("p_name"), F.lit("B").alias("p_brand"), F.lit("T").alias("p_type"), F.lit(7).alias("p_size"), F.lit(9.5).alias("p_retailprice"))
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.queries()["similar_all"](spark, str(tmp_path))
+    assert {(r.source_app_id, r.app_id) for r in got.collect()} == {(f"com.p{a}", f"com.p{b}") for a in range(90) for b in range(90)}
