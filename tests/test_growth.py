@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from storelens.functions.payload import BLANK, block
 from storelens.operators import relational, tables
 from storelens.plans import catalog
 from storelens.schemas import RESULT
@@ -15,6 +16,15 @@ def test_a_page_is_parsed_once(spark):
     assert plan.count("parseJson") == 2 and "Filter (" not in plan
 
 
+def test_blanks_around_a_block_are_trimmed(spark):
+    """Without a search at each of its characters."""
+    blanks = BLANK.replace("\n", "")  # a line feed ends a block
+    assert len(blanks) == 24
+    raw = spark.createDataFrame([(f"<script>AF_initDataCallback({{key: 'ds:3', hash: '1', data:{x}[1, \" a \"]{x}, sideChannel: {{}}}});",) for x in ("", *blanks, blanks, blanks * 2)], "body string")
+    data = raw.select(F.to_json(block(F.col("body"), "ds:3")).alias("d"))
+    assert [r.d for r in data.distinct().collect()] == ['[1," a "]'] and "regexp_replace" not in data._jdf.queryExecution().optimizedPlan().toString()
+
+
 NAME = "hot bolt"
 
 
