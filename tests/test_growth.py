@@ -63,3 +63,22 @@ def test_all_apps_of_a_brand_are_similar(spark, tmp_path):
     parts.write.parquet(f"{tmp_path}/part.parquet")
     got = catalog.queries()["similar_all"](spark, str(tmp_path))
     assert {(r.source_app_id, r.app_id) for r in got.collect()} == {(f"com.p{a}", f"com.p{b}") for a in range(90) for b in range(90)}
+
+
+def test_details_pages_are_parsed_once(spark):
+    raw = spark.createDataFrame([], "app_id string, lang string, country string, body string")
+    hop = tables.similar_cluster(raw).where("cluster_url is not null").selectExpr("app_id", "concat('x', cluster_url) as page_url")
+    plan = hop.where("page_url is not null")._jdf.queryExecution().optimizedPlan().toString()
+    # one pass over the page, and one document for each of the three blocks where the cluster may be
+    assert plan.count("regexp_extract_all") == 1 and plan.count("parseJson") == 3
+
+
+def test_a_large_cluster_is_the_work_of_several_tasks(spark, alike):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = spark.read.parquet(f"{alike}/part.parquet").where("p_partkey < 400")
+        got = catalog._similar(parts.withColumn("id", catalog._app_id(F.col("p_partkey"))), ["p_brand", "p_type"])
+        tasks = got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_distinct("source_app_id", "app_id").alias("pairs")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(t.n for t in tasks) == sum(t.pairs for t in tasks) == 160000 and len(tasks) > 1
