@@ -82,3 +82,13 @@ def test_a_large_cluster_is_the_work_of_several_tasks(spark, alike):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(t.n for t in tasks) == sum(t.pairs for t in tasks) == 160000 and len(tasks) > 1
+
+
+def test_the_tasks_of_a_cluster_do_not_depend_on_its_bytes(spark, alike):
+    """A few short rows make many pairs; with Spark's usual settings they were one task's, whatever the number of pairs."""
+    assert spark.conf.get("spark.sql.adaptive.enabled") == spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
+    parts = spark.read.parquet(f"{alike}/part.parquet").where("p_partkey < 400")
+    got = catalog._similar(parts.withColumn("id", catalog._app_id(F.col("p_partkey"))), ["p_brand"])
+    tasks = got.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.count_distinct("source_app_id", "app_id").alias("pairs")).collect()
+    assert sum(t.n for t in tasks) == sum(t.pairs for t in tasks) == 160000
+    assert len(tasks) > 8 and max(t.n for t in tasks) < 160000 / 8
