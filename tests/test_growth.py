@@ -92,3 +92,8 @@ def test_the_tasks_of_a_cluster_do_not_depend_on_its_bytes(spark, alike):
     tasks = got.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.count_distinct("source_app_id", "app_id").alias("pairs")).collect()
     assert sum(t.n for t in tasks) == sum(t.pairs for t in tasks) == 160000
     assert len(tasks) > 8 and max(t.n for t in tasks) < 160000 / 8
+
+
+def test_all_pairs_of_a_brand_and_type_are_dealt_evenly(spark, alike):
+    got = catalog.queries()["similar"](spark, alike).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(t["count"] for t in got) == 5000**2 and max(t["count"] for t in got) < 5000**2 / 8
